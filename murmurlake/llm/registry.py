@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import language, licenses, mixing
 
 QUERIES = {
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_language_id": language.op5_language_id,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
