@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import language, licenses, minhash, mixing, substrings
+from . import decontaminate, language, licenses, minhash, mixing, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language_id": language.op5_language_id,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 SQL = {
     "op1_substring_dedup": substrings.SQL,
+    "op7_decontaminate": decontaminate.SQL,
+    "op8_minhash_near_dedup": minhash.SQL,
     "op9_mix_sources": mixing.SQL,
 }
