@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, minhash, mixing, substrings
+from . import decontaminate, embeddings, language, licenses, minhash, mixing, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
 
 SQL = {
@@ -18,4 +19,5 @@ SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_minhash_near_dedup": minhash.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op10_embedding_near_dedup": embeddings.SQL,
 }
