@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, licenses, minhash, mixing, substrings
+from . import decontaminate, embeddings, language, licenses, lines, minhash, mixing, substrings, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language_id": language.op5_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
