@@ -212,7 +212,6 @@ def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "starts", "hashes", "gaps"))])
-PLACES_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())])
 
 
 def unpack(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,24 +230,52 @@ def unpack(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(map(np.concatenate, (hashes, place, owner, ids, ths)))
 
 
-def places_of(chosen: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> pa.Table:
-    """Rows of PLACES for the chosen entries."""
+def answers(chosen: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.ndarray, ths: np.ndarray, groups: int) -> pa.Table:
+    """The chosen entries, packed by group of texts: what a bucket says of a text travels with what it says of others."""
     at = np.flatnonzero(chosen)
-    at = at[np.lexsort((place[at], owner[at]))]
     rows = []
     if len(at):
-        own = owner[at]
-        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(own)) + 1):
-            k = own[part[0]]
-            rows.append({"doc_id": int(ids[k]), "th": int(ths[k]), "places": planes(np.diff(place[at[part]], prepend=0), 4)})
-    return pa.Table.from_pylist(rows, schema=PLACES_ARROW)
-
-
-def read_places(parts: list[bytes] | None) -> np.ndarray:
-    """The places that several rows of PLACES give one text, in order."""
-    if not parts:
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.cumsum(unplanes(p, 4).astype(np.int64)) for p in parts]))
+        group = bucket_of(mix(ids.astype(np.uint64) ^ mix(ths.astype(np.uint64))), groups)[owner[at]]
+        for g, part in by_bucket(group):
+            k = at[part]
+            k = k[np.lexsort((place[k], owner[k]))]
+            first = np.flatnonzero(np.diff(owner[k], prepend=-1))
+            gap = np.diff(place[k], prepend=0)
+            gap[first] = place[k[first]]
+            docs = owner[k[first]]
+            rows.append({"grp": g, "ids": ids[docs].tobytes(), "ths": ths[docs].tobytes(), "sizes": planes(np.diff(np.append(first, len(k))), 4), "gaps": planes(gap, 4)})
+    return pa.Table.from_pylist(rows, schema=ANSWERS_ARROW)
+
+
+ANSWERS = "grp int, ids binary, ths binary, sizes binary, gaps binary"
+ANSWERS_ARROW = pa.schema([("grp", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "sizes", "gaps"))])
+
+
+def merged_answers(group: pa.Table) -> pa.Table:
+    """Rows of PLACES, one for each text of a group."""
+    ids, ths, size, place = [], [], [], []
+    for r in group.to_pylist():
+        n, gap = unplanes(r["sizes"], 4).astype(np.int64), unplanes(r["gaps"], 4).astype(np.int64)
+        run, first = np.cumsum(gap), np.cumsum(n) - n
+        ids.append(np.frombuffer(r["ids"], np.int64))
+        ths.append(np.frombuffer(r["ths"], np.int64))
+        size.append(n)
+        place.append(run - np.repeat(run[first] - gap[first], n))
+    ids, ths, size, place = map(np.concatenate, (ids, ths, size, place))
+    key, of = np.unique(np.stack([ids, ths], axis=1), axis=0, return_inverse=True)
+    of = np.repeat(of.reshape(-1), size)
+    order = np.lexsort((place, of))
+    of, place = of[order], place[order]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    gap = np.diff(place, prepend=0)
+    gap[first] = place[first]
+    ends = np.append(first[1:], len(of))
+    return pa.table({"doc_id": pa.array(key[of[first], 0]), "th": pa.array(key[of[first], 1]), "places": pa.array([planes(gap[a:b], 4) for a, b in zip(first, ends, strict=True)], pa.binary())})
+
+
+def read_places(places: bytes | None) -> np.ndarray:
+    """The places of a row of PLACES, in order."""
+    return np.unique(np.cumsum(unplanes(places or b"", 4).astype(np.int64)))
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, PACKED_ARROW, PLACES, Words, batch_of, bucket_of, buckets_for, chunks, covered, documents, pack, places_of, read_places, space_words, table, text_bytes, unpack, window_hashes
+from .common import ANSWERS, PACKED, PACKED_ARROW, PLACES, Words, answers, batch_of, bucket_of, buckets_for, chunks, covered, documents, merged_answers, pack, read_places, space_words, table, text_bytes, unpack, window_hashes
 
 LENGTH = 35
 BLOCK = 18
@@ -62,21 +62,21 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
         known = np.repeat(np.add.reduceat(anchor[order].astype(np.int64), first), size)
         hit = np.zeros(len(h), bool)
         hit[order] = known - anchor[order] > 0
-        return places_of(hit, place, owner, ids, ths)
+        return answers(hit, place, owner, ids, ths, n)
 
     def gathered(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "th").agg(F.collect_list("places").alias("places"))
+        return found.groupBy("grp").applyInArrow(merged_answers, PLACES)
 
     texts = docs.repartition("doc_id", "th")
-    anchored = docs.mapInArrow(probes, PACKED).groupBy("bucket").applyInArrow(hits, PLACES)
+    anchored = docs.mapInArrow(probes, PACKED).groupBy("bucket").applyInArrow(hits, ANSWERS)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows around hits, for texts that have any."""
         for rows, texts in chunks(batches):
             words = Words([space_words(t) for t in texts])
             near = np.zeros(words.total + 1, np.int64)
-            for k, parts in enumerate(rows["places"].to_pylist()):
-                hit = read_places(parts) + words.offsets[k]
+            for k, found in enumerate(rows["places"].to_pylist()):
+                hit = read_places(found) + words.offsets[k]
                 np.add.at(near, np.maximum(hit - (length - block), words.offsets[k]), 1)
                 np.add.at(near, hit + 1, -1)
             at = words.within(length)
@@ -91,10 +91,10 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
         order, _, size = starts_in_group(h)
         twice = np.zeros(len(h), bool)
         twice[order] = np.repeat(size, size) > 1
-        return places_of(twice, place, owner, ids, ths)
+        return answers(twice, place, owner, ids, ths, n)
 
     extended = texts.join(gathered(anchored), ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(windows, PACKED)
-    return texts, gathered(extended.groupBy("bucket").applyInArrow(repeats, PLACES))
+    return texts, gathered(extended.groupBy("bucket").applyInArrow(repeats, ANSWERS))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
@@ -104,13 +104,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bu
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
             out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "n_runs", "kept")}
-            for t, parts in zip(texts, rows["places"].to_pylist(), strict=True):
+            for t, found in zip(texts, rows["places"].to_pylist(), strict=True):
                 words = space_words(t)
-                gone = covered(len(words), read_places(parts), length) if parts else np.zeros(len(words), bool)
+                gone = covered(len(words), read_places(found), length) if found else np.zeros(len(words), bool)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_runs"].append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                out["kept"].append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x) if parts else b" ".join(words))
+                out["kept"].append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x) if found else b" ".join(words))
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *(pa.array(out[k], pa.int64()) for k in ("n_words", "n_removed", "n_runs")), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
 
     return texts.join(found, ["doc_id", "th"], "left").select("doc_id", "text", "places").mapInArrow(kept, "doc_id long, n_words long, n_removed long, n_runs long, kept binary")
