@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, chunks, table
 
@@ -183,8 +184,8 @@ def learn(docs: DataFrame, pieces) -> tuple[list[str], np.ndarray]:
     return langs, uses / uses.sum(axis=0)
 
 
-def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns named in keep with lang_pred and score, for each row of docs."""
+def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str = VOCABULARY, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, with the language and the score under the given names, for each row of docs."""
     spark = docs.sparkSession
     pieces = spark.sparkContext.broadcast(read_pieces(vocabulary))
     langs, theta = learn(train.where("lang IS NOT NULL"), pieces)
@@ -192,7 +193,7 @@ def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str
 
     def score(batches):
         known, (langs, theta) = lattice(pieces), model.value
-        for rows, texts in chunks(batches, 6_000_000, "__text"):
+        for rows, texts in chunks(batches, 6_000_000):
             split = [letter_words(t) for t in texts]
             words = Words(split)
             total = np.zeros((len(texts), len(langs)))
@@ -213,12 +214,13 @@ def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str
                 best = int(np.argmax(x))
                 pred.append(langs[best])
                 sure.append(float(1 / np.exp(x - x[best]).sum()))
-            out = rows.drop_columns(["__text"]).append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(sure, pa.float64()))
+            out = rows.select(keep).append_column(names[0], pa.array(pred, pa.string())).append_column(names[1], pa.array(sure, pa.float64()))
             yield from out.combine_chunks().to_batches()
 
-    fields = docs.select(*[F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema) + ", lang_pred string, score double"
-    return docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text")).mapInArrow(score, schema)
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(*[text if c == "text" else F.col(c) for c in keep], *([] if "text" in keep else [text]))
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(score, schema)
 
 
 def remainder(n: int):

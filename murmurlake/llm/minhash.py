@@ -1,23 +1,25 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
-A document's set holds its distinct shingles of three words. A sketch has COORDINATES coordinates: in each round every
+A document's set holds its distinct shingles of `width` words. A sketch has COORDINATES coordinates: in each round every
 shingle is thrown into one bin, and a bin that was still empty keeps the smallest value of the round; after as many rounds
 as there are bins, the round's number names the bin, so that every coordinate is sure to be filled. Coordinates agree
 with the probability of the sets' similarity and concentrate like independent ones, at about one round for long texts.
 
-Bands of ROWS coordinates make candidates: two sets of similarity 0.85 share none of the BANDS bands once in a million.
+Bands of ROWS coordinates make candidates: two sets of similarity 0.85 share none of the BANDS bands once in a million, of 0.8 seven
+times in 100,000.
 Documents with equal sets are one class from the start, with the smallest doc_id standing for it. In a bucket of a band,
 each member is verified against the bucket's smallest member, on full sets; then, where a bucket still holds several
 components, every member outside its largest one is compared with all members of other components. So every pair of a
 bucket is either verified or known to be linked, and a bucket of thousands of copies costs one comparison for each.
 Before full sets are fetched, one bit of each coordinate is compared (a pair of similarity 0.85 fails that once in 10^9).
 
-Defined results: null and empty texts have no shingles and are linked with nothing; fewer than three words are one
+Defined results: null and empty texts have no shingles and are linked with nothing; fewer words than that are one
 shingle; repeated rows are one node; a doc_id that comes with several texts is one node with the links of all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,6 @@ from .common import Words, chunks, components, cut, documents, factors, lower_sp
 BANDS = 24
 ROWS = 5
 COORDINATES = BANDS * ROWS
-#: Of the 120 bits, so many may differ: at similarity 0.85 the mean is 9 and the deviation 2.9.
-BITS_APART = 27
 SEED = 8
 
 
@@ -81,12 +81,18 @@ def identity(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def bits_apart(percent: int) -> int:
+    """So many of the bits may differ: six deviations over the mean at that similarity."""
+    q = (1 - percent / 100) / 2
+    return math.ceil(COORDINATES * q + 6 * math.sqrt(COORDINATES * q * (1 - q)))
+
+
 SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, bits1 long, bits2 long"
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for rows, texts in chunks(batches):
-        sets = shingle_sets(texts)
+        sets = shingle_sets(texts, width)
         coordinates = sketches(sets)
         with np.errstate(over="ignore"):
             bands = mix((coordinates.reshape(len(sets), BANDS, ROWS) * factors(ROWS, SEED)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
@@ -100,24 +106,24 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for rows, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array([s.astype(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array([s.astype(np.int64) for s in shingle_sets(texts, width)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(full_sets, "node long, shingles array<long>")
+    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(lambda b: full_sets(b, width), "node long, shingles array<long>")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return x.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; documents of a component are linked by similarity of percent or more."""
-    docs = documents(docs)
-    signed = cut(docs.mapInArrow(signatures, SIGNATURE))
+    docs, apart = documents(docs), bits_apart(percent)
+    signed = cut(docs.mapInArrow(lambda b: signatures(b, width), SIGNATURE))
     classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "bits1", "bits2")).alias("x"))
     classes = cut(classes.select("s1", "s2", "n", "rep", "x.bands", "x.bits1", "x.bits2"))
     member = classes.select("rep", "n", "bits1", "bits2", F.posexplode("bands").alias("band", "value"))
@@ -125,11 +131,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def close(a: str, b: str):
         """Sizes and bits allow the similarity."""
-        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= BITS_APART)
+        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= apart)
 
     node = classes.select("rep", "n", "bits1", "bits2")
     star = member.where("rep <> pivot").select("rep", "n", "bits1", "bits2", "pivot").distinct().alias("m").join(node.alias("p"), F.col("m.pivot") == F.col("p.rep"))
-    links = cut(verified(docs, cut(star.where(close("m", "p")).select(F.col("m.pivot").alias("a"), F.col("m.rep").alias("b"))), percent))
+    links = cut(verified(docs, cut(star.where(close("m", "p")).select(F.col("m.pivot").alias("a"), F.col("m.rep").alias("b"))), percent, width))
     found = components(links)
     placed = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shares = placed.groupBy("band", "value", "component").agg(F.count("*").alias("share"))
@@ -139,13 +145,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     cross = outside.alias("o").join(placed.alias("m"), ["band", "value"]).where((F.col("o.component") != F.col("m.component")) & ((F.col("m.component") == F.col("m.largest")) | (F.col("o.rep") < F.col("m.rep"))) & close("o", "m"))
     cross = cut(cross.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
-        found = components(links.unionByName(verified(docs, cross, percent)))
+        found = components(links.unionByName(verified(docs, cross, percent, width)))
     of = classes.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return signed.join(of, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85, 3).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 SQL = r"""
