@@ -197,14 +197,14 @@ PACKED = "bucket int, ids binary, ths binary, starts binary, hashes binary, gaps
 PLACES = "doc_id long, th long, places binary"
 
 
-def pack(ids: np.ndarray, ths: np.ndarray, words: Words, at: np.ndarray, bucket: np.ndarray, stored: np.ndarray, width: int) -> Iterator[dict]:
-    """Rows of PACKED: by bucket, the hashes of some word places with the texts they lie in."""
+def pack(ids: np.ndarray, ths: np.ndarray, words, at: np.ndarray, bucket: np.ndarray, *stored: tuple[np.ndarray, int]) -> Iterator[dict]:
+    """Rows of PACKED: by bucket, the hashes (with their widths in bytes) of some places and the texts they lie in."""
     for b, part in by_bucket(bucket):
         place = at[part]
         own = words.owner[place]
         first = np.flatnonzero(np.diff(own, prepend=-1))  # places ascend, so owners do
         docs = own[first]
-        yield {"bucket": b, "ids": ids[docs].tobytes(), "ths": ths[docs].tobytes(), "starts": words.offsets[docs].astype(np.int64).tobytes(), "hashes": planes(stored[part], width), "gaps": planes(np.diff(place, prepend=0), 4)}
+        yield {"bucket": b, "ids": ids[docs].tobytes(), "ths": ths[docs].tobytes(), "starts": words.offsets[docs].astype(np.int64).tobytes(), "hashes": b"".join(planes(x[part], w) for x, w in stored), "gaps": planes(np.diff(place, prepend=0), 4)}
 
 
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -214,20 +214,22 @@ def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "starts", "hashes", "gaps"))])
 
 
-def unpack(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(group: pa.Table, *widths: int) -> tuple[np.ndarray, ...]:
     """Of a bucket: hashes, place in the text and text's number for each entry; id and text hash for each text."""
-    hashes, place, owner, ids, ths, n = [], [], [], [], [], 0
+    hashes, place, owner, ids, ths, n = [[] for _ in widths], [], [], [], [], 0
     for r in group.to_pylist():
         at = np.cumsum(unplanes(r["gaps"], 4).astype(np.int64))
         starts = np.frombuffer(r["starts"], np.int64)
         own = np.searchsorted(starts, at, side="right") - 1
-        hashes.append(unplanes(r["hashes"], width))
+        ends = np.cumsum(widths) * len(at)
+        for k, (w, end) in enumerate(zip(widths, ends.tolist(), strict=True)):
+            hashes[k].append(unplanes(r["hashes"][end - w * len(at) : end], w))
         place.append(at - starts[own])
         owner.append(own + n)
         ids.append(np.frombuffer(r["ids"], np.int64))
         ths.append(np.frombuffer(r["ths"], np.int64))
         n += len(starts)
-    return tuple(map(np.concatenate, (hashes, place, owner, ids, ths)))
+    return tuple(map(np.concatenate, (*hashes, place, owner, ids, ths)))
 
 
 def answers(chosen: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.ndarray, ths: np.ndarray, groups: int) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, licenses, lines, minhash, mixing, substrings, toxicity
+from . import decontaminate, embeddings, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language_id": language.op5_language_id,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
