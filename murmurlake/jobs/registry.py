@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import timelines
+
+_MODULES = [timelines]
+
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: x for m in _MODULES for k, x in m.SQL.items()}
