@@ -11,7 +11,9 @@ Documents with equal sets are one class from the start, with the smallest doc_id
 each member is verified against the bucket's smallest member, on full sets; then, where a bucket still holds several
 components, every member outside its largest one is compared with all members of other components. So every pair of a
 bucket is either verified or known to be linked, and a bucket of thousands of copies costs one comparison for each.
-Before full sets are fetched, one bit of each coordinate is compared (a pair of similarity 0.85 fails that once in 10^9).
+Before full sets are fetched, one bit of each coordinate is compared (a pair at the threshold fails that once in 10^9),
+and then the sets' parities in PARITIES bins: an element of one set only flips its bin, so the parities that differ are a
+lower bound of the elements that differ, and no link is lost there.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer words than that are one
 shingle; repeated rows are one node; a doc_id that comes with several texts is one node with the links of all of them.
@@ -32,6 +34,7 @@ from .common import Words, chunks, components, cut, documents, factors, lower_sp
 BANDS = 24
 ROWS = 5
 COORDINATES = BANDS * ROWS
+PARITIES = 2048
 SEED = 8
 
 
@@ -81,13 +84,21 @@ def identity(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether each bin has an odd number of its elements, as longs."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bins = (mix(np.concatenate(sets)) % np.uint64(PARITIES)).astype(np.int64) if len(owner) else owner
+    odd = np.bincount(owner * PARITIES + bins, minlength=len(sets) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), PARITIES), axis=1).view("<i8")
+
+
 def bits_apart(percent: int) -> int:
     """So many of the bits may differ: six deviations over the mean at that similarity."""
     q = (1 - percent / 100) / 2
     return math.ceil(COORDINATES * q + 6 * math.sqrt(COORDINATES * q * (1 - q)))
 
 
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, bits1 long, bits2 long"
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, bits1 long, bits2 long, odd array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -100,9 +111,10 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         bits[:, :COORDINATES] = (coordinates >> np.uint64(17)) & np.uint64(1)
         bits = np.packbits(bits, axis=1).view("<i8")
         ids = [identity(s) for s in sets]
+        odd = parities(sets)
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-            names=["doc_id", "n", "s1", "s2", "bands", "bits1", "bits2"],
+            [rows["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), PARITIES // 64).cast(pa.list_(pa.int64()))],
+            names=["doc_id", "n", "s1", "s2", "bands", "bits1", "bits2", "odd"],
         )
 
 
@@ -124,23 +136,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     """doc_id, n_shingles, component_id for each row; documents of a component are linked by similarity of percent or more."""
     docs, apart = documents(docs), bits_apart(percent)
     signed = cut(docs.mapInArrow(lambda b: signatures(b, width), SIGNATURE))
-    classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "bits1", "bits2")).alias("x"))
-    classes = cut(classes.select("s1", "s2", "n", "rep", "x.bands", "x.bits1", "x.bits2"))
-    member = classes.select("rep", "n", "bits1", "bits2", F.posexplode("bands").alias("band", "value"))
-    member = cut(member.join(member.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), ["band", "value"]))
+    what = ("bits1", "bits2", "odd")
+    classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "bands", *what)).alias("x"))
+    classes = cut(classes.select("s1", "s2", "n", F.col("x.doc_id").alias("rep"), "x.bands", *(f"x.{k}" for k in what)))
+    node = classes.select("rep", "n", *what)
+    spot = classes.select("rep", F.posexplode("bands").alias("band", "value"))
+    member = cut(spot.join(spot.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").drop("size"), ["band", "value"]))
 
     def close(a: str, b: str):
-        """Sizes and bits allow the similarity."""
-        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= apart)
+        """Sizes, bits and parities allow the similarity."""
+        flips = F.aggregate(F.zip_with(F.col(f"{a}.odd"), F.col(f"{b}.odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = F.col(f"{a}.n") + F.col(f"{b}.n")
+        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= apart) & (flips * (100 + percent) <= both * (100 - percent))
 
-    node = classes.select("rep", "n", "bits1", "bits2")
-    star = member.where("rep <> pivot").select("rep", "n", "bits1", "bits2", "pivot").distinct().alias("m").join(node.alias("p"), F.col("m.pivot") == F.col("p.rep"))
+    star = member.where("rep <> pivot").select("rep", "pivot").distinct().join(node, "rep").alias("m").join(node.alias("p"), F.col("m.pivot") == F.col("p.rep"))
     links = cut(verified(docs, cut(star.where(close("m", "p")).select(F.col("m.pivot").alias("a"), F.col("m.rep").alias("b"))), percent, width))
     found = components(links)
-    placed = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = member.drop("pivot").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shares = placed.groupBy("band", "value", "component").agg(F.count("*").alias("share"))
     mixed = shares.groupBy("band", "value").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("share", "component")).alias("largest")).where("parts > 1").drop("parts")
-    placed = cut(placed.join(mixed, ["band", "value"]))
+    placed = cut(placed.join(mixed, ["band", "value"]).join(node, "rep"))
     outside = placed.where("component <> largest")
     cross = outside.alias("o").join(placed.alias("m"), ["band", "value"]).where((F.col("o.component") != F.col("m.component")) & ((F.col("m.component") == F.col("m.largest")) | (F.col("o.rep") < F.col("m.rep"))) & close("o", "m"))
     cross = cut(cross.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
