@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import timelines
+from . import catalogs, speakers, speech, timelines
 
-_MODULES = [timelines]
+_MODULES = [timelines, speech, speakers, catalogs]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: x for m in _MODULES for k, x in m.SQL.items()}
