@@ -9,8 +9,8 @@ never joined to each other: strings meet by their anchors.
 2. Where an anchor occurs in one document only, its strings can't be repeated elsewhere. Of equal contexts, which repeat
    all their strings, the smallest document keeps its own; the others lose theirs.
 3. Contexts of one anchor that differ share some of their strings at most. One of each goes, as bytes, to its anchor's
-   bucket, where a suffix array of the contexts brings equal strings together; those that also start in a smaller
-   document are removed. An anchor of more than HOT different contexts, like that of a passage in very many documents,
+   bucket; their ends that can't match, by the hashes of their strings, are cut off, and a suffix array of what is left
+   brings equal strings together; those that also start in a smaller document are removed. An anchor of more than HOT different contexts, like that of a passage in very many documents,
    is dealt by the hash of each string instead, so that no bucket grows with it.
 
 The suffix array (suffix_array below) is built in two phases. Suffixes are grouped by first byte; groups are processed
@@ -49,6 +49,7 @@ def suffix_array(text: list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in number]
     for s, k in enumerate(group):
         members[k].append(s)
+    size = [len(m) for m in members]
     below = list(range(-1, len(number) - 1))
     above = list(range(1, len(number))) + [-1]
     done = [False] * len(number)
@@ -58,46 +59,71 @@ def suffix_array(text: list[int]) -> list[int]:
     while k >= 0:
         done[k] = True
         descending.append(k)
-        pointed: list[int] = []  # ascending, as pointers never cross
-        times: list[int] = []
-        last = -1
-        for s in members[k]:
-            if group[s] != k:
-                continue
+        own = members[k]
+        if len(own) == 1:
+            s = own[0]
             j = s - 1
             while j >= 0 and done[group[j]]:
                 j = previous[j]
             previous[s] = j
-            if j >= 0:
-                if j == last:
-                    times[-1] += 1
-                else:
-                    pointed.append(j)
-                    times.append(1)
-                    last = j
-        if pointed:
-            parted: dict[int, dict[int, list[int]]] = {}
-            for j, m in zip(pointed, times, strict=True):
-                parted.setdefault(m, {}).setdefault(group[j], []).append(j)
-            for m in sorted(parted, reverse=True):
-                for old, suffixes in parted[m].items():
-                    new = len(members)
-                    members.append(suffixes)
-                    done.append(False)
-                    for j in suffixes:
-                        group[j] = new
-                    up = above[old]
-                    above[old] = new
-                    above.append(up)
-                    below.append(old)
-                    if up >= 0:
-                        below[up] = new
+            # A subset that is all that is left of its group would only trade places with an empty one.
+            if j >= 0 and size[group[j]] > 1:
+                parted = {1: {group[j]: [j]}}
+            else:
+                k = below[k]
+                continue
+        else:
+            pointed: list[int] = []  # ascending, as pointers never cross
+            times: list[int] = []
+            last = -1
+            most = 1
+            for s in own:
+                if group[s] != k:
+                    continue
+                j = s - 1
+                while j >= 0 and done[group[j]]:
+                    j = previous[j]
+                previous[s] = j
+                if j >= 0:
+                    if j == last:
+                        times[-1] += 1
+                        most = 2
+                    else:
+                        pointed.append(j)
+                        times.append(1)
+                        last = j
+            parted = {}
+            if most == 1:
+                by_group = parted[1] = {}
+                for j in pointed:
+                    g = group[j]
+                    if g in by_group:
+                        by_group[g].append(j)
+                    else:
+                        by_group[g] = [j]
+            else:
+                for j, m in zip(pointed, times, strict=True):
+                    parted.setdefault(m, {}).setdefault(group[j], []).append(j)
+        for m in sorted(parted, reverse=True):
+            for old, suffixes in parted[m].items():
+                if len(suffixes) == size[old]:
+                    continue
+                new = len(members)
+                members.append(suffixes)
+                size.append(len(suffixes))
+                size[old] -= len(suffixes)
+                done.append(False)
+                for j in suffixes:
+                    group[j] = new
+                up = above[old]
+                above[old] = new
+                above.append(up)
+                below.append(old)
+                if up >= 0:
+                    below[up] = new
         k = below[k]
     start = [0] * len(members)
     at = 0
-    size = [0] * len(members)
-    for k in group:
-        size[k] += 1
     for k in reversed(descending):
         start[k] = at
         at += size[k]
@@ -116,6 +142,26 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
+_BASE = 0xD6E8FEB86659FD93
+
+
+def prefix_hashes(text: bytes):
+    """A function of places a and b that gives the hashes of the bytes between them."""
+    n = len(text)
+    value = factors(256, SEED)[np.frombuffer(text, np.uint8)]
+    with np.errstate(over="ignore"):
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
+        inverse = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:n])])
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+    return of
+
+
 class Runs:
     """Some texts as bytes, and the runs of strings of one anchor: first and last start, the anchor's and context's hash."""
 
@@ -143,19 +189,9 @@ class Runs:
         new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(starts) != 1)]))
         self.first, self.last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
         self.anchor = h[anchor[new]]
-        with np.errstate(over="ignore"):
-            one = np.ones(1, np.uint64)
-            power = np.cumprod(np.concatenate([one, np.full(n, 0xD6E8FEB86659FD93, np.uint64)]))
-            inverse = np.cumprod(np.concatenate([one, np.full(n, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)]))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:n])])
-            self.total, self.inverse = total, inverse
+        self.hash_of = prefix_hashes(self.text)
         self.context = self.hash_of(self.first, self.last + length)
 
-    def hash_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of the bytes from a to b."""
-        with np.errstate(over="ignore"):
-            return mix((self.total[b] - self.total[a]) * self.inverse[a] + (b - a).astype(np.uint64))
-
     @staticmethod
     def combined(x: np.ndarray, n: int, f) -> np.ndarray:
         """f over each n consecutive numbers, by doubling."""
@@ -180,17 +216,17 @@ def matched(strings: list[tuple[int, bytes, int]], length: int) -> list[tuple[in
     text: list[int] = []
     of: list[int] = []
     begin: list[int] = []
-    for k, (_, data, _) in enumerate(strings):
+    for k, (_, data, starts) in enumerate(strings):
         begin.append(len(text))
-        text += [c + 2 for c in data]
+        text += (np.frombuffer(data, np.uint8).astype(np.int64) + 2).tolist()
         text.append(1)
-        of += [k] * (len(data) + 1)
+        of += [k] * starts + [-1] * (len(data) + 1 - starts)
     text.append(0)
     of.append(-1)
     out, run, before = [], [], None
     for s in suffix_array(text):
         k = of[s]
-        if k < 0 or s - begin[k] >= strings[k][2]:
+        if k < 0:
             continue
         here = strings[k][1][s - begin[k] : s - begin[k] + length]
         if here != before:
@@ -270,22 +306,39 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
         keys, ids, ths, places, lengths = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("keys", np.uint64), ("ids", np.int64), ("ths", np.int64), ("places", np.int64), ("lengths", np.int64)))
         blob = b"".join(r["blob"] for r in rows)
         begin = np.cumsum(lengths) - lengths
-        order = np.argsort(keys, kind="stable")
+        # What can't be sorted next to an equal string of another document is left out: equal strings have equal hashes.
+        starts = lengths - length + 1
+        of = np.repeat(np.arange(len(keys)), starts)
+        at = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(len(of))
+        h = mix(prefix_hashes(blob)(at, at + length) ^ mix(keys)[of])
+        by = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[by]) != 0]))
+        doc = ids[of[by]]
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        likely = np.zeros(len(of), bool)
+        likely[by] = np.repeat(several, np.diff(np.append(first, len(of))))
+        of, at = of[likely], at[likely]
+        new = np.flatnonzero(np.diff(of, prepend=-1))
+        some = of[new]
+        low, high = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+        order = some[np.argsort(keys[some], kind="stable")]
+        from_, until = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        from_[some], until[some] = low, high + length
         found_k, found_p, batch, size = [], [], [], 0
         key = keys[order].tolist()
 
         def settle() -> None:
-            strings = [(int(ids[i]), blob[begin[i] : begin[i] + lengths[i]], int(lengths[i]) - length + 1) for i in batch]
+            strings = [(int(ids[i]), blob[from_[i] : until[i]], int(until[i] - from_[i]) - length + 1) for i in batch]
             for k, p in matched(strings, length):
                 found_k.append(batch[k])
-                found_p.append(p)
+                found_p.append(p + int(from_[batch[k]] - begin[batch[k]]))
 
-        for at, i in enumerate(order.tolist()):
-            if size >= TOGETHER and key[at] != key[at - 1]:
+        for i, x, before in zip(order.tolist(), key, [None, *key], strict=False):
+            if size >= TOGETHER and x != before:
                 settle()
                 batch, size = [], 0
             batch.append(i)
-            size += int(lengths[i])
+            size += int(until[i] - from_[i])
         if batch:
             settle()
         k = np.array(found_k, np.int64)
