@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogs, signals, speakers, speech, texts, timelines
+from . import catalogs, signals, speakers, speech, streams, texts, timelines
 
-_MODULES = [timelines, speech, speakers, catalogs, texts, signals]
+_MODULES = [timelines, speech, speakers, catalogs, texts, signals, streams]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: x for m in _MODULES for k, x in m.SQL.items()}
