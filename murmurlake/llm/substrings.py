@@ -53,7 +53,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
             at = words.within(block)
             h = window_hashes(words.hashes(SEED_WORD), block, SEED_PROBE)[at]
             if len(at):
-                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(h, n), h & np.uint64(0xFFFFFFFF), 4)), PACKED_ARROW)
+                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(h, n), (h, 4))), PACKED_ARROW)
 
     def hits(group: pa.Table) -> pa.Table:
         h, place, owner, ids, ths = unpack(group, 4)
@@ -84,7 +84,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
             if len(at):
                 x = words.hashes(SEED_WORD)
                 b = window_hashes(words.hashes(SEED_BUCKET), length, SEED_BUCKET)[at]
-                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(b, n), window_hashes(x, length, SEED_WINDOW)[at], 8)), PACKED_ARROW)
+                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(b, n), (window_hashes(x, length, SEED_WINDOW)[at], 8))), PACKED_ARROW)
 
     def repeats(group: pa.Table) -> pa.Table:
         h, place, owner, ids, ths = unpack(group, 8)
