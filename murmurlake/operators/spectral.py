@@ -125,6 +125,10 @@ def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_m
     return with_halo(signals, 0, n, size).mapInPandas(run, "rec long, frame long, bins array<double>")
 
 
+def _slope(weight: float):
+    return lambda after, before: (after - before) * weight
+
+
 def with_deltas(features: DataFrame, reach: int = 2) -> DataFrame:
     """bins, then their regression slopes over +/- reach frames (ends repeated), then those of the slopes."""
     from pyspark.sql import Window
@@ -133,7 +137,7 @@ def with_deltas(features: DataFrame, reach: int = 2) -> DataFrame:
         w = Window.partitionBy("rec").orderBy("frame")
         first, last = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(source).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         scale = 2 * sum(k * k for k in range(1, reach + 1))
-        terms = [F.transform(F.arrays_zip(F.coalesce(F.lead(source, k).over(w), last).alias("b"), F.coalesce(F.lag(source, k).over(w), first).alias("a")), lambda z, k=k: (z["b"] - z["a"]) * (k / scale)) for k in range(1, reach + 1)]
+        terms = [F.zip_with(F.coalesce(F.lead(source, k).over(w), last), F.coalesce(F.lag(source, k).over(w), first), _slope(k / scale)) for k in range(1, reach + 1)]
         df = df.withColumns({f"__t{k}": t for k, t in enumerate(terms)})
         total = F.col("__t0")
         for k in range(1, reach):
