@@ -145,15 +145,24 @@ def suffix_array(text: list[int]) -> list[int]:
 _BASE = 0xD6E8FEB86659FD93
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the base and of its inverse; kept in the worker, as long as its longest chunk."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        one = np.ones(1, np.uint64)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([one, np.full(n + n // 8, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
 def prefix_hashes(text: bytes):
     """A function of places a and b that gives the hashes of the bytes between them."""
     n = len(text)
-    value = factors(256, SEED)[np.frombuffer(text, np.uint8)]
+    power, inverse = powers(n)
     with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)
-        power = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
-        inverse = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:n])])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(factors(256, SEED)[np.frombuffer(text, np.uint8)] * power[:n])])
 
     def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -165,7 +174,7 @@ def prefix_hashes(text: bytes):
 class Runs:
     """Some texts as bytes, and the runs of strings of one anchor: first and last start, the anchor's and context's hash."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, contexts: bool = True):
         self.counts = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
@@ -189,8 +198,8 @@ class Runs:
         new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(starts) != 1)]))
         self.first, self.last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
         self.anchor = h[anchor[new]]
-        self.hash_of = prefix_hashes(self.text)
-        self.context = self.hash_of(self.first, self.last + length)
+        if contexts:
+            self.context = prefix_hashes(self.text)(self.first, self.last + length)
 
     @staticmethod
     def combined(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -278,8 +287,8 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
 
     def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, 1_000_000):
-            r = Runs(texts, length)
-            keys, begin, end = [], [], []
+            r = Runs(texts, length, contexts=False)
+            keys, begin, end, hash_of = [], [], [], None
             for k, found in enumerate(rows["places"].to_pylist()):
                 x = read_places(found)
                 runs = np.searchsorted(r.first, x // 4 + r.offsets[k])
@@ -288,8 +297,9 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
                 begin.append(r.first[one])
                 end.append(r.last[one] + length)
                 for i in runs[x % 4 == SPREAD]:
+                    hash_of = hash_of or prefix_hashes(r.text)
                     p = np.arange(r.first[i], r.last[i] + 1)
-                    keys.append(r.hash_of(p, p + length))
+                    keys.append(hash_of(p, p + length))
                     begin.append(p)
                     end.append(p + length)
             keys, begin, end = map(np.concatenate, (keys, begin, end))
@@ -357,14 +367,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, 1_000_000):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
-            some = [i for i, x in enumerate(rows["runs"].to_pylist()) if x]
-            r = Runs([texts[i] for i in some], length)
+            equal = [x[x % 4 == EQUAL] // 4 for x in map(read_places, rows["runs"].to_pylist())]
+            some = [i for i, x in enumerate(equal) if len(x)]
+            r = Runs([texts[i] for i in some], length, contexts=False)
             runs = dict(zip(some, range(len(some)), strict=True))
-            for i, (t, whole, one) in enumerate(zip(texts, rows["runs"].to_pylist(), rows["starts"].to_pylist(), strict=True)):
+            for i, (t, one) in enumerate(zip(texts, rows["starts"].to_pylist(), strict=True)):
                 gone = covered(len(t), read_places(one), length) if one else np.zeros(len(t), bool)
-                if whole:
-                    x, base = read_places(whole), r.offsets[runs[i]]
-                    at = np.searchsorted(r.first, x[x % 4 == EQUAL] // 4 + base)
+                if i in runs:
+                    base = r.offsets[runs[i]]
+                    at = np.searchsorted(r.first, equal[i] + base)
                     step = np.zeros(len(t) + 1, np.int64)
                     np.add.at(step, r.first[at] - base, 1)
                     np.add.at(step, r.last[at] - base + length, -1)
@@ -372,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 out["n_bytes"].append(len(t))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                out["kept"].append(np.frombuffer(t, np.uint8)[~gone].tobytes() if whole or one else t)
+                out["kept"].append(np.frombuffer(t, np.uint8)[~gone].tobytes() if i in runs or one else t)
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
 
     x = texts.join(told.withColumnRenamed("places", "runs"), ["doc_id", "th"], "left").join(single.withColumnRenamed("places", "starts"), ["doc_id", "th"], "left")
