@@ -1 +1 @@
-
+"""Column functions and building blocks."""

@@ -1 +1 @@
-
+"""Pipelines and registered queries."""

@@ -55,7 +55,7 @@ def separate(chunks: DataFrame, fn: Callable, k: int, batch: int = 16) -> DataFr
 
 def analyze(signals: DataFrame, fn: Callable, schema: str, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
     """Rows that fn finds in each signal (a list of dicts for each array), under the signal's keys."""
-    fields = [f.name for f in T._parse_datatype_string(schema).fields]
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

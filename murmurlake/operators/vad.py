@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join
-from ..functions.windows import islands, shard_of
+from ..functions.windows import islands, running, shard_of
 
 FRAME_MS = 256
 MASK_MS = 17
@@ -44,8 +44,6 @@ def resample_mask(mask: Column, n: Column) -> Column:
 
 def gate_chunks(chunks: DataFrame, vad: DataFrame, target: int = 160_000, frames: int = 4096) -> DataFrame:
     """Chunks (rec, chunk_idx, start_ms, end_ms) that overlap speech, with the batch of about `target` samples each is in."""
-    from pyspark.sql import Window
-
     met = interval_join(chunks, vad.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"])
     kept = chunks.join(met.select("rec", "chunk_idx").distinct(), ["rec", "chunk_idx"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("rec").orderBy("chunk_idx")) - 1
@@ -54,8 +52,6 @@ def gate_chunks(chunks: DataFrame, vad: DataFrame, target: int = 160_000, frames
 
 def concat_ranges(frames: DataFrame, ranges: DataFrame, frame_ms: int = FRAME_MS) -> DataFrame:
     """rec, n, frame of the frames within ranges, renumbered without the gaps."""
-    from ..functions.windows import running
-
     x = frames.withColumn("start_ms", F.col("frame") * frame_ms).withColumn("end_ms", (F.col("frame") + 1) * frame_ms)
     met = interval_join(x, ranges.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"]).select("rec", "frame", "x").distinct()
     return running(met, ["rec"], ["frame"], shard_of("frame", 100_000), {"n": ("sum", F.lit(1), False)}).select("rec", F.col("n").cast("long").alias("n"), "frame", "x")

@@ -1 +1 @@
-
+"""Reading and writing, and views over tables."""
