@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, documents, factors, mix, space_words, table
+from .common import Words, chunks, cut, documents, factors, mix, space_words, table
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -78,7 +78,7 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """doc_id, th, line, template of all lines to be dropped. docs: documents()."""
-    lines = docs.mapInArrow(line_rows, "doc_id long, th long, line int, leaf long, whole long, sign binary")
+    lines = cut(docs.mapInArrow(line_rows, "doc_id long, th long, line int, leaf long, whole long, sign binary"))
     often = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf")
     lines = lines.join(often, "leaf", "left_semi")
     different = lines.groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"))
