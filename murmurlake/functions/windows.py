@@ -1,7 +1,8 @@
 """Running aggregates and islands over long groups: a recording of any length is never sorted in one task.
 
 A group is cut into shards of its order column. Each shard is summed up, the sums are carried over the shards (one row a
-shard), and rows are only sorted within their shard.
+shard), and rows are only sorted within their shard. Rows are read twice for that, so they are settled first: steps that
+follow each other would else run all before them again and again.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 _AGG = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": (F.max, lambda a, b: F.greatest(a, b))}
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], shard: Column, what: dict[str, tuple[str, str | Column, bool]]) -> DataFrame:
     """df with running aggregates. what: name -> (sum or max, column, whether the row itself counts)."""
     x = df.withColumns({f"__in_{n}": (F.col(c) if isinstance(c, str) else c) for n, (_, c, _) in what.items()}).withColumn("__shard", shard)
+    x = settle(x)
     sums = x.groupBy(*keys, "__shard").agg(*(_AGG[f][0](f"__in_{n}").alias(f"__of_{n}") for n, (f, _, _) in what.items()))
     before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*keys, "__shard", *(_AGG[f][0](f"__of_{n}").over(before).alias(f"__from_{n}") for n, (f, _, _) in what.items()))
@@ -25,7 +29,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], shard: Column, wha
 
 def following(df: DataFrame, keys: list[str], order: str, shard: Column, name: str) -> DataFrame:
     """df with the next row's order value, across shards; null at a group's end."""
-    x = df.withColumn("__shard", shard)
+    x = settle(df.withColumn("__shard", shard))
     first = x.groupBy(*keys, "__shard").agg(F.min(order).alias("__first"))
     first = first.select(*keys, "__shard", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__shard")).alias("__next"))
     inner = Window.partitionBy(*keys, "__shard").orderBy(order)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import chunks as c
 from ..sources import views as v
 from ..streaming import live
@@ -13,11 +16,7 @@ from .signals import CONFIG
 
 def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read as a stream."""
-    import tempfile
-    import uuid
-
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 

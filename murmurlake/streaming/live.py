@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.lineage import shared_folder
 from ..operators.chunks import ChunkConfig
 
 BLOCKS = "rec long, start_frame long, samples array<double>"
@@ -129,12 +130,7 @@ def progress(events: DataFrame) -> DataFrame:
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, write its result to the shared folder and read that."""
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", path).start()
