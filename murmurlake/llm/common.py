@@ -28,8 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the hash of the text, which tells apart rows under one id."""
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
+    """doc_id, text and 32 bits of a hash of the text, which tell apart rows under one id."""
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash("text").alias("th"))
+
+
+def text_hash(text):
+    return F.xxhash64(F.col(text) if isinstance(text, str) else text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -179,6 +183,15 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def names_of(ids: np.ndarray, ths: np.ndarray) -> dict[str, bytes]:
+    """Texts' ids, as differences, and hashes."""
+    return {"ids": planes(np.diff(ids, prepend=0), 8), "ths": planes(ths, 4)}
+
+
+def named(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplanes(row["ids"], 8).astype(np.int64)), unplanes(row["ths"], 4).astype(np.int64)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket by the 24 highest bits."""
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -204,7 +217,7 @@ def pack(ids: np.ndarray, ths: np.ndarray, words, at: np.ndarray, bucket: np.nda
         own = words.owner[place]
         first = np.flatnonzero(np.diff(own, prepend=-1))  # places ascend, so owners do
         docs = own[first]
-        yield {"bucket": b, "ids": ids[docs].tobytes(), "ths": ths[docs].tobytes(), "starts": words.offsets[docs].astype(np.int64).tobytes(), "hashes": b"".join(planes(x[part], w) for x, w in stored), "gaps": planes(np.diff(place, prepend=0), 4)}
+        yield {"bucket": b, **names_of(ids[docs], ths[docs]), "starts": planes(np.diff(words.offsets[docs], prepend=0), 5), "hashes": b"".join(planes(x[part], w) for x, w in stored), "gaps": planes(np.diff(place, prepend=0), 4)}
 
 
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -219,15 +232,16 @@ def unpack(group: pa.Table, *widths: int) -> tuple[np.ndarray, ...]:
     hashes, place, owner, ids, ths, n = [[] for _ in widths], [], [], [], [], 0
     for r in group.to_pylist():
         at = np.cumsum(unplanes(r["gaps"], 4).astype(np.int64))
-        starts = np.frombuffer(r["starts"], np.int64)
+        starts = np.cumsum(unplanes(r["starts"], 5).astype(np.int64))
         own = np.searchsorted(starts, at, side="right") - 1
         ends = np.cumsum(widths) * len(at)
         for k, (w, end) in enumerate(zip(widths, ends.tolist(), strict=True)):
             hashes[k].append(unplanes(r["hashes"][end - w * len(at) : end], w))
         place.append(at - starts[own])
         owner.append(own + n)
-        ids.append(np.frombuffer(r["ids"], np.int64))
-        ths.append(np.frombuffer(r["ths"], np.int64))
+        id_, th = named(r)
+        ids.append(id_)
+        ths.append(th)
         n += len(starts)
     return tuple(map(np.concatenate, (*hashes, place, owner, ids, ths)))
 
@@ -245,7 +259,7 @@ def answers(chosen: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.nd
             gap = np.diff(place[k], prepend=0)
             gap[first] = place[k[first]]
             docs = owner[k[first]]
-            rows.append({"grp": g, "ids": ids[docs].tobytes(), "ths": ths[docs].tobytes(), "sizes": planes(np.diff(np.append(first, len(k))), 4), "gaps": planes(gap, 4)})
+            rows.append({"grp": g, **names_of(ids[docs], ths[docs]), "sizes": planes(np.diff(np.append(first, len(k))), 4), "gaps": planes(gap, 4)})
     return pa.Table.from_pylist(rows, schema=ANSWERS_ARROW)
 
 
@@ -259,8 +273,9 @@ def merged_answers(group: pa.Table) -> pa.Table:
     for r in group.to_pylist():
         n, gap = unplanes(r["sizes"], 4).astype(np.int64), unplanes(r["gaps"], 4).astype(np.int64)
         run, first = np.cumsum(gap), np.cumsum(n) - n
-        ids.append(np.frombuffer(r["ids"], np.int64))
-        ths.append(np.frombuffer(r["ths"], np.int64))
+        id_, th = named(r)
+        ids.append(id_)
+        ths.append(th)
         size.append(n)
         place.append(run - np.repeat(run[first] - gap[first], n))
     ids, ths, size, place = map(np.concatenate, (ids, ths, size, place))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, documents, factors, mix, space_words, table
+from .common import Words, chunks, cut, documents, factors, mix, space_words, table, text_hash
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """docs with recurring lines gone from text, and n_lines, n_dropped; all other columns as they are."""
     dropped = recurring_lines(documents(docs), min_texts).groupBy("doc_id", "th").agg(F.collect_set("line").alias("__drop")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop")
     known = docs.where("doc_id IS NOT NULL")
-    x = known.join(dropped, (known["doc_id"] == F.col("__id")) & (F.xxhash64(known["text"].cast("string")) == F.col("__th")), "left")
+    x = known.join(dropped, (known["doc_id"] == F.col("__id")) & (text_hash(known["text"].cast("string")) == F.col("__th")), "left")
     lines: Column = F.split(known["text"], "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i)), "\n")
     text = F.when(F.col("__drop").isNull(), known["text"]).otherwise(kept)
