@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, documents, table
+from .common import bounded_broadcast, cut, documents, table
 
 WINDOW = 10
 SLOP = 3
@@ -79,12 +79,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, n_near for each document."""
+    """doc_id, n_words, n_hit, n_items, items, n_near for each document.
+
+    The result is written before it is returned: a filter on it would else move below the matching and cut a document into
+    words again for each of its candidates.
+    """
     x = matches(docs, benchmark)
     # Starts ascend: what a match adds is what lies beyond the end of all before it.
     ends = F.aggregate("exact", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")), lambda a, m: F.struct(F.greatest(a["end"], m["start"] + m["n"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), m["start"] + m["n"] - F.greatest(a["end"], m["start"]))).alias("hit")))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("exact", lambda m: m["items"]))))
-    return x.select("doc_id", F.col("n_words").cast("long").alias("n_words"), ends["hit"].cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.size("near").cast("long").alias("n_near"))
+    return cut(x.select("doc_id", F.col("n_words").cast("long").alias("n_words"), ends["hit"].cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.size("near").cast("long").alias("n_near")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
