@@ -282,3 +282,56 @@ def test_pipeline(spark, sf, odd, tmp_path):
         strange = common.cut(f(spark, strange, sf))
         assert strange.count() >= 0 and (name == "mixing" or strange.columns == wide.columns)
     assert [n for n, _ in p.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
+
+
+def test_toxicity_keeps_every_ngram(spark):
+    """Held to a plain Kneser-Ney model of all n-grams, of which there are more than a task should hold."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = ["".join(rng.choice(letters, 8)) for _ in range(26_000)]
+    docs = [(i, " ".join(word[i * 20 : i * 20 + 20]), int(i % 3 == 0)) for i in range(1300)]
+    docs += [(1300 + i, d[1], None) for i, d in enumerate(docs[:60])]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["llr"] for r in toxicity.score(d.select("doc_id", "text"), d.select("doc_id", "toxic")).collect()}
+    n, share, less = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+    seen = [Counter(), Counter()]
+    for i, text, toxic in docs:
+        if toxic is not None and zlib.crc32(str(i).encode()) % 5 > 1:
+            for w in text.split():
+                w = f" {w} "
+                seen[1 - toxic].update(w[j - k : j + 1] for j in range(1, len(w)) for k in range(min(n, j + 1)))
+    assert len(seen[0] | seen[1]) > 300_000
+    before, hist, after = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    used = [Counter(), Counter()]
+    for c in (0, 1):
+        before[c].update(g[1:] for g in seen[c] if len(g) > 1)
+        for g in seen[0] | seen[1]:
+            used[c][g] = seen[c][g] if len(g) == n or g[0] == " " else before[c][g]
+            hist[c][g[:-1]] += used[c][g]
+            after[c][g[:-1]] += used[c][g] > 0
+    known = seen[0] | seen[1]
+
+    def passed(c):
+        t, u = [hist[0][c], hist[1][c], hist[0][c] + hist[1][c]], [after[0][c], after[1][c], max(after[0][c], after[1][c])]
+        return t, [min(1.0, less * b / a) if a else 1.0 for a, b in zip(t, u, strict=True)]
+
+    def llr(w):
+        total, w = 0.0, f" {w} "
+        for j in range(1, len(w)):
+            p, ratio = [1 / 256] * 3, 0.0
+            for k in range(min(n, j + 1)):
+                g = w[j - k : j + 1]
+                t, on = passed(g[:-1])
+                if g in known:
+                    low = [*((1 - share) * x + share * p[2] for x in p[:2]), p[2]]
+                    u = [used[0][g], used[1][g], used[0][g] + used[1][g]]
+                    p = [max(u[c] - less, 0) / t[c] + on[c] * low[c] if t[c] else low[c] for c in range(3)]
+                    ratio = math.log(p[0] / p[1])
+                else:
+                    ratio += math.log(on[0] / on[1])
+            total += ratio
+        return total
+
+    for i in [*range(40), *range(1300, 1320)]:
+        want = [llr(w) for w in docs[i % 1300][1].split()]
+        assert math.isclose(got[i], sum(want) / len(want), abs_tol=1e-4), i
