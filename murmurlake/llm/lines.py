@@ -1,14 +1,15 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line's leaf in the tree is its number of words and its first DEPTH words, with words that hold a digit as variable
-fields. A leaf's most frequent line (with digits generalised) is its template; lines of the leaf that agree with it in at
-least SIMILAR of their words belong to it, whatever fields differ, and others are templates of their own. A template that
+fields. A leaf holds several templates: its most frequent line (with digits generalised) is the first, and takes the lines
+that agree with it in at least SIMILAR of the words after the leading ones, whatever fields differ; the most frequent line
+that is left is the next, until none is left. A template that
 occurs in at least `min_texts` different texts is recurring: its lines stay in the document with the smallest doc_id among
 those that have it and are dropped everywhere else. Copies of a document count as one text, so copying a document does
 not make its lines boilerplate.
 
-Leaves, lines and templates are counted with sums made before each shuffle; leaves that are too rare to recur drop out at
-once, so that little but recurring lines is ever joined.
+Leaves, lines and templates are counted with sums made before each shuffle; leaves that stand in fewer rows than a template
+needs drop out at once. Templates are found on different lines, in buckets of leaves.
 
 Defined results: null text stays null and has no lines; lines of fewer than MIN_WORDS words are never dropped; a text
 whose lines all go is empty, and its document stays; repeated rows are treated alike.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, documents, factors, mix, space_words, table, text_hash
+from .common import Words, buckets_for, chunks, cut, documents, factors, mix, space_words, table, text_bytes, text_hash
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -65,15 +66,26 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The template of each different line: the leaf's if it agrees with that, else its own."""
-    for b in batches:
-        n = b.num_rows
-        alike = np.fromiter((sum(x == y for x, y in zip(s, t, strict=True)) >= SIMILAR * len(t) for s, t in zip(b.column("sign").to_pylist(), b.column("common").to_pylist(), strict=True)), bool, n)
-        leaf, whole = b.column("leaf").to_numpy().astype(np.uint64), b.column("whole").to_numpy().astype(np.uint64)
-        with np.errstate(over="ignore"):
-            own = mix(leaf + mix(whole))
-        yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("whole"), pa.array(np.where(alike, mix(leaf), own).astype(np.int64))], names=["leaf", "whole", "template"])
+def templates(group: pa.Table) -> pa.Table:
+    """The template of each different line of a bucket of leaves."""
+    leaf, whole, n = (group[c].to_numpy() for c in ("leaf", "whole", "n"))
+    sign = group["sign"].to_pylist()
+    size = np.fromiter(map(len, sign), np.int64, len(sign))
+    order = np.lexsort((-whole, -n, size, leaf))
+    leaf, whole, size, sign = leaf[order], whole[order], size[order], [sign[i] for i in order.tolist()]
+    of = np.arange(len(order))
+    first = np.flatnonzero((np.diff(leaf, prepend=leaf[0] - 1) != 0) | (np.diff(size, prepend=-1) != 0))
+    ends = np.append(first[1:], len(order))
+    for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
+        rest = np.frombuffer(b"".join(sign[a:b]), np.uint8).reshape(b - a, -1)[:, DEPTH:]
+        left = np.arange(b - a)
+        while len(left):
+            alike = (rest == rest[0]).sum(axis=1) >= SIMILAR * rest.shape[1]
+            of[a + left[alike]] = a + left[0]
+            left, rest = left[~alike], rest[~alike]
+    with np.errstate(over="ignore"):
+        template = mix(leaf.astype(np.uint64) + mix(whole.astype(np.uint64)[of])).astype(np.int64)
+    return pa.table({"leaf": pa.array(leaf), "whole": pa.array(whole), "template": pa.array(template)})
 
 
 def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -82,8 +94,8 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     often = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf")
     lines = lines.join(often, "leaf", "left_semi")
     different = lines.groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"))
-    common = different.groupBy("leaf").agg(F.max_by("sign", F.struct("n", "whole")).alias("common"))
-    template = different.join(common, "leaf").select("leaf", "whole", "sign", "common").mapInArrow(agreeing, "leaf long, whole long, template long")
+    buckets = buckets_for(text_bytes(docs))
+    template = different.groupBy(F.pmod(F.col("leaf"), F.lit(buckets)).alias("bucket")).applyInArrow(templates, "leaf long, whole long, template long")
     placed = lines.select("doc_id", "th", "line", "leaf", "whole").join(template, ["leaf", "whole"]).select("doc_id", "th", "line", "template")
     texts = placed.groupBy("template", "th").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc")).where(F.col("texts") >= min_texts)
     return placed.join(texts, "template").where("doc_id <> first_doc").select("doc_id", "th", "line", "template")

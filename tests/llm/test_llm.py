@@ -335,3 +335,12 @@ def test_toxicity_keeps_every_ngram(spark):
     for i in [*range(40), *range(1300, 1320)]:
         want = [llr(w) for w in docs[i % 1300][1].split()]
         assert math.isclose(got[i], sum(want) / len(want), abs_tol=1e-4), i
+
+
+def test_line_families_of_one_leaf(spark):
+    """A banner and a family with a name field share a leaf; lines of four words that differ in the last share no template."""
+    names = ["anna", "boris", "carla", "dmitri", "elena", "farid", "gesa", "hugo"]
+    docs = [(i, f"All content on this page is provided as is\nAll content on sale today by {n} for members") for i, n in enumerate(names)]
+    docs += [(100 + i, f"We went to {n}") for i, n in enumerate(names)]
+    got = {r["doc_id"]: r["__n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 2 * (i > 0) for i in range(8)} | {100 + i: 0 for i in range(8)}
