@@ -28,7 +28,7 @@ from .common import Words, buckets_for, chunks, cut, documents, factors, mix, sp
 
 DEPTH = 3
 SIMILAR = 0.7
-MIN_TEXTS = 6
+MIN_TEXTS = 2
 MIN_WORDS = 3
 SEED = 3
 _FIELD = np.uint64(0xA5A5A5A5A5A5A5A5)

@@ -337,6 +337,12 @@ def test_toxicity_keeps_every_ngram(spark):
         assert math.isclose(got[i], sum(want) / len(want), abs_tol=1e-4), i
 
 
+def test_lines_of_two_texts_recur(spark):
+    line = " ".join(f"passage{chr(97 + j)}" for j in range(20))
+    d = spark.createDataFrame([(i, f"{line if i in (2, 5) else 'nothing to see'.replace('see', 'x' * i)}\nown {i}") for i in range(1, 7)], "doc_id long, text string")
+    assert {r["doc_id"]: r["__n_dropped"] for r in lines.dedup_lines(d).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0}
+
+
 def test_line_families_of_one_leaf(spark):
     """A banner and a family with a name field share a leaf; lines of four words that differ in the last share no template."""
     names = ["anna", "boris", "carla", "dmitri", "elena", "farid", "gesa", "hugo"]
