@@ -6,14 +6,13 @@ forward pass over the word's lattice gives. A text's log-likelihood is the sum o
 
 Piece probabilities come from one expectation step: with all pieces alike, forward and backward passes give the expected
 number of times each piece is used in the labelled texts of each language. These counts are summed by Spark over all
-labelled texts; their number is bounded by languages times pieces of the vocabulary.
+labelled texts; their number is bounded by MOST_LANGUAGES times pieces of the vocabulary.
 
 A word is a run of ASCII letters, in lower case, and bytes outside ASCII; it starts with a space, as the vocabulary's
-pieces do. Words of over `SEGMENT` bytes are scored as consecutive segments of that length. Equal words of a chunk are
-worked out once.
+pieces do. Words of any length are scored whole; equal words of a chunk are worked out once.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is every text when nothing is labelled;
-ties go to the first language by name; repeated rows each get the same result.
+ties go to the first language by name; repeated rows each get the same result. No text or word is cut, however long.
 """
 
 from __future__ import annotations
@@ -30,24 +29,20 @@ from pyspark.sql import types as T
 from .common import Words, chunks, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-SEGMENT = 31
-LONGEST = 12
+#: Words of so many bytes at most are worked out side by side, longer ones one by one in logarithms.
+SHORT = 31
 PRIOR = 0.01
 #: So many words' evidence at most makes the score: longer texts aren't surer than that.
 EVIDENCE = 20.0
+#: So many languages at most are learnt; their piece probabilities are one matrix in each task.
+MOST_LANGUAGES = 1000
 SEED = 5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def letter_words(text: bytes) -> list[bytes]:
-    out = []
-    for w in text.translate(_LETTERS).split():
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-    return out
+    return text.translate(_LETTERS).split()
 
 
 def has_letter(text: bytes) -> bool:
@@ -55,10 +50,17 @@ def has_letter(text: bytes) -> bool:
 
 
 def read_pieces(path: str = VOCABULARY) -> list[bytes]:
-    """The pieces that can be part of a word; all single bytes are among them."""
-    found = [base64.b64decode(line.split()[0]) for line in open(path, "rb") if line.strip()]
+    """The pieces that can be part of a word, whatever their length; all single bytes are among them."""
+    try:
+        lines = open(path, "rb").read().splitlines()
+    except OSError as why:
+        raise FileNotFoundError(f"language identification needs a vocabulary of byte pieces, one in base64 a line, at {path}") from why
     fit = set(range(128, 256)) | set(range(97, 123))
-    return [p for p in found if len(p) <= LONGEST and (p[:1] == b" " or p[0] in fit) and fit.issuperset(p[1:])]
+    found = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
+    pieces = [p for p in found if (p[:1] == b" " or p[0] in fit) and fit.issuperset(p[1:])]
+    if missing := {bytes([c]) for c in fit | {32}} - set(pieces):
+        raise ValueError(f"{len(missing)} single bytes are no pieces of {path}")
+    return pieces
 
 
 class Lattice:
@@ -86,6 +88,8 @@ class Lattice:
         self.piece = np.full(len(nodes), -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
         self.n = len(pieces)
+        self.length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.longest = int(self.length.max())
 
     def edges(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each start: (end, which words, which piece)."""
@@ -94,7 +98,7 @@ class Lattice:
         out = []
         for s in range(n):
             rows, node, here = np.arange(len(words)), np.zeros(len(words), np.int64), []
-            for e in range(s, min(n, s + LONGEST)):
+            for e in range(s, min(n, s + self.longest)):
                 node = self.step[node * self.width + coded[rows, e]]
                 alive = node > 0
                 rows, node = rows[alive], node[alive].astype(np.int64)
@@ -106,19 +110,49 @@ class Lattice:
             out.append(here)
         return out
 
+    def chain(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in one word: start, end, piece, in the order of their starts."""
+        coded, at, node, found = self.symbol[word], np.arange(len(word)), np.zeros(len(word), np.int64), []
+        for k in range(min(self.longest, len(word))):
+            inside = at + k < len(word)
+            at, node = at[inside], node[inside]
+            node = self.step[node * self.width + coded[at + k]].astype(np.int64)
+            alive = node > 0
+            at, node = at[alive], node[alive]
+            piece = self.piece[node]
+            whole = piece >= 0
+            found.append((at[whole], at[whole] + k + 1, piece[whole]))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((end, start))
+        return start[order], end[order], piece[order]
+
     def forward(self, words: np.ndarray, theta: np.ndarray) -> np.ndarray:
         """Log-probability of each word (rows) under each column of theta."""
         n = words.shape[1]
+        if n > SHORT + 1:
+            logs = np.log(theta)
+            return np.stack([along(*self.chain(w), n, logs)[-1] for w in words])
+        # A factor for each byte of a piece is the same for all segmentations of a word, and keeps them within a double.
+        scaled = theta * np.exp2(16.0 * self.length)[:, None]
         alpha = np.zeros((n + 1, len(words), theta.shape[1]))
         alpha[0] = 1
         for s, here in enumerate(self.edges(words)):
             for e, rows, piece in here:
-                alpha[e][rows] += alpha[s][rows] * theta[piece]
-        return np.log(np.maximum(alpha[n], 1e-300))
+                alpha[e][rows] += alpha[s][rows] * scaled[piece]
+        return np.log(np.maximum(alpha[n], 1e-300)) - n * 16.0 * np.log(2.0)
 
     def expected(self, words: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """How often each piece is expected to be used, with all pieces alike; weight: how often each word occurs."""
         n, flat = words.shape[1], 1.0 / 64
+        if n > SHORT + 1:
+            out = np.zeros(self.n)
+            for w, times in zip(words, weight.tolist(), strict=True):
+                start, end, piece = self.chain(w)
+                alike = np.full((self.n, 1), np.log(flat))
+                before = along(start, end, piece, n, alike)[:, 0]
+                after = along(n - end[::-1], n - start[::-1], piece[::-1], n, alike)[::-1, 0]
+                out += times * np.bincount(piece, np.exp(before[start] + np.log(flat) + after[end] - before[n]), self.n)
+            return out
         found = self.edges(words)
         alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
         alpha[0] = beta[n] = 1
@@ -135,6 +169,19 @@ class Lattice:
         return out
 
 
+def along(start: np.ndarray, end: np.ndarray, piece: np.ndarray, n: int, logs: np.ndarray) -> np.ndarray:
+    """At each place of a word of n bytes, the logarithm of the sum over all ways from its beginning to there."""
+    order = np.lexsort((start, end))
+    start, piece, bound = start[order], piece[order], np.searchsorted(end[order], np.arange(n + 2)).tolist()
+    out = np.zeros((n + 1, logs.shape[1]))
+    for e in range(1, n + 1):
+        a, b = bound[e], bound[e + 1]
+        x = out[start[a:b]] + logs[piece[a:b]]
+        top = x.max(axis=0)
+        out[e] = top + np.log(np.exp(x - top).sum(axis=0))
+    return out
+
+
 _KNOWN: dict[int, Lattice] = {}
 
 
@@ -178,6 +225,8 @@ def learn(docs: DataFrame, pieces) -> tuple[list[str], np.ndarray]:
 
     found = docs.select("text", "lang").mapInArrow(count, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
     langs = sorted(found["lang"].unique())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} at most are told apart")
     uses = np.full((len(pieces.value), len(langs)), PRIOR)
     found = found[found["piece"] >= 0]
     np.add.at(uses, (found["piece"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)), found["uses"].to_numpy())
@@ -200,7 +249,7 @@ def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str
             if words.total and langs:
                 _, first, of = np.unique(words.hashes(SEED), return_index=True, return_inverse=True)
                 each = np.zeros((len(first), len(langs)))
-                for part, letters in by_length(words, first):
+                for part, letters in by_length(words, first, max(200, 100_000 // len(langs))):
                     each[part] = known.forward(letters, theta)
                 for k in range(len(langs)):
                     total[:, k] = np.bincount(words.owner, each[of, k], len(texts))
