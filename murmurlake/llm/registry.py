@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_substring_dedup": substrings.SQL,
+    "op4_license_scan": licenses.SQL,
+    "op6_suffix_dedup": suffixes.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_minhash_near_dedup": minhash.SQL,
     "op9_mix_sources": mixing.SQL,
