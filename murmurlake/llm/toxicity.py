@@ -4,7 +4,8 @@ Two models of words as byte sequences, of texts labelled toxic and of texts labe
 difference of the log-likelihoods they give a word. Each is an interpolated Kneser-Ney model of up to ORDER bytes, a word's
 leading and closing space included: counts are discounted, and what that frees goes to the next shorter context, whose
 counts say how many different bytes precede. Shorter contexts mix the class's own estimate with that of both classes
-together (SHARED), so that rare expressions rest on shared backoff counts.
+together (SHARED), so that rare expressions rest on shared backoff counts, whether the n-gram itself was seen or not: after
+any context the probabilities of all bytes sum to 1 in each model.
 
 The corpus is spelt once: of each chunk of texts the distinct words are written, by bucket of their hash, and its texts as
 numbers of these words. Distinct words of a bucket are one, with their counts in either class; n-grams are summed from
@@ -14,13 +15,13 @@ back to the chunks that hold them. Neither the driver nor a task ever holds the
 
 Training rows have crc32(doc_id) mod 5 in 1..4. At most CALIBRATE labelled ids of those with 1, a documented bound, are not
 counted: on them a logistic curve turns differences into a score. All other training rows are counted.
-Features, from the differences of a text's words: their mean
-(length-normalised), the same times the square root of the length, the mean of the TOP most toxic, and how many are over
-STRONG.
+Features, from the differences of a text's words: their mean (the length-normalised log-likelihood ratio), and three that
+keep a short toxic passage of a long text from being averaged away: the mean times the square root of the length, the mean
+of the TOP most toxic words, and how many are over STRONG.
 
 Defined results: null and empty texts have no words and get the curve's value for no evidence; a doc_id that is labelled
 more than once takes the largest label; rows with a null label are not learnt from; without labelled rows of both classes
-every score is 0; repeated rows each get the same score.
+every score is 0; repeated rows each get the same score; long texts are whole: their words count as often as they occur.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ DISTINCT = "bucket int, chunk long, first int, words binary, toxic binary, plain
 DISTINCT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("first", pa.int32()), *((k, pa.binary()) for k in ("words", "toxic", "plain", "at"))])
 ASKED = "grams int, bucket int, keys binary"
 ASKED_ARROW = pa.schema([("grams", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
-NUMBERS = ["ut", "up", "ht", "hp", "dt", "dp"]
+NUMBERS = ["ut", "up", "ht", "hp", "dt", "dp", "du"]
 TOLD_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), *((k, pa.binary()) for k in NUMBERS)])
 TOLD = "bucket int, keys binary, " + ", ".join(f"{k} binary" for k in NUMBERS)
 VALUED = "bucket int, value binary"
@@ -117,7 +118,7 @@ def summed(group: pa.Table) -> pa.Table:
 
 def small(data: bytes) -> bytes:
     """What is written once and shuffled once costs the disk less than a shuffle's own codec would leave."""
-    return zlib.compress(data, 1)
+    return zlib.compress(data, 6)
 
 
 def small_planes(x: np.ndarray) -> bytes:
@@ -213,42 +214,36 @@ def told_counts(asking: pa.Table, model: pa.Table) -> pa.Table:
 class Model:
     """Numbers of n-grams, and the differences they give to words all whose n-grams have been looked up."""
 
-    def __init__(self, gram: np.ndarray, used: np.ndarray, history: np.ndarray):
-        """used: (n-grams x 2) effective counts; history: (n-grams x 2 x 2) uses and different bytes after, of each as a context."""
+    def __init__(self, gram: np.ndarray, used: np.ndarray, uses: np.ndarray, different: np.ndarray):
+        """used: (n-grams x 2) effective counts; of each as a context, uses (x 2) and different bytes after (x 3: toxic, ordinary, both together)."""
         order = np.argsort(gram)
-        self.gram, used, history = gram[order], used[order], history[order]
         # The empty context's row is key 1, of order 0.
-        self.used = np.concatenate([used, used.sum(axis=1, keepdims=True)], axis=1)
-        self.total = np.concatenate([history[:, :, 0], history[:, :, 0].sum(axis=1, keepdims=True)], axis=1)
-        different = np.concatenate([history[:, :, 1], history[:, :, 1].max(axis=1, keepdims=True)], axis=1)
+        self.gram = gram[order]
+        self.used, self.total = (np.concatenate([x[order], x[order].sum(axis=1, keepdims=True)], axis=1) for x in (used, uses))
         self.some = self.total > 0
-        self.pass_on = np.ones((len(self.gram), 3))
-        self.pass_on[self.some] = np.minimum(1.0, DISCOUNT * different[self.some] / self.total[self.some])
-        passed = self.pass_on[:, :2]
-        self.passed = np.log(passed[:, 0] / passed[:, 1])
+        self.pass_on = np.where(self.some, DISCOUNT * different[order] / np.maximum(self.total, 1), 1.0)
 
     def find(self, gram: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
         return np.where(self.gram[at] == gram, at, -1)
 
+    def probabilities(self, s: Spelt) -> np.ndarray:
+        """Of each byte after those before it in its word: toxic, ordinary, shared. An n-gram that isn't there leaves what its context passes on."""
+        p = np.full((len(s.bytes), 3), 1 / 256)
+        for n in range(1, ORDER + 1) if len(self.gram) else ():
+            at, key = s.grams(n)
+            row, context = self.find(key), self.find(key >> np.uint64(8))
+            known = (context >= 0)[:, None] & self.some[context]
+            low = p[at]
+            low[:, :2] = (1 - SHARED) * low[:, :2] + SHARED * low[:, 2:]
+            own = np.where((row >= 0)[:, None], np.maximum(self.used[row] - DISCOUNT, 0), 0) / np.maximum(self.total[context], 1)
+            p[at] = np.where(known, own + self.pass_on[context] * low, low)
+        return p
+
     def differences(self, s: Spelt) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each distinct word."""
-        out = np.zeros(len(s.bytes))
-        if len(self.gram):
-            # An n-gram that is known has a known suffix, so its probabilities follow from those one order below.
-            p = np.full((len(s.bytes), 3), 1 / 256)
-            for n in range(1, ORDER + 1):
-                at, key = s.grams(n)
-                row, context = self.find(key), self.find(key >> np.uint64(8))
-                hit, c = row >= 0, np.maximum(context, 0)
-                out[at[~hit]] += np.where(context >= 0, self.passed[c], 0)[~hit]
-                at, row, c, known = at[hit], row[hit], c[hit], (context[hit] >= 0)[:, None] & self.some[c[hit]]
-                low = p[at]
-                low[:, :2] = (1 - SHARED) * low[:, :2] + SHARED * low[:, 2:]
-                own = np.maximum(self.used[row] - DISCOUNT, 0) / np.maximum(self.total[c], 1)
-                p[at] = np.where(known, own + self.pass_on[c] * low, low)
-                out[at] = np.log(p[at, 0] / p[at, 1])
-        return np.add.reduceat(out, s.begin)
+        p = self.probabilities(s)
+        return np.add.reduceat(np.log(p[:, 0] / p[:, 1]), s.begin)
 
 
 def valued(words: pa.Table, told: pa.Table) -> pa.Table:
@@ -258,8 +253,8 @@ def valued(words: pa.Table, told: pa.Table) -> pa.Table:
         return pa.table({"bucket": pa.array([], pa.int32()), "value": pa.array([], pa.binary())})
     numbers = told.to_pylist()
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(small_read(r["keys"])) for r in numbers)])
-    ut, up, ht, hp, dt, dp = (np.concatenate([np.zeros(0), *(small_read(r[c]).astype(float) for r in numbers)]) for c in NUMBERS)
-    model = Model(keys, np.stack([ut, up], axis=1), np.stack([np.stack([ht, hp], axis=1), np.stack([dt, dp], axis=1)], axis=2))
+    ut, up, ht, hp, dt, dp, du = (np.concatenate([np.zeros(0), *(small_read(r[c]).astype(float) for r in numbers)]) for c in NUMBERS)
+    model = Model(keys, np.stack([ut, up], axis=1), np.stack([ht, hp], axis=1), np.stack([dt, dp, du], axis=1))
     d = model.differences(Spelt(Words([words_in(rows[0]["words"])])))
     return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "value": pa.array([d.astype("<f4").tobytes()], pa.binary())})
 
@@ -322,7 +317,7 @@ def counts_of(words: DataFrame, buckets: int) -> DataFrame:
     before = grams.where("n > 1").groupBy(shorter.alias("gram")).agg(F.count_if(F.col("toxic") > 0).alias("ct"), F.count_if(F.col("plain") > 0).alias("cp"))
     whole = (F.col("n") == ORDER) | (first == 32)
     used = grams.join(before, "gram", "left").select("gram", *(F.when(whole, F.col(a)).otherwise(F.coalesce(b, F.lit(0))).cast("long").alias(c) for a, b, c in (("toxic", "ct", "ut"), ("plain", "cp", "up"))))
-    after = used.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.sum("ut").alias("ht"), F.sum("up").alias("hp"), F.count_if(F.col("ut") > 0).alias("dt"), F.count_if(F.col("up") > 0).alias("dp"))
+    after = used.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.sum("ut").alias("ht"), F.sum("up").alias("hp"), F.count_if(F.col("ut") > 0).alias("dt"), F.count_if(F.col("up") > 0).alias("dp"), F.count_if(F.col("ut") + F.col("up") > 0).alias("du"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

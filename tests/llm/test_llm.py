@@ -309,29 +309,30 @@ def test_toxicity_keeps_every_ngram(spark):
             used[c][g] = seen[c][g] if len(g) == n or g[0] == " " else before[c][g]
             hist[c][g[:-1]] += used[c][g]
             after[c][g[:-1]] += used[c][g] > 0
-    known = seen[0] | seen[1]
+    both = Counter(g[:-1] for g in seen[0] | seen[1] if used[0][g] + used[1][g] > 0)
 
-    def passed(c):
-        t, u = [hist[0][c], hist[1][c], hist[0][c] + hist[1][c]], [after[0][c], after[1][c], max(after[0][c], after[1][c])]
-        return t, [min(1.0, less * b / a) if a else 1.0 for a, b in zip(t, u, strict=True)]
+    def after_context(c):
+        t = [hist[0][c], hist[1][c], hist[0][c] + hist[1][c]]
+        return t, [less * u / a if a else 1.0 for a, u in zip(t, [after[0][c], after[1][c], both[c]], strict=True)]
 
-    def llr(w):
-        total, w = 0.0, f" {w} "
+    def spelling(w):
+        """Each byte's probabilities after those before it."""
         for j in range(1, len(w)):
-            p, ratio = [1 / 256] * 3, 0.0
+            p = [1 / 256] * 3
             for k in range(min(n, j + 1)):
                 g = w[j - k : j + 1]
-                t, on = passed(g[:-1])
-                if g in known:
-                    low = [*((1 - share) * x + share * p[2] for x in p[:2]), p[2]]
-                    u = [used[0][g], used[1][g], used[0][g] + used[1][g]]
-                    p = [max(u[c] - less, 0) / t[c] + on[c] * low[c] if t[c] else low[c] for c in range(3)]
-                    ratio = math.log(p[0] / p[1])
-                else:
-                    ratio += math.log(on[0] / on[1])
-            total += ratio
-        return total
+                t, on = after_context(g[:-1])
+                low = [*((1 - share) * x + share * p[2] for x in p[:2]), p[2]]
+                u = [used[0][g], used[1][g], used[0][g] + used[1][g]]
+                p = [max(u[c] - less, 0) / t[c] + on[c] * low[c] if t[c] else low[c] for c in range(3)]
+            yield p
+
+    def llr(w):
+        return sum(math.log(p[0] / p[1]) for p in spelling(f" {w} "))
 
+    for w in (word[0][:3], "qqq", ""):
+        sums = np.sum([list(spelling(f" {w}" + chr(c)))[-1] for c in range(256)], axis=0)
+        assert np.allclose(sums, 1, atol=1e-9), (w, sums)
     for i in [*range(40), *range(1300, 1320)]:
         want = [llr(w) for w in docs[i % 1300][1].split()]
         assert math.isclose(got[i], sum(want) / len(want), abs_tol=1e-4), i
