@@ -16,7 +16,7 @@ def _flat(signals):
 
 
 def _half(s, d):
-    return g.scale(v.blocks(s, d).where("rec % 2 = 0 OR block_idx < 2"), 0.5)
+    return g.scale(v.blocks(s, d), 0.5)
 
 
 def _totals(s, d):
@@ -45,6 +45,8 @@ QUERIES = {
     "chunk_plan_discard": lambda s, d: c.chunk_plan(_totals(s, d), CONFIG, True).drop("total"),
     "make_chunks": lambda s, d: c.make_chunks(v.blocks(s, d), CONFIG).select("rec", "chunk_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("samples").alias("n")),
     **{f"stitch_{b}": (lambda s, d, b=b: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, b))) for b in ("none", "discard", "triangular", "hann")},
+    "stitch_discard_tail": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG, True), CONFIG, "discard")),
+    "stitch_hann_plain": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, "hann", False)),
     "stitch_blend": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG).withColumn("samples", F.transform("samples", lambda x: x * 0 + F.col("chunk_idx"))), CONFIG, "triangular")),
     "resample_linear": lambda s, d: g.resample(v.blocks(s, d), 10, 20, "fast", 32).select("rec", F.posexplode("samples").alias("i", "x"), "start_frame").select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 6).alias("x")),
     "best_lag": lambda s, d: g.best_lag(v.blocks(s, d), g.shifted(v.blocks(s, d), 3), 8, 64),
@@ -56,20 +58,23 @@ _F = v.using("frames")
 _BLOCK = "b AS (SELECT *, frame // 16 AS k FROM frames)"
 _PLAN = "tot AS (SELECT rec, count(*) AS total FROM frames GROUP BY rec), plan AS (SELECT rec, total, unnest(CASE WHEN total <= 20 THEN [0] ELSE range(0, total, 15) END) AS start_frame FROM tot)"
 _SAME = f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames"
+#: Under the usual plan only a single chunk leaves its tail silent; under the other one, the last chunk does.
+DISCARD = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN n <= 20 AND frame >= 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
+DISCARD_TAIL = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN frame >= CASE WHEN n <= 20 THEN 0 ELSE (n - 5) // 15 * 15 END + 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
 SQL = {
     "signal_levels": f"{_F} SELECT rec, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak, round(avg(x), 6) AS dc, count(*)::DOUBLE AS dur FROM frames GROUP BY rec",
     "slice_signal": f"{_F}, r AS (SELECT rec, CAST(trunc((max(frame) / 10 - 1.3::DOUBLE) * 10) AS BIGINT) AS hi FROM frames GROUP BY rec) SELECT rec, frame - 7 AS frame, round(x, 6) AS x FROM frames JOIN r USING (rec) WHERE frame >= 7 AND frame < hi",
     "replace_range": f"""{_F}, n AS (SELECT rec, count(*) AS n, least(16, count(*)) AS m, least(5, count(*)) AS lo, least(21, count(*)) AS hi, rec % 3 = 0 AND count(*) > 5 AS put FROM frames GROUP BY rec)
 SELECT rec, CASE WHEN NOT put OR frame < lo THEN frame ELSE frame - hi + lo + m END AS frame, round(x, 6) AS x FROM frames JOIN n USING (rec) WHERE NOT put OR frame < lo OR frame >= hi
 UNION ALL SELECT rec, frame + lo, round(-x, 6) FROM frames JOIN n USING (rec) WHERE put AND frame < 16""",
-    "subtract_signals": f"{_F} SELECT rec, frame, round(x - 0.5::DOUBLE * x, 6) AS x FROM frames WHERE rec % 2 = 0 OR frame < 32",
-    "mix_signals": f"""{_F}, a AS (SELECT rec, frame + 7 AS frame, x FROM frames UNION ALL SELECT rec, frame, 0.5::DOUBLE * x FROM frames WHERE rec % 2 = 0 OR frame < 32)
+    "subtract_signals": f"{_F} SELECT rec, frame, round(x - 0.5::DOUBLE * x, 6) AS x FROM frames",
+    "mix_signals": f"""{_F}, a AS (SELECT rec, frame + 7 AS frame, x FROM frames UNION ALL SELECT rec, frame, 0.5::DOUBLE * x FROM frames)
 SELECT rec, frame, round(sum(x), 6) AS x FROM a GROUP BY rec, frame""",
-    "append_signals": f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, round(x, 6) AS x FROM frames UNION ALL SELECT rec, frame + n, round(0.5::DOUBLE * x, 6) FROM frames JOIN n USING (rec) WHERE rec % 2 = 0 OR frame < 32",
+    "append_signals": f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, round(x, 6) AS x FROM frames UNION ALL SELECT rec, frame + n, round(0.5::DOUBLE * x, 6) FROM frames JOIN n USING (rec)",
     "pcm16": f"{_F}, {_BLOCK}, p AS (SELECT rec, k, CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x * 3)) * 32767) AS INTEGER) AS v FROM b) SELECT rec, k AS block_idx, max(v) AS top, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY ALL",
     "normalize_peak": f"{_F} SELECT rec, round(sqrt(avg(x * x)) * pow(10, -0.15) / max(abs(x)), 6) AS rms, round(pow(10, -0.15), 6) AS peak FROM frames GROUP BY rec",
     "normalize_rms": f"{_F}, l AS (SELECT rec, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak FROM frames GROUP BY rec), g AS (SELECT *, least(pow(10, -0.3) / rms, 0.99::DOUBLE / peak) AS gain FROM l) SELECT rec, round(rms * gain, 6) AS rms, round(peak * gain, 6) AS peak FROM g",
-    "snr": f"{_F} SELECT rec, round(10 * log10(sum(x * x) / sum((x - 0.5::DOUBLE * x) * (x - 0.5::DOUBLE * x))), 6) AS db FROM frames WHERE rec % 2 = 0 OR frame < 32 GROUP BY rec",
+    "snr": f"{_F} SELECT rec, round(10 * log10(sum(x * x) / sum((x - 0.5::DOUBLE * x) * (x - 0.5::DOUBLE * x))), 6) AS db FROM frames GROUP BY rec",
     "signal_correlation": f"{_F}, {_BLOCK}, y AS (SELECT a.rec, a.x, (SELECT 1) AS o, a.frame, a.k, max(a.frame) OVER (PARTITION BY rec, k) + min(a.frame) OVER (PARTITION BY rec, k) - a.frame AS m FROM b a) SELECT y.rec, round(sum(y.x * f.x) / sqrt(sum(y.x * y.x) * sum(f.x * f.x)), 6) AS value FROM y JOIN frames f ON y.rec = f.rec AND y.m = f.frame GROUP BY y.rec",
     "tone_energy": f"{_F} SELECT rec, round(2 * sqrt(pow(sum(x * cos(frame * 2 * pi() * 3 / 40)), 2) + pow(sum(x * sin(frame * 2 * pi() * 3 / 40)), 2)) / count(*), 6) AS energy FROM frames GROUP BY rec",
     "mono": f"{_F} SELECT rec, frame, round((x + 3 * x) / 2, 6) AS x FROM frames",
@@ -80,7 +85,10 @@ SELECT rec, CASE WHEN bad > 0 THEN 'non-finite' ELSE array_to_string(list_filter
     "chunk_plan": f"{_F}, {_PLAN} SELECT rec, CAST(start_frame // 15 AS INTEGER) AS chunk_idx, start_frame, least(20, total) AS n_frames, start_frame = 0 AS is_first, start_frame = max(start_frame) OVER (PARTITION BY rec) AS is_last FROM plan",
     "chunk_plan_discard": f"{_F}, {_PLAN.replace('range(0, total, 15)', 'range(0, greatest(0, total - 5) + 1, 15)')} SELECT rec, CAST(start_frame // 15 AS INTEGER) AS chunk_idx, start_frame, least(20, total) AS n_frames, start_frame = 0 AS is_first, start_frame = max(start_frame) OVER (PARTITION BY rec) AS is_last FROM plan",
     "make_chunks": f"{_F}, {_PLAN} SELECT p.rec, CAST(start_frame // 15 AS BIGINT) AS chunk_idx, round(sum(x), 6) AS total, CAST(least(20, max(total)) AS INTEGER) AS n FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20 GROUP BY p.rec, start_frame",
-    **{f"stitch_{b}": _SAME for b in ("none", "discard", "triangular", "hann")},
+    **{f"stitch_{b}": _SAME for b in ("none", "triangular", "hann")},
+    "stitch_discard": DISCARD,
+    "stitch_discard_tail": DISCARD_TAIL,
+    "stitch_hann_plain": _SAME.replace("round(x, 6) AS x FROM frames", "CASE WHEN total > 1 AND (frame = 0 OR frame = total - 1 AND total <= 20) THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN (SELECT rec, count(*) AS total FROM frames GROUP BY rec) USING (rec)"),
     "stitch_blend": f"""{_F}, {_PLAN}, w AS (SELECT p.rec, frame, start_frame // 15 AS c, CASE WHEN frame - start_frame < least(20, total) // 2 THEN (frame - start_frame + 1) / greatest(least(20, total) // 2, 1)::DOUBLE ELSE (least(20, total) - (frame - start_frame)) / greatest(least(20, total) // 2, 1)::DOUBLE END AS w
   FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20) SELECT rec, frame, round(sum(w * c) / sum(w), 6) AS x FROM w GROUP BY rec, frame""",
     "resample_linear": f"{_F} SELECT rec, 2 * frame AS frame, round(x, 6) AS x FROM frames UNION ALL SELECT rec, 2 * frame + 1, round((x + coalesce(lead(x) OVER (PARTITION BY rec ORDER BY frame), x)) / 2, 6) FROM frames",

@@ -11,7 +11,7 @@ from ..functions.lineage import shared_folder
 from ..operators import chunks as c
 from ..sources import views as v
 from ..streaming import live
-from .signals import CONFIG
+from .signals import CONFIG, DISCARD, DISCARD_TAIL
 
 
 def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
@@ -36,9 +36,10 @@ def _flat(blocks: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(1)))),
+    "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(12)))),
     "stream_stitch": lambda s, d: _flat(live.drain(live.stitch_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
     "stream_stitch_discard": lambda s, d: _flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
+    "stream_stitch_tail": lambda s, d: _flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG, True).repartition(6)), CONFIG))),
     "stream_timeline": lambda s, d: live.drain(live.live_timeline(_turns(s, d)), "complete"),
     "stream_event_counts": lambda s, d: live.drain(live.event_counts(_stream(s, d).withColumnRenamed("event_type", "kind")), "complete"),
     "stream_progress": lambda s, d: live.drain(live.progress(_stream(s, d).select(F.col("event_type").alias("stage"), (F.col("value") / 4).alias("pct"))), "complete"),
@@ -49,7 +50,8 @@ _F, _T = v.using("frames"), v.using("turns")
 SQL = {
     "stream_speech_events": f"{_F}, x AS (SELECT rec, frame, prob >= 0.5 AS hot, coalesce(lag(prob >= 0.5) OVER (PARTITION BY rec ORDER BY frame), false) AS was FROM frames) SELECT rec, frame * 256 AS at_ms, hot AS is_speech FROM x WHERE hot <> was",
     "stream_stitch": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
-    "stream_stitch_discard": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
+    "stream_stitch_discard": DISCARD,
+    "stream_stitch_tail": DISCARD_TAIL,
     "stream_timeline": f"{_T} SELECT rec, count(*) AS turns, CAST(count(DISTINCT speaker) AS INTEGER) AS speakers, max(end_ms) AS end_ms FROM turns GROUP BY rec",
     "stream_event_counts": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1",
     "stream_progress": "SELECT event_type AS stage, least(100.0::DOUBLE, max(value / 4)) AS pct FROM events GROUP BY 1",

@@ -1,6 +1,7 @@
 """Cutting long signals into overlapping chunks and stitching them back.
 
-Chunks and stitched blocks are keyed by (rec, chunk or block), never by recording, so a long recording spreads over tasks.
+Chunks and stitched blocks are keyed by (signal, chunk or block), never by recording, so a long recording spreads over tasks.
+What tells signals apart is signals.KEYS: the recording, its channel, and the output of a model, where they are there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .signals import cutout, lengths
+from .signals import cutout, keys, lengths
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def preset(name: str, rate: int | None = None) -> ChunkConfig:
 
 
 def chunk_plan(recordings: DataFrame, config: ChunkConfig, discard: bool = False) -> DataFrame:
-    """rec, chunk_idx, start_frame, n_frames, total, is_first, is_last from (rec, total).
+    """By signal, chunk_idx, start_frame, n_frames, total, is_first, is_last from (rec, total).
 
     Starts are 0, stride, ... below total; a recording that fits one chunk is one, of its own length. With discard, chunks
     go on while start + chunk <= total + stride, and the first always exists.
@@ -52,28 +53,44 @@ def chunk_plan(recordings: DataFrame, config: ChunkConfig, discard: bool = False
     total = F.col("total")
     end = F.greatest(F.lit(0), total + stride - n) if discard else total - 1
     starts = F.when(total <= n, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), end.cast("long"), F.lit(stride).cast("long")))
-    x = recordings.where("total > 0").select("rec", "total", F.size(starts).alias("k"), F.posexplode(starts).alias("chunk_idx", "start_frame"))
-    return x.select("rec", "chunk_idx", "start_frame", F.when(total <= n, total).otherwise(F.lit(n)).cast("long").alias("n_frames"), "total", (F.col("chunk_idx") == 0).alias("is_first"), (F.col("chunk_idx") == F.col("k") - 1).alias("is_last"))
+    own = keys(recordings)
+    x = recordings.where("total > 0").select(*own, "total", F.size(starts).alias("k"), F.posexplode(starts).alias("chunk_idx", "start_frame"))
+    return x.select(*own, "chunk_idx", "start_frame", F.when(total <= n, total).otherwise(F.lit(n)).cast("long").alias("n_frames"), "total", (F.col("chunk_idx") == 0).alias("is_first"), (F.col("chunk_idx") == F.col("k") - 1).alias("is_last"))
 
 
 def make_chunks(signals: DataFrame, config: ChunkConfig, discard: bool = False) -> DataFrame:
     """The plan with samples, zero where the signal has ended. Each block goes to the chunks that it is part of, no more."""
+    own = keys(signals)
     plan = chunk_plan(lengths(signals).withColumnRenamed("n", "total"), config, discard)
     n, stride = config.chunk, config.stride
     end = F.col("start_frame") + F.size("samples")
     first = F.greatest(F.lit(0), F.floor((F.col("start_frame") - n) / stride) + 1)
-    parts = signals.where(F.size("samples") > 0).withColumn("chunk_idx", F.explode(F.sequence(first, F.floor((end - 1) / stride))))
-    x = parts.withColumnRenamed("start_frame", "b").join(plan.withColumn("chunk_idx", F.col("chunk_idx").cast("long")), ["rec", "chunk_idx"])
+    parts = signals.where(F.size("samples") > 0).select(*own, F.col("start_frame").alias("b"), "samples", F.explode(F.sequence(first, F.floor((end - 1) / stride))).alias("chunk_idx"))
+    x = parts.join(plan.withColumn("chunk_idx", F.col("chunk_idx").cast("long")), [*own, "chunk_idx"])
     lo, hi = F.greatest("b", "start_frame"), F.least(F.col("b") + F.size("samples"), F.col("start_frame") + F.col("n_frames"))
-    x = x.where(hi > lo).select("rec", "chunk_idx", "start_frame", "n_frames", "total", "is_first", "is_last", F.struct(lo.alias("at"), cutout("samples", (lo - F.col("b") + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
-    g = x.groupBy("rec", "chunk_idx", "start_frame", "n_frames", "total", "is_first", "is_last").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    what = [*own, "chunk_idx", "start_frame", "n_frames", "total", "is_first", "is_last"]
+    x = x.where(hi > lo).select(*what, F.struct(lo.alias("at"), cutout("samples", (lo - F.col("b") + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
+    g = x.groupBy(*what).agg(F.array_sort(F.collect_list("p")).alias("ps"))
     flat = F.flatten(F.transform("ps", lambda p: p["s"]))
-    return g.select("rec", "chunk_idx", "start_frame", "n_frames", "total", "is_first", "is_last", F.concat(flat, F.array_repeat(F.lit(0.0), (F.col("n_frames") - F.size(flat)).cast("int"))).alias("samples"))
+    return g.select(*what, F.concat(flat, F.array_repeat(F.lit(0.0), (F.col("n_frames") - F.size(flat)).cast("int"))).alias("samples"))
+
+
+def segment(signals: DataFrame, seconds: float = 2.0, rate: int = 32_000) -> DataFrame:
+    """Chunks without overlap, all of one length: the last is padded with silence; reassemble crops it again."""
+    n = max(1, int(seconds * rate))
+    pad = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), n - F.size("samples")))
+    return make_chunks(signals, ChunkConfig(seconds, 0.0, "none", rate)).withColumn("samples", F.concat("samples", pad))
+
+
+def reassemble(segments: DataFrame) -> DataFrame:
+    """The signals that segment() has cut, without the padding."""
+    own = keys(segments)
+    return segments.select(*own, F.col("chunk_idx").alias("block_idx"), "start_frame", cutout("samples", 1, F.least(F.size("samples").cast("long"), F.col("total") - F.col("start_frame")).cast("int")).alias("samples"))
 
 
 def _trimmed(chunks: DataFrame, head: Column, keep: Column) -> DataFrame:
     left = F.least(keep, F.col("total") - F.col("start_frame") - head)
-    return chunks.where(left > 0).select("rec", F.col("chunk_idx").alias("block_idx"), (F.col("start_frame") + head).alias("start_frame"), cutout("samples", (head + 1).cast("int"), left.cast("int")).alias("samples"))
+    return chunks.where(left > 0).select(*keys(chunks), F.col("chunk_idx").alias("block_idx"), (F.col("start_frame") + head).alias("start_frame"), cutout("samples", (head + 1).cast("int"), left.cast("int")).alias("samples"))
 
 
 def stitch_none(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -82,38 +99,45 @@ def stitch_none(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
 
 
 def stitch_discard(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Half the overlap is given up at every inner edge; the first chunk keeps its head and the last its tail."""
+    """Half the overlap is given up at every edge but the first chunk's head; what the last chunk then doesn't reach is silent. A frame that two chunks keep is the later one's."""
     up = config.shared // 2
     head = F.when(F.col("is_first"), 0).otherwise(up)
-    return _trimmed(chunks, head, F.size("samples") - head - F.when(F.col("is_last"), 0).otherwise(config.shared - up))
+    reach = F.least(F.when(F.col("is_last"), config.chunk - up).otherwise(config.stride + up), F.size("samples"), F.col("total") - F.col("start_frame"))
+    kept = cutout("samples", (head + 1).cast("int"), (reach - head).cast("int"))
+    silent = F.when(F.col("is_last"), F.col("total") - F.col("start_frame") - F.greatest(reach, head)).otherwise(0)
+    x = chunks.select(*keys(chunks), F.col("chunk_idx").alias("block_idx"), (F.col("start_frame") + head).alias("start_frame"), F.concat(kept, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), silent.cast("int")))).alias("samples"))
+    return x.where(F.size("samples") > 0)
 
 
-def weights(n: Column, blend: str, shared: int, first: Column, last: Column, flat: bool) -> Column:
-    """A chunk's weights. triangular: up to the middle and down; hann: sin^2, with outer edges of 1 if flat."""
+def weights(n: Column, blend: str, config: ChunkConfig, first: Column, last: Column, flat: bool) -> Column:
+    """A chunk's weights. triangular: up to the middle and down; hann: sin^2, and if flat 1 where no neighbour reaches: a first chunk's stride, a last one's part after the overlap."""
     i = F.sequence(F.lit(0), n - 1)
     if blend == "triangular":
         half = (n / 2).cast("int")
-        return F.transform(i, lambda k: F.greatest(F.when(k < half, (k + 1) / F.greatest(half, F.lit(1))).otherwise((n - k) / F.greatest(half, F.lit(1))), F.lit(1e-8)))
+        return F.transform(i, lambda k: F.when(n <= 1, 1.0).when(k < half, (k + 1) / F.greatest(half, F.lit(1))).otherwise((n - k) / F.greatest(half, F.lit(1))))
     w = lambda k: F.when(n > 1, F.sin(F.lit(3.141592653589793) * k / (n - 1)) ** 2).otherwise(1.0)
     if not flat:
         return F.transform(i, w)
-    return F.transform(i, lambda k: F.when((first & (k < (n / 2).cast("int"))) | (last & (k >= (n / 2).cast("int"))), 1.0).otherwise(w(k)))
+    return F.transform(i, lambda k: F.when((first & (k < config.stride)) | (last & (k >= config.shared)), 1.0).otherwise(w(k)))
+
 
+def stitch_weighted(chunks: DataFrame, config: ChunkConfig, blend: str = "triangular", flat: bool = True) -> DataFrame:
+    """Weighted mean of all chunks at each frame; 0 where no weight is. Output blocks are one stride long.
 
-def stitch_weighted(chunks: DataFrame, config: ChunkConfig, blend: str = "triangular", flat: bool = True, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
-    """Weighted mean of all chunks at each frame; 0 where no weight is. Output blocks are one stride long."""
-    stride = config.stride
+    Each chunk sends its share of a block, already weighted, once; a block's few shares are added up as arrays.
+    """
+    own, stride = keys(chunks), config.stride
     n = F.size("samples")
-    x = chunks.withColumn("w", weights(n, blend, config.shared, F.col("is_first"), F.col("is_last"), flat))
+    x = chunks.withColumn("w", weights(n, blend, config, F.col("is_first"), F.col("is_last"), flat))
     x = x.withColumn("block_idx", F.explode(F.sequence(F.col("chunk_idx").cast("long"), F.floor((F.least(F.col("start_frame") + n, F.col("total")) - 1) / stride))))
     lo = F.col("block_idx") * stride
     k = F.least(F.lit(stride), F.least(F.col("start_frame") + n, F.col("total")) - lo).cast("int")
     at = (lo - F.col("start_frame") + 1).cast("int")
-    x = x.select(*keys, "block_idx", F.transform(F.arrays_zip(cutout("samples", at, k).alias("s"), cutout("w", at, k).alias("w")), lambda z: F.struct((z["s"] * z["w"]).alias("v"), z["w"].alias("w"))).alias("z"), "chunk_idx")
-    g = x.groupBy(*keys, "block_idx").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "z"))).alias("zs"))
+    x = x.select(*own, "block_idx", F.transform(F.arrays_zip(cutout("samples", at, k).alias("s"), cutout("w", at, k).alias("w")), lambda z: F.struct((z["s"] * z["w"]).alias("v"), z["w"].alias("w"))).alias("z"), "chunk_idx")
+    g = x.groupBy(*own, "block_idx").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "z"))).alias("zs"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     add = F.aggregate(F.transform("zs", lambda q: q["z"]), F.array().cast("array<struct<v:double,w:double>>"), lambda a, z: F.zip_with(a, z, lambda p, q: F.struct((zero(p["v"]) + zero(q["v"])).alias("v"), (zero(p["w"]) + zero(q["w"])).alias("w"))))
-    return g.select(*keys, "block_idx", (F.col("block_idx") * stride).alias("start_frame"), F.transform(add, lambda z: F.when(z["w"] > 0, z["v"] / z["w"]).otherwise(0.0)).alias("samples"))
+    return g.select(*own, "block_idx", (F.col("block_idx") * stride).alias("start_frame"), F.transform(add, lambda z: F.when(z["w"] > 1e-8, z["v"] / z["w"]).otherwise(0.0)).alias("samples"))
 
 
 def stitch(chunks: DataFrame, config: ChunkConfig, blend: str | None = None, flat: bool = True) -> DataFrame:
@@ -126,14 +150,14 @@ def stitch(chunks: DataFrame, config: ChunkConfig, blend: str | None = None, fla
 
 
 def stitch_multi(chunks: DataFrame, config: ChunkConfig, blend: str = "triangular") -> DataFrame:
-    """The same for several outputs of each chunk (output_idx), in one pass."""
-    return stitch_weighted(chunks, config, blend, keys=("rec", "output_idx"))
+    """The same for several outputs of each chunk (output_idx, one of KEYS), in one pass."""
+    return stitch_weighted(chunks, config, blend)
 
 
 def covered_share(plan: DataFrame) -> DataFrame:
-    """rec, chunks, frames: how often the plan reads a frame."""
-    return plan.groupBy("rec").agg(F.count("*").alias("chunks"), F.sum("n_frames").alias("frames"), F.max("start_frame").alias("last_start"))
+    """By signal, chunks, frames: how often the plan reads a frame."""
+    return plan.groupBy(*keys(plan)).agg(F.count("*").alias("chunks"), F.sum("n_frames").alias("frames"), F.max("start_frame").alias("last_start"))
 
 
 def next_starts(plan: DataFrame) -> DataFrame:
-    return plan.withColumn("next_start", F.lead("start_frame").over(Window.partitionBy("rec").orderBy("chunk_idx")))
+    return plan.withColumn("next_start", F.lead("start_frame").over(Window.partitionBy(*keys(plan)).orderBy("chunk_idx")))

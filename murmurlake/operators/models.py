@@ -1,11 +1,12 @@
 """The model surface: a user's function over chunks, segments or texts; Spark deals, batches and stitches.
 
 A function gets a list of numpy arrays and returns one result each. It is shipped once to a task and called batch by batch;
-`make` may instead build it in the worker, once a process, where a model has to be loaded.
+`make` may instead build it in the worker, once a process and factory, where a model has to be loaded.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,21 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BUILT: dict[object, Callable] = {}
+_BUILT: dict[str, Callable] = {}
 
 
-def _built(make: Callable[[], Callable]) -> Callable:
-    key = getattr(make, "__qualname__", id(make))
-    if key not in _BUILT:
-        _BUILT[key] = make()
-    return _BUILT[key]
+def _built(make: Callable[[], Callable], name: str) -> Callable:
+    if name not in _BUILT:
+        _BUILT[name] = make()
+    return _BUILT[name]
 
 
 def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[], Callable] | None = None, batch: int = 16) -> DataFrame:
     """chunks with samples put through fn."""
+    name = uuid.uuid4().hex  # of this factory, in every worker
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = fn or _built(make)
+        f = fn or _built(make, name)
         for pdf in it:
             for k in range(0, len(pdf), batch):
                 part = pdf.iloc[k : k + batch]
@@ -98,8 +99,22 @@ def fan_out(signals: DataFrame, targets: DataFrame, fn: Callable, most: int = 10
     return signals.mapInPandas(run, T.StructType([*signals.schema.fields, T.StructField("target", T.StringType())]))
 
 
-def adapt(signals: DataFrame, rate: int, to: int, mode: str = "auto") -> DataFrame:
-    """signals at the model's rate; nothing happens where it is that already."""
-    from .signals import resample
-
-    return resample(signals, rate, to, mode)
+def adapt(signals: DataFrame, requirements: DataFrame, mode: str = "auto", most: int = 100) -> DataFrame:
+    """signals (rec, channel, sample_rate, blocks) at the rate and number of channels that requirements (rec, rate, channels) ask for.
+
+    Each signal is converted once, and only where it differs. Pairs of rates are few (`most` at the most): each is one resample.
+    """
+    from .signals import BLOCK, convert_channels, resample
+
+    x = signals.join(requirements.select("rec", "rate", "channels"), "rec")
+    changes = [tuple(r) for r in x.select("sample_rate", "rate").distinct().limit(most + 1).collect()]
+    counts = [r[0] for r in x.select("channels").distinct().limit(most + 1).collect()]
+    if max(len(changes), len(counts)) > most:
+        raise ValueError(f"over {most} pairs of rates or numbers of channels")
+    out = None
+    for a, b in changes:
+        for n in counts:
+            own = x.where((F.col("sample_rate") == a) & (F.col("rate") == b) & (F.col("channels") == n)).select("rec", "channel", *BLOCK)
+            y = resample(convert_channels(own, n), a, b, mode).select("rec", "channel", *BLOCK).withColumn("sample_rate", F.lit(b).cast("int"))
+            out = y if out is None else out.unionByName(y)
+    return out if out is not None else signals.select("rec", "channel", *BLOCK, "sample_rate").limit(0)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .signals import with_halo
+from .signals import keys, schema_of, with_halo
 
 WINDOWS = {"hann": lambda n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n), "hamming": np.hamming, "blackman": np.blackman, "bartlett": np.bartlett, "povey": lambda n: np.hanning(n) ** 0.85}
 
@@ -31,9 +31,9 @@ def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: floa
 
 
 def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect", size: int = 48_000) -> DataFrame:
-    """rec, frame, bins: fn (frames x n_fft -> frames x bins) at every hop, centred, with the ends reflected or zero."""
+    """By signal, frame, bins: fn (frames x n_fft -> frames x bins) at every hop, centred, with the ends reflected or zero."""
     size = -(-size // hop) * hop
-    half = n_fft // 2
+    half, own = n_fft // 2, keys(signals)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -42,7 +42,7 @@ def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect"
                 if r.start_frame == 0:
                     x = np.concatenate([x[1 : half + 1][::-1] if pad == "reflect" and len(x) > half else np.zeros(half), x])
                     lead = half
-                at_end = r.start_frame + r.n == r.total
+                at_end = not r.trail
                 n = r.n // hop + 1 if at_end else -(-r.n // hop)
                 need = lead + (n - 1) * hop + half + n_fft % 2
                 if need > len(x):
@@ -50,13 +50,13 @@ def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect"
                     x = np.concatenate([x, x[-2 : -2 - more : -1] if pad == "reflect" and len(x) > more + 1 else np.zeros(more)])
                 first = lead - half
                 frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
-                yield pd.DataFrame({"rec": r.rec, "frame": r.start_frame // hop + np.arange(len(frames)), "bins": list(fn(frames))})
+                yield pd.DataFrame({**{k: getattr(r, k) for k in own}, "frame": r.start_frame // hop + np.arange(len(frames)), "bins": list(fn(frames))})
 
-    return with_halo(signals, half, half + n_fft % 2, size).mapInPandas(run, "rec long, frame long, bins array<double>")
+    return with_halo(signals, half, half + n_fft % 2, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
 
 
 def stft(signals: DataFrame, n_fft: int = 400, hop: int = 160, window: str = "hann", pad: str = "reflect", size: int = 48_000) -> DataFrame:
-    """rec, frame, bins: real parts, then imaginary ones."""
+    """By signal, frame, bins: real parts, then imaginary ones."""
     w = WINDOWS[window](n_fft)
 
     def fn(frames):
@@ -67,8 +67,8 @@ def stft(signals: DataFrame, n_fft: int = 400, hop: int = 160, window: str = "ha
 
 
 def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160, window: str = "hann", block: int = 64) -> DataFrame:
-    """rec, block_idx, start_frame, samples of stft's rows, divided by the windows' summed squares. total: rec, n."""
-    w = WINDOWS[window](n_fft)
+    """Signals of stft's rows, divided by the windows' summed squares. total: rec, n (lengths() of the signals)."""
+    w, own_keys = WINDOWS[window](n_fft), keys(spectra, total)
     reach = -(-n_fft // (2 * hop * block)) + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,11 +83,11 @@ def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160
             out[at : at + n_fft] += np.fft.irfft(z[: len(z) // 2] + 1j * z[len(z) // 2 :], n_fft) * w
             norm[at : at + n_fft] += w**2
         x = np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-10)[n_fft : n_fft + max(0, hi - lo)]
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "block_idx": [b], "start_frame": [lo], "samples": [x]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in own_keys}, "block_idx": [b], "start_frame": [lo], "samples": [x]})
 
     own = F.floor(F.col("frame") / block)
-    x = spectra.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), own - reach), own + reach))).join(total, "rec").where(F.col("to") * block * hop < F.col("n"))
-    return x.groupBy("rec", "to").applyInPandas(run, "rec long, block_idx long, start_frame long, samples array<double>")
+    x = spectra.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), own - reach), own + reach))).join(total, own_keys).where(F.col("to") * block * hop < F.col("n"))
+    return x.groupBy(*own_keys, "to").applyInPandas(run, schema_of(spectra, own_keys, "block_idx long, start_frame long, samples array<double>"))
 
 
 def mel(signals: DataFrame, rate: int, n_fft: int = 400, hop: int = 160, n_mels: int = 80, scale: str = "slaney", power: float = 2.0) -> DataFrame:
@@ -98,15 +98,16 @@ def mel(signals: DataFrame, rate: int, n_fft: int = 400, hop: int = 160, n_mels:
 def log_mel(signals: DataFrame, rate: int = 16000, n_mels: int = 128) -> DataFrame:
     """Two passes: log10 with a floor of 1e-10, then at least the recording's maximum - 8, scaled by (x + 4) / 4."""
     x = mel(signals, rate, n_mels=n_mels).withColumn("bins", F.transform("bins", lambda v: F.log10(F.greatest(v, F.lit(1e-10)))))
-    top = x.groupBy("rec").agg(F.max(F.array_max("bins")).alias("top"))
-    return x.join(top, "rec").select("rec", "frame", F.transform("bins", lambda v: (F.greatest(v, F.col("top") - 8) + 4) / 4).alias("bins"))
+    own = keys(x)
+    top = x.groupBy(*own).agg(F.max(F.array_max("bins")).alias("top"))
+    return x.join(top, own).select(*own, "frame", F.transform("bins", lambda v: (F.greatest(v, F.col("top") - 8) + 4) / 4).alias("bins"))
 
 
 def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_ms: int = 25, hop_ms: int = 10, preemphasis: float = 0.97) -> DataFrame:
     """Log mel energies of frames without their mean, pre-emphasised, under a povey window; whole frames only."""
     n, hop = rate * frame_ms // 1000, rate * hop_ms // 1000
     n_fft = 1 << (n - 1).bit_length()
-    w, m = WINDOWS["povey"](n), mel_filters(rate, n_fft, n_mels, 20.0, scale="htk")
+    w, m, own = WINDOWS["povey"](n), mel_filters(rate, n_fft, n_mels, 20.0, scale="htk"), keys(signals)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -119,28 +120,31 @@ def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_m
                 f = f - f.mean(axis=1, keepdims=True)
                 f = np.concatenate([f[:, :1] * (1 - preemphasis), f[:, 1:] - preemphasis * f[:, :-1]], axis=1) * w
                 e = np.abs(np.fft.rfft(f, n_fft)) ** 2 @ m.T
-                yield pd.DataFrame({"rec": r.rec, "frame": r.start_frame // hop + np.arange(k), "bins": list(np.log(np.maximum(e, np.finfo(np.float32).eps)))})
+                yield pd.DataFrame({**{c: getattr(r, c) for c in own}, "frame": r.start_frame // hop + np.arange(k), "bins": list(np.log(np.maximum(e, np.finfo(np.float32).eps)))})
 
     size = 300 * hop
-    return with_halo(signals, 0, n, size).mapInPandas(run, "rec long, frame long, bins array<double>")
+    return with_halo(signals, 0, n, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
 
 
-def _slope(weight: float):
-    return lambda after, before: (after - before) * weight
+def with_deltas(features: DataFrame, reach: int = 2, shard: int = 10_000) -> DataFrame:
+    """bins, then their regression slopes over +/- reach frames (ends repeated), then those of the slopes.
 
+    Frames are dealt to shards with the 2 * reach frames before and after, so no recording is sorted in one task.
+    """
+    own = keys(features)
+    x = features.withColumn("shard", F.explode(F.array_distinct(F.array(*[F.floor((F.col("frame") + d) / shard) for d in (-2 * reach, 0, 2 * reach)]))))
+    scale = 2 * sum(k * k for k in range(1, reach + 1))
 
-def with_deltas(features: DataFrame, reach: int = 2) -> DataFrame:
-    """bins, then their regression slopes over +/- reach frames (ends repeated), then those of the slopes."""
-    def delta(df: DataFrame, source: str, to: str) -> DataFrame:
-        w = Window.partitionBy("rec").orderBy("frame")
-        first, last = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(source).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        scale = 2 * sum(k * k for k in range(1, reach + 1))
-        terms = [F.zip_with(F.coalesce(F.lead(source, k).over(w), last), F.coalesce(F.lag(source, k).over(w), first), _slope(k / scale)) for k in range(1, reach + 1)]
-        df = df.withColumns({f"__t{k}": t for k, t in enumerate(terms)})
-        total = F.col("__t0")
-        for k in range(1, reach):
-            total = F.zip_with(total, F.col(f"__t{k}"), lambda p, q: p + q)
-        return df.withColumn(to, total).drop(*(f"__t{k}" for k in range(reach)))
+    def slopes(m: np.ndarray) -> np.ndarray:
+        p = np.pad(m, ((reach, reach), (0, 0)), "edge")
+        return sum(k * (p[reach + k : reach + k + len(m)] - p[reach - k : reach - k + len(m)]) for k in range(1, reach + 1)) / scale
 
-    x = delta(delta(features, "bins", "d1"), "d1", "d2")
-    return x.select("rec", "frame", F.concat("bins", "d1", "d2").alias("bins"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        m, frame, shard_ = np.array(pdf["bins"].tolist(), float), pdf["frame"].to_numpy(), int(pdf["shard"].iloc[0])
+        # Edges of a shard that are no ends of the signal come out wrong within 2 * reach, and aren't its own.
+        d1 = slopes(m)
+        mine = frame // shard == shard_
+        return pdf.loc[mine, own].assign(frame=frame[mine], bins=list(np.concatenate([m, d1, slopes(d1)], axis=1)[mine]))
+
+    return x.select(*own, "shard", "frame", "bins").groupBy(*own, "shard").applyInPandas(run, schema_of(features, own, "frame long, bins array<double>"))

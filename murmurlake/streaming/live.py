@@ -1,7 +1,10 @@
 """Streams keyed by recording: speech events, incremental stitching, utterances, timelines, event counts.
 
-State is one recording's: the last decision, or the live window of a stitch, at most a chunk long. Rows of a key are put in
-order within a trigger; a chunk that comes early waits in state, one that comes after its place was emitted is dropped.
+State is one recording's: the last decision, or the live window of a stitch, at most a chunk long, and what has come before
+its turn. Rows of a key are put in order across triggers: what comes early waits, MOST_EARLY rows at most, then the gap
+before it is given up; what comes after its place was emitted is late, counted and dropped. A recording's state ends with
+its last chunk or, in a stream that runs on, when nothing has come for `idle` milliseconds. Spark goes on looking for what
+timed out, so a stream that is drained once takes no `idle`.
 """
 
 from __future__ import annotations
@@ -18,60 +21,102 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.lineage import shared_folder
 from ..operators.chunks import ChunkConfig
+from ..operators.signals import schema_of
 
-BLOCKS = "rec long, start_frame long, samples array<double>"
+MOST_EARLY = 10_000
 
 
-def speech_events(frames: DataFrame, threshold: float = 0.5, frame_ms: int = 256) -> DataFrame:
-    """rec, at_ms, is_speech: a row whenever speech starts or ends. frames: rec, frame, prob."""
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
-    def run(key, it: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        speaking, last = state.get if state.exists else (False, -1)
-        x = pd.concat(list(it)).sort_values("frame")
-        x = x[x["frame"] > last]
-        if len(x):
-            hot = (x["prob"] >= threshold).to_numpy()
-            before = np.concatenate([[speaking], hot[:-1]])
-            at = np.flatnonzero(hot != before)
-            state.update((bool(hot[-1]), int(x["frame"].iloc[-1])))
-            yield pd.DataFrame({"rec": key[0], "at_ms": x["frame"].to_numpy()[at] * frame_ms, "is_speech": hot[at]})
-
-    return frames.groupBy("rec").applyInPandasWithState(run, "rec long, at_ms long, is_speech boolean", "speaking boolean, last long", "append", GroupStateTimeout.NoTimeout)
 
+def speech_events(frames: DataFrame, threshold: float = 0.5, frame_ms: int = 256, idle: int | None = None) -> DataFrame:
+    """rec, at_ms, is_speech: a row whenever speech starts or ends. frames: rec, frame (from 0), prob."""
 
-def weights(n: int, blend: str, first: bool, last: bool, flat: bool) -> np.ndarray:
+    def run(key, it: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        speaking, following, early = state.get if state.exists else (False, 0, b"")
+        number, prob = (np.frombuffer(early, np.float64).reshape(2, -1) if early else np.zeros((2, 0)))
+        new = list(it)
+        number, prob = np.concatenate([number, *(x["frame"] for x in new)]), np.concatenate([prob, *(x["prob"] for x in new)])
+        keep = number >= following
+        number, first = np.unique(number[keep], return_index=True)
+        prob = prob[keep][first]
+        # Consecutive frames from the one whose turn it is; all of them where too many wait for one that is lost.
+        ready = int((number == following + np.arange(len(number))).sum()) if len(number) <= MOST_EARLY else len(number)
+        if ready:
+            hot = prob[:ready] >= threshold
+            at = np.flatnonzero(hot != np.concatenate([[speaking], hot[:-1]]))
+            speaking, following = bool(hot[-1]), int(number[ready - 1]) + 1
+            yield pd.DataFrame({"rec": key[0], "at_ms": (number[at] * frame_ms).astype(np.int64), "is_speech": hot[at]})
+        state.update((speaking, following, np.stack([number[ready:], prob[ready:]]).tobytes()))
+        if idle:
+            state.setTimeoutDuration(idle)
+
+    return frames.groupBy("rec").applyInPandasWithState(run, schema_of(frames, ["rec"], "at_ms long, is_speech boolean"), "speaking boolean, following long, early binary", "append", _timeout(idle))
+
+
+def weights(n: int, blend: str, config: ChunkConfig, first: bool, last: bool, flat: bool) -> np.ndarray:
     i = np.arange(n)
     if blend == "triangular":
         half = n // 2
-        return np.maximum(np.where(i < half, (i + 1) / max(half, 1), (n - i) / max(half, 1)), 1e-8)
+        return np.where(i < half, (i + 1) / max(half, 1), (n - i) / max(half, 1)) if n > 1 else np.ones(n)
     w = np.sin(np.pi * i / (n - 1)) ** 2 if n > 1 else np.ones(n)
     if flat and first:
-        w[: n // 2] = 1
+        w[: config.stride] = 1
     if flat and last:
-        w[n // 2 :] = 1
+        w[config.shared :] = 1
     return w
 
 
-def _in_order(rows: pd.DataFrame, pending: dict, following: int) -> Iterator:
-    """The chunks whose turn it is, early ones kept in pending."""
-    for r in rows.sort_values("chunk_idx").itertuples():
-        if r.chunk_idx >= following:
-            pending[r.chunk_idx] = (r.start_frame, r.total, r.is_first, r.is_last, np.asarray(r.samples, float))
-    while following in pending:
-        yield pending.pop(following)
-        following += 1
+class _Order:
+    """The chunks of one recording in their order: whose turn it is, what waits, how many came too late."""
+
+    def __init__(self, following: int, early: bytes):
+        self.following, self.early, self.late = following, pickle.loads(early) if early else {}, 0
+
+    def ready(self, rows: Iterator[pd.DataFrame]) -> Iterator:
+        for pdf in rows:
+            for r in pdf.itertuples():
+                if r.chunk_idx < self.following:
+                    self.late += 1
+                else:
+                    self.early[r.chunk_idx] = (r.start_frame, r.total, r.is_first, r.is_last, np.asarray(r.samples, float))
+        while self.early:
+            if self.following not in self.early:
+                if len(self.early) <= MOST_EARLY:
+                    return
+                self.following = min(self.early)
+            yield self.early.pop(self.following)
+            self.following += 1
+
+    def waiting(self) -> bytes:
+        return pickle.dumps(self.early) if self.early else b""
 
 
-def stitch_stream(chunks: DataFrame, config: ChunkConfig, blend: str = "triangular", flat: bool = True) -> DataFrame:
+BLOCKS = "start_frame long, samples array<double>, late long"
+
+
+def _blocks(key, out: list[tuple[int, np.ndarray]], late: int) -> pd.DataFrame:
+    """Blocks; the number of late chunks stands on the last, which is empty if there is no other."""
+    out = out or ([(0, np.zeros(0))] if late else [])
+    return pd.DataFrame({"rec": [key[0]] * len(out), "start_frame": [at for at, _ in out], "samples": [x for _, x in out], "late": [0] * (len(out) - 1) + [late] if out else []})
+
+
+def stitch_stream(chunks: DataFrame, config: ChunkConfig, blend: str = "triangular", flat: bool = True, idle: int | None = None) -> DataFrame:
     """Overlap-add chunk by chunk; equals the batch stitch. After a chunk that starts at s, frames below s + stride are final."""
     stride = config.stride
 
     def run(key, it: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, following, sums, norm, pending = pickle.loads(state.get[0]) if state.exists else (0, 0, np.zeros(0), np.zeros(0), {})
-        out = []
-        for start, total, first, last, x in _in_order(pd.concat(list(it)), pending, following):
-            following += 1
-            w = weights(len(x), blend, first, last, flat)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, following, sums, norm, early = state.get if state.exists else (0, 0, b"", b"", b"")
+        sums, norm, order, out, ended = np.frombuffer(sums).copy(), np.frombuffer(norm).copy(), _Order(following, early), [], False
+        for start, total, first, last, x in order.ready(it):
+            w = weights(len(x), blend, config, first, last, flat)
             n = max(len(sums), start + len(x) - at)
             sums, norm = np.pad(sums, (0, n - len(sums))), np.pad(norm, (0, n - len(norm)))
             sums[start - at : start - at + len(x)] += x * w
@@ -79,31 +124,46 @@ def stitch_stream(chunks: DataFrame, config: ChunkConfig, blend: str = "triangul
             until = min(total, at + n) if last else min(total, start + stride)
             k = until - at
             if k > 0:
-                out.append((key[0], at, np.divide(sums[:k], norm[:k], out=np.zeros(k), where=norm[:k] > 0)))
+                out.append((at, np.divide(sums[:k], norm[:k], out=np.zeros(k), where=norm[:k] > 1e-8)))
                 sums, norm, at = sums[k:], norm[k:], until
-        state.update((pickle.dumps((at, following, sums, norm, pending)),))
-        yield pd.DataFrame(out, columns=["rec", "start_frame", "samples"])
+            ended = last
+        if ended:
+            state.remove()
+        else:
+            state.update((at, order.following, sums.tobytes(), norm.tobytes(), order.waiting()))
+            if idle:
+                state.setTimeoutDuration(idle)
+        yield _blocks(key, out, order.late)
 
-    return chunks.groupBy("rec").applyInPandasWithState(run, BLOCKS, "window binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("rec").applyInPandasWithState(run, schema_of(chunks, ["rec"], BLOCKS), "at long, following long, sums binary, norm binary, early binary", "append", _timeout(idle))
 
 
-def stitch_discard_stream(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Half the overlap is given up at inner edges; state is what has been emitted, and early chunks."""
-    up, rest = config.shared // 2, config.shared - config.shared // 2
+def stitch_discard_stream(chunks: DataFrame, config: ChunkConfig, idle: int | None = None) -> DataFrame:
+    """Half the overlap is given up at every edge but the first chunk's head; what the last chunk doesn't reach is silent. State is whose turn it is, and early chunks."""
+    up = config.shared // 2
 
     def run(key, it: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, pending = pickle.loads(state.get[0]) if state.exists else (0, {})
-        out = []
-        for start, total, first, last, x in _in_order(pd.concat(list(it)), pending, following):
-            following += 1
-            a, b = 0 if first else up, len(x) if last else len(x) - rest
-            b = min(b, total - start)
-            if b > a:
-                out.append((key[0], start + a, x[a:b]))
-        state.update((pickle.dumps((following, pending)),))
-        yield pd.DataFrame(out, columns=["rec", "start_frame", "samples"])
-
-    return chunks.groupBy("rec").applyInPandasWithState(run, BLOCKS, "window binary", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        order, out, ended = _Order(*(state.get if state.exists else (0, b""))), [], False
+        for start, total, first, last, x in order.ready(it):
+            head = 0 if first else up
+            kept = x[head : max(head, min(config.chunk - up if last else config.stride + up, len(x), total - start))]
+            if last:
+                kept = np.pad(kept, (0, max(0, total - start - head - len(kept))))
+            if len(kept):
+                out.append((start + head, kept))
+            ended = last
+        if ended:
+            state.remove()
+        else:
+            state.update((order.following, order.waiting()))
+            if idle:
+                state.setTimeoutDuration(idle)
+        yield _blocks(key, out, order.late)
+
+    return chunks.groupBy("rec").applyInPandasWithState(run, schema_of(chunks, ["rec"], BLOCKS), "following long, early binary", "append", _timeout(idle))
 
 
 def utterances(events: DataFrame, gap: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
@@ -113,9 +173,9 @@ def utterances(events: DataFrame, gap: str = "30 seconds", late: str = "10 minut
 
 
 def live_timeline(turns: DataFrame) -> DataFrame:
-    """rec, turns, speakers, end_ms so far. Speakers are slots, so they are the bits of a long."""
-    slot = F.expr("shiftleft(1L, try_cast(element_at(split(speaker, '_'), -1) AS INT))")
-    return turns.groupBy("rec").agg(F.count("*").alias("turns"), F.bit_count(F.bit_or(slot)).alias("speakers"), F.max("end_ms").alias("end_ms"))
+    """rec, turns, speakers, end_ms so far. Where turns have an `epoch`, a reset starts the next one, with a timeline of its own."""
+    own = [k for k in ("rec", "epoch") if k in turns.columns]
+    return turns.groupBy(*own).agg(F.count("*").alias("turns"), F.size(F.collect_set("speaker")).alias("speakers"), F.max("end_ms").alias("end_ms"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:
