@@ -11,7 +11,6 @@ Conventions that hold for every operator of this package:
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle as cut
+
 #: Bytes of text that a task hashes at a time; its arrays take about 60 times as much.
 CHUNK_BYTES = 2_000_000
 
@@ -36,23 +37,6 @@ def text_hash(text):
     return F.xxhash64(F.col(text) if isinstance(text, str) else text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lost executors cost no more than the current step."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not jdir.isDefined():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jdir.get()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: one number, by which exchanges are sized."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -306,25 +290,27 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for links (a, b) in any direction; the component is the smallest node reachable.
 
     Alternates two steps until nothing changes: each node's larger neighbours are linked to its smallest one, then its
-    smaller neighbours are. Both keep reachability and lose length fast; sums per node are made before the shuffle.
+    smaller neighbours are. Both keep reachability and lose length fast, so the end is sure; sums per node are made before
+    the shuffle. Each round is written, so lost executors cost no more than a round.
     """
+
+    def state(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(rounds):
+    was = state(e)
+    while was[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        nxt = cut(small)
-        same = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        was = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        e = nxt
-        if same == was:
+        e = cut(large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        now = state(e)
+        if now == was:
             break
+        was = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

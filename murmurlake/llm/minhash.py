@@ -11,9 +11,9 @@ Documents with equal sets are one class from the start, with the smallest doc_id
 each member is verified against the bucket's smallest member, on full sets; then, where a bucket still holds several
 components, every member outside its largest one is compared with all members of other components. So every pair of a
 bucket is either verified or known to be linked, and a bucket of thousands of copies costs one comparison for each.
-Before full sets are fetched, one bit of each coordinate is compared (a pair at the threshold fails that once in 10^9),
-and then the sets' parities in PARITIES bins: an element of one set only flips its bin, so the parities that differ are a
-lower bound of the elements that differ, and no link is lost there.
+Before full sets are fetched, sizes are compared, and then the sets' parities in PARITIES bins: an element of one set only
+flips its bin, so the parities that differ are a lower bound of the elements that differ, and no link is lost there.
+A set that many pairs need is cut into as many copies as tasks share its pairs, so a large cluster's first member isn't hot.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer words than that are one
 shingle; repeated rows are one node; a doc_id that comes with several texts is one node with the links of all of them.
@@ -21,7 +21,6 @@ shingle; repeated rows are one node; a doc_id that comes with several texts is o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +34,8 @@ BANDS = 24
 ROWS = 5
 COORDINATES = BANDS * ROWS
 PARITIES = 2048
+#: Pairs of one set that are verified in one place.
+SLICE = 500
 SEED = 8
 
 
@@ -92,13 +93,7 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.reshape(len(sets), PARITIES), axis=1).view("<i8")
 
 
-def bits_apart(percent: int) -> int:
-    """So many of the bits may differ: six deviations over the mean at that similarity."""
-    q = (1 - percent / 100) / 2
-    return math.ceil(COORDINATES * q + 6 * math.sqrt(COORDINATES * q * (1 - q)))
-
-
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, bits1 long, bits2 long, odd array<long>"
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -107,14 +102,11 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         coordinates = sketches(sets)
         with np.errstate(over="ignore"):
             bands = mix((coordinates.reshape(len(sets), BANDS, ROWS) * factors(ROWS, SEED)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-        bits = np.zeros((len(sets), 128), np.uint8)
-        bits[:, :COORDINATES] = (coordinates >> np.uint64(17)) & np.uint64(1)
-        bits = np.packbits(bits, axis=1).view("<i8")
         ids = [identity(s) for s in sets]
         odd = parities(sets)
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), PARITIES // 64).cast(pa.list_(pa.int64()))],
-            names=["doc_id", "n", "s1", "s2", "bands", "bits1", "bits2", "odd"],
+            [rows["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(odd.reshape(-1)), PARITIES // 64).cast(pa.list_(pa.int64()))],
+            names=["doc_id", "n", "s1", "s2", "bands", "odd"],
         )
 
 
@@ -124,19 +116,22 @@ def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. Pairs of one a are dealt to slices of SLICE, each with its copy of a's set."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(lambda b: full_sets(b, width), "node long, shingles array<long>")
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = cut(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(lambda b: full_sets(b, width), "node long, shingles array<long>"))
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"))
+    sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(slices, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    x = dealt.join(sa, ["a", "slice"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return x.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; documents of a component are linked by similarity of percent or more."""
-    docs, apart = documents(docs), bits_apart(percent)
+    docs = documents(docs)
     signed = cut(docs.mapInArrow(lambda b: signatures(b, width), SIGNATURE))
-    what = ("bits1", "bits2", "odd")
+    what = ("odd",)
     classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "bands", *what)).alias("x"))
     classes = cut(classes.select("s1", "s2", "n", F.col("x.doc_id").alias("rep"), "x.bands", *(f"x.{k}" for k in what)))
     node = classes.select("rep", "n", *what)
@@ -144,10 +139,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     member = cut(spot.join(spot.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").drop("size"), ["band", "value"]))
 
     def close(a: str, b: str):
-        """Sizes, bits and parities allow the similarity."""
+        """Sizes and parities allow the similarity."""
         flips = F.aggregate(F.zip_with(F.col(f"{a}.odd"), F.col(f"{b}.odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         both = F.col(f"{a}.n") + F.col(f"{b}.n")
-        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= apart) & (flips * (100 + percent) <= both * (100 - percent))
+        return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent) & (flips * (100 + percent) <= both * (100 - percent))
 
     star = member.where("rep <> pivot").select("rep", "pivot").distinct().join(node, "rep").alias("m").join(node.alias("p"), F.col("m.pivot") == F.col("p.rep"))
     links = cut(verified(docs, cut(star.where(close("m", "p")).select(F.col("m.pivot").alias("a"), F.col("m.rep").alias("b"))), percent, width))

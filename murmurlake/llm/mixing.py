@@ -4,12 +4,12 @@ Every document draws an exponential key -ln(u) / quality, where u comes from the
 Within a source, smaller keys come first. A source takes whole epochs of all its documents, then documents in key order
 until its word budget is met; the document at the edge gives the words that are left.
 
-The prefix sums never gather a source in one task: the key's exponential distribution cuts each source into `SLICES`
-slices, the sums of the slices are added up (a table of at most SLICES rows a source), and only a slice is sorted.
+The prefix sums never gather a source in one task: the key's exponential distribution cuts each source into slices, one
+for IN_SLICE rows of the whole table, the sums of the slices are added up, and only a slice is sorted.
 The one table that is sorted in a single task has a row for each source.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; without words all targets
-are 0; repeated rows count as often as they occur; documents without words take nothing.
+are 0; repeated rows count as often as they occur; documents without words take nothing; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-SLICES = 4096
+#: Rows of the whole table to a slice of the keys' distribution.
+IN_SLICE = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -51,18 +52,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, source, size, quality, source_size, target, taken for each document, and the columns named in keep."""
+    """doc_id, source, size, quality, source_size, target, taken for each document, and the columns named in keep.
+
+    Texts are cut into words once: what follows reads the sizes and keys that were written.
+    """
     size = size_of(F.col("text"))
     u = (F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
-    rows = (
+    rows = cut(
         docs.where("doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.length("text").alias("chars"), "text")
+        .select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), "text")
         .withColumn("quality", quality_of(F.col("text"), F.col("size")))
         .withColumn("key", -F.log(u) / F.col("quality"))
-        .select("doc_id", "source", "size", "quality", "key", "kept", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"), F.least(F.lit(SLICES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES)).cast("int").alias("slice"))
-        .repartition("skey", "slice")
+        .select("doc_id", "source", "size", "quality", "key", "kept", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"))
     )
-    sums = rows.groupBy("skey", "slice").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    slices = max(16, -(-rows.count() // IN_SLICE))
+    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * slices)).cast("int"))
+    sums = cut(rows.groupBy("skey", "slice").agg(F.sum("size").alias("words"), F.first("source").alias("source")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **options)
     goal = goal.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source", "weight")
     before = Window.partitionBy("skey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
