@@ -130,10 +130,10 @@ def test_line_templates(spark):
     docs += [(100 + i, "Copied line of one text only\nand another of it") for i in range(20)] + [(200, None), (201, "")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r for r in lines.dedup_lines(d).collect()}
-    assert "Posted" in got[0]["text"] and all("Posted" not in got[i]["text"] and got[i]["__n_dropped"] == 1 and "ab cd" in got[i]["text"] for i in range(1, 8))
-    assert all(got[100 + i]["__n_dropped"] == 0 for i in range(20))
-    assert got[200]["text"] is None and got[200]["__n_lines"] == 0 and got[201]["text"] == ""
-    assert sum(r["__n_dropped"] for r in lines.dedup_lines(d, min_texts=9).collect()) == 0
+    assert "Posted" in got[0]["text"] and all("Posted" not in got[i]["text"] and got[i]["n_dropped"] == 1 and "ab cd" in got[i]["text"] for i in range(1, 8))
+    assert all(got[100 + i]["n_dropped"] == 0 for i in range(20))
+    assert got[200]["text"] is None and got[200]["n_lines"] == 0 and got[201]["text"] == ""
+    assert sum(r["n_dropped"] for r in lines.dedup_lines(d, min_texts=9).collect()) == 0
 
 
 def license_brute(text):
@@ -341,7 +341,7 @@ def test_toxicity_keeps_every_ngram(spark):
 def test_lines_of_two_texts_recur(spark):
     line = " ".join(f"passage{chr(97 + j)}" for j in range(20))
     d = spark.createDataFrame([(i, f"{line if i in (2, 5) else 'nothing to see'.replace('see', 'x' * i)}\nown {i}") for i in range(1, 7)], "doc_id long, text string")
-    assert {r["doc_id"]: r["__n_dropped"] for r in lines.dedup_lines(d).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0}
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(d).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0}
 
 
 def test_line_families_of_one_leaf(spark):
@@ -349,5 +349,48 @@ def test_line_families_of_one_leaf(spark):
     names = ["anna", "boris", "carla", "dmitri", "elena", "farid", "gesa", "hugo"]
     docs = [(i, f"All content on this page is provided as is\nAll content on sale today by {n} for members") for i, n in enumerate(names)]
     docs += [(100 + i, f"We went to {n}") for i, n in enumerate(names)]
-    got = {r["doc_id"]: r["__n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: 2 * (i > 0) for i in range(8)} | {100 + i: 0 for i in range(8)}
+
+
+def lines_brute(docs, min_texts=2, min_words=3):
+    """doc_id, n_lines, n_dropped, kept text by the rule, in plain Python."""
+    places, texts = {}, {i: t for i, t in docs}
+    for i, t in docs:
+        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+            w = tuple("#" if re.search("[0-9]", x) else x for x in re.split("[ \t\n\x0b\x0c\r]+", line) if x)
+            if len(w) >= min_words:
+                places.setdefault((len(w), w[:3]), {}).setdefault(w, []).append((i, k))
+    drop = {}
+    for lines_ in places.values():
+        left = sorted(lines_, key=lambda w: (-len(lines_[w]), min(lines_[w])))
+        while left:
+            rest = left[0][3:]
+            taken = [w for w in left if sum(a == b for a, b in zip(w[3:], rest)) >= 0.7 * len(rest)]
+            left = [w for w in left if w not in set(taken)]
+            at = [p for w in taken for p in lines_[w]]
+            first_of = {}
+            for i, _ in at:
+                first_of[texts[i]] = min(i, first_of.get(texts[i], i))
+            if len(first_of) >= min_texts:
+                for i, k in at:
+                    if i != min(first_of.values()):
+                        drop.setdefault(i, set()).add(k)
+    out = []
+    for i, t in docs:
+        split = [] if t is None else t.split("\n")
+        gone = drop.get(i, set())
+        out.append((i, len(split), len(gone), t if not gone else "\n".join(x for k, x in enumerate(split) if k not in gone)))
+    return sorted(out)
+
+
+def test_lines_by_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = sorted(map(tuple, lines.dedup_lines(d).select("doc_id", "n_lines", "n_dropped", "text").collect()))
+    assert got == lines_brute([tuple(r) for r in d.collect()])
+    assert sum(r[2] for r in got) > 0
+    clash = d.select("doc_id", "text", *(F.lit(k).alias(k) for k in ("row", "gone", "th", "n_lines", "line", "template")))
+    x = lines.dedup_lines(clash, counts=None)
+    assert x.columns == clash.columns and sorted((r["doc_id"], r["text"]) for r in x.collect()) == [(r[0], r[3]) for r in got]
+    short = spark.createDataFrame([(1, "Yes\nmore words here"), (2, "Yes\nother things there")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(short, min_words=1).collect()} == {1: 0, 2: 1}
