@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of this session's own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or that of SparkContext.setCheckpointDir, which all machines of a cluster see.
+
+    Where neither is set, a session of one machine, as in tests, gets a folder of its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
     context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        import tempfile
-
+    if not folder and not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().get().rstrip("/")
+    return (folder or context.getCheckpointDir().get()).rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: what comes before runs once, however often the result is read."""
+    """df written to the shared folder and read back: what comes before runs once, however often the result is read, and lost executors cost no more than the current step."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,8 +11,10 @@ from ..sources import views as v
 CONFIG = c.ChunkConfig(1.0, 0.25, "triangular", 20)
 
 
-def _flat(signals):
-    return signals.select("rec", (F.posexplode("samples")).alias("i", "x"), "start_frame").select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 6).alias("x"))
+def flat(signals):
+    """A row for each frame."""
+    own = g.keys(signals)
+    return signals.select(*own, F.posexplode("samples").alias("i", "x"), "start_frame").select(*own, (F.col("start_frame") + F.col("i")).alias("frame"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def _half(s, d):
@@ -27,27 +29,27 @@ _RANGES = lambda s, d: v.frames(s, d).groupBy("rec").agg(F.lit(0.7).alias("start
 
 QUERIES = {
     "signal_levels": lambda s, d: g.levels(v.blocks(s, d)).select("rec", *(F.round(k, 6).alias(k) for k in ("rms", "peak", "dc", "dur"))),
-    "slice_signal": lambda s, d: _flat(g.slice_signal(v.blocks(s, d), _RANGES(s, d), 10)),
-    "replace_range": lambda s, d: _flat(g.replace_range(v.blocks(s, d), v.frames(s, d).select("rec").distinct().select("rec", F.lit(5).cast("long").alias("lo"), F.lit(21).cast("long").alias("hi")), g.scale(v.blocks(s, d).where("block_idx = 0 AND rec % 3 = 0"), -1.0))),
-    "subtract_signals": lambda s, d: _flat(g.subtract(v.blocks(s, d), _half(s, d))),
-    "mix_signals": lambda s, d: _flat(g.mix(v.blocks(s, d), _half(s, d), -7, 16)),
-    "append_signals": lambda s, d: _flat(g.append(v.blocks(s, d), _half(s, d))),
+    "slice_signal": lambda s, d: flat(g.slice_signal(v.blocks(s, d), _RANGES(s, d), 10)),
+    "replace_range": lambda s, d: flat(g.replace_range(v.blocks(s, d), v.frames(s, d).select("rec").distinct().select("rec", F.lit(5).cast("long").alias("lo"), F.lit(21).cast("long").alias("hi")), g.scale(v.blocks(s, d).where("block_idx = 0 AND rec % 3 = 0"), -1.0))),
+    "subtract_signals": lambda s, d: flat(g.subtract(v.blocks(s, d), _half(s, d))),
+    "mix_signals": lambda s, d: flat(g.mix(v.blocks(s, d), _half(s, d), -7, 16)),
+    "append_signals": lambda s, d: flat(g.append(v.blocks(s, d), _half(s, d))),
     "pcm16": lambda s, d: g.to_pcm16(g.scale(v.blocks(s, d), 3.0)).select("rec", "block_idx", F.array_max("samples").alias("top"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")),
     "normalize_peak": lambda s, d: g.levels(g.normalize(v.blocks(s, d), "peak", -3.0)).select("rec", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak")),
     "normalize_rms": lambda s, d: g.levels(g.normalize(v.blocks(s, d), "rms", -6.0)).select("rec", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak")),
     "snr": lambda s, d: g.snr(v.blocks(s, d), _half(s, d)).select("rec", F.round("db", 6).alias("db")),
     "signal_correlation": lambda s, d: g.correlation(v.blocks(s, d), v.blocks(s, d).withColumn("samples", F.reverse("samples"))).select("rec", F.round("value", 6).alias("value")),
     "tone_energy": lambda s, d: g.tone_energy(v.blocks(s, d), 3.0, 40.0).select("rec", F.round("energy", 6).alias("energy")),
-    "mono": lambda s, d: _flat(g.mono(v.blocks(s, d).withColumn("channel", F.lit(0)).unionByName(g.scale(v.blocks(s, d), 3.0).withColumn("channel", F.lit(1))))),
+    "mono": lambda s, d: flat(g.mono(v.blocks(s, d).withColumn("channel", F.lit(0)).unionByName(g.scale(v.blocks(s, d), 3.0).withColumn("channel", F.lit(1))))),
     "signal_qa": lambda s, d: g.qa(v.blocks(s, d), v.blocks(s, d).where("rec % 4 <> 1 OR block_idx = 0").withColumn("samples", F.transform("samples", lambda x, i: F.when((F.col("rec") % 5 == 0) & (i == 3), float("nan")).when(F.col("rec") % 4 == 2, x * 0.001).when(F.col("rec") % 4 == 3, x * 0.9).otherwise(x))), 20, 20).select("rec", F.concat_ws(",", "problems").alias("problems")),
     "fit_length": lambda s, d: v.blocks(s, d).select("rec", "block_idx", F.round(F.aggregate(g.fit_length(F.col("samples"), 20, "cycle"), F.lit(0.0), lambda a, x: a + x), 6).alias("cycle"), F.round(F.aggregate(g.fit_length(F.col("samples"), 12), F.lit(0.0), lambda a, x: a + x), 6).alias("zero")),
     "chunk_plan": lambda s, d: c.chunk_plan(_totals(s, d), CONFIG).drop("total"),
     "chunk_plan_discard": lambda s, d: c.chunk_plan(_totals(s, d), CONFIG, True).drop("total"),
     "make_chunks": lambda s, d: c.make_chunks(v.blocks(s, d), CONFIG).select("rec", "chunk_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("samples").alias("n")),
-    **{f"stitch_{b}": (lambda s, d, b=b: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, b))) for b in ("none", "discard", "triangular", "hann")},
-    "stitch_discard_tail": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG, True), CONFIG, "discard")),
-    "stitch_hann_plain": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, "hann", False)),
-    "stitch_blend": lambda s, d: _flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG).withColumn("samples", F.transform("samples", lambda x: x * 0 + F.col("chunk_idx"))), CONFIG, "triangular")),
+    **{f"stitch_{b}": (lambda s, d, b=b: flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, b))) for b in ("none", "discard", "triangular", "hann")},
+    "stitch_discard_tail": lambda s, d: flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG, True), CONFIG, "discard")),
+    "stitch_hann_plain": lambda s, d: flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG), CONFIG, "hann", False)),
+    "stitch_blend": lambda s, d: flat(c.stitch(c.make_chunks(v.blocks(s, d), CONFIG).withColumn("samples", F.transform("samples", lambda x: x * 0 + F.col("chunk_idx"))), CONFIG, "triangular")),
     "resample_linear": lambda s, d: g.resample(v.blocks(s, d), 10, 20, "fast", 32).select("rec", F.posexplode("samples").alias("i", "x"), "start_frame").select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 6).alias("x")),
     "best_lag": lambda s, d: g.best_lag(v.blocks(s, d), g.shifted(v.blocks(s, d), 3), 8, 64),
     "bandwidth": lambda s, d: g.bandwidth(v.blocks(s, d), 16000, 0.99, 16, 8, 32).select("rec", F.round("f_high", 3).alias("f_high"), "passthrough"),

@@ -11,7 +11,7 @@ from ..functions.lineage import shared_folder
 from ..operators import chunks as c
 from ..sources import views as v
 from ..streaming import live
-from .signals import CONFIG, DISCARD, DISCARD_TAIL
+from .signals import CONFIG, DISCARD, DISCARD_TAIL, flat
 
 
 def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
@@ -31,15 +31,11 @@ def _turns(s, d):
     return _stream(s, d).select(F.date_format("ts", "yyyyMMdd").cast("long").alias("rec"), F.concat(F.lit("speaker_"), (F.col("user_id") % 4).cast("string")).alias("speaker"), (F.floor(us % 86400000000 / 1000) + F.round(F.col("value") * 10000)).cast("long").alias("end_ms"))
 
 
-def _flat(blocks: DataFrame) -> DataFrame:
-    return blocks.select("rec", F.posexplode("samples").alias("i", "x"), "start_frame").select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("x", 6).alias("x"))
-
-
 QUERIES = {
     "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(12)))),
-    "stream_stitch": lambda s, d: _flat(live.drain(live.stitch_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
-    "stream_stitch_discard": lambda s, d: _flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
-    "stream_stitch_tail": lambda s, d: _flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG, True).repartition(6)), CONFIG))),
+    "stream_stitch": lambda s, d: flat(live.drain(live.stitch_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
+    "stream_stitch_discard": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
+    "stream_stitch_tail": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG, True).repartition(6)), CONFIG))),
     "stream_timeline": lambda s, d: live.drain(live.live_timeline(_turns(s, d)), "complete"),
     "stream_event_counts": lambda s, d: live.drain(live.event_counts(_stream(s, d).withColumnRenamed("event_type", "kind")), "complete"),
     "stream_progress": lambda s, d: live.drain(live.progress(_stream(s, d).select(F.col("event_type").alias("stage"), (F.col("value") / 4).alias("pct"))), "complete"),

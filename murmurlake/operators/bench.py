@@ -13,7 +13,7 @@ def timing_stats(runs: DataFrame) -> DataFrame:
     """By case_id: minimum, exact median, mean, sample deviation (0 for one run), real-time factors at median and minimum."""
     x = runs.groupBy("case_id").agg(F.min("seconds").alias("min_s"), F.median("seconds").alias("median_s"), F.avg("seconds").alias("mean_s"), F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("sd_s"), F.max("audio_seconds").alias("audio"))
     over = lambda c: F.when((F.col(c) > 0) & (F.col("audio") > 0), F.col("audio") / F.col(c)).otherwise(_NAN)
-    return x.select("case_id", "min_s", "median_s", F.round("mean_s", 6).alias("mean_s"), F.round("sd_s", 6).alias("sd_s"), F.round(over("median_s"), 6).alias("rtf"), F.round(over("min_s"), 6).alias("best_rtf"))
+    return x.select("case_id", "min_s", "median_s", "mean_s", "sd_s", over("median_s").alias("rtf"), over("min_s").alias("best_rtf"))
 
 
 def memory_stats(cases: DataFrame) -> DataFrame:
@@ -23,19 +23,19 @@ def memory_stats(cases: DataFrame) -> DataFrame:
 
 
 def cpu_stats(cases: DataFrame) -> DataFrame:
-    return cases.withColumn("utilization", F.when(F.col("wall_s") > 0, (F.col("user_s") + F.col("system_s")) / F.col("wall_s")))
+    return cases.withColumn("utilization", F.when(F.col("wall_s") > 0, (F.col("user_s") + F.col("system_s")) / F.col("wall_s")).otherwise(_NAN))
 
 
 def precision_ladder(cases: DataFrame, base: str = "fp32") -> DataFrame:
     """model, precision, and seconds, memory and size as ratios to the model's base row."""
     b = cases.where(F.col("precision") == base).select("model", *(F.col(c).alias(f"b_{c}") for c in ("seconds", "memory", "size")))
-    ratio = lambda c, up=False: F.round(F.when(F.col(f"b_{c}") > 0, F.col(f"b_{c}") / F.col(c) if up else F.col(c) / F.col(f"b_{c}")), 6)
+    ratio = lambda c, up=False: F.when(F.col(f"b_{c}") > 0, F.col(f"b_{c}") / F.col(c) if up else F.col(c) / F.col(f"b_{c}"))
     return cases.join(b, "model").select("model", "precision", ratio("seconds", True).alias("speed"), ratio("memory").alias("memory"), ratio("size").alias("size"))
 
 
 def quality_flags(cases: DataFrame, spread: float = 0.5) -> DataFrame:
     """case_id, flags: why a row's figures may not be trusted."""
-    when = {"battery": F.col("on_battery"), "low_power": F.col("low_power"), "throttled": F.col("thermal_before") != F.col("thermal_after"), "cold_weights": F.col("cold"), "debug_build": F.col("build") == "debug", "shared_process": ~F.col("isolated"), "contaminated": F.col("sd_s") > spread}
+    when = {"battery": F.col("on_battery"), "low_power": F.col("low_power"), "throttled": F.col("thermal_before") != F.col("thermal_after"), "cold_weights": F.col("cold"), "debug_build": F.col("build") != "release", "shared_process": ~F.col("isolated"), "lazy_weights": ~F.col("materialized"), "contaminated": F.col("sd_s") > spread}
     return cases.select("case_id", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in when.items()])).alias("flags"))
 
 
@@ -74,25 +74,33 @@ def catalog_summary(variants: DataFrame) -> DataFrame:
 
 
 def package_sizes(members: DataFrame, variants: DataFrame) -> DataFrame:
-    """package_id, bytes: each distinct member counts once, unknown members are 0; a variant listed twice has its first size."""
+    """package_id, bytes: a member counts as often as a package lists it, unknown members are 0; a variant listed twice has its first size."""
     one = variants.groupBy("variant_id").agg(F.min_by("size", "position").alias("size"))
-    return members.select("package_id", "variant_id").distinct().join(one, "variant_id", "left").groupBy("package_id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
+    return members.select("package_id", "variant_id").join(one, "variant_id", "left").groupBy("package_id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
 
 
 def glob_regex(glob: Column) -> Column:
-    """** crosses folders, * does not, ? is one character; all else is literal."""
-    x = F.regexp_replace(glob, r"([.\\+^$|(){}\[\]])", r"\\$1")
+    """** crosses folders, * does not; all else is literal."""
+    x = F.regexp_replace(glob, r"([.\\+^$|(){}\[\]?])", r"\\$1")
     x = F.replace(F.replace(x, F.lit("**"), F.lit("\u0001")), F.lit("*"), F.lit("[^/]*"))
-    return F.concat(F.lit("^"), F.replace(F.replace(x, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit(".*")), F.lit("$"))
+    return F.concat(F.lit("^"), F.replace(x, F.lit("\u0001"), F.lit(".*")), F.lit("$"))
 
 
-def check_sizes(variants: DataFrame, files: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """variant_id, actual, status from variants (variant_id, repo, globs, size) and files (repo, path, bytes); a file counts once."""
+def check_sizes(variants: DataFrame, files: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """variant_id, actual, status from variants (variant_id, repo, globs, size) and files (repo, path, bytes).
+
+    A file counts once, however many globs match it. A repo without files can't be reached; a variant without a declared
+    size isn't in the catalog; the tolerance is a share of the actual size.
+    """
     known = files.select("repo").distinct().withColumn("known", F.lit(True))
     g = variants.select("variant_id", "repo", F.explode("globs").alias("glob")).withColumn("rx", glob_regex(F.col("glob")))
     matched = g.join(files, "repo").where(F.expr("path rlike rx")).select("variant_id", "path", "bytes").distinct().groupBy("variant_id").agg(F.sum("bytes").alias("actual"))
     x = variants.select("variant_id", "repo", "size").join(known, "repo", "left").join(matched, "variant_id", "left")
-    status = F.when(F.col("known").isNull(), "not in catalog").when(F.col("actual").isNull(), "matches nothing").when(F.col("actual") == F.col("size"), "ok").when(F.abs(F.col("actual") - F.col("size")) <= tolerance * F.col("size"), "within tolerance").otherwise("mismatch")
+    off = F.abs(F.col("actual") - F.col("size"))
+    status = (
+        F.when(F.col("known").isNull(), "unreachable").when(F.col("size").isNull(), "not in catalog").when(F.col("actual").isNull(), "matches nothing").when(off == 0, "ok")
+        .when(F.lit(tolerance > 0) & (off <= tolerance * F.col("actual")), "within tolerance").otherwise("mismatch")
+    )
     return x.select("variant_id", F.coalesce("actual", F.lit(0)).alias("actual"), status.alias("status"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import running, shard_of
@@ -16,12 +15,16 @@ EMPTY = "You need to add some text for me to talk."
 REPLACED = [("...", ", "), ("…", ", "), (":", ","), (" - ", ", "), (";", ", "), ("—", "-"), ("–", "-"), (" ,", ","), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'")]
 ENDERS = [".", "!", "?", "-", ",", "、", "，", "。", "？", "！"]
 VOWELS = "аеёиоуыэюяАЕЁИОУЫЭЮЯ"
+#: What else than letters of the two alphabets, digits and white space is supported, and what no space stands before.
+SIGNS = "—.,!?:;\"'(){}[]«»„-"
+PUNCTUATION = "!\"#$%&'()*,./:;<=>?@[\\]^_`{|}"
+_SPACE = r"[\t\n\x0B\f\r\x85\p{Z}]"
 _WORD = r"[\p{L}\p{M}\p{N}_]"
 
 
 def punc_norm(text: Column) -> Column:
     x = F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
-    x = F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " "))
+    x = F.trim(F.regexp_replace(x, _SPACE + "+", " "))
     for a, b in REPLACED:
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.rtrim(x)
@@ -30,25 +33,41 @@ def punc_norm(text: Column) -> Column:
 
 
 def split_sentences(texts: DataFrame) -> DataFrame:
-    """id, idx, sentence, sep: cut at white space after . ! or ?; sep is that white space."""
-    space = r"(?<=[.!?])[ \t\n\r]+"
+    """id, idx, sentence, sep: cut at white space after . ! or ?; sep is that white space, so that all joined give the text."""
+    space = rf"(?<=[.!?]){_SPACE}+"
     x = texts.select("id", F.split("text", space).alias("s"), F.regexp_extract_all("text", F.lit(rf"({space})"), F.lit(1)).alias("w"))
-    return x.select("id", "w", F.posexplode("s").alias("idx", "sentence")).select("id", "idx", "sentence", F.coalesce(F.get("w", F.col("idx")), F.lit("")).alias("sep"))
+    # White space that ends a text ends its last sentence; nothing follows it.
+    return x.select("id", "w", F.posexplode("s").alias("idx", "sentence")).where("sentence <> ''").select("id", "idx", "sentence", F.coalesce(F.get("w", F.col("idx")), F.lit("")).alias("sep"))
 
 
 def split_words(sentences: DataFrame) -> DataFrame:
-    """id, idx, word, before: words (with + marks inside) and runs of signs, and the text before each."""
+    """id, idx, word, before, after: words (with + marks inside) and runs of signs, the text before each, and what follows the last."""
     word = rf"{_WORD}+(?:\+{_WORD}+)*|\+{_WORD}+(?:\+{_WORD}+)*|[^\p{{L}}\p{{M}}\p{{N}}_\s]+"
-    x = sentences.select("id", F.regexp_extract_all("sentence", F.lit(rf"(?s)(\s*)({word})"), F.lit(2)).alias("w"), F.regexp_extract_all("sentence", F.lit(rf"(?s)(\s*)({word})"), F.lit(1)).alias("b"))
-    return x.select("id", F.posexplode(F.arrays_zip("w", "b")).alias("idx", "z")).select("id", "idx", F.col("z.w").alias("word"), F.col("z.b").alias("before"))
+    parts = [F.regexp_extract_all("sentence", F.lit(rf"(?s)(\s*)({word})"), F.lit(k)).alias(n) for n, k in (("w", 2), ("b", 1))]
+    x = sentences.select("id", *parts, F.regexp_extract("sentence", r"(\s*)$", 1).alias("rest"))
+    x = x.select("id", "rest", F.size("w").alias("n"), F.posexplode(F.arrays_zip("w", "b")).alias("idx", "z"))
+    return x.select("id", "idx", F.col("z.w").alias("word"), F.col("z.b").alias("before"), F.when(F.col("idx") == F.col("n") - 1, F.col("rest")).otherwise("").alias("after"))
+
+
+def _class(signs: str) -> str:
+    return "".join("\\" + c if c in "\\[]^-" else c for c in signs)
+
+
+def supported(text: Column) -> Column:
+    """Without characters that the accent models don't know."""
+    return F.regexp_replace(text, rf"[^a-zA-Z0-9\sа-яА-ЯёЁ{_class(SIGNS)}]", "")
+
+
+def close_up(text: Column) -> Column:
+    """No space before punctuation and none around -; then ~ becomes -."""
+    x = F.regexp_replace(text, rf" ([{_class(PUNCTUATION)}])", "$1")
+    for a, b in ((" -", "-"), ("- ", "-"), (" -", "-"), ("~", "-")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
 
 
 def clean_text(text: Column) -> Column:
-    """Without unsupported characters; ~ is -; no space before punctuation and none around -."""
-    x = F.replace(text, F.lit("~"), F.lit("-"))
-    x = F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}\s.,!?:;\"'()+\-]", "")
-    x = F.regexp_replace(x, r"\s+([.,!?:;])", "$1")
-    return F.regexp_replace(x, r"\s*-\s*", "-")
+    return close_up(supported(text))
 
 
 def restore_accents(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -61,12 +80,18 @@ def restore_accents(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return x.select("id", "idx", F.when(F.col("accented").isNull() | F.contains(F.col("word"), F.lit("+")), F.col("word")).when(same, kept).otherwise(F.col("accented")).alias("word"))
 
 
-def homograph_candidates(words: DataFrame, homographs: DataFrame) -> DataFrame:
-    """id, idx, variant, context: one row for each variant of a known word, the word marked in its text."""
-    line = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("line"))
-    hit = words.join(homographs, F.lower("word") == F.col("plain")).join(line, "id")
-    context = F.array_join(F.transform("line", lambda s: F.when(s["idx"] == F.col("idx"), F.concat(F.lit("<w>"), s["word"], F.lit("</w>"))).otherwise(s["word"])), " ")
-    return hit.select("id", "idx", F.explode("variants").alias("variant"), context.alias("context"))
+def homograph_candidates(words: DataFrame, homographs: DataFrame, around: int = 50) -> DataFrame:
+    """id, idx, variant, context: one row for each variant of a known word, the word marked among `around` words on either side.
+
+    A hit reaches the words around it by its place, so what a long text costs grows with its hits.
+    """
+    hit = words.join(homographs, F.lower("word") == F.col("plain")).select("id", "idx", "variants")
+    block = F.floor(F.col("idx") / around)
+    near = hit.select("id", F.col("idx").alias("at"), "variants", F.explode(F.sequence(block - 1, block + 1)).alias("block"))
+    x = near.join(words.select("id", block.alias("block"), "idx", "word"), ["id", "block"]).where(F.abs(F.col("idx") - F.col("at")) <= around)
+    marked = F.when(F.col("idx") == F.col("at"), F.concat(F.lit("<w>"), "word", F.lit("</w>"))).otherwise(F.col("word"))
+    g = x.groupBy("id", F.col("at").alias("idx")).agg(F.first("variants").alias("variants"), F.array_sort(F.collect_list(F.struct("idx", marked.alias("word")))).alias("line"))
+    return g.select("id", "idx", F.explode("variants").alias("variant"), F.array_join(F.transform("line", lambda s: s["word"]), " ").alias("context"))
 
 
 def choose(scored: DataFrame) -> DataFrame:
@@ -79,72 +104,121 @@ def stress_marks(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, rf"\+([{VOWELS}])", "$1́"), F.lit("+"), F.lit(""))
 
 
-def group_words(words: DataFrame, longest: int = 3, shard: int = 10_000) -> DataFrame:
-    """id, grp, words: consecutive words alike but for +; runs of over three are cut into threes, or twos where one would be left."""
-    base = F.replace(F.lower("word"), F.lit("+"), F.lit(""))
-
-    x = words.withColumn("base", base)
+def group_words(words: DataFrame, special: DataFrame | None = None, shard: int = 10_000) -> DataFrame:
+    """id, grp, words: consecutive words alike but for +. Of runs of over three, those of special words (base) are cut into threes, and even ones into twos."""
+    x = words.withColumn("base", F.replace("word", F.lit("+"), F.lit("")))
     y = x.select("id", (F.col("idx") + 1).alias("idx"), F.col("base").alias("prior"))
     x = x.join(y, ["id", "idx"], "left").withColumn("new", (~F.col("base").eqNullSafe(F.col("prior"))).cast("long"))
     x = running(x, ["id"], ["idx"], shard_of("idx", shard), {"run": ("sum", "new", True)})
-    sizes = x.groupBy("id", "run").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    x = x.join(sizes, ["id", "run"])
-    place = F.col("idx") - F.col("first")
-    # A rest of one is avoided: the last four are two and two.
-    cut = F.when(F.col("n") <= longest, 0).when((F.col("n") % longest == 1) & (place >= F.col("n") - 4), F.floor((F.col("n") - 4) / longest) + F.floor((place - (F.col("n") - 4)) / 2)).otherwise(F.floor(place / longest))
-    x = x.withColumn("part", cut).groupBy("id", "run", "part").agg(F.min("idx").alias("grp"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("words"))
-    return x.select("id", "grp", "words")
+    sizes = x.groupBy("id", "run").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.first("base").alias("base"))
+    known = sizes.withColumn("special", F.lit(False)) if special is None else sizes.join(special.select("base", F.lit(True).alias("special")).distinct(), "base", "left")
+    step = F.when(F.col("n") <= 3, F.col("n")).when(F.coalesce("special", F.lit(False)), 3).when(F.col("n") % 2 == 0, 2).otherwise(F.col("n"))
+    x = x.drop("base").join(known.select("id", "run", "first", step.alias("step")), ["id", "run"])
+    x = x.withColumn("part", F.floor((F.col("idx") - F.col("first")) / F.col("step"))).groupBy("id", "run", "part")
+    return x.agg(F.min("idx").alias("grp"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("words")).select("id", "grp", "words")
+
+
+# ---------------------------------------------------------------- tokens
 
 
-def bpe(word: str, merges: dict[tuple[str, str], int]) -> list[str]:
-    """Pieces of a word: the merge of lowest rank first, leftmost on ties."""
+def bpe(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Pieces of a word: again and again, the known pair of lowest rank is merged wherever it stands."""
     parts = list(word)
-    while len(parts) > 1:
-        rank, i = min((merges.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
+    while True:
+        best = min((p for p in zip(parts, parts[1:], strict=False) if p in ranks), key=ranks.__getitem__, default=None)
+        if best is None:
+            return parts
+        merged: list[str] = []
+        for c in parts:
+            # The right half of a pair joins a left half that isn't yet part of one.
+            if merged and (merged[-1], c) == best:
+                merged[-1] = merged[-1] + c + "\0"
+            else:
+                merged.append(c)
+        parts = [m.rstrip("\0") for m in merged]
 
 
 def wordpiece(word: str, vocab: dict[str, int], unknown: str = "[UNK]", longest: int = 100) -> list[str]:
-    """Longest pieces from the left, ## before all but the first; unknown if a part isn't known or the word is too long."""
+    """Longest pieces from the left, ## before all but the first; a character that starts no piece is unknown by itself, as is a word that is too long."""
     if len(word) > longest:
         return [unknown]
     out, at = [], 0
     while at < len(word):
-        for end in range(len(word), at, -1):
-            piece = ("##" if at else "") + word[at:end]
-            if piece in vocab:
-                out.append(piece)
-                at = end
-                break
-        else:
-            return [unknown]
+        mark = "##" if at else ""
+        size = next((n for n in range(len(word) - at, 0, -1) if mark + word[at : at + n] in vocab), 0)
+        out.append(mark + word[at : at + size] if size else unknown)
+        at += size or 1
     return out
 
 
-def tokenize(texts: DataFrame, pieces_of, vocab: dict[str, int], unknown: str = "[UNK]") -> DataFrame:
-    """id, ids: lower-cased, NFKD-normalised words cut by pieces_of; each different word of the corpus is cut once."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((pieces_of, vocab))
+def _cut_once(words: DataFrame, pieces_of, vocab: dict[str, int], unknown: str) -> DataFrame:
+    """word, ids: each different word is cut once, in Python, from a vocabulary that goes to every worker once."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces_of, vocab))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, known = shared.value
         for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [[known.get(p, known.get(unknown, 0)) for p in f(unicodedata.normalize("NFKD", w))] for w in pdf["word"]]})
-
-    words = texts.select("id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))).alias("idx", "word"))
-    distinct = words.select("word").distinct().mapInPandas(cut, "word string, ids array<int>")
-    x = words.join(distinct, "word").groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return texts.select("id").join(x, "id", "left").select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def framed(ids: Column, cls: int, sep: int, pad: int, longest: int) -> Column:
-    """ids between cls and sep, cut so that sep stays, padded; with mask."""
-    x = F.concat(F.array(F.lit(cls)), F.slice(ids, 1, longest - 2), F.array(F.lit(sep)))
-    n = F.size(x)
-    return F.struct(F.concat(x, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), longest - n))).alias("ids"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(0), longest - n))).alias("mask"))
+            yield pd.DataFrame({"word": pdf["word"], "ids": [[known.get(p, known.get(unknown, 0)) for p in f(w)] for w in pdf["word"]]})
+
+    return words.select("word").distinct().mapInPandas(cut, "word string, ids array<int>")
+
+
+def tokenize_bpe(texts: DataFrame, vocab: dict[str, int], ranks: dict[tuple[str, str], int], special: list[str], unknown: str = "[UNK]", lang: str | None = None, lower: bool = True, nfkd: bool = True) -> DataFrame:
+    """id, ids, n: lower case, NFKD, [lang] before and [SPACE] for each space; special tokens stay whole, what is between them is merged by rank."""
+
+    @F.pandas_udf("string")
+    def plain(text: pd.Series) -> pd.Series:
+        text = text.str.lower() if lower else text
+        return text.str.normalize("NFKD") if nfkd else text
+
+    prefix = F.lit(f"[{lang.lower()}]" if lang else "")
+    x = texts.select("id", F.concat(prefix, F.replace(plain(F.coalesce("text", F.lit(""))), F.lit(" "), F.lit("[SPACE]"))).alias("text"))
+    names = "|".join("".join(c if c.isalnum() else "\\" + c for c in t) for t in sorted(special, key=len, reverse=True))
+    pieces = F.filter(F.split("text", f"(?={names})|(?<={names})") if special else F.array("text"), lambda p: p != "")
+    words = x.select("id", F.posexplode(pieces).alias("idx", "word"))
+    whole, shared = F.col("word").isin(special), lambda w: bpe(w, ranks)
+    ids = _cut_once(words.where(~whole), shared, vocab, unknown)
+    own = F.create_map(*[F.lit(y) for t in special for y in (t, vocab.get(t, vocab.get(unknown, 0)))]) if special else None
+    cut = words.join(ids, "word", "left").withColumn("ids", F.coalesce("ids", F.array(own[F.col("word")])) if special else F.col("ids"))
+    y = cut.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda s: s["ids"])).alias("ids"))
+    return texts.select("id").join(y, "id", "left").select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).withColumn("n", F.size("ids"))
+
+
+def _pieces(texts: DataFrame, column: str, vocab: dict[str, int], unknown: str) -> DataFrame:
+    """id, ids, offsets (start, end, is_subword) of the words of a column; spaces part words."""
+    w = Window.partitionBy("id").orderBy("idx")
+    x = texts.select("id", F.posexplode(F.split(F.coalesce(column, F.lit("")), " ")).alias("idx", "own"))
+    # Where a word starts follows from the lengths before it.
+    x = x.withColumn("start", (F.coalesce(F.sum(F.length("own") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).where("own <> ''").withColumn("word", F.lower("own"))
+    known = _cut_once(x, lambda t: wordpiece(t, vocab, unknown), vocab, unknown)
+    end = (F.col("start") + F.length("own")).cast("int")
+    offsets = F.transform("ids", lambda _, i: F.struct(F.col("start").alias("start"), end.alias("end"), (i > 0).alias("is_subword")))
+    y = x.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", offsets.alias("offsets")))).alias("all"))
+    return y.select("id", F.flatten(F.transform("all", lambda s: s["ids"])).alias("ids"), F.flatten(F.transform("all", lambda s: s["offsets"])).alias("offsets"))
+
+
+def tokenize_wordpiece(texts: DataFrame, vocab: dict[str, int], longest: int, unknown: str = "[UNK]") -> DataFrame:
+    """id, ids, mask, type_ids, offsets of texts (id, text, and pair, if there is one).
+
+    CLS, the text's pieces, SEP, and the pair's with SEP (type 1); cut to `longest` with a SEP at the end, or padded. Offsets
+    are those of the text's words, one for each piece, whatever was cut.
+    """
+    cls, sep, pad = vocab.get("[CLS]", 101), vocab.get("[SEP]", 102), vocab.get("[PAD]", 0)
+    none = F.array().cast("array<int>")
+    x = texts.select("id").join(_pieces(texts, "text", vocab, unknown), "id", "left")
+    first = F.concat(F.array(F.lit(cls)), F.coalesce("ids", none), F.array(F.lit(sep)))
+    second = none
+    if "pair" in texts.columns:
+        pair = texts.select("id", "pair").join(_pieces(texts, "pair", vocab, unknown).select("id", F.col("ids").alias("more")), "id", "left").where("pair IS NOT NULL")
+        x = x.join(pair.select("id", F.concat(F.coalesce("more", none), F.array(F.lit(sep))).alias("second")), "id", "left")
+        second = F.coalesce("second", none)
+    x = x.select("id", first.alias("first"), second.alias("second"), F.coalesce("offsets", F.array().cast("array<struct<start:int,end:int,is_subword:boolean>>")).alias("offsets"))
+    whole = F.concat("first", "second")
+    n = F.least(F.size(whole), F.lit(longest))
+    kept = F.when(F.size(whole) > longest, F.concat(F.slice(whole, 1, longest - 1), F.array(F.lit(sep)))).otherwise(whole)
+    fill = F.greatest(F.lit(0), longest - n)
+    types = F.slice(F.concat(F.array_repeat(F.lit(0), F.size("first")), F.array_repeat(F.lit(1), F.size("second"))), 1, longest)
+    return x.select("id", F.concat(kept, F.array_repeat(F.lit(pad), fill)).alias("ids"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)).alias("mask"), F.concat(types, F.array_repeat(F.lit(0), fill)).alias("type_ids"), "offsets")
 
 
 def translate_batch(texts: DataFrame, source: str, target: str, fn, pairs: set[tuple[str, str]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join, route_model, shared, slot_of
@@ -86,7 +86,7 @@ def gaps(vad: DataFrame, recordings: DataFrame, shard: int = HOUR) -> DataFrame:
 def speech_share(vad: DataFrame, recordings: DataFrame) -> DataFrame:
     said = vad.groupBy("rec").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
     x = recordings.join(said, "rec", "left").select("rec", "total_ms", F.coalesce("speech_ms", F.lit(0)).alias("speech_ms"))
-    return x.withColumn("pct", F.when(F.col("total_ms") > 0, F.round(100 * F.col("speech_ms") / F.col("total_ms"), 6)).otherwise(0.0))
+    return x.withColumn("pct", F.when(F.col("total_ms") > 0, 100 * F.col("speech_ms") / F.col("total_ms")).otherwise(0.0))
 
 
 def attribute_words(words: DataFrame, turns: DataFrame, bucket: int = 10_000) -> DataFrame:
@@ -109,26 +109,29 @@ def uncertain(attributed: DataFrame) -> DataFrame:
 
 def talk_time(attributed: DataFrame) -> DataFrame:
     """Words and their time by recording and speaker."""
-    return attributed.groupBy("rec", "speaker").agg(F.count("*").alias("n_words"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return attributed.groupBy("rec", "speaker").agg(F.count("*").alias("n_words"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.avg("confidence").alias("confidence"))
 
 
 def dominant_speaker(track_turns: DataFrame) -> DataFrame:
     """track, speaker, conf: who talks longest in a track (ties: smallest id), and the share."""
     each = track_turns.groupBy("track", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
     x = each.groupBy("track").agg(F.min(F.struct((-F.col("ms")).alias("less"), "speaker")).alias("best"), F.sum("ms").alias("all_ms"))
-    return x.select("track", F.col("best.speaker").alias("speaker"), F.when(F.col("all_ms") > 0, F.round(-F.col("best.less") / F.col("all_ms"), 6)).otherwise(0.0).alias("conf"))
+    return x.select("track", F.col("best.speaker").alias("speaker"), F.when(F.col("all_ms") > 0, -F.col("best.less") / F.col("all_ms")).otherwise(0.0).alias("conf"))
 
 
 def identify_slot(frame_probs: DataFrame) -> DataFrame:
     """track, slot, conf, probs from frames (track, probs array): mean per slot, the first largest."""
-    means = frame_probs.select("track", F.posexplode("probs").alias("slot", "p")).groupBy("track", "slot").agg(F.round(F.avg("p"), 6).alias("p"))
+    means = frame_probs.select("track", F.posexplode("probs").alias("slot", "p")).groupBy("track", "slot").agg(F.avg("p").alias("p"))
     x = means.groupBy("track").agg(F.max(F.struct("p", (-F.col("slot")).alias("minus"))).alias("best"), F.array_sort(F.collect_list(F.struct("slot", "p"))).alias("all"))
     return x.select("track", (-F.col("best.minus")).alias("slot"), F.col("best.p").alias("conf"), F.transform("all", lambda s: s["p"]).alias("probs"))
 
 
 def order_tracks(tracks: DataFrame) -> DataFrame:
-    """Each track's place in its recording, by slot, those without one last."""
-    return tracks.withColumn("place", F.row_number().over(Window.partitionBy("rec").orderBy(F.coalesce("slot", F.lit(999)), "track")))
+    """Each track's place in its recording, by slot, those without one (999) last: the tracks of its slot before it, and of all smaller slots."""
+    x = tracks.withColumn("__slot", F.coalesce("slot", F.lit(999)))
+    # A slot is a shard, so only tracks of one slot are sorted together.
+    nth = running(x, ["rec"], ["track"], F.col("__slot"), {"place": ("sum", F.lit(1).cast("long"), True)})
+    return nth.withColumn("place", F.col("place").cast("int")).drop("__slot")
 
 
 def map_slots(tracks: DataFrame, turns: DataFrame) -> DataFrame:

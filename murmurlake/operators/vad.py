@@ -1,12 +1,15 @@
-"""Speech activity: segments from frame probabilities, masks, trimming, gating."""
+"""Speech activity: segments from frame probabilities, masks, trimming, gating, processing of speech alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join
 from ..functions.windows import islands, running, shard_of
+from .signals import cutout, keys, lengths, reblock, slice_frames
 
 FRAME_MS = 256
 MASK_MS = 17
@@ -21,11 +24,11 @@ def segments_from_probs(frames: DataFrame, threshold: float = 0.5, min_speech: i
 
 
 def frame_mask(frames: DataFrame, durations: DataFrame, threshold: float = 0.5, frame_ms: int = FRAME_MS, mask_ms: int = MASK_MS) -> DataFrame:
-    """rec, i, speech: decisions by frame on a finer grid of duration_ms / mask_ms steps; start inclusive, end exclusive."""
+    """rec, i, speech: decisions by frame on a finer grid of duration_ms / mask_ms steps; start inclusive, end exclusive, so frames never meet."""
     hot = frames.where(F.col("prob") >= threshold).join(durations, "rec")
     n = F.floor(F.col("duration_ms") / mask_ms)
     a, b = F.floor(F.col("frame") * frame_ms / mask_ms), F.least(F.floor((F.col("frame") + 1) * frame_ms / mask_ms), n)
-    return hot.where(b > a).select("rec", F.explode(F.sequence(a, b - 1)).alias("i")).distinct()
+    return hot.where(b > a).select("rec", F.explode(F.sequence(a, b - 1)).alias("i"))
 
 
 def speech_bounds(vad: DataFrame, recordings: DataFrame, pad: int = 10) -> DataFrame:
@@ -36,22 +39,91 @@ def speech_bounds(vad: DataFrame, recordings: DataFrame, pad: int = 10) -> DataF
     return x.select("rec", F.when(some, F.col("a")).otherwise(F.lit(0)).alias("start_ms"), F.when(some, F.least(F.col("b") + pad, F.col("total_ms"))).otherwise(F.col("total_ms")).alias("end_ms"))
 
 
+def trim_by_segments(signals: DataFrame, vad: DataFrame, rate: int, pad: int = 10) -> DataFrame:
+    """signals from the first speech start to the last speech end and `pad` ms; unchanged where there is no speech."""
+    total = lengths(signals).withColumn("total_ms", F.col("n") * 1000 / rate)
+    cut = speech_bounds(vad, total.select("rec", "total_ms").groupBy("rec").agg(F.max("total_ms").alias("total_ms")), pad)
+    frame = lambda c: F.floor(F.col(c) * rate / 1000).cast("long")
+    return slice_frames(signals, cut.select("rec", frame("start_ms").alias("lo"), frame("end_ms").alias("hi")))
+
+
+def trim_to_speech(signals: DataFrame, mask: DataFrame, rate: int, mask_ms: int = MASK_MS) -> tuple[DataFrame, DataFrame]:
+    """signals from the first to the last frame of the mask (rec, i: frames with speech) and the mask between, from 0.
+
+    Where no frame has speech, or what is left would be empty, the signal stays and all of its frames are in the mask.
+    """
+    n = lengths(signals).groupBy("rec").agg(F.max("n").alias("n"))
+    ends = mask.groupBy("rec").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    lo = F.greatest(F.lit(0), F.floor(F.col("a") * mask_ms * rate / 1000)).cast("long")
+    hi = F.least(F.col("n"), F.floor((F.col("b") + 1) * mask_ms * rate / 1000)).cast("long")
+    x = n.join(ends, "rec", "left").withColumn("some", F.coalesce(lo < hi, F.lit(False)))
+    x = x.select("rec", "a", "b", "n", "some", F.when(F.col("some"), lo).otherwise(F.lit(0)).alias("lo"), F.when(F.col("some"), hi).otherwise(F.col("n")).alias("hi"))
+    kept = mask.join(x.where("some").select("rec", "a"), "rec").select("rec", (F.col("i") - F.col("a")).alias("i"))
+    every = x.where("NOT some").select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor(F.col("n") * 1000 / rate / mask_ms) - 1))).alias("i"))
+    return slice_frames(signals, x), kept.unionByName(every)
+
+
 def resample_mask(mask: Column, n: Column) -> Column:
     """The nearest of mask's values for each of n places."""
     size = F.size(mask)
     return F.when((n > 0) & (size > 0), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(mask, F.least(F.floor(i * size / n).cast("int"), size - 1)))).otherwise(F.slice(mask, 1, 0))
 
 
-def gate_chunks(chunks: DataFrame, vad: DataFrame, target: int = 160_000, frames: int = 4096) -> DataFrame:
+def gate_chunks(chunks: DataFrame, vad: DataFrame, target: int = 160_000, frames: int = 4096, shard: int = 10_000) -> DataFrame:
     """Chunks (rec, chunk_idx, start_ms, end_ms) that overlap speech, with the batch of about `target` samples each is in."""
     met = interval_join(chunks, vad.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"])
     kept = chunks.join(met.select("rec", "chunk_idx").distinct(), ["rec", "chunk_idx"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("rec").orderBy("chunk_idx")) - 1
-    return kept.withColumn("batch_id", F.floor(nth / -(-target // frames)))
-
-
-def concat_ranges(frames: DataFrame, ranges: DataFrame, frame_ms: int = FRAME_MS) -> DataFrame:
-    """rec, n, frame of the frames within ranges, renumbered without the gaps."""
-    x = frames.withColumn("start_ms", F.col("frame") * frame_ms).withColumn("end_ms", (F.col("frame") + 1) * frame_ms)
-    met = interval_join(x, ranges.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"]).select("rec", "frame", "x").distinct()
-    return running(met, ["rec"], ["frame"], shard_of("frame", 100_000), {"n": ("sum", F.lit(1), False)}).select("rec", F.col("n").cast("long").alias("n"), "frame", "x")
+    nth = running(kept, ["rec"], ["chunk_idx"], shard_of("chunk_idx", shard), {"nth": ("sum", F.lit(1).cast("long"), False)})
+    return nth.withColumn("batch_id", F.floor(F.coalesce("nth", F.lit(0)) / -(-target // frames))).drop("nth")
+
+
+def concat_ranges(signals: DataFrame, ranges: DataFrame, rate: int, size: int = 48_000) -> DataFrame:
+    """One signal of what lies within ranges (rec, start_ms, end_ms; they don't overlap), in order, without the gaps."""
+    own = keys(signals)
+    frame = lambda c: F.floor(F.col(c) * rate / 1000).cast("long")
+    r = ranges.select("rec", frame("start_ms").alias("lo"), frame("end_ms").alias("hi"))
+    end = F.col("start_frame") + F.size("samples")
+    # Every block meets the ranges in the buckets of a block's length that it touches, so no signal is one group.
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor((b - 1) / size)))
+    r = r.where("hi > lo").withColumn("bucket", span(F.col("lo"), F.col("hi")))
+    x = reblock(signals, size).withColumn("bucket", span(F.col("start_frame"), end)).join(r, ["rec", "bucket"])
+    a, b = F.greatest("start_frame", "lo"), F.least(end, F.col("hi"))
+    parts = x.where(b > a).select(*own, F.col("block_idx").alias("at_block"), a.alias("a"), cutout("samples", (a - F.col("start_frame") + 1).cast("int"), (b - a).cast("int")).alias("samples"))
+    placed = running(parts.withColumn("size", F.size("samples").cast("long")), own, ["a"], F.col("at_block"), {"start_frame": ("sum", "size", False), "block_idx": ("sum", F.lit(1).cast("long"), False)})
+    return placed.select(*own, F.coalesce("block_idx", F.lit(0)).alias("block_idx"), F.coalesce("start_frame", F.lit(0)).alias("start_frame"), "samples")
+
+
+def process_gated(signals: DataFrame, vad: DataFrame, rate: int, fn: Callable[[DataFrame], DataFrame], size: int = 48_000) -> DataFrame:
+    """signals with speech put through fn, the rest as it was.
+
+    fn takes and returns signals whose KEYS tell segments apart: a segment is an output_idx of its own, from frame 0, and
+    fn keeps its length. Segments (rec, start_ms, end_ms) don't overlap. What fn returns is put back where it came from.
+    """
+    own = [k for k in keys(signals) if k != "output_idx"]
+    frame = lambda c: F.floor(F.col(c) * rate / 1000).cast("long")
+    r = vad.select("rec", frame("start_ms").alias("lo"), frame("end_ms").alias("hi")).where("hi > lo")
+    done = fn(_segments(signals.drop("output_idx"), r))
+    put = done.select(*own, (F.col("start_frame") + F.col("output_idx")).alias("start_frame"), "samples")
+    # A frame that was processed takes the place of the one that was there: later parts of a block win.
+    old = reblock(signals, size).select(*own, "block_idx", "start_frame", "samples")
+    new = reblock(put.withColumn("block_idx", F.lit(0)), size).select(*own, "block_idx", F.col("start_frame").alias("at"), F.col("samples").alias("new"))
+    mask = _covered(put, size, own)
+    g = old.join(new, [*own, "block_idx"], "left").join(mask, [*own, "block_idx"], "left")
+    place = lambda i: F.col("start_frame") + i
+    inside = lambda i: F.exists("spans", lambda s: (s["a"] <= place(i)) & (place(i) < s["b"]))
+    merged = F.transform("samples", lambda x, i: F.when(inside(i), F.get("new", (place(i) - F.col("at")).cast("int"))).otherwise(x))
+    return g.select(*own, "block_idx", "start_frame", F.when(F.col("spans").isNull(), F.col("samples")).otherwise(merged).alias("samples"))
+
+
+def _segments(signals: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each range of a signal as a signal of its own, told apart by where it starts."""
+    x = signals.join(ranges, "rec")
+    a, b = F.greatest("start_frame", "lo"), F.least(F.col("start_frame") + F.size("samples"), F.col("hi"))
+    return x.where(b > a).select(*keys(signals), F.col("lo").alias("output_idx"), "block_idx", (a - F.col("lo")).alias("start_frame"), cutout("samples", (a - F.col("start_frame") + 1).cast("int"), (b - a).cast("int")).alias("samples"))
+
+
+def _covered(parts: DataFrame, size: int, own: list[str]) -> DataFrame:
+    """By block, the spans of frames that parts hold."""
+    end = F.col("start_frame") + F.size("samples")
+    x = parts.where(F.size("samples") > 0).withColumn("block_idx", F.explode(F.sequence(F.floor(F.col("start_frame") / size), F.floor((end - 1) / size))))
+    return x.groupBy(*own, "block_idx").agg(F.collect_list(F.struct(F.col("start_frame").alias("a"), end.alias("b"))).alias("spans"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,38 +45,34 @@ def merge_token_windows(windows: DataFrame, overlap_sec: float, rate: float) ->
 def word_labels(pieces: DataFrame, labels: list[str], shard: int = 10_000) -> DataFrame:
     """rec, word_no, label: scores of a word's pieces (rec, idx, is_subword, scores) averaged; the first largest class."""
     x = running(pieces, ["rec"], ["idx"], shard_of("idx", shard), {"word_no": ("sum", (~F.col("is_subword")).cast("long"), True)})
-    mean = x.select("rec", "word_no", F.posexplode("scores").alias("k", "p")).groupBy("rec", "word_no", "k").agg(F.round(F.avg("p"), 9).alias("p"))
+    mean = x.select("rec", "word_no", F.posexplode("scores").alias("k", "p")).groupBy("rec", "word_no", "k").agg(F.avg("p").alias("p"))
     best = mean.groupBy("rec", "word_no").agg(F.min(F.struct((-F.col("p")).alias("less"), "k")).alias("b"))
     return best.select("rec", "word_no", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("b.k") + 1).alias("label"))
 
 
-def word_times(phones: DataFrame) -> DataFrame:
-    """utt, idx, start, end (seconds) of tokens (utt, idx, phones, is_space) with durations (utt, durations).
+def word_times(tokens: DataFrame, durations: DataFrame) -> DataFrame:
+    """utt, idx, start, end (seconds) of tokens (utt, idx, phones, is_space) by the durations of their phones (utt, durations).
 
-    Counted in half frames of 1/80 s: a word's end is twice its phones' durations on, and the space after it falls to both
-    sides; the first duration loses 3, at least 0 stays; scanning stops when durations run out. One utterance is one row of
-    arrays, so the scan is over the batch's rows.
+    Times are in half frames of 1/80 s. Durations are a leading one, one for each phone and for the space after a token, and
+    a closing one. A token ends twice its phones' durations and once its space's after the clock, which then moves on by
+    twice both; it starts where the token before it ended. The clock starts at twice the leading duration less 3, 0 at
+    least. A token without phones (null) is no row; if a space follows, the clock takes in that space and two durations are
+    used up. The first token that durations don't suffice for ends the utterance; utterances of under three have no times.
     """
-
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for utt, tokens, durations in zip(pdf["utt"], pdf["tokens"], pdf["durations"], strict=True):
-                d, at = list(durations), 1
-                left = right = 2 * max(0, (d[0] if d else 0) - 3)
-                for i, t in enumerate(tokens):
-                    if at >= len(d) - 1:
-                        break
-                    if not (t["phones"] or "").strip():
-                        at += 2
-                        continue
-                    n = len(t["phones"])
-                    space = d[at + n] if t["is_space"] and at + n < len(d) else 0
-                    start, left = left / 80, right + 2 * sum(d[at : at + n]) + space
-                    out.append((utt, i, start, left / 80))
-                    right, at = left + space, at + n + bool(t["is_space"])
-                    left = right if t["is_space"] else left
-            yield pd.DataFrame(out, columns=["utt", "idx", "start", "end"])
-
-    rows = phones.groupBy("utt").agg(F.first("durations").alias("durations"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "phones", "is_space"))), lambda s: F.struct(s["phones"].alias("phones"), s["is_space"].alias("is_space"))).alias("tokens"))
-    return rows.mapInPandas(scan, "utt long, idx int, start double, end double")
+    by = Window.partitionBy("utt").orderBy("idx")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    n, space = F.length("phones"), F.col("is_space").cast("int")
+    silent = F.col("phones").isNull()
+    x = tokens.join(durations, "utt").where(F.size("durations") >= 3)
+    x = x.withColumn("i", (1 + F.coalesce(F.sum(F.when(silent, 2 * space).otherwise(n + space)).over(before), F.lit(0))).cast("int"))
+    size, j = F.size("durations"), F.col("i") + F.coalesce(n, F.lit(0))
+    x = x.withColumn("over", (F.col("i") >= size - 1) | (~silent & (j >= size))).withColumn("over", F.max("over").over(by)).where("NOT over")
+    said = F.aggregate(F.slice("durations", F.col("i") + 1, F.coalesce(n, F.lit(0))), F.lit(0.0), lambda a, d: a + d)
+    rest = F.when(F.col("is_space"), F.coalesce(F.get("durations", F.when(silent, F.col("i") + 1).otherwise(j)), F.lit(0.0))).otherwise(0.0)
+    x = x.withColumn("said", F.when(silent, 0.0).otherwise(said)).withColumn("rest", rest.cast("double"))
+    first = 2 * F.greatest(F.lit(0.0), F.col("durations")[0] - 3)
+    clock = first + F.coalesce(F.sum(2 * (F.col("said") + F.col("rest"))).over(before), F.lit(0.0))
+    x = x.withColumn("clock", clock).withColumn("left", F.col("clock") + 2 * F.col("said") + F.col("rest"))
+    # Tokens without phones and space leave everything as it is.
+    x = x.where(~silent | F.col("is_space")).withColumn("start", F.coalesce(F.lag("left").over(by), F.col("clock")))
+    return x.where(~silent).select("utt", "idx", (F.col("start") / 80).alias("start"), (F.col("left") / 80).alias("end"))

@@ -14,33 +14,39 @@ SIGNALS = "rec string, channel int, sample_rate int, block_idx long, start_frame
 MAX_SECONDS = 3600
 
 
+#: (format tag, bits of a sample) -> numpy type and what a sample is divided by.
+_ENCODINGS = {(1, 16): ("<i2", 32768.0), (3, 32): ("<f4", 1.0)}
+_EXTENSIBLE = 0xFFFE
+
+
+def _riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Names and bodies of a RIFF file's chunks, which start at even places."""
+    view = data[12:]
+    while len(view) >= 8:
+        name, size = struct.unpack_from("<4sI", view)
+        yield name, view[8 : 8 + size]
+        view = view[8 + size + (size & 1) :]
+
+
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and samples (frames x channels) of PCM16 or float32; ValueError for anything else."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, fmt, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-        chunk = data[at + 8 : at + 8 + size]
-        if name == b"fmt ":
-            fmt = struct.unpack("<HHIIHH", chunk[:16])
-            if fmt[0] == 0xFFFE and len(chunk) >= 26:
-                fmt = (struct.unpack("<H", chunk[24:26])[0], *fmt[1:])
-        elif name == b"data":
-            body = chunk
-        at += 8 + size + size % 2
-    if fmt is None or body is None:
+    parts = dict(_riff_chunks(data))
+    if b"fmt " not in parts or b"data" not in parts or len(parts[b"fmt "]) < 16:
         raise ValueError("no format or no data")
-    kind, channels, rate, _, _, bits = fmt
+    tag, channels, rate, bits = struct.unpack("<HHI6xH", parts[b"fmt "][:16])
+    if tag == _EXTENSIBLE and len(parts[b"fmt "]) >= 26:
+        (tag,) = struct.unpack_from("<H", parts[b"fmt "], 24)
     if not channels or not rate:
         raise ValueError("no channels or no rate")
-    if (kind, bits) == (1, 16):
-        x = np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype(np.float32) / 32768
-    elif (kind, bits) == (3, 32):
-        x = np.frombuffer(body[: len(body) // 4 * 4], "<f4")
-    else:
+    if (tag, bits) not in _ENCODINGS:
         raise ValueError("neither PCM16 nor float32")
-    return rate, x[: len(x) // channels * channels].reshape(-1, channels)
+    kind, full = _ENCODINGS[tag, bits]
+    frame = np.dtype(kind).itemsize * channels
+    body = parts[b"data"]
+    x = np.frombuffer(body, kind, len(body) // frame * channels)
+    return rate, (x / full).astype(np.float32).reshape(-1, channels)
 
 
 def encode_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -52,8 +58,9 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, n, rate, rate * n * 4, n * 4, 32) + b"data" + struct.pack("<I", len(body)) + body
 
 
-def read_wav(spark: SparkSession, path: str, block_frames: int = 48_000) -> DataFrame:
-    """Planar blocks of each file's channels; a file that can't be read is one row whose status says why."""
+def decode_files(files: DataFrame, block_frames: int = 48_000) -> DataFrame:
+    """Planar blocks of the channels of files (path, content); a file that can't be read is one row whose status says why."""
+    names = [c.split()[0] for c in SIGNALS.split(", ")]
 
     def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -61,13 +68,18 @@ def read_wav(spark: SparkSession, path: str, block_frames: int = 48_000) -> Data
                 try:
                     rate, x = decode_wav(data)
                 except ValueError as why:
-                    yield pd.DataFrame([(name, None, None, None, None, None, None, str(why))], columns=[c.split()[0] for c in SIGNALS.split(", ")])
+                    yield pd.DataFrame([(name, None, None, None, None, None, None, str(why))], columns=names)
                     continue
                 for k in range(0, len(x), block_frames):
                     part = x[k : k + block_frames]
                     yield pd.DataFrame({"rec": name, "channel": np.arange(x.shape[1], dtype=np.int32), "sample_rate": rate, "block_idx": k // block_frames, "start_frame": k, "n_frames": len(part), "samples": [part[:, c] for c in range(x.shape[1])], "status": "ok"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(blocks, SIGNALS)
+    return files.select("path", "content").mapInPandas(blocks, SIGNALS)
+
+
+def read_wav(spark: SparkSession, path: str, block_frames: int = 48_000) -> DataFrame:
+    """decode_files of what lies under path."""
+    return decode_files(spark.read.format("binaryFile").load(path), block_frames)
 
 
 def split_ingest(signals: DataFrame, max_sec: float = MAX_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -79,13 +91,15 @@ def split_ingest(signals: DataFrame, max_sec: float = MAX_SECONDS) -> tuple[Data
 
 
 def to_wav(signals: DataFrame) -> DataFrame:
-    """rec, content: one file for each recording (a file is one row by nature)."""
+    """rec, content: one file for each recording (a file is one row by nature); channels that end earlier are silent from there on."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         by = [np.concatenate(g.sort_values("start_frame")["samples"].tolist()) for _, g in pdf.groupby("channel")]
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [encode_wav(np.stack(by, axis=1), int(pdf["sample_rate"].iloc[0]))]})
+        longest = max(map(len, by))
+        planes = np.stack([np.pad(x, (0, longest - len(x))) for x in by], axis=1)
+        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [encode_wav(planes, int(pdf["sample_rate"].iloc[0]))]})
 
-    return signals.where("status = 'ok' AND n_frames > 0").groupBy("rec").applyInPandas(make, "rec string, content binary")
+    return signals.where("status = 'ok' AND n_frames > 0").groupBy("rec").applyInPandas(make, f"rec {signals.schema['rec'].dataType.simpleString()}, content binary")
 
 
 def write_wav(signals: DataFrame, path: str) -> None:
