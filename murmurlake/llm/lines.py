@@ -36,7 +36,7 @@ _FIELD = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each line that is long enough: its leaf, itself with fields generalised, and two bytes for each word."""
+    """A row for each line that is long enough: its leaf, itself with fields generalised, and two bytes for each word after the leading ones."""
     for rows, texts in chunks(batches):
         split = [t.split(b"\n") for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(x) for x in split])
@@ -60,7 +60,7 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
                 there = words.counts[long_] > d
                 leaf[there] = mix(leaf[there] + h[start[there] + d] * factors(DEPTH, SEED)[d])
         each = (h >> np.uint64(40)).astype("<u2").tobytes()
-        sign = [each[2 * a : 2 * b] for a, b in zip(start.tolist(), words.offsets[long_ + 1].tolist(), strict=True)]
+        sign = [each[2 * a + 2 * DEPTH : 2 * b] for a, b in zip(start.tolist(), words.offsets[long_ + 1].tolist(), strict=True)]
         own = of[long_]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows["doc_id"].to_numpy()[own]), pa.array(rows["th"].to_numpy()[own]), pa.array(number[long_].astype(np.int32)), pa.array(leaf.astype(np.int64)), pa.array(mix(whole[long_]).astype(np.int64)), pa.array(sign, pa.binary())],
@@ -70,16 +70,16 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 def templates(group: pa.Table) -> pa.Table:
     """The template of each different line of a bucket of leaves."""
-    leaf, whole, n, doc, th, line = (group[c].to_numpy() for c in ("leaf", "whole", "n", "doc_id", "th", "line"))
+    leaf, whole, n, doc, line = (group[c].to_numpy() for c in ("leaf", "whole", "n", "doc_id", "line"))
     sign = group["sign"].to_pylist()
     size = np.fromiter(map(len, sign), np.int64, len(sign))
-    order = np.lexsort((line, th, doc, -n, size, leaf))
+    order = np.lexsort((whole, line, doc, -n, size, leaf))
     leaf, whole, size, sign = leaf[order], whole[order], size[order], [sign[i] for i in order.tolist()]
     of = np.arange(len(order))
     first = np.flatnonzero((np.diff(leaf, prepend=leaf[0] - 1) != 0) | (np.diff(size, prepend=-1) != 0))
     ends = np.append(first[1:], len(order))
     for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
-        rest = np.frombuffer(b"".join(sign[a:b]), "<u2").reshape(b - a, -1)[:, DEPTH:]
+        rest = np.frombuffer(b"".join(sign[a:b]), "<u2").reshape(b - a, -1)
         left = np.arange(b - a)
         while len(left):
             alike = (rest == rest[0]).sum(axis=1) >= SIMILAR * rest.shape[1]
@@ -95,7 +95,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_words: int
     lines = cut(docs.mapInArrow(lambda it: line_rows(it, max(1, min_words)), "doc_id long, th long, line int, leaf long, whole long, sign binary"))
     often = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf")
     lines = lines.join(often, "leaf", "left_semi")
-    different = lines.groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "line")).alias("first")).select("leaf", "whole", "sign", "n", "first.*")
+    different = lines.groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).select("leaf", "whole", "sign", "n", "first.*")
     buckets = buckets_for(text_bytes(docs))
     template = different.groupBy(F.pmod(F.col("leaf"), F.lit(buckets)).alias("bucket")).applyInArrow(templates, "leaf long, whole long, template long")
     placed = lines.select("doc_id", "th", "line", "leaf", "whole").join(template, ["leaf", "whole"]).select("doc_id", "th", "line", "template")
