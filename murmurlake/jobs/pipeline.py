@@ -48,9 +48,33 @@ class Pipeline:
     def enhance(self, fn) -> Pipeline:
         return self.then("enhance", ("signals",), ("signals",), fn)
 
+    def analyze(self, fn) -> Pipeline:
+        return self.then("analyze", ("signals",), ("analysis",), fn)
+
+    def classify(self, fn) -> Pipeline:
+        return self.then("classify", ("signals",), ("sounds",), fn)
+
     def separate(self, fn) -> Pipeline:
         return self.then("separate", ("signals", "turns"), ("tracks",), fn)
 
+    def separate_overlap(self, fn) -> Pipeline:
+        """fn over what lies in ranges with several speakers (signals, ranges with a model each); ranges no model fits are left out."""
+        from ..operators import timeline as t
+
+        def run(signals: DataFrame, turns: DataFrame) -> DataFrame:
+            ranges = t.routed(t.range_speakers(t.overlapping_ranges(turns), turns)).where("model IS NOT NULL")
+            return fn(signals, ranges)
+
+        return self.then("separate_overlap", ("signals", "turns"), ("tracks",), run)
+
+    def separate_per_target(self, fn) -> Pipeline:
+        """fn(signals, targets): a track for each signal and target."""
+        return self.then("separate_per_target", ("signals", "targets"), ("tracks",), fn)
+
+    def upscale(self, fn) -> Pipeline:
+        """fn over the tracks at hand."""
+        return self.then("upscale", ("tracks",), ("tracks",), fn)
+
     def merge(self) -> Pipeline:
         from ..operators.timeline import attribute_words
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, catalogs, signals, speakers, speech, streams, texts, timelines
+from . import audio, catalogs, features, signals, speakers, speech, streams, texts, timelines
 
-_MODULES = [timelines, speech, speakers, catalogs, texts, signals, audio, streams]
+_MODULES = [timelines, speech, speakers, catalogs, texts, signals, audio, features, streams]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: x for m in _MODULES for k, x in m.SQL.items()}

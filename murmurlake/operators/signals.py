@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SUM = lambda xs, f=lambda x: x: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-KEYS = ("rec", "channel", "output_idx")
+KEYS = ("rec", "channel", "output_idx", "target")
 BLOCK = ["block_idx", "start_frame", "samples"]
 
 

@@ -39,15 +39,17 @@ def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect"
         for pdf in it:
             for r in pdf.itertuples():
                 x, lead = np.asarray(r.samples, float), r.lead
+                # A signal of no more than half a window has nothing to be reflected.
+                mirrored = pad == "reflect" and len(x) > half
                 if r.start_frame == 0:
-                    x = np.concatenate([x[1 : half + 1][::-1] if pad == "reflect" and len(x) > half else np.zeros(half), x])
+                    x = np.concatenate([x[1 : half + 1][::-1] if mirrored else np.zeros(half), x])
                     lead = half
                 at_end = not r.trail
                 n = r.n // hop + 1 if at_end else -(-r.n // hop)
                 need = lead + (n - 1) * hop + half + n_fft % 2
                 if need > len(x):
                     more = need - len(x)
-                    x = np.concatenate([x, x[-2 : -2 - more : -1] if pad == "reflect" and len(x) > more + 1 else np.zeros(more)])
+                    x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
                 first = lead - half
                 frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
                 yield pd.DataFrame({**{k: getattr(r, k) for k in own}, "frame": r.start_frame // hop + np.arange(len(frames)), "bins": list(fn(frames))})
@@ -145,6 +147,8 @@ def with_deltas(features: DataFrame, reach: int = 2, shard: int = 10_000) -> Dat
         # Edges of a shard that are no ends of the signal come out wrong within 2 * reach, and aren't its own.
         d1 = slopes(m)
         mine = frame // shard == shard_
+        if not mine.any():
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in [*own, "frame", "bins"]})
         return pdf.loc[mine, own].assign(frame=frame[mine], bins=list(np.concatenate([m, d1, slopes(d1)], axis=1)[mine]))
 
     return x.select(*own, "shard", "frame", "bins").groupBy(*own, "shard").applyInPandas(run, schema_of(features, own, "frame long, bins array<double>"))
