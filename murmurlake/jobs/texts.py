@@ -7,76 +7,132 @@ from pyspark.sql import functions as F
 from ..operators import text as x
 from ..sources import views as v
 
-
-def _lines(s, d):
-    """The corpus' first spoken material: all turns of conversations."""
-    return v.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+#: A small vocabulary of whole words, endings and letters; letters that are missing make unknown pieces.
+PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "the", "to", "of", "and", "is", "in", "user", "as", "##sist", "##ant", "##s", "##ing", "##ed", "##er", "##th", *"abcdefghijklmnoprstuvw", *(f"##{c}" for c in "abcdefghilmnoprtuwy")]
+MERGES = [("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("a", "n"), ("an", "d"), ("o", "n"), ("r", "e")]
+TOKENS = ["[UNK]", "[SPACE]", "[en]", *"abcdefghijklmnopqrstuvwxy", *(a + b for a, b in MERGES)]
+_DICT = "('click', 'cl+ick'), ('error', '+error'), ('purchase', 'p+urchases'), ('view', 'v+iew')"
 
 
-def _tokens(s, d):
-    return v.tokens(s, d).select(F.col("rec").alias("id"), "idx", F.trim("token").alias("word")).where("word <> ''")
+def _lines(s, d):
+    """Spoken material: all turns of conversations."""
+    return v.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.col("role").alias("pair"))
 
 
 def _words(s, d):
     return v.table(s, d, "events").select((F.col("event_id") % 97).alias("id"), F.floor(F.col("event_id") / 97).cast("int").alias("idx"), F.when(F.col("event_id") % 5 == 0, F.initcap("event_type")).when(F.col("event_id") % 7 == 0, F.concat(F.lit("+"), F.col("event_type"))).otherwise(F.col("event_type")).alias("word"))
 
 
-_DICT = "('click', 'cl+ick'), ('error', '+error'), ('purchase', 'p+urchases'), ('view', 'v+iew')"
+def _runs(s, d):
+    """Words in runs of two, five and six."""
+    n = F.floor(F.col("event_id") / 97)
+    word = F.when(n % 13 < 5, "view").when(n % 13 < 11, "so").otherwise("Click")
+    return v.table(s, d, "events").select((F.col("event_id") % 97).alias("id"), n.cast("int").alias("idx"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("+"), word)).otherwise(word).alias("word"))
+
+
+def _joined(column: str):
+    return F.array_join(F.transform(column, lambda i: i.cast("string")), ",").alias(column)
+
+
+def _lower(texts: list[str], source: str, target: str) -> list[str]:
+    return [t.lower() for t in texts]
+
+
+def _wordpieces(s, d):
+    y = x.tokenize_wordpiece(_lines(s, d), {p: i for i, p in enumerate(PIECES)}, 40)
+    offset = lambda o: F.concat_ws(":", o["start"].cast("string"), o["end"].cast("string"), F.when(o["is_subword"], "s").otherwise("w"))
+    return y.select("id", *map(_joined, ("ids", "mask", "type_ids")), F.array_join(F.transform("offsets", offset), ",").alias("offsets"))
+
 
 QUERIES = {
     "punc_norm": lambda s, d: _lines(s, d).select("id", x.punc_norm(F.col("text")).alias("text")),
     "split_sentences": lambda s, d: x.split_sentences(_lines(s, d)),
     "split_words": lambda s, d: x.split_words(_lines(s, d).withColumnRenamed("text", "sentence")),
-    "clean_text": lambda s, d: _lines(s, d).select("id", x.clean_text(F.col("text")).alias("text")),
+    "clean_text": lambda s, d: _lines(s, d).select("id", x.clean_text(F.col("text")).alias("text"), x.close_up(F.regexp_replace("text", "e", " ~ ")).alias("closed"), x.clean_text(F.regexp_replace("text", "a", " - ( ")).alias("spaced")),
     "restore_accents": lambda s, d: x.restore_accents(_words(s, d), s.sql(f"SELECT * FROM VALUES {_DICT} AS t(plain, accented)")),
-    "homographs": lambda s, d: x.homograph_candidates(_words(s, d).where("idx < 12"), s.sql("SELECT 'click' AS plain, array('cl+ick', 'click+') AS variants")),
+    "homographs": lambda s, d: x.homograph_candidates(_words(s, d), s.sql("SELECT 'click' AS plain, array('cl+ick', 'click+') AS variants"), 6),
     "choose_variants": lambda s, d: x.choose(v.table(s, d, "events").select((F.col("user_id") % 40).alias("id"), (F.col("event_id") % 9).alias("idx"), F.col("event_type").alias("variant"), F.col("value").alias("score"))),
-    "stress_marks": lambda s, d: v.table(s, d, "events").select("event_id", x.stress_marks(F.concat(F.lit("зам+ок+ за+"), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "+А").otherwise("+б"))).alias("text")),
-    "group_words": lambda s, d: x.group_words(_words(s, d)).select("id", "grp", F.concat_ws(" ", "words").alias("words")),
-    "tokenize_wordpiece": lambda s, d: x.tokenize(v.table(s, d, "events").select(F.col("event_id").alias("id"), "event_type").select("id", F.concat_ws(" ", "event_type", F.lit("viewer Click?")).alias("text")), _pieces, _VOCAB).select("id", F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).alias("ids")),
-    "translate_batch": lambda s, d: x.translate_batch(v.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "en", "fr", _lower, {("en", "fr")}).select("id", "translated", "supported"),
+    "stress_marks": lambda s, d: _lines(s, d).select("id", x.stress_marks(F.regexp_replace(F.regexp_replace("text", "a", "+а"), "s", "+s+Я")).alias("text")),
+    "group_words": lambda s, d: x.group_words(_runs(s, d), s.sql("SELECT 'view' AS base")).select("id", "grp", F.concat_ws(" ", "words").alias("words")),
+    "tokenize_wordpiece": _wordpieces,
+    "tokenize_bpe": lambda s, d: x.tokenize_bpe(_lines(s, d), {t: i for i, t in enumerate(TOKENS)}, {m: i for i, m in enumerate(MERGES)}, ["[SPACE]", "[en]"], lang="EN", nfkd=False).select("id", _joined("ids"), "n"),
+    "translate_batch": lambda s, d: x.translate_batch(_lines(s, d), "en", "fr", _lower, {("en", "fr")}).select("id", "translated", "supported"),
 }
 
-_VOCAB = {"[UNK]": 0, "click": 1, "view": 2, "##er": 3, "sign": 4, "##up": 5, "err": 6, "##or": 7, "pur": 8, "##chase": 9}
-
-
-def _pieces(word: str) -> list[str]:
-    return x.wordpiece(word, _VOCAB)
+_L = "WITH lines AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
+_E = "WITH w AS (SELECT event_id % 97 AS id, CAST(event_id // 97 AS INTEGER) AS idx, CASE WHEN event_id % 5 = 0 THEN upper(event_type[1]) || event_type[2:] WHEN event_id % 7 = 0 THEN '+' || event_type ELSE event_type END AS word FROM events)"
+_WS = r"[\t\n\x0B\f\r\x{85}\pZ]"
 
 
-def _lower(texts: list[str], source: str, target: str) -> list[str]:
-    return [t.lower() for t in texts]
+def _supported(text: str) -> str:
+    return rf"""regexp_replace({text}, '[^a-zA-Z0-9\sа-яА-ЯёЁ—.,!?:;"''(){{}}\[\]«»„-]', '', 'g')"""
 
 
-_L = "WITH lines AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
-_E = "WITH w AS (SELECT event_id % 97 AS id, CAST(event_id // 97 AS INTEGER) AS idx, CASE WHEN event_id % 5 = 0 THEN upper(event_type[1]) || event_type[2:] WHEN event_id % 7 = 0 THEN '+' || event_type ELSE event_type END AS word FROM events)"
+def _closed(text: str) -> str:
+    """Sign after sign, as the rule has it."""
+    for c in x.PUNCTUATION:
+        sign = c.replace("'", "''")
+        text = f"replace({text}, ' {sign}', '{sign}')"
+    return f"replace(replace(replace(replace({text}, ' -', '-'), '- ', '-'), ' -', '-'), '~', '-')"
 
 
 def _punc() -> str:
-    q = "trim(regexp_replace(upper(left(text, 1)) || substr(text, 2), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+    q = f"trim(regexp_replace(upper(left(text, 1)) || substr(text, 2), '{_WS}+', ' ', 'g'))"
     for a, b in x.REPLACED:
         q = "replace({}, '{}', '{}')".format(q, a.replace("'", "''"), b.replace("'", "''"))
     ends = ", ".join(f"'{c}'" for c in x.ENDERS)
     return f"{_L}, q AS (SELECT id, text, rtrim({q}) AS t FROM lines) SELECT id, CASE WHEN length(coalesce(text, '')) = 0 THEN '{x.EMPTY}' WHEN right(t, 1) IN ({ends}) THEN t ELSE t || '.' END AS text FROM q"
 
 
+def _wordpiece_sql() -> str:
+    first = "|".join(sorted((p for p in PIECES if p[0] not in "#["), key=len, reverse=True))
+    later = "|".join(sorted((p[2:] for p in PIECES if p[0] == "#"), key=len, reverse=True))
+    known = "[" + ", ".join(f"'{p}'" for p in PIECES) + "]"
+    begin = f"regexp_extract(word, '^(?:{first}|(?s:.))')"
+    cut = f"list_concat([{begin}], list_transform(regexp_extract_all(substr(word, 1 + length({begin})), '(?:{later}|(?s:.))'), lambda p: '##' || p))"
+    numbers = "CASE WHEN k.ids IS NULL THEN [] ELSE list_transform(string_split(k.ids, ','), lambda z: CAST(z AS INTEGER)) END"
+    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, 0 AS part, text FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 1, role FROM conversations),
+o AS (SELECT id, part, unnest(string_split(coalesce(text, ''), ' ')) AS own, unnest(range(len(string_split(coalesce(text, ''), ' ')))) AS i FROM t),
+w AS (SELECT *, lower(own) AS word, coalesce(sum(length(own) + 1) OVER (PARTITION BY id, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM o),
+p AS (SELECT id, part, i, begins, own, CASE WHEN length(word) > 100 THEN ['[UNK]'] ELSE {cut} END AS ps FROM w WHERE own <> ''),
+q AS (SELECT id, part, i, begins, own, unnest(ps) AS p, unnest(range(len(ps))) AS j FROM p),
+k AS (SELECT id, part, string_agg(coalesce(list_position({known}, p), 2) - 1, ',' ORDER BY i, j) AS ids, string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(own) AS BIGINT) || ':' || CASE WHEN j > 0 THEN 's' ELSE 'w' END, ',' ORDER BY i, j) AS offsets FROM q GROUP BY id, part),
+a AS (SELECT t.id, list_concat([2], list_concat({numbers}, [3])) AS f, coalesce(k.offsets, '') AS offsets FROM t LEFT JOIN k ON t.id = k.id AND k.part = 0 WHERE t.part = 0),
+b AS (SELECT t.id, CASE WHEN t.text IS NULL THEN [] ELSE list_concat({numbers}, [3]) END AS s FROM t LEFT JOIN k ON t.id = k.id AND k.part = 1 WHERE t.part = 1),
+c AS (SELECT a.id, offsets, list_concat(f, s) AS x, list_concat(list_transform(f, lambda z: 0), list_transform(s, lambda z: 1)) AS y FROM a JOIN b USING (id)),
+d AS (SELECT id, offsets, CASE WHEN len(x) > 40 THEN list_append(x[1:39], 3) ELSE x END AS x, y[1:40] AS y, list_transform(range(greatest(0, 40 - len(x))), lambda z: 0) AS fill FROM c)
+SELECT id, array_to_string(list_concat(x, fill), ',') AS ids, array_to_string(list_concat(list_transform(x, lambda z: 1), fill), ',') AS mask, array_to_string(list_concat(y, fill), ',') AS type_ids, offsets FROM d"""
+
+
+def _bpe_sql() -> str:
+    """Special tokens stand for themselves as one private character each; merges are applied rank by rank."""
+    q = "chr(1) || array_to_string(string_split(replace(replace('[en]' || replace(lower(coalesce(text, '')), ' ', '[SPACE]'), '[SPACE]', chr(57344)), '[en]', chr(57345)), ''), chr(1)) || chr(1)"
+    for a, b in MERGES:
+        for _ in range(2):
+            q = f"replace({q}, chr(1) || '{a}' || chr(1) || '{b}' || chr(1), chr(1) || '{a + b}' || chr(1))"
+    known = "[" + ", ".join({"[SPACE]": "chr(57344)", "[en]": "chr(57345)"}.get(t, f"'{t}'") for t in TOKENS) + "]"
+    return f"{_L}, m AS (SELECT id, list_transform(string_split(trim({q}, chr(1)), chr(1)), lambda t: coalesce(list_position({known}, t), 1) - 1) AS ids FROM lines) SELECT id, array_to_string(ids, ',') AS ids, CAST(len(ids) AS INTEGER) AS n FROM m"
+
+
 SQL = {
     "punc_norm": _punc(),
-    "split_sentences": rf"""{_L}, m AS (SELECT id, regexp_replace(text, '([.!?])([ \t\n\r]+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM lines),
+    "split_sentences": rf"""{_L}, m AS (SELECT id, regexp_replace(text, '([.!?])({_WS}+)', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM lines),
 p AS (SELECT id, string_split(t, chr(2)) AS ps FROM m), q AS (SELECT id, unnest(ps) AS p, unnest(range(len(ps))) AS idx FROM p)
-SELECT id, CAST(idx AS INTEGER) AS idx, string_split(p, chr(1))[1] AS sentence, coalesce(string_split(p, chr(1))[2], '') AS sep FROM q""",
-    "split_words": rf"""{_L}, m AS (SELECT id, regexp_extract_all(text, '\s*(?:[\p{{L}}\p{{M}}\p{{N}}_]+(?:\+[\p{{L}}\p{{M}}\p{{N}}_]+)*|\+[\p{{L}}\p{{M}}\p{{N}}_]+(?:\+[\p{{L}}\p{{M}}\p{{N}}_]+)*|[^\p{{L}}\p{{M}}\p{{N}}_\s]+)') AS ps FROM lines),
-q AS (SELECT id, unnest(ps) AS p, unnest(range(len(ps))) AS idx FROM m) SELECT id, CAST(idx AS INTEGER) AS idx, regexp_replace(p, '^\s+', '') AS word, regexp_extract(p, '^\s*') AS before FROM q""",
-    "clean_text": rf"""{_L} SELECT id, regexp_replace(regexp_replace(regexp_replace(replace(text, '~', '-'), '[^\p{{L}}\p{{M}}\p{{N}}\s.,!?:;"''()+\-]', '', 'g'), '\s+([.,!?:;])', '\1', 'g'), '\s*-\s*', '-', 'g') AS text FROM lines""",
+SELECT id, CAST(idx AS INTEGER) AS idx, string_split(p, chr(1))[1] AS sentence, coalesce(string_split(p, chr(1))[2], '') AS sep FROM q WHERE string_split(p, chr(1))[1] <> ''""",
+    "split_words": rf"""{_L}, m AS (SELECT id, regexp_extract_all(text, '\s*(?:[\p{{L}}\p{{M}}\p{{N}}_]+(?:\+[\p{{L}}\p{{M}}\p{{N}}_]+)*|\+[\p{{L}}\p{{M}}\p{{N}}_]+(?:\+[\p{{L}}\p{{M}}\p{{N}}_]+)*|[^\p{{L}}\p{{M}}\p{{N}}_\s]+)') AS ps, regexp_extract(text, '\s*$') AS rest FROM lines),
+q AS (SELECT id, rest, len(ps) AS n, unnest(ps) AS p, unnest(range(len(ps))) AS idx FROM m)
+SELECT id, CAST(idx AS INTEGER) AS idx, regexp_replace(p, '^\s+', '') AS word, regexp_extract(p, '^\s*') AS before, CASE WHEN idx = n - 1 THEN rest ELSE '' END AS after FROM q""",
+    "clean_text": f"""{_L} SELECT id, {_closed(_supported("text"))} AS text, {_closed("regexp_replace(text, 'e', ' ~ ', 'g')")} AS closed, {_closed(_supported("regexp_replace(text, 'a', ' - ( ', 'g')"))} AS spaced FROM lines""",
     "restore_accents": f"""{_E}, dict(plain, accented) AS (VALUES {_DICT}) SELECT id, idx, CASE WHEN accented IS NULL OR contains(word, '+') THEN word WHEN length(replace(accented, '+', '')) <> length(word) THEN accented
 WHEN word = lower(word) THEN accented WHEN accented[1] = '+' THEN '+' || upper(accented[2]) || accented[3:] ELSE upper(accented[1]) || accented[2:] END AS word FROM w LEFT JOIN dict ON lower(word) = plain""",
-    "homographs": f"""{_E}, k AS (SELECT * FROM w WHERE idx < 12) SELECT h.id, h.idx, unnest(['cl+ick', 'click+']) AS variant, (SELECT string_agg(CASE WHEN k.idx = h.idx THEN '<w>' || k.word || '</w>' ELSE k.word END, ' ' ORDER BY k.idx) FROM k WHERE k.id = h.id) AS context FROM k h WHERE lower(h.word) = 'click'""",
+    "homographs": f"""{_E} SELECT h.id, h.idx, unnest(['cl+ick', 'click+']) AS variant, (SELECT string_agg(CASE WHEN w.idx = h.idx THEN '<w>' || w.word || '</w>' ELSE w.word END, ' ' ORDER BY w.idx) FROM w WHERE w.id = h.id AND abs(w.idx - h.idx) <= 6) AS context FROM w h WHERE lower(h.word) = 'click'""",
     "choose_variants": "SELECT user_id % 40 AS id, event_id % 9 AS idx, arg_min(event_type, (-value, event_type)) AS variant FROM events GROUP BY ALL",
-    "stress_marks": "SELECT event_id, 'замо' || chr(769) || 'к за' || event_type || CASE WHEN event_id % 2 = 0 THEN 'А' || chr(769) ELSE 'б' END AS text FROM events".replace("'замо' || chr(769) || 'к за'", "'замо' || chr(769) || 'к за'"),
-    "group_words": f"""{_E}, b AS (SELECT *, lower(replace(word, '+', '')) AS base FROM w), n AS (SELECT *, CASE WHEN base = lag(base) OVER (PARTITION BY id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM b),
-r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY idx) AS run FROM n), c AS (SELECT *, count(*) OVER (PARTITION BY id, run) AS n, idx - min(idx) OVER (PARTITION BY id, run) AS place FROM r),
-g AS (SELECT *, CASE WHEN n <= 3 THEN 0 WHEN n % 3 = 1 AND place >= n - 4 THEN (n - 4) // 3 + (place - (n - 4)) // 2 ELSE place // 3 END AS part FROM c)
-SELECT id, min(idx) AS grp, string_agg(word, ' ' ORDER BY idx) AS words FROM g GROUP BY id, run, part""",
-    "tokenize_wordpiece": "SELECT event_id AS id, CASE event_type WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'signup' THEN '4,5' WHEN 'error' THEN '6,7' WHEN 'purchase' THEN '8,9' END || ',2,3,0' AS ids FROM events",
-    "translate_batch": "SELECT item_id AS id, lower(text) AS translated, true AS supported FROM benchmark",
+    "stress_marks": f"{_L} SELECT id, replace(regexp_replace(regexp_replace(regexp_replace(text, 'a', '+а', 'g'), 's', '+s+Я', 'g'), '\\+([{x.VOWELS}])', '\\1' || chr(769), 'g'), '+', '') AS text FROM lines",
+    "group_words": """WITH w AS (SELECT event_id % 97 AS id, event_id // 97 AS idx, CASE WHEN event_id % 3 = 0 THEN '+' ELSE '' END || CASE WHEN (event_id // 97) % 13 < 5 THEN 'view' WHEN (event_id // 97) % 13 < 11 THEN 'so' ELSE 'Click' END AS word FROM events), b AS (SELECT *, replace(word, '+', '') AS base FROM w),
+n AS (SELECT *, CASE WHEN base = lag(base) OVER (PARTITION BY id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM b), r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY idx) AS run FROM n),
+c AS (SELECT *, count(*) OVER (PARTITION BY id, run) AS n, idx - min(idx) OVER (PARTITION BY id, run) AS place FROM r), g AS (SELECT *, CASE WHEN n <= 3 THEN 0 WHEN base = 'view' THEN place // 3 WHEN n % 2 = 0 THEN place // 2 ELSE 0 END AS part FROM c)
+SELECT id, CAST(min(idx) AS INTEGER) AS grp, string_agg(word, ' ' ORDER BY idx) AS words FROM g GROUP BY id, run, part""",
+    "tokenize_wordpiece": _wordpiece_sql(),
+    "tokenize_bpe": _bpe_sql(),
+    "translate_batch": f"{_L} SELECT id, lower(text) AS translated, true AS supported FROM lines",
 }

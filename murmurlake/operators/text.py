@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -176,8 +177,7 @@ def tokenize_bpe(texts: DataFrame, vocab: dict[str, int], ranks: dict[tuple[str,
     names = "|".join("".join(c if c.isalnum() else "\\" + c for c in t) for t in sorted(special, key=len, reverse=True))
     pieces = F.filter(F.split("text", f"(?={names})|(?<={names})") if special else F.array("text"), lambda p: p != "")
     words = x.select("id", F.posexplode(pieces).alias("idx", "word"))
-    whole, shared = F.col("word").isin(special), lambda w: bpe(w, ranks)
-    ids = _cut_once(words.where(~whole), shared, vocab, unknown)
+    ids = _cut_once(words.where(~F.col("word").isin(special)), partial(bpe, ranks=ranks), vocab, unknown)
     own = F.create_map(*[F.lit(y) for t in special for y in (t, vocab.get(t, vocab.get(unknown, 0)))]) if special else None
     cut = words.join(ids, "word", "left").withColumn("ids", F.coalesce("ids", F.array(own[F.col("word")])) if special else F.col("ids"))
     y = cut.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda s: s["ids"])).alias("ids"))
@@ -190,7 +190,7 @@ def _pieces(texts: DataFrame, column: str, vocab: dict[str, int], unknown: str)
     x = texts.select("id", F.posexplode(F.split(F.coalesce(column, F.lit("")), " ")).alias("idx", "own"))
     # Where a word starts follows from the lengths before it.
     x = x.withColumn("start", (F.coalesce(F.sum(F.length("own") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).where("own <> ''").withColumn("word", F.lower("own"))
-    known = _cut_once(x, lambda t: wordpiece(t, vocab, unknown), vocab, unknown)
+    known = _cut_once(x, partial(wordpiece, vocab=vocab, unknown=unknown), vocab, unknown)
     end = (F.col("start") + F.length("own")).cast("int")
     offsets = F.transform("ids", lambda _, i: F.struct(F.col("start").alias("start"), end.alias("end"), (i > 0).alias("is_subword")))
     y = x.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", offsets.alias("offsets")))).alias("all"))

@@ -57,10 +57,15 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("rec", "idx", "token", (F.col("idx") * 80).cast("long").alias("start_ms"), (F.col("idx") * 80 + 80).cast("long").alias("end_ms"), ((F.col("idx") % 10 + 1) / 10).alias("confidence"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, embedding in doubles."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 def voices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first 40 vectors as voices, the others as references; doubles."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return e.where("vec_id < 40").withColumnRenamed("vec_id", "voice_id"), e.where("vec_id >= 40").withColumnRenamed("vec_id", "ref_id")
+    """Of the vectors, one in twenty as references and the others as voices."""
+    e = vectors(spark, sf_dir)
+    return e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "voice_id"), e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "ref_id")
 
 
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ SQL = {
     "frames": "frames AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value / 500 AS x, least(1.0::DOUBLE, value / 100) AS prob FROM ev)",
     "tokens": r"""tokens AS (SELECT item_id AS rec, i - 1 AS idx, t[i] AS token, (i - 1) * 80 AS start_ms, i * 80 AS end_ms, ((i - 1) % 10 + 1) / 10.0::DOUBLE AS confidence
   FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[ \n\t]?[^ \n\t]{1,3}') AS t FROM benchmark)))""",
-    "voices": "voices AS (SELECT vec_id AS voice_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id < 40), refs AS (SELECT vec_id AS ref_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id >= 40)",
+    "voices": "vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), voices AS (SELECT vec_id AS voice_id, label, embedding FROM vecs WHERE vec_id % 20 <> 0), refs AS (SELECT vec_id AS ref_id, label, embedding FROM vecs WHERE vec_id % 20 = 0)",
     "runs": "runs AS (SELECT l_returnflag || l_linestatus || (l_suppkey % 10) AS case_id, l_orderkey || '-' || l_linenumber AS run_id, l_quantity AS seconds, 30.0::DOUBLE AS audio_seconds, l_extendedprice AS memory, l_shipdate FROM lineitem)",
 }
 

@@ -71,10 +71,14 @@ def test_words(spark, pieces, want, shard):
     assert [r["word"] for r in words.merge_tokens_into_words(t, shard).orderBy("start_ms").collect()] == want
 
 
-def test_word_times_stop_with_durations(spark):
-    p = spark.createDataFrame([(1, 0, "ab", True, [5, 2, 3, 4, 2, 2]), (1, 1, "c", False, [5, 2, 3, 4, 2, 2]), (1, 2, "defgh", False, [5, 2, 3, 4, 2, 2])], "utt long, idx int, phones string, is_space boolean, durations array<int>")
-    got = words.word_times(p).orderBy("idx").collect()
-    assert got[0]["start"] == 4 / 80 and got[0]["end"] == (4 + 10 + 4) / 80 and len(got) == 2
+def test_word_times(spark):
+    d = spark.createDataFrame([(1, [5, 2, 3, 4, 2, 2, 9]), (2, [1, 1])], "utt long, durations array<int>")
+    p = spark.createDataFrame([(1, 0, "ab", True), (1, 1, "c", False), (1, 2, None, False), (1, 3, "defgh", False), (2, 0, "a", False)], "utt long, idx int, phones string, is_space boolean")
+    got = [(r["idx"], r["start"] * 80, r["end"] * 80) for r in words.word_times(p, d).orderBy("idx").collect()]
+    # The clock: 2 * (5 - 3) = 4; the first word 2 * (2 + 3) and its space 4, so it ends at 18 and the clock stands at 22.
+    assert got == [(0, 4.0, 18.0), (1, 18.0, 26.0)]
+    p = spark.createDataFrame([(1, 0, None, True), (1, 1, "c", False)], "utt long, idx int, phones string, is_space boolean")
+    assert [(r["start"] * 80, r["end"] * 80) for r in words.word_times(p, d).collect()] == [(7.0, 18.0)]
 
 
 def blocks(spark, data, size, rec=1):
@@ -192,8 +196,20 @@ def test_text(spark):
     assert [(r["sentence"], r["sep"]) for r in text.split_sentences(s).orderBy("idx").collect()] == [("Да.", " "), ("Нет?", "  "), ("Да!", "")]
     w = text.split_words(s.withColumnRenamed("text", "sentence")).orderBy("idx").collect()
     assert "".join(r["before"] + r["word"] for r in w) == "Да. Нет?  Да!"
-    f = spark.createDataFrame([([5, 6, 7, 8],)], "ids array<int>").select(text.framed(F.col("ids"), 1, 2, 0, 5).alias("x")).first()["x"]
-    assert f["ids"] == [1, 5, 6, 7, 2] and f["mask"] == [1] * 5
+    t = spark.createDataFrame([(1, "Да нет.  ", "x"), (2, "", None)], "id long, text string, pair string")
+    assert [(r["sentence"], r["sep"]) for r in text.split_sentences(t).collect()] == [("Да нет.", "  ")]
+    got = {r["id"]: r for r in text.tokenize_wordpiece(t, {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "да": 4, "н": 5, "##ет": 6}, 9).collect()}
+    assert got[1]["ids"] == [2, 4, 5, 6, 1, 3, 1, 3, 0] and got[1]["type_ids"] == [0] * 6 + [1, 1, 0] and got[1]["mask"] == [1] * 8 + [0]
+    assert [tuple(o) for o in got[1]["offsets"]] == [(0, 2, False), (3, 7, False), (3, 7, True), (3, 7, True)] and got[2]["ids"] == [2, 3] + [0] * 7
+    short = text.tokenize_wordpiece(t, {"[UNK]": 1, "[CLS]": 2, "[SEP]": 3}, 4).where("id = 1").first()
+    assert len(short["ids"]) == 4 and short["ids"][-1] == 3
+    assert text.wordpiece("click?", {"click": 1}) == ["click", "[UNK]"]
+    b = text.tokenize_bpe(spark.createDataFrame([(1, "Ab ﬁ")], "id long, text string"), {"[UNK]": 0, "[fr]": 1, "[SPACE]": 2, "ab": 3, "fi": 4}, {("a", "b"): 0, ("f", "i"): 1}, ["[fr]", "[SPACE]"], lang="FR").first()
+    assert b["ids"] == [1, 3, 2, 4] and b["n"] == 4
+    assert one(text.close_up, "a ~ b - c ( d , e") == "a - b-c( d, e" and one(text.clean_text, "Да☃ , нет~") == "Да, нет"
+    five = spark.createDataFrame([(1, i, "so") for i in range(5)] + [(1, i, "So") for i in range(5, 9)] + [(2, i, "+да") for i in range(7)], "id long, idx int, word string")
+    got = text.group_words(five, spark.createDataFrame([("да",)], "base string")).orderBy("id", "grp").collect()
+    assert [len(r["words"]) for r in got] == [5, 2, 2, 3, 3, 1]
 
 
 def test_bench(spark):
@@ -202,6 +218,10 @@ def test_bench(spark):
     assert got["a"]["median_s"] == 3 and got["a"]["rtf"] == 10 and got["b"]["sd_s"] == 0 and math.isnan(got["b"]["rtf"])
     g = spark.createDataFrame([("w/*.bin",), ("w/**.bin",)], "g string").select(bench.glob_regex(F.col("g")).alias("r")).collect()
     assert [r["r"] for r in g] == [r"^w/[^/]*\.bin$", r"^w/.*\.bin$"]
+    v = spark.createDataFrame([("a", "r", ["w/?.bin"], 100), ("b", "r", ["w/*"], 95), ("c", "r", ["w/*"], None), ("d", "q", ["*"], 1)], "variant_id string, repo string, globs array<string>, size long")
+    f = spark.createDataFrame([("r", "w/x.bin", 60), ("r", "w/y.bin", 40)], "repo string, path string, bytes long")
+    assert {r["variant_id"]: r["status"] for r in bench.check_sizes(v, f, 0.05).collect()} == {"a": "matches nothing", "b": "within tolerance", "c": "not in catalog", "d": "unreachable"}
+    assert {r["variant_id"]: r["status"] for r in bench.check_sizes(v, f).collect()}["b"] == "mismatch"
 
 
 def test_wav_round_trip(spark, tmp_path):
@@ -217,6 +237,21 @@ def test_wav_round_trip(spark, tmp_path):
         audio.encode_wav(np.zeros((0, 1)), 16000)
 
 
+def test_two_channels_through_the_library(spark, tmp_path):
+    """WAV, resampling, chunks, a model, stitching, WAV: each channel as if it were alone."""
+    x = np.random.default_rng(4).uniform(-1, 1, (3000, 2)).astype(np.float32)
+    (tmp_path / "a.wav").write_bytes(audio.encode_wav(x, 8000))
+    s = signals.blocks_of(audio.read_wav(spark, str(tmp_path), 700))
+    assert {(r["channel"], round(r["rms"], 6)) for r in signals.levels(s).collect()} == {(c, round(float(np.sqrt((x[:, c].astype(float) ** 2).mean())), 6)) for c in (0, 1)}
+    config = chunks.ChunkConfig(0.05, 0.25, "triangular", 16000)
+    up = signals.resample(s, 8000, 16000, "fast", 500)
+    done = chunks.stitch(models.apply_model(chunks.make_chunks(up, config), lambda xs: [v * 2 for v in xs]), config)
+    files = audio.to_wav(done.select("rec", "channel", F.lit(16000).alias("sample_rate"), "start_frame", F.size("samples").alias("n_frames"), F.col("samples").cast("array<float>").alias("samples"), F.lit("ok").alias("status")))
+    rate, y = audio.decode_wav(files.first()["content"])
+    want = np.stack([2 * np.interp(np.arange(6000) / 2, np.arange(3000), x[:, c]) for c in (0, 1)], axis=1)
+    assert rate == 16000 and np.allclose(y, want, atol=1e-5)
+
+
 def test_synthetic_signals(spark):
     spec = spark.createDataFrame([(1, "sine", 10.0, 1.0, 100, 0), (2, "noise", 0.0, float("nan"), 100, 0), (3, "harmonic", 0.0, 0.5, 100, 1)], "rec long, kind string, hz double, seconds double, rate int, seed int")
     s = audio.synth_signals(spark, spec, 30)
@@ -224,9 +259,9 @@ def test_synthetic_signals(spark):
 
 
 def test_reports(spark, tmp_path):
-    (tmp_path / "r.json").write_text('{"runID": "r", "results": [{"id": "c", "timing": {"seconds": ["1.5", "nan"], "audioSeconds": "inf"}}]}')
+    (tmp_path / "r.json").write_text('{"runID": "r", "configuration": {"buildConfiguration": "debug"}, "results": [{"id": "c", "inputSampleRate": 100, "inputFrames": 250, "timing": {"iterationSeconds": [1.5, "nan"], "stdDevSeconds": "inf"}, "memory": {"weightsMaterializedAtLoad": false}}]}')
     r = reports.read_bench_reports(spark, str(tmp_path / "r.json")).first()
-    assert r["case_id"] == "c" and r["seconds"][0] == 1.5 and math.isnan(r["seconds"][1]) and r["audio_seconds"] == float("inf")
+    assert r["case_id"] == "c" and r["seconds"][0] == 1.5 and math.isnan(r["seconds"][1]) and r["audio_seconds"] == 2.5 and r["sd_s"] == float("inf") and r["build"] == "debug" and not r["materialized"]
     (tmp_path / "v.json").write_text('{"voiceIds": ["a", "b"], "embeddings": [[1, 2], [3]]}')
     assert reports.read_voices(spark, str(tmp_path / "v.json")).first()["error"] == "dimensions differ"
     w = spark.createDataFrame([(1, 1, 61_500, 62_000, None, "hi"), (1, 2, 0, 10, "speaker_1", "yo")], "rec long, word_id long, start_ms long, end_ms long, speaker string, text string")
@@ -254,6 +289,8 @@ def test_pipeline(spark):
 def test_model_surface(spark):
     s = blocks(spark, [1.0, 2.0, 3.0], 3)
     assert models.apply_model(s, lambda xs: [x * 2 for x in xs]).first()["samples"] == [2.0, 4.0, 6.0]
+    two = lambda k: (lambda: lambda xs: [x * k for x in xs])
+    assert [models.apply_model(s, make=two(k)).first()["samples"][0] for k in (2, 3)] == [2.0, 3.0]
     assert models.analyze(s, lambda xs: [[{"n": len(x)}] for x in xs], "n int").first()["n"] == 3
     t = spark.createDataFrame([("a", [2.0]), ("b", [3.0])], "target string, weights array<double>")
     assert {r["target"]: r["samples"][0] for r in models.fan_out(s, t, lambda x, w: x * w[0]).collect()} == {"a": 2.0, "b": 3.0}
