@@ -258,6 +258,29 @@ def test_targets_reshare(spark):
     assert got["a"] == 20 and all(got[k] <= 2 * n for k, n in (("b", 100), ("c", 1000), (None, 50))) and math.isclose(sum(got.values()), 1740)
 
 
+def near_brute(docs, share=0.8, width=5):
+    """doc_ids that are the smallest of their group, by all pairs of full sets."""
+    sets = {}
+    for i, t in docs:
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+    least = {i: i for i in sets}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and both >= share * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    return sorted(i for i in ids if root(i) == i)
+
+
 def test_pipeline(spark, sf, odd, tmp_path):
     import corpus_pipeline as p
 
@@ -268,19 +291,34 @@ def test_pipeline(spark, sf, odd, tmp_path):
         before, kept = kept, spark.read.parquet(str(tmp_path / name))
         if k < 4:
             assert kept.columns == columns
+        if name == "language_id":
+            lang = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.select("doc_id", "text"), ["doc_id"], language.training_rows(docs)).where("score >= 0.5 AND lang_pred <> 'und'").collect()}
+            assert sorted(r["doc_id"] for r in kept.collect()) == sorted(lang) and len(lang) > 0.9 * docs.count()
+        if name == "line_dedup":
+            want = {r[0]: r[3] for r in lines_brute([tuple(r) for r in before.select("doc_id", "text").collect()])}
+            got = kept.select("doc_id", "text", "n_chars").collect()
+            assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
         if name == "near_dedup":
-            x = minhash.near_duplicates(before).toPandas()
-            assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(x.loc[x.doc_id == x.component_id, "doc_id"].unique())
+            assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == near_brute([tuple(r) for r in before.select("doc_id", "text").collect()])
         if name == "decontamination":
             x = answer(decontaminate.SQL, sf, documents=before.toPandas())
             assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(x.loc[~x.contaminated, "doc_id"])
         if name == "mixing":
             x = answer(mixing.SQL, sf, documents=before.toPandas())
             assert sorted((r["doc_id"], r["taken"]) for r in kept.collect()) == sorted(x.loc[x.taken > 0, ["doc_id", "taken"]].itertuples(index=False, name=None))
-    wide, strange = odd, odd
-    for name, f in p.STAGES:
-        strange = common.cut(f(spark, strange, sf))
-        assert strange.count() >= 0 and (name == "mixing" or strange.columns == wide.columns)
+    names = ["row", "gone", "th", "kept_id", "found_lang", "found_lang_", "source_size", "taken", "key", "kept", "places"]
+    strange = odd.select("*", *(F.lit(k).alias(k) for k in names))
+    for start in (strange, strange.limit(0)):
+        x = start
+        for name, f in p.STAGES:
+            x = common.cut(f(spark, x, sf))
+            assert name == "mixing" or x.columns == strange.columns
+            if name != "mixing" and x.count():
+                r = x.first()
+                assert all(r[k] == k for k in names), name
+        assert x.where("source_size IS NULL").count() == 0 and set(p.ADDED) <= set(x.columns) and "input_size" in x.columns
+    twice = spark.createDataFrame([(1, "one text of some words here", "a"), (1, "another text under the same id", "b"), (1, "one text of some words here", "a")], "doc_id long, text string, source string")
+    assert len({tuple(p.near_duplicates(spark, twice.repartition(n), sf).collect()) for n in (1, 2, 3)}) == 1
     assert [n for n, _ in p.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
