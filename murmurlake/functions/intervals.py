@@ -31,15 +31,36 @@ def route_model(n: Column) -> Column:
     return F.when(n == 2, "separate_2_noisy").when(n == 3, "separate_3").otherwise(F.lit(None))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int = 10_000, how: str = "inner") -> DataFrame:
+#: Buckets of level k are bucket * 4^k long; the highest level's are a month for a bucket of 10 s.
+LEVELS = 10
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int = 10_000) -> DataFrame:
     """Pairs that overlap: left (start_ms, end_ms) with right (r_start, r_end) of the same keys.
 
-    Both sides are dealt to buckets of time, so that a long recording is many small joins; a pair that meets in several
-    buckets counts in the first of them.
+    An interval's level is the lowest whose buckets are as long as itself, so on its own level it lies in two of them at
+    most. Two intervals meet on the higher one's level: there the longer one is looked up in its own buckets and the shorter
+    one in those around it. So a long recording is many small joins, and a row is copied once for a level or so, however
+    long it is. A pair that meets in several buckets counts in the first of them.
     """
-    span = lambda s, e: F.sequence(F.floor(F.col(s) / bucket), F.floor(F.greatest(F.col(s), F.col(e) - 1) / bucket))
-    a = left.withColumn("__b", F.explode(span("start_ms", "end_ms"))).withColumn("__first_a", F.floor(F.col("start_ms") / bucket))
-    b = right.withColumn("__b", F.explode(span("r_start", "r_end"))).withColumn("__first_b", F.floor(F.col("r_start") / bucket))
-    on = overlaps(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")) & (F.col("__b") == F.greatest("__first_a", "__first_b"))
-    x = a.join(b, [*keys, "__b"]).where(on)
-    return x.drop("__b", "__first_a", "__first_b")
+
+    def leveled(df: DataFrame, s: str, e: str) -> DataFrame:
+        length = F.col(e) - F.col(s)
+        level = F.lit(0)
+        for k in range(LEVELS - 1):
+            level = level + (length > bucket * 4**k).cast("int")
+        return df.withColumn("__own", level)
+
+    def placed(df: DataFrame, s: str, e: str, least: Column, most: Column) -> DataFrame:
+        """A copy for each bucket of each level from least to most; __first is the first bucket of that level."""
+        size = F.expr(f"shiftleft({bucket}L, 2 * __level)")
+        x = df.where(least <= most).withColumn("__level", F.explode(F.sequence(least, most))).withColumn("__first", F.floor(F.col(s) / size))
+        return x.withColumn("__b", F.explode(F.sequence(F.col("__first"), F.floor(F.greatest(F.col(s), F.col(e) - 1) / size))))
+
+    a, b = leveled(left, "start_ms", "end_ms"), leveled(right, "r_start", "r_end")
+    own, top = F.col("__own"), F.lit(LEVELS - 1)
+    # Left ones on their own level with all that are no longer, and shorter left ones with right ones on their own level.
+    sides = [(placed(a, "start_ms", "end_ms", own, own), placed(b, "r_start", "r_end", own, top)), (placed(a, "start_ms", "end_ms", own + 1, top), placed(b, "r_start", "r_end", own, own))]
+    on = overlaps(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")) & (F.col("__b") == F.greatest("__first", "__r_first"))
+    met = [p.drop("__own").join(q.drop("__own").withColumnRenamed("__first", "__r_first"), [*keys, "__level", "__b"]).where(on).drop("__level", "__b", "__first", "__r_first") for p, q in sides]
+    return met[0].unionByName(met[1])

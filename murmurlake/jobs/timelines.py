@@ -53,11 +53,11 @@ _BASE = v.using("turns", "words", "recordings")
 _SW = f"{_BASE}, {_SWEEP.format(turns='turns')}"
 
 
-def _summary(name: str, where: str) -> str:
+def _summary(name: str, select: str) -> str:
     x = _SWEEP.format(turns=f"turns_{name}")
     for k in ("isl", "mrg", "net", "conc"):
         x = x.replace(f"{k} AS (", f"{k}_{name} AS (").replace(f"FROM {k} ", f"FROM {k}_{name} ").replace(f"FROM {k})", f"FROM {k}_{name})").replace(f"FROM {k} U", f"FROM {k}_{name} U")
-    return f"turns_{name} AS (SELECT * FROM turns WHERE {where}), {x}, sum_{name} AS (SELECT t.rec, count(DISTINCT speaker) AS speakers_{name}, count(*) AS segments_{name}, (SELECT max(n) FROM conc_{name} c WHERE c.rec = t.rec) AS max_overlap_{name} FROM turns_{name} t GROUP BY t.rec)"
+    return f"turns_{name} AS ({select}), {x}, sum_{name} AS (SELECT t.rec, count(DISTINCT speaker) AS speakers_{name}, count(*) AS segments_{name}, (SELECT max(n) FROM conc_{name} c WHERE c.rec = t.rec) AS max_overlap_{name} FROM turns_{name} t GROUP BY t.rec)"
 
 
 SQL = {
@@ -78,7 +78,7 @@ SQL = {
 SELECT track, CAST(arg_max(slot, (p, -slot)) AS INTEGER) AS slot, max(p) AS conf, string_agg(printf('%.6f', p), ',' ORDER BY slot) AS probs FROM p GROUP BY track""",
     "order_tracks": f"{_BASE}, x AS (SELECT rec, turn_id AS track, CASE WHEN user_id % 3 > 0 THEN CAST(user_id % 4 AS INTEGER) END AS slot FROM turns) SELECT *, CAST(row_number() OVER (PARTITION BY rec ORDER BY coalesce(slot, 999), track) AS INTEGER) AS place FROM x",
     "map_slots": f"{_BASE} SELECT w.rec, w.word_id AS track, CAST(w.word_id % 4 AS INTEGER) AS slot, w.start_ms, w.end_ms, max(t.speaker) AS speaker FROM words w LEFT JOIN turns t ON w.rec = t.rec AND w.start_ms < t.end_ms AND w.end_ms > t.start_ms AND t.speaker = 'speaker_' || (w.word_id % 4) GROUP BY ALL",
-    "compare_diarizers": f"{_BASE}, {_summary('a', 'user_id % 2 = 0')}, {_summary('b', 'user_id % 3 = 0')} SELECT * FROM sum_a FULL OUTER JOIN sum_b USING (rec)",
+    "compare_diarizers": f"{_BASE}, {_summary('a', 'SELECT * FROM turns')}, {_summary('b', "SELECT * REPLACE ('speaker_' || user_id % 9 AS speaker, start_ms + CASE WHEN turn_id % 3 = 0 THEN 60000 ELSE 0 END AS start_ms) FROM turns")} SELECT * FROM sum_a FULL OUTER JOIN sum_b USING (rec)",
     "timeline_from_slots": f"{_BASE} SELECT rec, speaker, start_ms, end_ms, turn_id % 5 <> 0 AS is_final FROM turns",
     "merge_branches": f"{_SW} SELECT t.rec, CASE WHEN t.rec % 3 = 0 THEN (SELECT max(n) FROM conc c WHERE c.rec = t.rec) ELSE count(DISTINCT speaker) END AS speakers, CASE WHEN t.rec % 2 = 0 THEN CAST(sum(end_ms - start_ms) AS BIGINT) END AS speech_ms FROM turns t GROUP BY t.rec",
     "valid_segments": f"{_BASE} SELECT event_id, event_type AS text FROM ev WHERE event_id % 11 <> 0 AND event_id % 7 <> 0 AND start_ms / 1000.0::DOUBLE >= 100",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join, route_model, shared, slot_of
-from ..functions.windows import following, islands, running, shard_of
+from ..functions.windows import islands, running, shard_of
 
 HOUR = 3_600_000
 
@@ -47,8 +47,8 @@ def concurrency(turns: DataFrame, shard: int = HOUR) -> DataFrame:
     merged = x.groupBy("rec", "speaker", "island").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     change = merged.select("rec", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("x"))
     net = change.groupBy("rec", F.col("x.t").alias("start_ms")).agg(F.sum("x.d").alias("d"))
-    counted = running(net, ["rec"], ["start_ms"], shard_of("start_ms", shard), {"n": ("sum", "d", True)})
-    return following(counted, ["rec"], "start_ms", shard_of("start_ms", shard), "end_ms").where("end_ms IS NOT NULL").select("rec", "start_ms", "end_ms", "n")
+    counted = running(net, ["rec"], ["start_ms"], shard_of("start_ms", shard), {"n": ("sum", "d", True)}, following="end_ms")
+    return counted.where("end_ms IS NOT NULL").select("rec", "start_ms", "end_ms", "n")
 
 
 def overlapping_ranges(turns: DataFrame, shard: int = HOUR) -> DataFrame:
