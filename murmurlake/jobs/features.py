@@ -14,7 +14,7 @@ from ..operators import spectral as sp
 from ..sources import views as v
 from .audio import stereo
 from .pipeline import Pipeline, stage_metrics
-from .signals import CONFIG, flat
+from .signals import CONFIG, TRIM, flat
 
 
 def _bins(features: DataFrame, digits: int = 5) -> DataFrame:
@@ -195,7 +195,7 @@ SELECT 'r' || rec AS rec, channel, CASE WHEN rec % 2 = 0 THEN 2 * frame ELSE fra
     "stitch_multi": f"{_F} SELECT rec, o AS output_idx, frame, round(CASE o WHEN 0 THEN x ELSE -3 * x END, 6) AS x FROM frames, (SELECT unnest([0, 1]) AS o)",
     "segments": f"{_F} SELECT rec, frame // 16 AS chunk_idx, 16 AS n, round(sum(x), 6) AS total FROM frames GROUP BY ALL",
     "segments_back": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
-    "trimmed_silence": None,
+    "trimmed_silence": f"{_F}, {TRIM} SELECT rec, frame - lo AS frame, round(x, 6) AS x FROM frames JOIN cuts USING (rec) WHERE frame >= lo AND frame < hi",
     "apply_model": f"{_F} SELECT rec, frame, round(2 * x, 6) AS x FROM frames",
     "separate": f"{_F}, {_PLAN} SELECT p.rec, o AS output_idx, count(DISTINCT start_frame) AS n, round(sum(CASE o WHEN 0 THEN x ELSE -3 * x END), 6) AS total FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20, (SELECT unnest([0, 1]) AS o) GROUP BY ALL",
     "analyze": f"{_F} SELECT rec, frame // 16 AS block_idx, CAST(arg_min(frame, (-x, frame)) % 16 AS INTEGER) AS at, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY ALL",
@@ -212,4 +212,3 @@ p AS (SELECT w.rec, i, coalesce(sum(x), 0) / 8 AS a, coalesce(sum(prob), 0) / 8
 SELECT rec AS utt, round(a / greatest(sqrt(a * a + b * b), 1e-8), 6) AS a, round(b / greatest(sqrt(a * a + b * b), 1e-8), 6) AS b FROM q""",
     "valid_targets": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'not 64 weights' WHEN vec_id % 5 = 0 THEN 'not finite' END AS error FROM embeddings",
 }
-del SQL["trimmed_silence"]

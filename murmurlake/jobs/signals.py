@@ -63,6 +63,10 @@ _SAME = f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames"
 #: Under the usual plan only a single chunk leaves its tail silent; under the other one, the last chunk does.
 DISCARD = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN n <= 20 AND frame >= 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
 DISCARD_TAIL = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN frame >= CASE WHEN n <= 20 THEN 0 ELSE (n - 5) // 15 * 15 END + 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
+TRIM = """n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec), h AS (SELECT rec, n, 4 * unnest(range((n + 3) // 4)) AS hop FROM n),
+q AS (SELECT rec, n, hop, CASE WHEN p < 0 THEN -p WHEN p >= n THEN 2 * (n - 1) - p ELSE p END AS p FROM (SELECT rec, n, hop, hop + unnest(range(-4, 4)) AS p FROM h)),
+e AS (SELECT q.rec, n, hop, avg(x * x) AS e FROM q JOIN frames f ON q.rec = f.rec AND q.p = f.frame GROUP BY ALL),
+cuts AS (SELECT rec, min(hop) AS lo, least(max(hop) + 4, max(n)) AS hi FROM (SELECT *, max(e) OVER (PARTITION BY rec) AS top FROM e) WHERE 10 * log10(greatest(e, 1e-10)) > 10 * log10(greatest(top, 1e-10)) - 20 GROUP BY rec)"""
 SQL = {
     "signal_levels": f"{_F} SELECT rec, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak, round(avg(x), 6) AS dc, count(*)::DOUBLE AS dur FROM frames GROUP BY rec",
     "slice_signal": f"{_F}, r AS (SELECT rec, CAST(trunc((max(frame) / 10 - 1.3::DOUBLE) * 10) AS BIGINT) AS hi FROM frames GROUP BY rec) SELECT rec, frame - 7 AS frame, round(x, 6) AS x FROM frames JOIN r USING (rec) WHERE frame >= 7 AND frame < hi",
@@ -94,4 +98,11 @@ SELECT rec, CASE WHEN bad > 0 THEN 'non-finite' ELSE array_to_string(list_filter
     "stitch_blend": f"""{_F}, {_PLAN}, w AS (SELECT p.rec, frame, start_frame // 15 AS c, CASE WHEN frame - start_frame < least(20, total) // 2 THEN (frame - start_frame + 1) / greatest(least(20, total) // 2, 1)::DOUBLE ELSE (least(20, total) - (frame - start_frame)) / greatest(least(20, total) // 2, 1)::DOUBLE END AS w
   FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20) SELECT rec, frame, round(sum(w * c) / sum(w), 6) AS x FROM w GROUP BY rec, frame""",
     "resample_linear": f"{_F} SELECT rec, 2 * frame AS frame, round(x, 6) AS x FROM frames UNION ALL SELECT rec, 2 * frame + 1, round((x + coalesce(lead(x) OVER (PARTITION BY rec ORDER BY frame), x)) / 2, 6) FROM frames",
+    "best_lag": f"{_F}, l AS (SELECT a.rec, lag, sum(a.x * b.x) AS s FROM (SELECT unnest(range(-8, 9)) AS lag), frames a JOIN frames b ON a.rec = b.rec AND b.frame = a.frame + lag - 3 GROUP BY ALL) SELECT rec, CAST(arg_min(lag, (-s, lag)) AS INTEGER) AS lag FROM l GROUP BY rec",
+    "bandwidth": f"""{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec HAVING count(*) >= 16), fr AS (SELECT rec, unnest(range((n - 16) // 8 + 1)) AS f FROM n),
+y AS (SELECT fr.rec, f, k, sum(x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (frame - 8 * f) / 15)) * cos(2 * pi() * k * (frame - 8 * f) / 16)) AS re, sum(x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (frame - 8 * f) / 15)) * sin(2 * pi() * k * (frame - 8 * f) / 16)) AS im
+  FROM fr JOIN frames ON fr.rec = frames.rec AND frame >= 8 * f AND frame < 8 * f + 16, (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+e AS (SELECT rec, k, sum(re * re + im * im) AS e FROM y GROUP BY ALL), c AS (SELECT rec, k, sum(e) OVER (PARTITION BY rec ORDER BY k) AS run, sum(e) OVER (PARTITION BY rec) AS total FROM e)
+SELECT rec, round(min(k) * 1000.0::DOUBLE, 3) AS f_high, min(k) * 1000 >= 7600 AS passthrough FROM c WHERE run >= 0.99::DOUBLE * total GROUP BY rec""",
+    "trim_silence": f"{_F}, {TRIM} SELECT rec, lo, hi FROM cuts",
 }
