@@ -1,18 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The index holds, for the terms that are asked for, a posting (term, document, positions) for each document they occur in.
-The windows of a benchmark's items (ten consecutive words; a shorter item is one window) are the phrases. Of each phrase
-the rarest term over the whole corpus is looked up; each of its postings, less the term's offset in the phrase, is where
-the phrase would start. The other terms are intersected at their own offsets in the document. A start that all terms
-confirm is an exact match; one where at least NEAR of the words lie within SLOP places is a proximity match.
-
-The corpus is cut into words twice, once to count the benchmark's terms and once for postings; only postings of rarest
-terms are shuffled. What is broadcast comes from the benchmark and is counted first; a benchmark of more than BOUND
-words is joined by shuffles instead.
-
-Defined results: null and empty texts have no words and no hits; an item without words has no window; items that repeat
-an item_id are windows of one item; the digest of no items is that of the empty string; repeated rows each get the same
-result.
+The windows of a benchmark's items (ten consecutive words; a shorter item is one window) are the phrases. The index holds a
+posting (term, document, position) for each place where the corpus has a phrase's rarest term (that occurs at all; ties:
+the first in the phrase); it is written once. Each of its postings, less the term's offset in the phrase, is where the
+phrase would start. There the other terms are intersected: a start that all terms confirm at their own offsets is an exact
+match; one where at least NEAR of the phrase's different words lie within SLOP places of it is a proximity match.
+
+The corpus is cut into words three times: to count the benchmark's terms, for the postings, and to confirm their starts;
+only postings of rarest terms are shuffled. What is broadcast comes from the benchmark and is counted first; a benchmark of
+more than BOUND words is joined by shuffles instead.
+
+Defined results: null and empty texts have no words and no hits; an item without words has no window, and rows without
+item_id are no items; items that repeat an item_id are windows of one item; the digest of no items is that of the empty
+string; repeated rows each get the same result; long texts are whole.
 """
 
 from __future__ import annotations
@@ -56,24 +56,30 @@ def term_counts(docs: DataFrame, terms: DataFrame, bound: int = BOUND) -> DataFr
 
 
 def anchors(docs: DataFrame, phrase: DataFrame) -> DataFrame:
-    """term, phrase, offset: for each phrase its rarest term (ties: the first place)."""
+    """term, phrase, offset: for each phrase its rarest term of those that occur (ties: the first place)."""
     terms = phrase.select("phrase", F.posexplode("words").alias("offset", "term"))
-    counted = terms.join(term_counts(docs, terms.select("term").distinct()), "term")
+    counted = terms.join(term_counts(docs, terms.select("term").distinct()), "term").where("df > 0")
     return counted.groupBy("phrase").agg(F.min(F.struct("df", "offset", "term")).alias("x")).select("phrase", F.col("x.offset").alias("offset"), F.col("x.term").alias("term"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, th, n_words, exact, near for each document: arrays of (start, n, items) with starts in ascending order."""
+    """doc_id, th, n_words, exact, near for each document: arrays of (start, n, items) with starts in ascending order.
+
+    What comes from the benchmark, and the postings, are written on the way, so that no pass over the corpus runs twice.
+    """
     docs = documents(docs)
-    phrase = phrases(benchmark)
-    anchor = anchors(docs, phrase).join(phrase, "phrase").groupBy("term").agg(F.collect_list(F.struct("offset", "phrase")).alias("wanted"))
-    starts = postings(docs, anchor).select("doc_id", "th", "position", F.explode("wanted").alias("x")).select("doc_id", "th", F.col("x.phrase").alias("phrase"), (F.col("position") - F.col("x.offset")).alias("start"))
-    starts = starts.where("start >= 0").join(bounded_broadcast(phrase.select("phrase", "words", "items"), BOUND), "phrase")
+    phrase = cut(phrases(benchmark))
+    anchor = cut(anchors(docs, phrase))
+    index = cut(postings(docs, anchor.select("term").distinct()))
+    starts = index.join(bounded_broadcast(anchor, BOUND), "term").select("doc_id", "th", "phrase", (F.col("position") - F.col("offset")).alias("start"))
+    starts = starts.join(bounded_broadcast(phrase.select("phrase", "words", "items"), BOUND), "phrase").where(F.col("start") > -F.size("words"))
     candidate = starts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "words", "items")).alias("candidates"))
     x = docs.join(candidate, ["doc_id", "th"], "left").select("doc_id", "th", "candidates", words_of(F.col("text")).alias("w"))
-    here = lambda c, slop: F.slice(F.col("w"), F.greatest(F.lit(1), c["start"] + 1 - slop), F.size(c["words"]) + 2 * slop)
+    # Words from `slop` before the start to `slop` after the end, as far as the text has them.
+    first = lambda c, slop: F.greatest(F.lit(1), c["start"] + 1 - slop)
+    here = lambda c, slop: F.slice(F.col("w"), first(c, slop), F.greatest(F.lit(0), c["start"] + F.size(c["words"]) + slop + 1 - first(c, slop)))
     short = lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("n"), c["items"].alias("items"))
-    exact = lambda c: here(c, 0) == c["words"]
+    exact = lambda c: (c["start"] >= 0) & (here(c, 0) == c["words"])
     near = lambda c: ~exact(c) & (F.size(F.array_intersect(here(c, SLOP), c["words"])) >= F.lit(NEAR) * F.size(F.array_distinct(c["words"])))
     return x.select("doc_id", "th", "w", F.size("w").alias("n_words"), *(F.array_sort(F.transform(F.filter(F.coalesce("candidates", F.array().cast(x.schema["candidates"].dataType)), f), short)).alias(k) for k, f in (("exact", exact), ("near", near))))
 
@@ -93,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return x.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return x.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 SQL = r"""
@@ -106,9 +112,14 @@ q AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slic
 l AS (SELECT DISTINCT n FROM q),
 g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, l WHERE len(w) >= n),
 m AS (SELECT doc_id, i, g.n, item_id FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM g) g JOIN q ON g.n = q.n AND g.s = q.s),
+f AS (SELECT x, count(*) AS df FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+u AS (SELECT DISTINCT n, s, string_split(s, ' ') AS ws FROM q), v AS (SELECT s, n, ws, x, j FROM (SELECT s, n, ws, unnest(ws) AS x, unnest(range(n)) AS j FROM u)),
+y AS (SELECT s, n, any_value(ws) AS ws, arg_min(x, (df, j)) AS x, arg_min(j, (df, j)) AS j FROM v JOIN f USING (x) GROUP BY s, n),
+z AS (SELECT DISTINCT doc_id, i - 1 - j AS a, s, n, ws, dw FROM (SELECT doc_id, w AS dw, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) t JOIN y ON t.x = y.x),
+e AS (SELECT doc_id, count(*) AS n_near FROM z WHERE a > -n AND NOT (a >= 0 AND list_slice(dw, a + 1, a + n) = ws) AND len(list_intersect(list_distinct(list_slice(dw, greatest(1, a - 2), a + n + 3)), list_distinct(ws))) >= 0.8::DOUBLE * len(list_distinct(ws)) GROUP BY doc_id),
 h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """

@@ -62,7 +62,7 @@ def test_sql_on_odd_rows(spark, odd, name):
 def test_decontamination_on_odd_rows(spark, odd):
     b = spark.createDataFrame([(1, "W5 w6, w7 w8 w9 w10 w11 w12 w13 w14 w15"), (2, "one two"), (3, None), (4, "!!"), (10, "one two")], "item_id long, text string")
     d = _own(odd)
-    got = decontaminate.contamination(d, b).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")).toPandas()
+    got = decontaminate.contamination(d, b).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near").toPandas()
     near(got, answer(decontaminate.SQL, "/root/testdata/sf0.001", documents=d.toPandas(), benchmark=b.toPandas()))
     assert got.loc[got.doc_id == 8, "n_hit"].item() == 2
     near_ = decontaminate.contamination(spark.createDataFrame([(1, "w5 w6 w7 zz w8 w9 w10 w11 w12 w13 w14 w15")], "doc_id long, text string"), b).first()
@@ -432,3 +432,22 @@ def test_lines_by_brute_force(spark, sf):
     assert x.columns == clash.columns and sorted((r["doc_id"], r["text"]) for r in x.collect()) == [(r[0], r[3]) for r in got]
     short = spark.createDataFrame([(1, "Yes\nmore words here"), (2, "Yes\nother things there")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(short, min_words=1).collect()} == {1: 0, 2: 1}
+
+
+@pytest.mark.parametrize(("coarse", "lists"), [(1024, 1024), (64, 1024)])
+def test_recall_of_probes(coarse, lists):
+    """Of the links among 30,000 vectors, the share that either end's search reaches, with as many lists as a million vectors have."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))[rng.integers(0, 6000, 30_000)] + rng.normal(size=(30_000, 64)) * rng.choice([0.1, 0.2, 0.26], (30_000, 1))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    q = embeddings.Quantiser(x[:20_000], lists, coarse)
+    assert len(q.coarse) * len(q.second) >= lists
+    asked = np.concatenate([q.lists(part, embeddings.PROBES) for part in np.array_split(x, 20)])
+    found = every = 0
+    for i in range(0, len(x), 2000):
+        a, b = np.nonzero(x[i : i + 2000] @ x.T >= 0.93)
+        a += i
+        a, b = a[a < b], b[a < b]
+        every += len(a)
+        found += ((asked[b] == asked[a, :1]).any(axis=1) | (asked[a] == asked[b, :1]).any(axis=1)).sum()
+    assert every > 1000 and found >= 0.97 * every
