@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     cross = outside.alias("o").join(placed.alias("m"), ["band", "value"]).where((F.col("o.component") != F.col("m.component")) & ((F.col("m.component") == F.col("m.largest")) | (F.col("o.rep") < F.col("m.rep"))) & close("o", "m"))
     cross = cut(cross.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b")).distinct().join(links, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
-        found = components(links.unionByName(verified(docs, cross, percent, width)))
+        # What is linked already is a star around its smallest member, and stays linked.
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, cross, percent, width)))
     of = classes.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return signed.join(of, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
