@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-PACKED = "bucket int, ids binary, ths binary, starts binary, hashes binary, gaps binary"
+PACKED = "bucket int, ids binary, ths binary, starts binary, hashes binary, gaps binary, grp int"
 PLACES = "doc_id long, th long, places binary"
 
 
@@ -208,7 +209,19 @@ def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "starts", "hashes", "gaps"))])
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "ths", "starts", "hashes", "gaps")), ("grp", pa.int32())])
+
+
+def passed_on(done: pa.Table, buckets: int, sizes: str = "starts", gaps: str = "gaps") -> list[dict]:
+    """Answers that a chunk could give itself, as rows of an exchange: they go through a bucket unread, so a window that many texts of a chunk share is one entry there."""
+    return [{"bucket": r["grp"] % buckets, "ids": r["ids"], "ths": r["ths"], sizes: r["sizes"], gaps: r["gaps"], "grp": r["grp"]} for r in done.to_pylist()]
+
+
+def told_apart(group: pa.Table, sizes: str = "starts", gaps: str = "gaps") -> tuple[pa.Table, pa.Table]:
+    """A bucket's own rows, and the answers that only pass through."""
+    own = pa.compute.is_null(group["grp"])
+    done = group.filter(pa.compute.invert(own))
+    return group.filter(own), pa.table([done["grp"], done["ids"], done["ths"], done[sizes], done[gaps]], schema=ANSWERS_ARROW)
 
 
 def unpack(group: pa.Table, *widths: int) -> tuple[np.ndarray, ...]:

@@ -8,9 +8,9 @@ the maximal exact repeats.
 
 Blocks and probes meet in buckets of their hash, packed as planes of bytes (common.pack), about five bytes a probe; the
 bucket and 32 more bits identify a probe, which only chooses candidates. The windows of the second step are identified
-by 64 bits and the bucket, taken from two independent hashes. Neither step makes pairs: a bucket counts places by hash,
-so a passage that a third of all texts share costs no more than other text, and it can't fill a bucket: each bucket gets
-about the same share of any text's windows, unless one text repeats one window, whose places are one run.
+by 64 bits and the bucket, taken from two independent hashes. Neither step makes pairs: a bucket counts places by hash.
+What a chunk of texts can tell by itself never reaches a bucket: places that share a window with another place of the
+chunk are answered there, and one of them stands for all. So a window that a third of all texts share is one entry a chunk.
 
 Defined results: null and empty texts have no words and lose none; kept_sha256 is that of the empty string there. A
 repeated row is a place elsewhere, so both lose what they share. Texts shorter than `length` words lose nothing.
@@ -18,21 +18,20 @@ repeated row is a place elsewhere, so both lose what they share. Texts shorter t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ANSWERS, PACKED, PACKED_ARROW, PLACES, Words, answers, batch_of, bucket_of, buckets_for, chunks, covered, documents, merged_answers, pack, read_places, space_words, table, text_bytes, unpack, window_hashes
+from .common import ANSWERS, PACKED, PACKED_ARROW, PLACES, Words, answers, batch_of, bucket_of, buckets_for, chunks, covered, documents, merged_answers, mix, pack, passed_on, read_places, space_words, table, text_bytes, told_apart, unpack, window_hashes
 
 LENGTH = 35
 BLOCK = 18
 SEED_WORD, SEED_PROBE, SEED_WINDOW, SEED_BUCKET = 11, 12, 13, 14
 
 
-
-
 def starts_in_group(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash, where each hash starts in that order, and how many places each has."""
     order = np.argsort(h, kind="stable")
@@ -53,16 +52,31 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
             at = words.within(block)
             h = window_hashes(words.hashes(SEED_WORD), block, SEED_PROBE)[at]
             if len(at):
-                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(h, n), (h, 4))), PACKED_ARROW)
+                ids, ths, owner = rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words.owner[at]
+                place = at - words.offsets[owner]
+                anchor = place % block == 0
+                order, first, size = starts_in_group(h)
+                known = np.zeros(len(at), np.int64)
+                known[order] = np.repeat(np.add.reduceat(anchor[order].astype(np.int64), first), size)
+                hit = known - anchor > 0
+                send = ~hit
+                # Of several blocks alike, one stands for all.
+                both = order[anchor[order] & (known[order] > 1)]
+                send[both[np.concatenate([[True], h[both][1:] != h[both][:-1]])] if len(both) else both] = True
+                out = list(pack(ids, ths, words, at[send], bucket_of(h[send], n), (h[send], 4)))
+                yield batch_of(out + passed_on(answers(hit, place, owner, ids, ths, n), n), PACKED_ARROW)
 
     def hits(group: pa.Table) -> pa.Table:
+        group, done = told_apart(group)
+        if not len(group):
+            return done
         h, place, owner, ids, ths = unpack(group, 4)
         anchor = place % block == 0
         order, first, size = starts_in_group(h)
         known = np.repeat(np.add.reduceat(anchor[order].astype(np.int64), first), size)
         hit = np.zeros(len(h), bool)
         hit[order] = known - anchor[order] > 0
-        return answers(hit, place, owner, ids, ths, n)
+        return pa.concat_tables([answers(hit, place, owner, ids, ths, n), done])
 
     def gathered(found: DataFrame) -> DataFrame:
         return found.groupBy("grp").applyInArrow(merged_answers, PLACES)
@@ -83,15 +97,25 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, b
             at = at[np.cumsum(near)[at] > 0]
             if len(at):
                 x = words.hashes(SEED_WORD)
-                b = window_hashes(words.hashes(SEED_BUCKET), length, SEED_BUCKET)[at]
-                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words, at, bucket_of(b, n), (window_hashes(x, length, SEED_WINDOW)[at], 8))), PACKED_ARROW)
+                h, b = window_hashes(x, length, SEED_WINDOW)[at], window_hashes(words.hashes(SEED_BUCKET), length, SEED_BUCKET)[at]
+                ids, ths, owner = rows["doc_id"].to_numpy(), rows["th"].to_numpy(), words.owner[at]
+                order, first, size = starts_in_group(mix(h ^ mix(b)))
+                twice = np.zeros(len(at), bool)
+                twice[order] = np.repeat(size, size) > 1
+                send = ~twice
+                send[order[first]] = True
+                out = list(pack(ids, ths, words, at[send], bucket_of(b[send], n), (h[send], 8)))
+                yield batch_of(out + passed_on(answers(twice, at - words.offsets[owner], owner, ids, ths, n), n), PACKED_ARROW)
 
     def repeats(group: pa.Table) -> pa.Table:
+        group, done = told_apart(group)
+        if not len(group):
+            return done
         h, place, owner, ids, ths = unpack(group, 8)
         order, _, size = starts_in_group(h)
         twice = np.zeros(len(h), bool)
         twice[order] = np.repeat(size, size) > 1
-        return answers(twice, place, owner, ids, ths, n)
+        return pa.concat_tables([answers(twice, place, owner, ids, ths, n), done])
 
     extended = texts.join(gathered(anchored), ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(windows, PACKED)
     return texts, gathered(extended.groupBy("bucket").applyInArrow(repeats, ANSWERS))

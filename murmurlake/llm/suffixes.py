@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ANSWERS, PACKED, PACKED_ARROW, PLACES, answers, batch_of, bucket_of, buckets_for, by_bucket, chunks, covered, documents, factors, merged_answers, mix, pack, read_places, table, text_bytes, unpack
+from .common import ANSWERS, PACKED, PACKED_ARROW, PLACES, answers, batch_of, bucket_of, buckets_for, by_bucket, chunks, covered, documents, factors, merged_answers, mix, pack, passed_on, read_places, table, text_bytes, told_apart, unpack
 
 LENGTH = 50
 HOT = 1000
@@ -250,8 +250,18 @@ def matched(strings: list[tuple[int, bytes, int]], length: int) -> list[tuple[in
     return out
 
 
-CONTEXTS = "bucket int, keys binary, ids binary, ths binary, places binary, lengths binary, blob binary"
-CONTEXTS_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("keys", "ids", "ths", "places", "lengths", "blob"))])
+CONTEXTS = "bucket int, keys binary, ids binary, ths binary, places binary, lengths binary, blob binary, grp int"
+CONTEXTS_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("keys", "ids", "ths", "places", "lengths", "blob")), ("grp", pa.int32())])
+
+
+def behind_smallest(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which entries have the key of one in a smaller document."""
+    order = np.lexsort((docs, keys))
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    out = np.zeros(len(keys), bool)
+    out[order] = docs[order] > np.repeat(docs[order][first], np.diff(np.append(first, len(k))))
+    return out
 
 
 def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,11 +273,17 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
         for rows, texts in chunks(batches, 1_000_000):
             r = Runs(texts, length)
             if len(r.first):
-                low = r.anchor & np.uint64(0xFFFFFFFF)
-                yield batch_of(list(pack(rows["doc_id"].to_numpy(), rows["th"].to_numpy(), r, r.first, bucket_of(mix(r.anchor), n), (low, 4), (r.context, 5))), PACKED_ARROW)
+                ids, ths, owner = rows["doc_id"].to_numpy(), rows["th"].to_numpy(), r.owner[r.first].astype(np.int64)
+                larger = behind_smallest(ids[owner], mix(r.anchor ^ mix(r.context)))
+                send = ~larger
+                out = list(pack(ids, ths, r, r.first[send], bucket_of(mix(r.anchor[send]), n), (r.anchor[send] & np.uint64(0xFFFFFFFF), 4), (r.context[send], 5)))
+                yield batch_of(out + passed_on(answers(larger, (r.first - r.offsets[owner]) * 4 + EQUAL, owner, ids, ths, n), n), PACKED_ARROW)
 
     def sorted_out(group: pa.Table) -> pa.Table:
         """What each run of a repeated anchor is: EQUAL to a smaller document's, or one of several DIFFERENT ones."""
+        group, done = told_apart(group)
+        if not len(group):
+            return done
         anchor, context, place, owner, ids, ths = unpack(group, 4, 5)
         doc = ids[owner]
         order = np.lexsort((doc, context, anchor))
@@ -283,12 +299,12 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
         kind[~several[of_a]] = 0
         kinds = np.zeros(len(kind), np.int64)
         kinds[order] = kind
-        return answers(kinds > 0, place * 4 + kinds, owner, ids, ths, n)
+        return pa.concat_tables([answers(kinds > 0, place * 4 + kinds, owner, ids, ths, n), done])
 
     def contexts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, 1_000_000):
             r = Runs(texts, length, contexts=False)
-            keys, begin, end, hash_of = [], [], [], None
+            keys, begin, end, spread, hash_of = [], [], [], [], None
             for k, found in enumerate(rows["places"].to_pylist()):
                 x = read_places(found)
                 runs = np.searchsorted(r.first, x // 4 + r.offsets[k])
@@ -296,15 +312,23 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
                 keys.append(r.anchor[one])
                 begin.append(r.first[one])
                 end.append(r.last[one] + length)
+                spread.append(np.zeros(len(one), bool))
                 for i in runs[x % 4 == SPREAD]:
                     hash_of = hash_of or prefix_hashes(r.text)
                     p = np.arange(r.first[i], r.last[i] + 1)
                     keys.append(hash_of(p, p + length))
                     begin.append(p)
                     end.append(p + length)
-            keys, begin, end = map(np.concatenate, (keys, begin, end))
-            ids, ths, own = rows["doc_id"].to_numpy(), rows["th"].to_numpy(), r.owner[begin]
-            out = []
+                    spread.append(np.ones(len(p), bool))
+            keys, begin, end, spread = map(np.concatenate, (keys, begin, end, spread))
+            ids, ths, own = rows["doc_id"].to_numpy(), rows["th"].to_numpy(), r.owner[begin].astype(np.int64)
+            larger = np.zeros(len(keys), bool)
+            at = np.flatnonzero(spread)
+            if len(at):
+                larger[at] = behind_smallest(ids[own[at]], keys[at])
+            done = answers(larger, begin - r.offsets[own], own, ids, ths, n)
+            keys, begin, end, own = keys[~larger], begin[~larger], end[~larger], own[~larger]
+            out = passed_on(done, n, "places", "lengths")
             for b, part in by_bucket(bucket_of(mix(keys), n)):
                 own_b = own[part]
                 out.append({"bucket": b, "keys": keys[part].tobytes(), "ids": ids[own_b].tobytes(), "ths": ths[own_b].tobytes(), "places": (begin[part] - r.offsets[own_b]).astype(np.int64).tobytes(), "lengths": (end - begin)[part].astype(np.int64).tobytes(), "blob": b"".join(r.text[x:y] for x, y in zip(begin[part].tolist(), end[part].tolist(), strict=True))})
@@ -312,7 +336,10 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
                 yield batch_of(out, CONTEXTS_ARROW)
 
     def compared(group: pa.Table) -> pa.Table:
+        group, done = told_apart(group, "places", "lengths")
         rows = group.to_pylist()
+        if not rows:
+            return done
         keys, ids, ths, places, lengths = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("keys", np.uint64), ("ids", np.int64), ("ths", np.int64), ("places", np.int64), ("lengths", np.int64)))
         blob = b"".join(r["blob"] for r in rows)
         begin = np.cumsum(lengths) - lengths
@@ -352,7 +379,7 @@ def removed_places(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
         if batch:
             settle()
         k = np.array(found_k, np.int64)
-        return answers(np.ones(len(k), bool), places[k] + np.array(found_p, np.int64), k, ids, ths, n)
+        return pa.concat_tables([answers(np.ones(len(k), bool), places[k] + np.array(found_p, np.int64), k, ids, ths, n), done])
 
     texts = docs.repartition("doc_id", "th")
     told = docs.mapInArrow(runs_of, PACKED).groupBy("bucket").applyInArrow(sorted_out, ANSWERS).groupBy("grp").applyInArrow(merged_answers, PLACES)
