@@ -256,11 +256,11 @@ CONTEXTS_ARROW = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in
 
 def behind_smallest(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which entries have the key of one in a smaller document."""
-    order = np.lexsort((docs, keys))
-    k = keys[order]
+    order = np.argsort(keys)
+    k, d = keys[order], docs[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     out = np.zeros(len(keys), bool)
-    out[order] = docs[order] > np.repeat(docs[order][first], np.diff(np.append(first, len(k))))
+    out[order] = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(k))))
     return out
 
 

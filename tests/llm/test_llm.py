@@ -76,12 +76,22 @@ def test_every_operator_takes_odd_rows(spark, request, table):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     counts = {
-        "1": substrings.remove_repeats(d), "2": toxicity.score(d, labels), "3": lines.dedup_lines(d), "4": licenses.scan(d), "5": language.identify(d.where("doc_id IS NOT NULL").select("doc_id", "text"), ["doc_id"], language.training_rows(d)),
+        "1": substrings.remove_repeats(d), "2": toxicity.score(d, labels), "3": lines.dedup_lines(d), "4": licenses.scan(d), "5": language.identify(d.where("doc_id IS NOT NULL").select("doc_id", "text"), ["doc_id", "text"], language.training_rows(d)),
         "6": suffixes.remove_repeats(d), "7": decontaminate.contamination(d, bench), "8": minhash.near_duplicates(d), "9": mixing.mix(d),
     }
     for k, x in counts.items():
         assert x.count() == n, k
     assert mixing.mix(d, keep=("doc_id", "text", "source", "label")).count() == n
+    scores = {}
+    for r in counts["2"].join(d.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert 0 <= r["score"] <= 1
+        scores.setdefault(r["text"] or "", set()).add(round(r["score"], 9))
+    assert all(len(scores.get(t, {0})) == 1 for t in ("", "one two"))  # doc_id 7 has two texts
+    for r in counts["5"].collect():
+        assert (r["lang_pred"], r["score"]) == ("und", 0.0) if not any(c.isalpha() for c in r["text"] or "") else r["lang_pred"] == "en"
+    sizes = {(r["doc_id"], r["size"]) for r in counts["9"].collect()}
+    assert sizes == {(r["doc_id"], len((r["text"] or "").encode().split())) for r in d.where("doc_id IS NOT NULL").collect()}
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in counts["9"].collect())
 
 
 def test_suffix_array():
@@ -451,3 +461,26 @@ def test_recall_of_probes(coarse, lists):
         every += len(a)
         found += ((asked[b] == asked[a, :1]).any(axis=1) | (asked[a] == asked[b, :1]).any(axis=1)).sum()
     assert every > 1000 and found >= 0.97 * every
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """The registered query: labels of a remainder it never learns from, by the area under the curve."""
+    sf = "/root/testdata/sf0.01"
+    x = toxicity.op2_toxicity(spark, sf).toPandas()
+    assert (x["held_out"] == x["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all() and (x["predicted"] == (x["score"] >= 0.5)).all()
+    x = x.merge(pd.read_parquet(f"{sf}/labels.parquet")[["doc_id", "toxic"]])
+    held = x[x["held_out"] & x["toxic"].notna()]
+    rank, bad = held["score"].rank(), held["toxic"] == 1
+    area = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    assert bad.sum() > 3 and area > 0.95
+
+
+def test_a_string_in_every_document(spark):
+    """Passages that all texts share, between words of their own: one entry a chunk, and the same result as brute force."""
+    p = " ".join(f"shared{i}" for i in range(40))
+    d = spark.createDataFrame([(i, f"a{i} b{i} {p} c{i} d{i}") for i in range(300)], "doc_id long, text string").repartition(5)
+    got = substrings.remove_repeats(d).collect()
+    assert {(r["n_words"], r["n_removed"], r["n_runs"]) for r in got} == {(44, 40, 1)} and len(got) == 300
+    for hot in (1000, 1):
+        got = suffixes.remove_repeats(d, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert sorted(map(tuple, got)) == suffix_brute([tuple(r) for r in d.collect()])
