@@ -94,8 +94,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_words: int
     """doc_id, th, line, template of all lines to be dropped. docs: documents()."""
     lines = cut(docs.mapInArrow(lambda it: line_rows(it, max(1, min_words)), "doc_id long, th long, line int, leaf long, whole long, sign binary"))
     often = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf")
-    lines = lines.join(often, "leaf", "left_semi")
-    different = lines.groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).select("leaf", "whole", "sign", "n", "first.*")
+    different = lines.join(often, "leaf", "left_semi").groupBy("leaf", "whole").agg(F.first("sign").alias("sign"), F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).select("leaf", "whole", "sign", "n", "first.*")
     buckets = buckets_for(text_bytes(docs))
     template = different.groupBy(F.pmod(F.col("leaf"), F.lit(buckets)).alias("bucket")).applyInArrow(templates, "leaf long, whole long, template long")
     placed = lines.select("doc_id", "th", "line", "leaf", "whole").join(template, ["leaf", "whole"]).select("doc_id", "th", "line", "template")
