@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
+from . import decontaminate, embeddings, fingerprints, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
 }
 
 SQL = {
