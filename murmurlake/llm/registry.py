@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, fingerprints, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
+from . import conversations, decontaminate, embeddings, fingerprints, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op8_minhash_near_dedup": minhash.SQL,
     "op9_mix_sources": mixing.SQL,
     "op10_embedding_near_dedup": embeddings.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }
