@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, embeddings, fingerprints, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
+from . import alignment, conversations, decontaminate, embeddings, fingerprints, language, licenses, lines, minhash, mixing, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 SQL = {
