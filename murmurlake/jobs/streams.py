@@ -31,7 +31,45 @@ def _turns(s, d):
     return _stream(s, d).select(F.date_format("ts", "yyyyMMdd").cast("long").alias("rec"), F.concat(F.lit("speaker_"), (F.col("user_id") % 4).cast("string")).alias("speaker"), (F.floor(us % 86400000000 / 1000) + F.round(F.col("value") * 10000)).cast("long").alias("end_ms"))
 
 
+def _chunks(s, d, discard=False):
+    return c.make_chunks(v.blocks(s, d), CONFIG, discard).withColumn("at", F.timestamp_seconds(F.col("chunk_idx") + 10**8))
+
+
+def _replayed(s, d):
+    """All chunks, then the first and the last of each recording once more."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    x = _chunks(s, d)
+    x.write.parquet(path)
+    x.where("is_first OR is_last").write.mode("append").parquet(path)
+    found = live.drain(live.stitch_stream(s.readStream.schema(x.schema).option("maxFilesPerTrigger", 8).parquet(path), CONFIG))
+    total = F.sum(F.aggregate("samples", F.lit(0.0), lambda a, y: a + y))
+    return found.groupBy("rec").agg(F.sum(F.size("samples")).alias("n"), F.round(total, 5).alias("total"), F.sum("late").alias("late"))
+
+
+def _cut_short(s, d):
+    """Every third chunk is lost, the last ones of some recordings with it; the watermark ends them, by a row that comes last and much later."""
+    lost = _chunks(s, d).where("chunk_idx % 3 <> 2")
+    end = lost.limit(1).select(*(F.lit(-1).cast("long").alias("rec") if k == "rec" else F.timestamp_seconds(F.lit(10**9)).alias("at") if k == "at" else k for k in lost.columns))
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    lost.write.parquet(path)
+    end.write.mode("append").parquet(path)
+    chunks = s.readStream.schema(lost.schema).option("maxFilesPerTrigger", 64).parquet(path).withWatermark("at", "1 day")
+    return flat(live.drain(live.stitch_stream(chunks, CONFIG, idle=60_000, event_time="at")).where("rec >= 0"))
+
+
+def _live_turns(s, d):
+    """A sign-up of every tenth user begins a new session; the last timeline of each recording."""
+    reset = ((F.col("event_type") == "signup") & (F.col("user_id") % 10 == 0)).alias("reset")
+    x = v.events(s, d).select("rec", F.col("event_id").alias("seq"), F.concat(F.lit("speaker_"), (F.col("user_id") % 4).cast("string")).alias("speaker"), "start_ms", (F.col("start_ms") + F.round(F.col("value") * 10000).cast("long")).alias("end_ms"), reset)
+    last = live.drain(live.live_turns(_staged(s, x.repartition(8))), "update").groupBy("rec").agg(F.max_by(F.struct("session", "n_turns", "speakers", "active", "largest", "turns"), F.struct("upto", "session", "n_turns")).alias("x"))
+    spelled = F.concat_ws(";", F.transform("x.turns", lambda t: F.concat_ws("-", t["start_ms"].cast("string"), t["end_ms"].cast("string"), t["speaker"])))
+    return last.select("rec", "x.session", "x.n_turns", "x.speakers", "x.active", "x.largest", F.md5(spelled).alias("turns"))
+
+
 QUERIES = {
+    "stream_stitch_replayed": _replayed,
+    "stream_stitch_cut_short": _cut_short,
+    "stream_live_turns": _live_turns,
     "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(12)))),
     "stream_stitch": lambda s, d: flat(live.drain(live.stitch_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
     "stream_stitch_discard": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
@@ -44,6 +82,19 @@ QUERIES = {
 
 _F, _T = v.using("frames"), v.using("turns")
 SQL = {
+    "stream_stitch_replayed": f"{_F} SELECT rec, count(*) AS n, round(sum(x), 5) AS total, CASE WHEN count(*) <= 20 THEN 1 ELSE 2 END AS late FROM frames GROUP BY rec",
+    # A chunk is 20 frames every 15; a recording of at most 20 is one. Frames that no chunk covers are silent.
+    "stream_stitch_cut_short": f"""{_F}, t AS (SELECT rec, frame, x, count(*) OVER (PARTITION BY rec) AS n FROM frames),
+c AS (SELECT *, unnest(CASE WHEN n <= 20 OR frame < 15 THEN [0] WHEN frame % 15 < 5 THEN [frame // 15 - 1, frame // 15] ELSE [frame // 15] END) AS k FROM t)
+SELECT rec, frame, round(CASE WHEN bool_or(k % 3 <> 2) THEN any_value(x) ELSE 0 END, 6) AS x FROM c GROUP BY rec, frame""",
+    "stream_live_turns": f"""{_T}, r AS (SELECT rec, max(event_id) AS session FROM ev WHERE event_type = 'signup' AND user_id % 10 = 0 GROUP BY rec),
+o AS (SELECT t.*, coalesce(session, -1) AS session FROM turns AS t LEFT JOIN r USING (rec) WHERE turn_id > coalesce(session, -1)),
+m AS (SELECT a.rec, a.start_ms, count(DISTINCT b.speaker) AS most FROM o AS a JOIN o AS b ON a.rec = b.rec AND b.start_ms <= a.start_ms AND a.start_ms < b.end_ms GROUP BY 1, 2),
+g AS (SELECT rec, any_value(session) AS session, count(*) AS n_turns, count(DISTINCT speaker) AS speakers, max(start_ms) AS latest,
+  md5(string_agg(start_ms || '-' || end_ms || '-' || speaker, ';' ORDER BY start_ms, end_ms, speaker)) AS turns FROM o GROUP BY rec),
+z AS (SELECT DISTINCT rec FROM ev)
+SELECT z.rec, coalesce(g.session, r.session) AS session, coalesce(n_turns, 0) AS n_turns, CAST(coalesce(speakers, 0) AS INTEGER) AS speakers, CAST(coalesce((SELECT most FROM m WHERE m.rec = g.rec AND m.start_ms = g.latest), 0) AS INTEGER) AS active,
+  CAST(coalesce((SELECT max(most) FROM m WHERE m.rec = g.rec), 0) AS INTEGER) AS largest, coalesce(turns, md5('')) AS turns FROM z LEFT JOIN g USING (rec) LEFT JOIN r ON r.rec = z.rec""",
     "stream_speech_events": f"{_F}, x AS (SELECT rec, frame, prob >= 0.5 AS hot, coalesce(lag(prob >= 0.5) OVER (PARTITION BY rec ORDER BY frame), false) AS was FROM frames) SELECT rec, frame * 256 AS at_ms, hot AS is_speech FROM x WHERE hot <> was",
     "stream_stitch": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
     "stream_stitch_discard": DISCARD,
