@@ -13,6 +13,7 @@ from ..operators import timeline as t
 from ..sources import audio as a
 from ..sources import reports as r
 from ..sources import views as v
+from ..sources import wav as w
 from .signals import flat
 
 
@@ -85,11 +86,24 @@ def _segments(s, d):
 
 def _spec(s, d):
     k = F.col("c_custkey")
-    return v.table(s, d, "customer").select(k.alias("rec"), F.element_at(F.array(*map(F.lit, ("sine", "harmonic", "silence"))), (k % 3 + 1).cast("int")).alias("kind"), (k % 40 + 1).cast("double").alias("hz"), F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, -1.0).otherwise((k % 4 + 1) / 8.0).alias("seconds"), F.lit(400).alias("rate"), k.alias("seed"))
+    kinds = F.array(*map(F.lit, ("sine", "harmonic", "silence", "noise")))
+    seconds = F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, -1.0).otherwise((k % 4 + 1) / 16.0)
+    return v.table(s, d, "customer").select(
+        k.alias("rec"), F.element_at(kinds, (k % 4 + 1).cast("int")).alias("kind"), (k % 40 + 1).cast("double").alias("hz"), seconds.alias("seconds"), F.lit(1200).alias("rate"), F.when(k % 5 > 0, k).alias("seed"),
+        F.when(k % 3 > 0, k % 3 / 4).alias("amplitude"), (k % 2 + 1).alias("channels"),
+    )
+
+
+def _wav_files(s, d):
+    """Files written and read again, by ranges that cut most of them."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    w.write_wav(stereo(s, d), path)
+    return flat(g.blocks_of(w.read_wav(s, path, 24, 500).withColumn("rec", F.regexp_extract("rec", r"([^/]+)\.wav$", 1))))
 
 
 QUERIES = {
     "wav_round_trip": lambda s, d: flat(g.blocks_of(a.decode_files(_files(s, d), 24))),
+    "wav_files": _wav_files,
     "wav_pcm16": lambda s, d: flat(g.blocks_of(a.decode_files(_pcm(s, d)))),
     "ingest_rejects": lambda s, d: a.split_ingest(a.decode_files(_broken(s, d), 24), 70 / 16000)[1],
     "ingest_accepted": lambda s, d: a.split_ingest(a.decode_files(_broken(s, d), 24), 70 / 16000)[0].groupBy("rec", "channel").agg(F.sum("n_frames").alias("n")),
@@ -110,6 +124,7 @@ _SPOKEN = f"{_W}, sp AS (SELECT * REPLACE (start_ms - start_ms % 10 AS start_ms)
 _SEC = lambda c: f"printf('%.3f', {c} / 1000.0::DOUBLE)"
 SQL = {
     "wav_round_trip": f"{_F} SELECT 'r' || rec AS rec, channel, frame, round(CAST(CAST(CASE channel WHEN 0 THEN x ELSE -0.5::DOUBLE * x END AS FLOAT) AS DOUBLE), 6) AS x FROM frames, (SELECT unnest([0, 1]) AS channel)",
+    "wav_files": f"{_F} SELECT 'r' || rec AS rec, channel, frame, round(CAST(CAST(CASE channel WHEN 0 THEN x ELSE -0.5::DOUBLE * x END AS FLOAT) AS DOUBLE), 6) AS x FROM frames, (SELECT unnest([0, 1]) AS channel)",
     "wav_pcm16": f"{_F} SELECT CAST(rec AS VARCHAR) AS rec, 0 AS channel, frame, round(CAST(CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x)) * 32767) / 32768.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS x FROM frames",
     "ingest_rejects": f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT 'r' || rec AS rec, CASE rec % 4 WHEN 0 THEN 'not a WAV file' WHEN 1 THEN 'neither PCM16 nor float32' ELSE 'too long' END AS reason FROM n WHERE rec % 4 < 2 OR n > 70",
     "ingest_accepted": f"{_F} SELECT 'r' || rec AS rec, channel, count(*) AS n FROM frames, (SELECT unnest([0, 1]) AS channel) WHERE rec % 4 > 1 GROUP BY ALL HAVING count(*) <= 70",
@@ -124,9 +139,16 @@ UNION ALL SELECT NULL, NULL, 'dimensions differ', count(*) FROM bad HAVING count
     "words_csv": f"{_SPOKEN} SELECT {_SEC('start_ms')} || ',' || {_SEC('end_ms')} || ',' || coalesce(speaker, '') || ',' || text AS line FROM sp",
     "transcripts": f"{_SPOKEN} SELECT rec, string_agg(printf('[%02d:%05.2f] Speaker %s: %s', start_ms // 60000, (start_ms % 60000) / 1000.0::DOUBLE, coalesce(speaker, 'Unknown'), text), chr(10) ORDER BY start_ms, end_ms, word_id) AS text FROM sp GROUP BY rec",
     "manifests": f"{_T} SELECT rec, CAST(rec AS VARCHAR) AS source, 86400.0::DOUBLE AS total, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(start_ms || '|' || (end_ms - start_ms) || '|seg_' || turn_id || '.wav|speech', ',' ORDER BY start_ms, end_ms, 'seg_' || turn_id || '.wav')) AS digest FROM turns GROUP BY rec",
-    "synth_signals": """WITH s AS (SELECT c_custkey AS rec, c_custkey % 3 AS kind, c_custkey % 40 + 1 AS hz, CAST((c_custkey % 4 + 1) * 50 AS BIGINT) AS n FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0),
-f AS (SELECT rec, kind, hz, unnest(range(n)) AS frame FROM s)
-SELECT rec, frame, round(CASE kind WHEN 0 THEN sin(2 * pi() * hz * frame / 400.0::DOUBLE) WHEN 1 THEN list_sum(list_transform(range(1, 9), lambda h: sin(2 * pi() * 110 * h * frame / 400.0::DOUBLE) / h)) * (0.5::DOUBLE + 0.5::DOUBLE * sin(2 * pi() * 3.5::DOUBLE * frame / 400.0::DOUBLE)) * 0.3::DOUBLE ELSE 0 END, 6) AS x FROM f""",
+    # The generator's states follow each other; a channel is 13 frames behind the one before it.
+    "synth_signals": """WITH RECURSIVE s AS (SELECT c_custkey AS rec, c_custkey % 4 AS kind, c_custkey % 40 + 1 AS hz, CAST((c_custkey % 4 + 1) * 75 AS BIGINT) AS n, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 / 4.0::DOUBLE ELSE 0.5::DOUBLE END AS amp,
+  xor(CASE WHEN c_custkey % 5 > 0 THEN c_custkey ELSE 0 END::HUGEINT, 2685821657736338717::HUGEINT) AS seed FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0),
+x AS (SELECT rec, CAST(-1 AS BIGINT) AS frame, n, seed AS state FROM s UNION ALL
+  SELECT rec, frame + 1, n, xor(b, (b << 17) & 18446744073709551615::HUGEINT) FROM (SELECT rec, frame, n, xor(a, a >> 7) AS b FROM (SELECT rec, frame, n, xor(state, (state << 13) & 18446744073709551615::HUGEINT) AS a FROM x WHERE frame < n - 1) AS p) AS q),
+f AS (SELECT s.*, frame, CAST(state % 2000003 AS DOUBLE) / 1000001.5::DOUBLE - 1 AS noise, frame / 1200.0::DOUBLE AS t FROM s JOIN x USING (rec) WHERE frame >= 0),
+m AS (SELECT rec, frame, CASE kind WHEN 0 THEN amp * sin(2 * pi() * hz * t) WHEN 3 THEN amp * noise WHEN 1 THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE * (0.01::DOUBLE * noise
+  + list_sum(list_transform(range(1, 5), lambda h: sin(2 * pi() * 110 * h * t + h) / h)) / 3 * (0.35::DOUBLE + 0.65::DOUBLE * abs(sin(2 * pi() * 3.5::DOUBLE * t)))))) ELSE 0 END AS x FROM f),
+c AS (SELECT rec, unnest(range(rec % 2 + 1)) AS channel, n FROM s), o AS (SELECT rec, channel, unnest(range(n)) AS frame FROM c)
+SELECT o.rec, CAST(channel AS INTEGER) AS channel, o.frame, round(coalesce(m.x, 0), 6) AS x FROM o LEFT JOIN m ON m.rec = o.rec AND m.frame = o.frame - 13 * channel""",
     "sort_timeline": f"{_T} SELECT rec, CAST(count(*) AS INTEGER) AS n, string_agg(turn_id, ',' ORDER BY turn_id) AS ids FROM turns GROUP BY rec",
     "speaker_turns": f"{_T} SELECT turn_id, rec FROM turns WHERE speaker = 'speaker_2'",
     "speech_and_silence": f"{_F} SELECT rec, nullif(count(*) FILTER (prob >= 0.5), 0) AS speech, nullif(count(*) FILTER (prob < 0.5), 0) AS silence FROM frames GROUP BY rec",

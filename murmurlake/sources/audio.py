@@ -10,43 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNALS = "rec string, channel int, sample_rate int, block_idx long, start_frame long, n_frames int, samples array<float>, status string"
-MAX_SECONDS = 3600
-
-
-#: (format tag, bits of a sample) -> numpy type and what a sample is divided by.
-_ENCODINGS = {(1, 16): ("<i2", 32768.0), (3, 32): ("<f4", 1.0)}
-_EXTENSIBLE = 0xFFFE
+from ..functions.noise import noise
+from .wav import SIGNALS, read_format
 
+MAX_SECONDS = 3600
 
-def _riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """Names and bodies of a RIFF file's chunks, which start at even places."""
-    view = data[12:]
-    while len(view) >= 8:
-        name, size = struct.unpack_from("<4sI", view)
-        yield name, view[8 : 8 + size]
-        view = view[8 + size + (size & 1) :]
+#: Fixed value: frames that a synthetic channel is behind the one before it.
+CHANNEL_DELAY = 13
 
 
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and samples (frames x channels) of PCM16 or float32; ValueError for anything else."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    parts = dict(_riff_chunks(data))
-    if b"fmt " not in parts or b"data" not in parts or len(parts[b"fmt "]) < 16:
-        raise ValueError("no format or no data")
-    tag, channels, rate, bits = struct.unpack("<HHI6xH", parts[b"fmt "][:16])
-    if tag == _EXTENSIBLE and len(parts[b"fmt "]) >= 26:
-        (tag,) = struct.unpack_from("<H", parts[b"fmt "], 24)
-    if not channels or not rate:
-        raise ValueError("no channels or no rate")
-    if (tag, bits) not in _ENCODINGS:
-        raise ValueError("neither PCM16 nor float32")
-    kind, full = _ENCODINGS[tag, bits]
-    frame = np.dtype(kind).itemsize * channels
-    body = parts[b"data"]
-    x = np.frombuffer(body, kind, len(body) // frame * channels)
-    return rate, (x / full).astype(np.float32).reshape(-1, channels)
+    form = read_format(lambda at, n: data[at : at + n], len(data))
+    return form.rate, form.decode(data[form.at : form.at + form.size])
 
 
 def encode_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -109,26 +85,38 @@ def write_wav(signals: DataFrame, path: str) -> None:
 def synth_signals(spark: SparkSession, spec: DataFrame, block: int = 48_000) -> DataFrame:
     """rec, block_idx, start_frame, samples from rec, kind (silence, sine, noise, harmonic), hz, seconds, rate, seed; none for a bad duration.
 
-    Each block is made by its own position, so blocks are made apart from each other.
+    harmonic is pseudo-speech: harmonics of 110 Hz to 0.45 of the rate with amplitudes 1/h and phases h, under an envelope of
+    3.5 syllables a second, with a little noise, clamped. Noise is a seeded xorshift sequence (functions.noise) whose state
+    jumps to a block's start, so every block size gives the same signal; a null seed is the generator's own. `amplitude`, 0.5
+    where it is null or missing, is that of sine and noise. Where spec has `channels`, so has the result, and a channel is 13
+    frames behind the one before it.
     """
-    good = spec.where("NOT isnan(seconds) AND seconds > 0 AND seconds < 1e9").withColumn("n", F.floor(F.col("seconds") * F.col("rate")))
+    many = "channels" in spec.columns
+    good = spec.where("NOT isnan(seconds) AND seconds > 0 AND seconds < 1e9").withColumns({"n": F.floor(F.col("seconds") * F.col("rate")), "amplitude": F.coalesce(F.col("amplitude") if "amplitude" in spec.columns else F.lit(None), F.lit(0.5)).cast("double")})
     plan = good.where("n > 0").withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    plan = plan.withColumn("channel", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("channels").cast("int")) - 1)) if many else F.lit(0))
+
+    def frames(r, start: int, end: int) -> np.ndarray:
+        t, seed = np.arange(start, end) / r.rate, None if pd.isna(r.seed) else int(r.seed)
+        if r.kind == "sine":
+            return r.amplitude * np.sin(2 * np.pi * r.hz * t)
+        if r.kind == "noise":
+            return r.amplitude * noise(seed, start, end - start)
+        if r.kind == "harmonic":
+            x = np.zeros(end - start)
+            for h in range(1, max(1, int(r.rate * 0.45 / 110)) + 1):
+                x += np.sin(2 * np.pi * 110 * h * t + h) / h
+            x = x / 3 * (0.35 + 0.65 * np.abs(np.sin(2 * np.pi * 3.5 * t))) + 0.01 * noise(seed, start, end - start)
+            return np.clip(0.5 * x, -1, 1)
+        return np.zeros(end - start)
 
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for r in pdf.itertuples():
-                i = np.arange(r.block_idx * block, min(r.n, (r.block_idx + 1) * block))
-                t = i / r.rate
-                if r.kind == "sine":
-                    x = np.sin(2 * np.pi * r.hz * t)
-                elif r.kind == "noise":
-                    x = np.random.default_rng([int(r.seed), int(r.block_idx)]).uniform(-1, 1, len(i))
-                elif r.kind == "harmonic":
-                    x = sum(np.sin(2 * np.pi * 110 * h * t) / h for h in range(1, 9)) * (0.5 + 0.5 * np.sin(2 * np.pi * 3.5 * t)) * 0.3
-                else:
-                    x = np.zeros(len(i))
-                out.append(x)
-            yield pd.DataFrame({"rec": pdf["rec"], "block_idx": pdf["block_idx"], "start_frame": pdf["block_idx"] * block, "samples": out})
-
-    return plan.repartition("rec", "block_idx").mapInPandas(make, "rec long, block_idx long, start_frame long, samples array<double>")
+                a, b, behind = r.block_idx * block, min(r.n, (r.block_idx + 1) * block), r.channel * CHANNEL_DELAY
+                begin = max(0, a - behind)
+                out.append(np.concatenate([np.zeros(min(b, max(a, behind)) - a), frames(r, begin, max(begin, b - behind))]))
+            yield pd.DataFrame({"rec": pdf["rec"], **({"channel": pdf["channel"]} if many else {}), "block_idx": pdf["block_idx"], "start_frame": pdf["block_idx"] * block, "samples": out})
+
+    return plan.repartition("rec", "block_idx").mapInPandas(make, f"rec long, {'channel int, ' if many else ''}block_idx long, start_frame long, samples array<double>")

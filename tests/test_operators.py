@@ -255,7 +255,7 @@ def test_two_channels_through_the_library(spark, tmp_path):
 def test_synthetic_signals(spark):
     spec = spark.createDataFrame([(1, "sine", 10.0, 1.0, 100, 0), (2, "noise", 0.0, float("nan"), 100, 0), (3, "harmonic", 0.0, 0.5, 100, 1)], "rec long, kind string, hz double, seconds double, rate int, seed int")
     s = audio.synth_signals(spark, spec, 30)
-    assert np.allclose(flat(s.where("rec = 1")), np.sin(2 * np.pi * 10 * np.arange(100) / 100)) and s.where("rec = 2").count() == 0
+    assert np.allclose(flat(s.where("rec = 1")), 0.5 * np.sin(2 * np.pi * 10 * np.arange(100) / 100)) and s.where("rec = 2").count() == 0
 
 
 def test_reports(spark, tmp_path):
