@@ -8,8 +8,9 @@ Piece probabilities come from one expectation step: with all pieces alike, forwa
 number of times each piece is used in the labelled texts of each language. These counts are summed by Spark over all
 labelled texts; their number is bounded by MOST_LANGUAGES times pieces of the vocabulary.
 
-A word is a run of ASCII letters, in lower case, and bytes outside ASCII; it starts with a space, as the vocabulary's
-pieces do. Words of any length are scored whole; equal words of a chunk are worked out once.
+A word is a run of ASCII letters, in lower case, and characters outside ASCII but punctuation; it starts with a space, as the
+vocabulary's pieces do. Words of any length are scored whole and in one way: words of about one length side by side, byte by
+byte, with sums rescaled on the way; equal words of a chunk are worked out once.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is every text when nothing is labelled;
 ties go to the first language by name; repeated rows each get the same result. No text or word is cut, however long.
@@ -18,6 +19,7 @@ ties go to the first language by name; repeated rows each get the same result. N
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +31,29 @@ from pyspark.sql import types as T
 from .common import Words, chunks, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Words of so many bytes at most are worked out side by side, longer ones one by one in logarithms.
-SHORT = 31
+#: After so many bytes sums are rescaled: a byte's probability is over 1e-20, so what they lose meanwhile stays within a double.
+RESCALE = 8
+#: Words up to this length are grouped by it; longer ones with those that are longer by a quarter at most.
+EXACT = 32
+#: Bytes of words that are worked out at a time, for each language.
+CELLS = 2_000_000
 PRIOR = 0.01
 #: So many words' evidence at most makes the score: longer texts aren't surer than that.
 EVIDENCE = 20.0
-#: So many languages at most are learnt; their piece probabilities are one matrix in each task.
-MOST_LANGUAGES = 1000
+#: So many languages at most are learnt; their piece probabilities are one matrix of 80 MB in each task.
+MOST_LANGUAGES = 200
 SEED = 5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Blocks of Unicode outside ASCII that hold punctuation and symbols, no letters: Latin-1 (but for its letters), general, currency, arrows to miscellaneous symbols, CJK, wide forms.
+_MARKS = re.compile(rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xc3[\x97\xb7]|\xe2(?:\x80[\x80-\xbf]|\x81[\x80-\xaf]|\x82[\xa0-\xbf]|\x83[\x80-\x8f]|\x86[\x90-\xbf]|[\x87-\xaf][\x80-\xbf])|\xe3\x80[\x80-\x84\x88-\xa0]|\xef(?:\xbc[\x80-\x8f\x9a-\xa0\xbb-\xbf]|\xbd[\x80\x9b-\xa5])")
+
+
 def letter_words(text: bytes) -> list[bytes]:
+    if not text.isascii():
+        text = _MARKS.sub(b" ", text)
     return text.translate(_LETTERS).split()
 
 
@@ -91,97 +103,74 @@ class Lattice:
         self.length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.longest = int(self.length.max())
 
-    def edges(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each start: (end, which words, which piece)."""
-        n = words.shape[1]
-        coded = self.symbol[words]
-        out = []
-        for s in range(n):
-            rows, node, here = np.arange(len(words)), np.zeros(len(words), np.int64), []
-            for e in range(s, min(n, s + self.longest)):
-                node = self.step[node * self.width + coded[rows, e]]
-                alive = node > 0
-                rows, node = rows[alive], node[alive].astype(np.int64)
-                if not len(rows):
-                    break
-                piece = self.piece[node]
-                whole = piece >= 0
-                here.append((e + 1, rows[whole], piece[whole]))
-            out.append(here)
-        return out
-
-    def chain(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces in one word: start, end, piece, in the order of their starts."""
-        coded, at, node, found = self.symbol[word], np.arange(len(word)), np.zeros(len(word), np.int64), []
-        for k in range(min(self.longest, len(word))):
-            inside = at + k < len(word)
-            at, node = at[inside], node[inside]
-            node = self.step[node * self.width + coded[at + k]].astype(np.int64)
+    def edges(self, coded: np.ndarray, s: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Pieces that start at s: (end, which words, which piece). coded: words by symbol, 0 behind their ends."""
+        rows, node, out = np.arange(len(coded)), np.zeros(len(coded), np.int64), []
+        for e in range(s, min(coded.shape[1], s + self.longest)):
+            node = self.step[node * self.width + coded[rows, e]]
             alive = node > 0
-            at, node = at[alive], node[alive]
+            rows, node = rows[alive], node[alive].astype(np.int64)
+            if not len(rows):
+                break
             piece = self.piece[node]
             whole = piece >= 0
-            found.append((at[whole], at[whole] + k + 1, piece[whole]))
-        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((end, start))
-        return start[order], end[order], piece[order]
-
-    def forward(self, words: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """Log-probability of each word (rows) under each column of theta."""
-        n = words.shape[1]
-        if n > SHORT + 1:
-            logs = np.log(theta)
-            return np.stack([along(*self.chain(w), n, logs)[-1] for w in words])
-        # A factor for each byte of a piece is the same for all segmentations of a word, and keeps them within a double.
-        scaled = theta * np.exp2(16.0 * self.length)[:, None]
-        alpha = np.zeros((n + 1, len(words), theta.shape[1]))
-        alpha[0] = 1
-        for s, here in enumerate(self.edges(words)):
-            for e, rows, piece in here:
-                alpha[e][rows] += alpha[s][rows] * scaled[piece]
-        return np.log(np.maximum(alpha[n], 1e-300)) - n * 16.0 * np.log(2.0)
-
-    def expected(self, words: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            out.append((e + 1, rows[whole], piece[whole]))
+        return out
+
+    def forward(self, words: np.ndarray, sizes: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Log-probability of each word (rows; sizes: bytes of each) under each column of theta."""
+        coded, n = np.where(np.arange(words.shape[1]) < sizes[:, None], self.symbol[words], 0), words.shape[1]
+        # Sums at the places that pieces from here can end at; behind them their slots are used again.
+        ring = np.zeros((min(self.longest, n) + 1, len(words), theta.shape[1]))
+        ring[0] = 1
+        log, out = np.zeros(ring.shape[1:]), np.zeros(ring.shape[1:])
+        for s in range(n + 1):
+            here = ring[s % len(ring)]
+            done = sizes == s
+            if done.any():
+                out[done] = np.log(here[done]) + log[done]
+            if s == n:
+                break
+            if s and s % RESCALE == 0:
+                by = np.where(here > 0, here, 1)  # words that have ended have nothing here
+                log += np.log(by)
+                ring /= by
+            for e, rows, piece in self.edges(coded, s):
+                ring[e % len(ring)][rows] += here[rows] * theta[piece]
+            ring[s % len(ring)] = 0
+        return out
+
+    def expected(self, words: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """How often each piece is expected to be used, with all pieces alike; weight: how often each word occurs."""
-        n, flat = words.shape[1], 1.0 / 64
-        if n > SHORT + 1:
-            out = np.zeros(self.n)
-            for w, times in zip(words, weight.tolist(), strict=True):
-                start, end, piece = self.chain(w)
-                alike = np.full((self.n, 1), np.log(flat))
-                before = along(start, end, piece, n, alike)[:, 0]
-                after = along(n - end[::-1], n - start[::-1], piece[::-1], n, alike)[::-1, 0]
-                out += times * np.bincount(piece, np.exp(before[start] + np.log(flat) + after[end] - before[n]), self.n)
-            return out
-        found = self.edges(words)
+        coded, n, flat = np.where(np.arange(words.shape[1]) < sizes[:, None], self.symbol[words], 0), words.shape[1], 1.0 / 64
         alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
-        alpha[0] = beta[n] = 1
-        for s, here in enumerate(found):
-            for e, rows, _ in here:
+        before, after = np.zeros((n // RESCALE + 2, len(words))), np.zeros(len(words))  # logarithms of what sums were divided by
+        alpha[0], beta[sizes, np.arange(len(words))] = 1, 1
+        for s in range(n):
+            if s % RESCALE == 0:
+                by = np.where(sizes > s, alpha[s], 1)
+                alpha[s : s + self.longest + 1] /= by
+                before[s // RESCALE + 1] = before[s // RESCALE] + np.log(by)
+            for e, rows, _ in self.edges(coded, s):
                 alpha[e][rows] += alpha[s][rows] * flat
+        # alpha[e] is divided as often as the last start of a piece that reaches it.
+        last = np.maximum(sizes - 1, 0) // RESCALE + 1
+        own = np.arange(len(words))
+        whole = np.log(alpha[sizes, own]) + before[last, own]
+        out = np.zeros(self.n)
         for s in range(n - 1, -1, -1):
-            for e, rows, _ in found[s]:
+            found = self.edges(coded, s)
+            for e, rows, piece in found:
                 beta[s][rows] += beta[e][rows] * flat
-        out, scale = np.zeros(self.n), weight / np.maximum(alpha[n], 1e-300)
-        for s, here in enumerate(found):
-            for e, rows, piece in here:
-                out += np.bincount(piece, alpha[s][rows] * flat * beta[e][rows] * scale[rows], self.n)
+                share = np.exp(np.log(alpha[s][rows] * flat * beta[e][rows]) + before[s // RESCALE + 1][rows] + after[rows] - whole[rows])
+                out += np.bincount(piece, share * weight[rows], self.n)
+            if s % RESCALE == 0:
+                by = np.where(beta[s] > 0, beta[s], 1)
+                beta[s : s + self.longest + 1] /= by
+                after += np.log(by)
         return out
 
 
-def along(start: np.ndarray, end: np.ndarray, piece: np.ndarray, n: int, logs: np.ndarray) -> np.ndarray:
-    """At each place of a word of n bytes, the logarithm of the sum over all ways from its beginning to there."""
-    order = np.lexsort((start, end))
-    start, piece, bound = start[order], piece[order], np.searchsorted(end[order], np.arange(n + 2)).tolist()
-    out = np.zeros((n + 1, logs.shape[1]))
-    for e in range(1, n + 1):
-        a, b = bound[e], bound[e + 1]
-        x = out[start[a:b]] + logs[piece[a:b]]
-        top = x.max(axis=0)
-        out[e] = top + np.log(np.exp(x - top).sum(axis=0))
-    return out
-
-
 _KNOWN: dict[int, Lattice] = {}
 
 
@@ -194,14 +183,21 @@ def lattice(pieces) -> Lattice:
     return _KNOWN[key]
 
 
-def by_length(words: Words, first: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Groups of distinct words of one length: which they are, and their bytes with a space before."""
+def by_length(words: Words, first: np.ndarray, columns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of distinct words of about one length: which they are, their bytes with a space before, and how many these are. A longer one goes alone where it has to."""
     lengths = (words.ends - words.starts)[first]
-    for n in np.unique(lengths):
-        group = np.flatnonzero(lengths == n)
-        for part in np.array_split(group, -(-len(group) // most)):
-            letters = words.buffer[words.starts[first[part]][:, None] + np.arange(n)]
-            yield part, np.concatenate([np.full((len(part), 1), 32, np.uint8), letters], axis=1)
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        least = lengths[order[at]]
+        most = least if least <= EXACT else least * 5 // 4
+        end = int(np.searchsorted(lengths[order], most, side="right"))
+        end = min(end, at + max(1, CELLS // columns // int(most)))
+        part = order[at:end]
+        n = int(lengths[part].max())
+        place = np.minimum(words.starts[first[part]][:, None] + np.arange(n), len(words.buffer) - 1)
+        yield part, np.concatenate([np.full((len(part), 1), 32, np.uint8), words.buffer[place]], axis=1), lengths[part] + 1
+        at = end
 
 
 def learn(docs: DataFrame, pieces) -> tuple[list[str], np.ndarray]:
@@ -217,16 +213,17 @@ def learn(docs: DataFrame, pieces) -> tuple[list[str], np.ndarray]:
                     sums.setdefault(lang, np.zeros(known.n))
                     continue
                 _, first, times = np.unique(words.hashes(SEED), return_index=True, return_counts=True)
-                for part, letters in by_length(words, first):
-                    sums[lang] = sums.get(lang, 0) + known.expected(letters, times[part].astype(float))
+                for part, letters, sizes in by_length(words, first):
+                    sums[lang] = sums.get(lang, 0) + known.expected(letters, sizes, times[part].astype(float))
         for lang, x in sums.items():
             at = np.flatnonzero(x > 0)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(x[at], 0.0))], names=["lang", "piece", "uses"])
 
+    named = docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if named > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages are labelled; so many at most are told apart")
     found = docs.select("text", "lang").mapInArrow(count, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toPandas()
     langs = sorted(found["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} at most are told apart")
     uses = np.full((len(pieces.value), len(langs)), PRIOR)
     found = found[found["piece"] >= 0]
     np.add.at(uses, (found["piece"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)), found["uses"].to_numpy())
@@ -249,8 +246,8 @@ def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str
             if words.total and langs:
                 _, first, of = np.unique(words.hashes(SEED), return_index=True, return_inverse=True)
                 each = np.zeros((len(first), len(langs)))
-                for part, letters in by_length(words, first, max(200, 100_000 // len(langs))):
-                    each[part] = known.forward(letters, theta)
+                for part, letters, sizes in by_length(words, first, len(langs)):
+                    each[part] = known.forward(letters, sizes, theta)
                 for k in range(len(langs)):
                     total[:, k] = np.bincount(words.owner, each[of, k], len(texts))
             pred, sure = [], []

@@ -3,7 +3,8 @@
 Two models of words as byte sequences, of texts labelled toxic and of texts labelled ordinary, are compared by the
 difference of the log-likelihoods they give a word. Each is an interpolated Kneser-Ney model of up to ORDER bytes, a word's
 leading and closing space included: counts are discounted, and what that frees goes to the next shorter context, whose
-counts say how many different bytes precede. Shorter contexts mix the class's own estimate with that of both classes
+counts say how many different bytes precede. A context that a class doesn't have changes nothing; below one that it has, the
+shorter ones mix the class's own estimate with that of both classes
 together (SHARED), so that rare expressions rest on shared backoff counts, whether the n-gram itself was seen or not: after
 any context the probabilities of all bytes sum to 1 in each model.
 
@@ -20,8 +21,8 @@ keep a short toxic passage of a long text from being averaged away: the mean tim
 of the TOP most toxic words, and how many are over STRONG.
 
 Defined results: null and empty texts have no words and get the curve's value for no evidence; a doc_id that is labelled
-more than once takes the largest label; rows with a null label are not learnt from; without labelled rows of both classes
-every score is 0; repeated rows each get the same score; long texts are whole: their words count as often as they occur.
+more than once takes the largest label; rows with a null label are not learnt from; without counted rows of both classes
+every score is 0, and where only the curve lacks rows of both, it is the logistic function of the mean alone; repeated rows each get the same score; long texts are whole: their words count as often as they occur.
 """
 
 from __future__ import annotations
@@ -234,10 +235,10 @@ class Model:
             at, key = s.grams(n)
             row, context = self.find(key), self.find(key >> np.uint64(8))
             known = (context >= 0)[:, None] & self.some[context]
-            low = p[at]
+            low = p[at].copy()
             low[:, :2] = (1 - SHARED) * low[:, :2] + SHARED * low[:, 2:]
             own = np.where((row >= 0)[:, None], np.maximum(self.used[row] - DISCOUNT, 0), 0) / np.maximum(self.total[context], 1)
-            p[at] = np.where(known, own + self.pass_on[context] * low, low)
+            p[at] = np.where(known, own + self.pass_on[context] * low, p[at])
         return p
 
     def differences(self, s: Spelt) -> np.ndarray:
@@ -354,8 +355,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, llr for each document."""
     x = differences(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
     told = x.where(F.col("role").isin(*CURVE)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATE).toPandas()
-    if told["role"].nunique() < 2:
+    if x.where(F.col("role").isin(*COUNTED)).select("role").distinct().count() < 2:
         return x.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("llr"))
+    if told["role"].nunique() < 2:
+        return x.select("doc_id", (1 / (1 + F.exp(-F.col("mean")))).alias("score"), F.col("mean").alias("llr"))
     centre, scale, w = logistic(told[FEATURES].to_numpy(), (told["role"] == CURVE[1]).to_numpy(float))
     z = F.lit(float(w[-1]))
     for k, c, s, f in zip(FEATURES, centre, scale, w, strict=False):

@@ -176,7 +176,7 @@ def test_language(spark, sf):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.95
     x = language.Lattice([b"a", b"b", b"ab", b" ", b" a"])
     theta = np.array([[0.1], [0.2], [0.3], [0.15], [0.25]])
-    p = np.exp(x.forward(np.frombuffer(b" ab", np.uint8)[None], theta))[0, 0]
+    p = np.exp(x.forward(np.frombuffer(b" ab", np.uint8)[None], np.array([3]), theta))[0, 0]
     assert math.isclose(p, 0.15 * 0.1 * 0.2 + 0.15 * 0.3 + 0.25 * 0.2)
     odd = language.identify(spark.createDataFrame([(1, None), (2, "12 !!"), (3, "—")], "doc_id long, text string"), ["doc_id"], language.training_rows(spark.read.parquet(f"{sf}/documents.parquet")))
     assert {(r["lang_pred"], r["score"]) for r in odd.collect()} == {("und", 0.0)}
@@ -372,7 +372,7 @@ def test_toxicity_keeps_every_ngram(spark):
                 t, on = after_context(g[:-1])
                 low = [*((1 - share) * x + share * p[2] for x in p[:2]), p[2]]
                 u = [used[0][g], used[1][g], used[0][g] + used[1][g]]
-                p = [max(u[c] - less, 0) / t[c] + on[c] * low[c] if t[c] else low[c] for c in range(3)]
+                p = [max(u[c] - less, 0) / t[c] + on[c] * low[c] if t[c] else p[c] for c in range(3)]
             yield p
 
     def llr(w):
@@ -484,3 +484,118 @@ def test_a_string_in_every_document(spark):
     for hot in (1000, 1):
         got = suffixes.remove_repeats(d, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
         assert sorted(map(tuple, got)) == suffix_brute([tuple(r) for r in d.collect()])
+
+
+def segmentations(word, pieces, longest):
+    """All ways to cut a word into pieces."""
+    if not word:
+        yield ()
+    for k in range(1, min(longest, len(word)) + 1):
+        if word[:k] in pieces:
+            for rest in segmentations(word[k:], pieces, longest):
+                yield (pieces[word[:k]], *rest)
+
+
+def padded(words):
+    n = max(map(len, words))
+    return np.array([list(w.ljust(n, b"z")) for w in words], np.uint8), np.array([len(w) for w in words])
+
+
+def test_lattice_against_all_segmentations():
+    """Words of 1 to 40 bytes of a small alphabet side by side, some with all their segmentations, all with sums in logarithms of exact fractions."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(7)
+    names = [b" ", b"a", b"b", b"ab", b"ba", b" a", b"aab", b"bbb", b" ab", b"abababab"]
+    x, pieces = language.Lattice(names), {p: i for i, p in enumerate(names)}
+    words = [b" " + bytes(rng.choice([97, 98], n).tolist()) for n in (0, 1, 2, 3, 5, 7, 8, 9, 12, 14, 15, 16, 23, 24, 31, 39)]
+    theta = rng.random((len(names), 3)) * 1e-6
+    letters, sizes = padded(words)
+    got, uses = x.forward(letters, sizes, theta), [x.expected(letters[i : i + 1], sizes[i : i + 1], np.ones(1)) for i in range(len(words))]
+    together = x.expected(letters, sizes, np.arange(1.0, len(words) + 1))
+    assert np.allclose(together, sum((i + 1) * u for i, u in enumerate(uses)))
+    for i, w in enumerate(words):
+        sums = [[Fraction(int(j == 0)) for j in range(len(w) + 1)] for _ in range(3)]
+        for e in range(1, len(w) + 1):
+            for p, k in pieces.items():
+                if w[:e].endswith(p):
+                    for c in range(3):
+                        sums[c][e] += sums[c][e - len(p)] * Fraction(theta[k, c])
+        logs = [math.log(v[-1].numerator) - math.log(v[-1].denominator) for v in sums]
+        assert np.allclose(got[i], logs, rtol=1e-12)
+        if len(w) <= 17:
+            ways = list(segmentations(w, pieces, 8))
+            weight = np.array([64.0 ** -len(c) for c in ways])
+            want = np.zeros(len(names))
+            for c, v in zip(ways, weight / weight.sum(), strict=True):
+                np.add.at(want, list(c), v)
+            assert np.allclose(uses[i], want)
+            assert np.allclose(got[i], [np.log(sum(np.prod(theta[list(c), k]) for c in ways)) for k in range(3)])
+
+
+def test_words_of_any_length_are_scored_alike(spark):
+    """A word of 20,000 bytes of the whole vocabulary neither underflows nor takes another path: it is scored as its pieces of text are."""
+    import time
+
+    x = language.Lattice(language.read_pieces())
+    rng = np.random.default_rng(3)
+    theta = rng.random((x.n, 2)) * 1e-9
+    theta /= theta.sum(axis=0) * np.array([1.0, 1e3])
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, 1000)).encode()
+    words = [b" " + text, b" " + text[:2001], b" " + text[:33], b" a"]
+    letters, sizes = padded(words)
+    side = x.forward(letters, sizes, theta)
+    assert np.isfinite(side).all()
+    for i, w in enumerate(words):
+        assert np.allclose(side[i], x.forward(*padded([w]), theta)[0])
+    many = [b" " + text[3 * i : 3 * i + 2100] for i in range(250)]
+    began = time.process_time()
+    x.forward(*padded(many), np.tile(theta, (1, 5)))
+    assert (time.process_time() - began) / (250 * 2100) * 1e9 < 3000  # CPU seconds a GB, with room for a busy machine
+
+
+def test_marks_part_words():
+    assert language.letter_words("l’été—NAÏVE «ça» 漢字、かな。ＡＢ！x々y ªº".encode()) == [w.encode() for w in ("l", "été", "naÏve", "ça", "漢字", "かな", "ＡＢ", "x々y", "ªº")]
+    for block in range(0x80, 0x10000):
+        c = chr(block)
+        if not 0xD800 <= block < 0xE000 and c.isalpha():
+            assert language.letter_words(c.encode()) == [c.encode()], hex(block)
+
+
+def test_text_without_spaces(spark):
+    """Two languages of ideographs, texts without a space: told apart on texts that weren't learned from."""
+    rng = np.random.default_rng(11)
+    kinds = {"aa": 0x4E00, "bb": 0x5200}
+    rows = [(i, "".join(chr(kinds[k] + int(c)) for c in rng.integers(0, 900, 700)), k, "", 0) for i, k in enumerate(["aa", "bb"] * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = language.identify(d.select("doc_id", "text"), ["doc_id"], language.training_rows(d)).toPandas().merge(d.toPandas()[["doc_id", "lang"]])
+    assert (got["lang_pred"] == got["lang"]).all()
+
+
+def test_pipeline_without_languages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.languages(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() == docs.where("rlike(text, '[a-zA-Z]')").count()
+
+
+def test_too_many_languages(spark):
+    d = spark.range(language.MOST_LANGUAGES + 1).select("id", F.lit("word").alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(d, spark.sparkContext.broadcast(language.read_pieces()))
+
+
+def test_toxicity_without_rows_for_the_curve(spark):
+    """Labels only where the curve isn't fitted, of one class only, and none at all."""
+    plain, bad = [f"wo{a}{b}" for a in "abcdefgh" for b in "xyz"], ["vileful", "vilest", "grossly"]
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join([*rng.choice(plain, 12), *rng.choice(bad if i % 2 else plain, 3)]), i % 2) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, *_ in docs}
+    got = toxicity.score(d, d.where(~F.col("doc_id").isin([i for i in fold if fold[i] == 1]))).toPandas().merge(d.toPandas())
+    held = got[got["doc_id"].map(fold).isin([0, 1])]
+    assert held["score"].nunique() > 20 and ((held["score"] >= 0.5) == (held["toxic"] == 1)).mean() > 0.95
+    assert np.allclose(got["score"], 1 / (1 + np.exp(-got["llr"])))
+    for labels in (d.where("toxic = 1"), d.limit(0), d.withColumn("toxic", F.lit(None).cast("int"))):
+        assert {(r["score"], r["llr"]) for r in toxicity.score(d, labels).collect()} == {(0.0, 0.0)}
