@@ -27,7 +27,9 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language in particular, go."""
+    """Documents without a letter, or of no language in particular, go. Where no document has a label no language can be told, so all with a letter stay; an empty table stays empty."""
+    if language.training_rows(docs).isEmpty():
+        return docs.where("doc_id IS NOT NULL AND rlike(text, '\\\\p{L}')")
     lang, sure = fresh("found_lang", docs.columns), fresh("found_score", docs.columns)
     x = language.identify(docs.where("doc_id IS NOT NULL"), docs.columns, language.training_rows(docs), names=(lang, sure))
     return x.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_SCORE)).select(docs.columns)
@@ -57,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with how many. Columns of docs that have a name of ADDED stay, as input_<name>."""
+    """The documents that the mix takes words of, with how many; none of an empty table. Columns of docs that have a name of ADDED stay, as input_<name>."""
     for c in [c for c in docs.columns if c.lower() in ADDED]:
         docs = docs.withColumnRenamed(c, fresh(f"input_{c}", docs.columns))
     return mixing.mix(docs, keep=tuple(docs.columns)).where("taken > 0").select(*docs.columns, *ADDED)
