@@ -1,9 +1,15 @@
-"""Predicates on half-open intervals, and the bucketed interval join."""
+"""Predicates on half-open intervals, and the interval join by sweeps."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -31,36 +37,76 @@ def route_model(n: Column) -> Column:
     return F.when(n == 2, "separate_2_noisy").when(n == 3, "separate_3").otherwise(F.lit(None))
 
 
-#: Buckets of level k are bucket * 4^k long; the highest level's are a month for a bucket of 10 s.
-LEVELS = 10
+#: Rows of both sides that one sweep takes.
+SWEEP_ROWS = 100_000
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int = 10_000) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], cell: int | None = None, rows: int = SWEEP_ROWS) -> DataFrame:
     """Pairs that overlap: left (start_ms, end_ms) with right (r_start, r_end) of the same keys.
 
-    An interval's level is the lowest whose buckets are as long as itself, so on its own level it lies in two of them at
-    most. Two intervals meet on the higher one's level: there the longer one is looked up in its own buckets and the shorter
-    one in those around it. So a long recording is many small joins, and a row is copied once for a level or so, however
-    long it is. A pair that meets in several buckets counts in the first of them.
+    Time is cut into cells as long as the mean interval (measured, if `cell` isn't given), so that an interval lies in two
+    cells on average, whatever the mix of long and short ones, and a long recording is many cells. Cells are dealt to sweeps
+    by hash; a row goes there once for each of its cells. Of two intervals that overlap, the one that starts later does so
+    within the other: right ones that start in a left one are a run of the cell's starts, and so are left ones that start in
+    a right one. Two searches in sorted starts find these runs, so a sweep costs its rows and its pairs, not their product.
+    The pair is told in the cell of that later start, and nowhere else.
     """
-
-    def leveled(df: DataFrame, s: str, e: str) -> DataFrame:
-        length = F.col(e) - F.col(s)
-        level = F.lit(0)
-        for k in range(LEVELS - 1):
-            level = level + (length > bucket * 4**k).cast("int")
-        return df.withColumn("__own", level)
-
-    def placed(df: DataFrame, s: str, e: str, least: Column, most: Column) -> DataFrame:
-        """A copy for each bucket of each level from least to most; __first is the first bucket of that level."""
-        size = F.expr(f"shiftleft({bucket}L, 2 * __level)")
-        x = df.where(least <= most).withColumn("__level", F.explode(F.sequence(least, most))).withColumn("__first", F.floor(F.col(s) / size))
-        return x.withColumn("__b", F.explode(F.sequence(F.col("__first"), F.floor(F.greatest(F.col(s), F.col(e) - 1) / size))))
-
-    a, b = leveled(left, "start_ms", "end_ms"), leveled(right, "r_start", "r_end")
-    own, top = F.col("__own"), F.lit(LEVELS - 1)
-    # Left ones on their own level with all that are no longer, and shorter left ones with right ones on their own level.
-    sides = [(placed(a, "start_ms", "end_ms", own, own), placed(b, "r_start", "r_end", own, top)), (placed(a, "start_ms", "end_ms", own + 1, top), placed(b, "r_start", "r_end", own, own))]
-    on = overlaps(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")) & (F.col("__b") == F.greatest("__first", "__r_first"))
-    met = [p.drop("__own").join(q.drop("__own").withColumnRenamed("__first", "__r_first"), [*keys, "__level", "__b"]).where(on).drop("__level", "__b", "__first", "__r_first") for p, q in sides]
-    return met[0].unionByName(met[1])
+    sides = [left.where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "start_ms", "end_ms"])), right.where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "r_start", "r_end"]))]
+    bounds = [("start_ms", "end_ms"), ("r_start", "r_end")]
+    lengths = [x.select((F.col(e) - F.col(s)).cast("double").alias("n")) for x, (s, e) in zip(sides, bounds, strict=True)]
+    n, mean = lengths[0].unionByName(lengths[1]).agg(F.count("*"), F.avg("n")).first()
+    cell = cell or max(1, math.ceil(mean or 1))
+    sweeps = max(1, math.ceil(2 * n / rows))
+
+    def placed(df: DataFrame, s: str, e: str) -> DataFrame:
+        first, last = F.floor(F.col(s) / cell), F.floor((F.greatest(F.col(s), F.col(e) - 1)) / cell)
+        x = df.withColumn("__cell", F.explode(F.sequence(first, last))).withColumn("__h", F.xxhash64(*keys, "__cell"))
+        return x.withColumn("__sweep", F.pmod("__h", F.lit(sweeps)))
+
+    names = [left.columns, [c for c in right.columns if c not in keys]]
+    schema = T.StructType([*left.schema.fields, *(right.schema[c] for c in names[1])])
+
+    def sweep(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = overlapping(*(_numbers(t, *k) for t, k in ((a, bounds[0]), (b, bounds[1]))), cell)
+        out = [a[c].take(i) for c in names[0]] + [b[c].take(j) for c in names[1]]
+        same = np.ones(len(i), bool)
+        for k in keys:  # a hash is no proof
+            same &= pa.compute.equal(a[k].take(i), b[k].take(j)).to_numpy()
+        return pa.table(out, names=schema.names).filter(pa.array(same))
+
+    both = (placed(x, *k) for x, k in zip(sides, bounds, strict=True))
+    a, b = (x.groupBy("__sweep") for x in both)
+    return a.cogroup(b).applyInArrow(sweep, schema)
+
+
+def _numbers(t: pa.Table, s: str, e: str) -> tuple[np.ndarray, ...]:
+    return tuple(t[c].to_numpy().astype(np.int64) for c in ("__h", "__cell", s, e))
+
+
+def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which row each number of the runs [lo, hi) belongs to, and the number."""
+    n = np.maximum(hi - lo, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of]
+
+
+def overlapping(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b (hash of key and cell, cell, start, end) that overlap, each pair once."""
+    _, rank = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    ranks = rank[: len(a[0])], rank[len(a[0]) :]
+    # Cells in a row: a time within its cell is a place on one line.
+    zero = [(r * (cell + 1), x[1] * cell) for r, x in zip(ranks, (a, b), strict=True)]
+    home = [np.flatnonzero(x[2] // cell == x[1]) for x in (a, b)]
+    order, place = [], []
+    for (base, begin), x, h in zip(zero, (a, b), home, strict=True):
+        at = (base + x[2] - begin)[h]
+        o = np.argsort(at, kind="stable")
+        order.append(h[o])
+        place.append(at[o])
+    clip = lambda t, k: np.clip(t - zero[k][1], 0, cell) + zero[k][0]
+    of_a, at = _runs(np.searchsorted(place[1], clip(a[2], 0)), np.searchsorted(place[1], clip(a[3], 0)))
+    i, j = of_a, order[1][at]
+    of_b, at = _runs(np.searchsorted(place[0], clip(b[2] + 1, 1)), np.searchsorted(place[0], clip(b[3], 1)))
+    i, j = np.concatenate([i, order[0][at]]), np.concatenate([j, of_b])
+    real = (a[2][i] < b[3][j]) & (a[3][i] > b[2][j])
+    return i[real], j[real]

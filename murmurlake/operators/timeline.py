@@ -66,7 +66,8 @@ def _as_right(turns: DataFrame, *more: str) -> DataFrame:
 
 
 def range_speakers(ranges: DataFrame, turns: DataFrame) -> DataFrame:
-    return interval_join(ranges, _as_right(turns, "speaker"), ["rec"]).groupBy("rec", "start_ms", "end_ms").agg(F.count_distinct("speaker").alias("n"))
+    met = interval_join(ranges.select("rec", "start_ms", "end_ms"), _as_right(turns, "speaker"), ["rec"])
+    return met.groupBy("rec", "start_ms", "end_ms", "speaker").agg(F.lit(1).alias("one")).groupBy("rec", "start_ms", "end_ms").agg(F.count("speaker").alias("n"))
 
 
 def routed(counts: DataFrame) -> DataFrame:
@@ -89,14 +90,15 @@ def speech_share(vad: DataFrame, recordings: DataFrame) -> DataFrame:
     return x.withColumn("pct", F.when(F.col("total_ms") > 0, 100 * F.col("speech_ms") / F.col("total_ms")).otherwise(0.0))
 
 
-def attribute_words(words: DataFrame, turns: DataFrame, bucket: int = 10_000) -> DataFrame:
+def attribute_words(words: DataFrame, turns: DataFrame, cell: int | None = None) -> DataFrame:
     """Each word's speaker: the one whose turns share most time with it (ties: smallest id), all active speakers, and a confidence.
 
     Time shared with several turns of one speaker adds up. With one active speaker the confidence is that speaker's best
     turn's; with several it is weighted by the share of the time; words nobody speaks stay, with confidence 0.
     """
-    met = interval_join(words, _as_right(turns, "speaker", "conf"), ["rec"], bucket)
-    each = met.groupBy("rec", "word_id", "speaker").agg(F.sum(shared(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end"))).alias("ms"), F.max("conf").alias("conf")).where("ms > 0")
+    met = interval_join(words.select("rec", "word_id", "start_ms", "end_ms"), _as_right(turns, "speaker", "conf"), ["rec"], cell)
+    # Dealt by word once: what follows, the join with words too, needs no other shuffle of the pairs.
+    each = met.repartition("rec", "word_id").groupBy("rec", "word_id", "speaker").agg(F.sum(shared(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end"))).alias("ms"), F.max("conf").alias("conf")).where("ms > 0")
     best = each.groupBy("rec", "word_id").agg(F.min(F.struct((-F.col("ms")).alias("less"), "speaker", "conf")).alias("best"), F.sum("ms").alias("all_ms"), F.array_sort(F.collect_list("speaker")).alias("active"))
     share = F.when(F.size("active") == 1, 1.0).otherwise(-F.col("best.less") / F.greatest(F.col("all_ms"), F.lit(1)))
     x = words.join(best, ["rec", "word_id"], "left")

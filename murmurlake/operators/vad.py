@@ -71,7 +71,7 @@ def resample_mask(mask: Column, n: Column) -> Column:
 
 def gate_chunks(chunks: DataFrame, vad: DataFrame, target: int = 160_000, frames: int = 4096, shard: int = 10_000) -> DataFrame:
     """Chunks (rec, chunk_idx, start_ms, end_ms) that overlap speech, with the batch of about `target` samples each is in."""
-    met = interval_join(chunks, vad.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"])
+    met = interval_join(chunks.select("rec", "chunk_idx", "start_ms", "end_ms"), vad.select("rec", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), ["rec"])
     kept = chunks.join(met.select("rec", "chunk_idx").distinct(), ["rec", "chunk_idx"], "left_semi")
     nth = running(kept, ["rec"], ["chunk_idx"], shard_of("chunk_idx", shard), {"nth": ("sum", F.lit(1).cast("long"), False)})
     return nth.withColumn("batch_id", F.floor(F.coalesce("nth", F.lit(0)) / -(-target // frames))).drop("nth")
