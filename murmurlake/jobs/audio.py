@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
@@ -114,7 +114,7 @@ QUERIES = {
     "transcripts": lambda s, d: r.render_transcript(_spoken(s, d)),
     "manifests": lambda s, d: r.segment_manifest(_segments(s, d), v.recordings(s, d)).select("rec", F.get_json_object("json", "$.sourceFile").alias("source"), F.get_json_object("json", "$.totalDuration").cast("double").alias("total"), F.size(F.from_json("json", "segments array<struct<file:string>>")["segments"]).alias("n"), F.sha2(F.concat_ws(",", F.transform(F.from_json("json", "segments array<struct<originalStart:double,originalEnd:double,file:string,type:string,durationSeconds:double>>")["segments"], lambda x: F.concat_ws("|", F.round(x["originalStart"] * 1000).cast("long").cast("string"), F.round(x["durationSeconds"] * 1000).cast("long").cast("string"), x["file"], x["type"]))), 256).alias("digest")),
     "synth_signals": lambda s, d: flat(a.synth_signals(s, _spec(s, d), 64)),
-    "sort_timeline": lambda s, d: t.sort_timeline(v.turns(s, d)).groupBy("rec").agg(F.collect_list("turn_id").alias("ids")).select("rec", F.size("ids").alias("n"), F.array_join(F.array_sort("ids"), ",").alias("ids")),
+    "sort_timeline": lambda s, d: t.sort_timeline(v.turns(s, d)).withColumn("nth", F.monotonically_increasing_id()).select("turn_id", "rec", F.row_number().over(Window.partitionBy("rec").orderBy("nth")).alias("place")),
     "speaker_turns": lambda s, d: t.for_speaker(v.turns(s, d), "speaker_2").select("turn_id", "rec"),
     "speech_and_silence": lambda s, d: t.speech(v.frames(s, d).withColumn("is_speech", F.col("prob") >= 0.5)).groupBy("rec").agg(F.count("*").alias("speech")).join(t.speech(v.frames(s, d).withColumn("is_speech", F.col("prob") >= 0.5), False).groupBy("rec").agg(F.count("*").alias("silence")), "rec", "full_outer"),
 }
@@ -149,7 +149,7 @@ m AS (SELECT rec, frame, CASE kind WHEN 0 THEN amp * sin(2 * pi() * hz * t) WHEN
   + list_sum(list_transform(range(1, 5), lambda h: sin(2 * pi() * 110 * h * t + h) / h)) / 3 * (0.35::DOUBLE + 0.65::DOUBLE * abs(sin(2 * pi() * 3.5::DOUBLE * t)))))) ELSE 0 END AS x FROM f),
 c AS (SELECT rec, unnest(range(rec % 2 + 1)) AS channel, n FROM s), o AS (SELECT rec, channel, unnest(range(n)) AS frame FROM c)
 SELECT o.rec, CAST(channel AS INTEGER) AS channel, o.frame, round(coalesce(m.x, 0), 6) AS x FROM o LEFT JOIN m ON m.rec = o.rec AND m.frame = o.frame - 13 * channel""",
-    "sort_timeline": f"{_T} SELECT rec, CAST(count(*) AS INTEGER) AS n, string_agg(turn_id, ',' ORDER BY turn_id) AS ids FROM turns GROUP BY rec",
+    "sort_timeline": f"{_T} SELECT turn_id, rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY start_ms, end_ms, turn_id) AS INTEGER) AS place FROM turns",
     "speaker_turns": f"{_T} SELECT turn_id, rec FROM turns WHERE speaker = 'speaker_2'",
     "speech_and_silence": f"{_F} SELECT rec, nullif(count(*) FILTER (prob >= 0.5), 0) AS speech, nullif(count(*) FILTER (prob < 0.5), 0) AS silence FROM frames GROUP BY rec",
 }

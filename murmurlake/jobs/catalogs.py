@@ -9,7 +9,7 @@ from ..sources import views as v
 
 
 def _part(s, d):
-    return v.table(s, d, "part").select(F.col("p_partkey").alias("variant_id"), F.col("p_type").alias("category"), (F.col("p_size") * 1000).cast("long").alias("size"), F.col("p_partkey").alias("position"), "p_brand")
+    return v.table(s, d, "part").select(F.col("p_partkey").alias("variant_id"), F.col("p_type").alias("category"), (F.col("p_size") * 1000).cast("long").alias("size"), (F.col("p_partkey") * 7919 % 10007 * 100_000 + F.col("p_partkey")).alias("position"), "p_brand")
 
 
 def _stats(s, d):
@@ -37,6 +37,7 @@ def _files(s, d):
 
 QUERIES = {
     "timing_stats": lambda s, d: b.timing_stats(v.bench_runs(s, d)).select("case_id", "min_s", "median_s", *(F.round(c, 6).alias(c) for c in ("mean_s", "sd_s", "rtf", "best_rtf"))),
+    "exact_median": lambda s, d: b.exact_median(v.table(s, d, "lineitem"), "l_returnflag", "l_extendedprice", 500, 16),
     "memory_stats": lambda s, d: b.memory_stats(_cases(s, d)).select("case_id", "load_delta", "materialized", "activations"),
     "cpu_stats": lambda s, d: b.cpu_stats(_cases(s, d)).select("case_id", F.when(~F.isnan("utilization"), F.round("utilization", 6)).alias("utilization"), F.isnan("utilization").alias("unknown")),
     "precision_ladder": lambda s, d: b.precision_ladder(_ladder(s, d)).select("model", "precision", *(F.round(c, 6).alias(c) for c in ("speed", "memory", "size"))),
@@ -46,6 +47,9 @@ QUERIES = {
     "headroom": lambda s, d: v.table(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), b.headroom(F.col("o_totalprice"), F.lit(200000.0)).alias("verdict")),
     "latest_runs": lambda s, d: b.latest_runs(_cases(s, d).select(F.col("cust").alias("case_id"), F.col("case_id").alias("run_id"), "finished_at")).select("case_id", "run_id"),
     "catalog_summary": lambda s, d: b.catalog_summary(_part(s, d)),
+    "catalog_models": lambda s, d: b.catalog_models(v.table(s, d, "supplier").select(F.col("s_suppkey").alias("model_id"), F.col("s_suppkey").alias("position"), F.col("s_nationkey").alias("category")), _part(s, d).withColumn("model_id", F.col("variant_id") % 120)),
+    "catalog_lookup": lambda s, d: b.find_variants(_part(s, d).unionByName(_part(s, d).withColumns({"position": F.col("position") + 10**9, "size": F.lit(-1).cast("long")})), v.table(s, d, "lineitem").select((F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 10**9).otherwise(0)).alias("variant_id")).distinct()),
+    "catalog_counts": lambda s, d: b.catalog_counts(v.table(s, d, "supplier"), _part(s, d), v.table(s, d, "orders")),
     "package_sizes": lambda s, d: b.package_sizes(v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("package_id"), (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 10**9).otherwise(0)).alias("variant_id")), _part(s, d)),
     "check_sizes": lambda s, d: b.check_sizes(
         v.table(s, d, "supplier").select(F.col("s_suppkey").alias("variant_id"), F.concat(F.lit("repo"), (F.col("s_suppkey") % 12).cast("string")).alias("repo"), F.array(F.concat(F.lit("w/"), (F.col("s_suppkey") % 10).cast("string"), F.lit("/*.bin")), F.lit("cfg/**.json")).alias("globs"), F.when(F.col("s_suppkey") % 11 > 0, F.col("s_suppkey") * 300).alias("size")),
@@ -57,10 +61,13 @@ QUERIES = {
 }
 
 _R = v.using("runs")
+#: Where a variant is listed, which isn't by its id.
+_POSITION = "p_partkey * 7919 % 10007 * 100000 + p_partkey"
 _C = "WITH c AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS t, * FROM orders)"
 _F = "WITH f AS (SELECT doc_id, sha256(text) AS actual, CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN sha256(CAST(doc_id AS VARCHAR)) ELSE sha256(text) END AS expected FROM documents)"
 SQL = {
     "timing_stats": f"{_R} SELECT case_id, min(seconds) AS min_s, median(seconds) AS median_s, round(avg(seconds), 6) AS mean_s, round(coalesce(stddev_samp(seconds), 0), 6) AS sd_s, round(30 / median(seconds), 6) AS rtf, round(30 / min(seconds), 6) AS best_rtf FROM runs GROUP BY case_id",
+    "exact_median": "SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY 1",
     "memory_stats": f"{_C} SELECT k AS case_id, greatest(0, k % 1000 - 500) AS load_delta, k % 5 * 500000 >= 1048576 AS materialized, CASE WHEN k % 5 * 500000 >= 1048576 THEN t END AS activations FROM c",
     "cpu_stats": f"{_C} SELECT k AS case_id, CASE WHEN k % 50 > 0 THEN round((t % 100 + k % 10) / (k % 50)::DOUBLE, 6) END AS utilization, k % 50 = 0 AS unknown FROM c",
     "precision_ladder": """WITH x AS (SELECT l_suppkey % 50 AS model, ['fp32', 'fp16', 'int8', 'int4'][l_linenumber % 4 + 1] AS precision, median(l_quantity) AS seconds, max(l_extendedprice) AS memory, sum(l_quantity) AS size FROM lineitem GROUP BY ALL)
@@ -71,7 +78,11 @@ SELECT case_id, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN 'battery'
     "redact_paths": "SELECT c_custkey, '~/out ' || c_name || ' on <host>, /home/<user>/x and /Users/<user>/y' AS line FROM customer",
     "headroom": "SELECT o_orderkey AS case_id, CASE WHEN o_totalprice > 200000 THEN 'insufficient' WHEN o_totalprice > 100000 THEN 'tight' ELSE 'fits' END AS verdict FROM orders",
     "latest_runs": "SELECT o_custkey AS case_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run_id FROM orders GROUP BY 1",
-    "catalog_summary": "SELECT p_type AS category, count(*) AS n, CAST(sum(p_size * 1000) AS BIGINT) AS bytes, min(p_partkey) AS default_id, arg_min(p_partkey, (p_size, p_partkey)) AS smallest_id FROM part GROUP BY 1",
+    "catalog_summary": f"SELECT p_type AS category, count(*) AS n, CAST(sum(p_size * 1000) AS BIGINT) AS bytes, arg_min(p_partkey, {_POSITION}) AS default_id, arg_min(p_partkey, (p_size, {_POSITION})) AS smallest_id FROM part GROUP BY 1",
+    "catalog_models": f"""WITH p AS (SELECT p_partkey % 120 AS model_id, count(*) AS n, CAST(sum(p_size * 1000) AS BIGINT) AS bytes, arg_min(p_partkey, {_POSITION}) AS default_id, arg_min(p_partkey, (p_size, {_POSITION})) AS smallest_id FROM part GROUP BY 1)
+SELECT s_suppkey AS model_id, s_nationkey AS category, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes, default_id, smallest_id FROM supplier LEFT JOIN p ON s_suppkey = model_id""",
+    "catalog_lookup": "SELECT k AS variant_id, p_type AS category, CAST(p_size * 1000 AS BIGINT) AS size FROM (SELECT DISTINCT l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS k FROM lineitem) LEFT JOIN part ON k = p_partkey",
+    "catalog_counts": "SELECT (SELECT count(*) FROM supplier) AS models, count(*) AS variants, CAST(sum(p_size * 1000) AS BIGINT) AS bytes, (SELECT count(*) FROM orders) AS packages FROM part",
     "package_sizes": "SELECT l_orderkey AS package_id, CAST(sum(coalesce(p_size * 1000, 0)) AS BIGINT) AS bytes FROM (SELECT l_orderkey, l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS k FROM lineitem) LEFT JOIN part ON k = p_partkey GROUP BY 1",
     "check_sizes": """WITH f AS (SELECT 'repo' || p_partkey % 10 AS repo, CASE WHEN p_partkey % 3 = 0 THEN 'cfg/a/' || p_partkey || '.json' ELSE 'w/' || p_partkey % 7 || '/' || p_partkey || '.bin' END AS path, p_size AS bytes FROM part),
 m AS (SELECT s_suppkey, 'repo' || s_suppkey % 12 AS repo, CASE WHEN s_suppkey % 11 > 0 THEN s_suppkey * 300 END AS size FROM supplier),

@@ -76,6 +76,9 @@ def _stages(s, d):
 QUERIES = {
     "stft": lambda s, d: _bins(sp.stft(v.blocks(s, d), 8, 4, size=32)),
     "istft": lambda s, d: flat(sp.istft(sp.stft(v.blocks(s, d), 8, 4, size=32), g.lengths(v.blocks(s, d)), 8, 4, block=4)),
+    "stft_short_window": lambda s, d: _bins(sp.stft(v.blocks(s, d), 8, 4, size=32, center=False, win_length=6), 8),
+    "istft_window_sum": lambda s, d: _window_sum(s, d),
+    "fbank_mirrored": lambda s, d: _bins(sp.kaldi_fbank(v.blocks(s, d), 640, 4, snip_edges=False)),
     "mel": lambda s, d: _bins(sp.mel(v.blocks(s, d), 16, 8, 4, 3, "htk")),
     "log_mel": lambda s, d: _bins(sp.log_mel(v.blocks(s, d), 16000, 8)),
     "kaldi_fbank": lambda s, d: _bins(sp.kaldi_fbank(v.blocks(s, d), 640, 4)),
@@ -84,7 +87,7 @@ QUERIES = {
     "stereo_pairs": lambda s, d: g.stereo_pair(_three(s, d)).groupBy("rec", "channel").agg(F.sum(F.size("samples")).alias("n")),
     "interleave": lambda s, d: g.interleave(_three(s, d)).select("rec", "block_idx", "channels", F.array_join(F.transform("samples", lambda x: F.round(x * 500, 2).cast("decimal(20,2)").cast("string")), ",").alias("samples")),
     "deinterleave": lambda s, d: flat(g.deinterleave(g.interleave(_three(s, d)))),
-    "resample_cubic": lambda s, d: flat(g.resample(v.blocks(s, d), 10, 20, "balanced", 32)),
+    "resample_cubic": lambda s, d: flat(g.resample(v.blocks(s, d), 10, 20, "balanced", 32), 8),
     "resample_high": lambda s, d: flat(g.resample(v.blocks(s, d), 20, 10, "high", 32)),
     "resample_channels": lambda s, d: flat(g.resample(g.blocks_of(stereo(s, d)), 16000, 32000, "fast", 24)),
     "adapt": lambda s, d: flat(m.adapt(stereo(s, d).withColumn("samples", F.col("samples").cast("array<double>")), _needs(s, d), "fast")),
@@ -96,6 +99,8 @@ QUERIES = {
     "segments_back": lambda s, d: flat(c.reassemble(c.segment(v.blocks(s, d), 2.0, 8))),
     "trimmed_silence": lambda s, d: flat(g.trimmed(v.blocks(s, d), 20, frame=8, hop=4, size=32)),
     "apply_model": lambda s, d: flat(c.stitch(m.apply_model(_chunks(s, d), make=lambda: _double), CONFIG)),
+    "apply_model_barrier": lambda s, d: flat(c.stitch(m.apply_model(_chunks(s, d).coalesce(2), _double, barrier=True), CONFIG)),
+    "separate_sql": lambda s, d: _separate_sql(s, d),
     "separate": lambda s, d: m.separate(_chunks(s, d), _split, 2).groupBy("rec", "output_idx").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), 6).alias("total")),
     "analyze": lambda s, d: m.analyze(v.blocks(s, d).select("rec", "block_idx", "samples"), _peaks, "at int, n int", ("rec", "block_idx")),
     "embed_segments": lambda s, d: m.embed(v.blocks(s, d), lambda xs: [[x.sum(), x.max()] for x in xs]).select("rec", "block_idx", F.round(F.col("embedding")[0], 6).alias("a"), F.round(F.col("embedding")[1], 6).alias("b")),
@@ -111,6 +116,31 @@ QUERIES = {
 }
 
 
+def _window_sum(s, d):
+    x = sp.stft(v.blocks(s, d), 8, 4, size=32)
+    return flat(sp.istft(x, sp.n_frames(x, 8, 4), 8, 4, block=4, norm="sum"))
+
+
+class _Levelled:
+    """A separator that follows a recording: the second output is less the largest sample it has met so far."""
+
+    def __init__(self):
+        self.most = 0.0
+
+    def __call__(self, xs: list[np.ndarray]) -> list[list[np.ndarray]]:
+        out = []
+        for x in xs:
+            self.most = max(self.most, float(x.max()))
+            out.append([x, x - self.most])
+        return out
+
+
+def _separate_sql(s, d):
+    x = _chunks(s, d)
+    m.register_separator(x, "separate_levelled", _Levelled, 2)
+    return s.sql("SELECT rec, chunk_idx, output_idx, round(aggregate(samples, 0D, (a, y) -> a + y), 6) AS total FROM separate_levelled(TABLE({x}) PARTITION BY rec ORDER BY chunk_idx)", x=x)
+
+
 def _presets(s, d):
     totals = v.frames(s, d).groupBy("rec").agg((F.count("*") * 10_000).alias("total"))
     out = None
@@ -172,6 +202,18 @@ _PLAN = "tot AS (SELECT rec, count(*) AS total FROM frames GROUP BY rec), plan A
 SQL = {
     "stft": f"{_F}, {_power(8, 4, _HANN.format(8), True)} SELECT rec, frame, CAST(k AS INTEGER) AS bin, round(re, 5) AS x FROM spec UNION ALL SELECT rec, frame, CAST(k + 5 AS INTEGER), round(im, 5) FROM spec",
     "istft": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
+    "stft_short_window": f"""{_F}, {_N}, fr AS (SELECT rec, unnest(range((n - 8) // 4 + 1)) AS f FROM n WHERE n >= 8), z AS (SELECT fr.rec, f, frame - 4 * f AS j, CASE WHEN frame - 4 * f < 6 THEN x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (frame - 4 * f) / 6.0::DOUBLE)) ELSE 0 END AS x FROM fr JOIN frames ON fr.rec = frames.rec AND frame >= 4 * f AND frame < 4 * f + 8),
+spec AS (SELECT rec, f AS frame, k, sum(x * cos(2 * pi() * k * j / 8)) AS re, -sum(x * sin(2 * pi() * k * j / 8)) AS im FROM z, (SELECT unnest(range(5)) AS k) GROUP BY ALL)
+SELECT rec, frame, CAST(k AS INTEGER) AS bin, round(re, 8) AS x FROM spec UNION ALL SELECT rec, frame, CAST(k + 5 AS INTEGER), round(im, 8) FROM spec""",
+    # Windowed frames, windowed again by one of nine samples that has lost its last, over the sum of these.
+    "istft_window_sum": f"""{_F}, {_power(8, 4, _HANN.format(8), True)}, o AS (SELECT rec, 4 * f - 4 + j AS frame, sum(x * v) AS x, sum(v) AS v FROM (SELECT *, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 9.0::DOUBLE) AS v FROM z) GROUP BY ALL)
+SELECT o.rec, frame, round(CASE WHEN v <> 0 THEN x / v ELSE x END, 6) AS x FROM o JOIN n USING (rec) WHERE frame >= 0 AND frame < n // 4 * 4""",
+    "fbank_mirrored": f"""{_F}, {_N}, fr AS (SELECT rec, n, unnest(range((n + 3) // 6)) AS f FROM n), p AS (SELECT rec, n, f, j, 6 * f - 5 + j AS p FROM fr, (SELECT unnest(range(16)) AS j)),
+q AS (SELECT p.rec, f, j, coalesce(x, 0) AS x FROM p LEFT JOIN frames ON p.rec = frames.rec AND frame = CASE WHEN n <= 5 THEN p WHEN p < 0 THEN -p WHEN p >= n THEN 2 * (n - 1) - p ELSE p END),
+y AS (SELECT rec, f, j, x - avg(x) OVER (PARTITION BY rec, f) AS x FROM q),
+z AS (SELECT rec, f, j, (x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY rec, f ORDER BY j), x)) * pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 15.0::DOUBLE), 0.85::DOUBLE) AS x FROM y),
+spec AS (SELECT rec, f AS frame, k, sum(x * cos(2 * pi() * k * j / 16)) AS re, sum(x * sin(2 * pi() * k * j / 16)) AS im FROM z, (SELECT unnest(range(9)) AS k) GROUP BY ALL), {_filters(640, 16, 4, 20.0, 'htk')}
+SELECT rec, frame, CAST(bin AS INTEGER) AS bin, round(ln(greatest(sum((re * re + im * im) * w), 1.1920929e-07)), 5) AS x FROM spec JOIN filt USING (k) GROUP BY ALL""",
     "mel": f"{_F}, {_power(8, 4, _HANN.format(8), True)}, {_filters(16, 8, 3, 0.0, 'htk')} SELECT rec, frame, CAST(bin AS INTEGER) AS bin, round(sum((re * re + im * im) * w), 5) AS x FROM spec JOIN filt USING (k) GROUP BY ALL",
     "log_mel": f"{_F}, {_power(400, 160, _HANN.format(400), False)}, {_filters(16000, 400, 8, 0.0, 'slaney')}, l AS (SELECT rec, frame, bin, log10(greatest(sum((re * re + im * im) * w), 1e-10)) AS v FROM spec JOIN filt USING (k) GROUP BY ALL) SELECT rec, frame, CAST(bin AS INTEGER) AS bin, round((greatest(v, max(v) OVER (PARTITION BY rec) - 8) + 4) / 4, 5) AS x FROM l",
     "kaldi_fbank": f"""{_F}, {_N}, fr AS (SELECT rec, unnest(range((n - 16) // 6 + 1)) AS f FROM n WHERE n >= 16), y AS (SELECT fr.rec, f, frame - 6 * f AS j, x - avg(x) OVER (PARTITION BY fr.rec, f) AS x FROM fr JOIN frames ON fr.rec = frames.rec AND frame >= 6 * f AND frame < 6 * f + 16),
@@ -183,7 +225,7 @@ SELECT rec, frame, CAST(bin AS INTEGER) AS bin, round(ln(greatest(sum((re * re +
     "stereo_pairs": f"{_F} SELECT rec, c AS channel, count(*) AS n FROM frames, (SELECT unnest([0, 1]) AS c) GROUP BY ALL",
     "interleave": f"{_THREE} SELECT rec, frame // 16 AS block_idx, CAST(rec % 3 + 1 AS INTEGER) AS channels, string_agg(printf('%.2f', round(x * 500, 2)), ',' ORDER BY frame, channel) AS samples FROM ch GROUP BY ALL",
     "deinterleave": f"{_THREE} SELECT rec, CAST(channel AS INTEGER) AS channel, frame, round(x, 6) AS x FROM ch",
-    "resample_cubic": f"{_F}, k AS (SELECT rec, frame, x AS p1, coalesce(lag(x) OVER o, x) AS p0, coalesce(lead(x) OVER o, x) AS p2, coalesce(lead(x, 2) OVER o, lead(x) OVER o, x) AS p3 FROM frames WINDOW o AS (PARTITION BY rec ORDER BY frame)) SELECT rec, 2 * frame AS frame, round(p1, 6) AS x FROM k UNION ALL SELECT rec, 2 * frame + 1, round({_CUBIC}, 6) FROM k",
+    "resample_cubic": f"{_F}, k AS (SELECT rec, frame, x AS p1, coalesce(lag(x) OVER o, x) AS p0, coalesce(lead(x) OVER o, x) AS p2, coalesce(lead(x, 2) OVER o, lead(x) OVER o, x) AS p3 FROM frames WINDOW o AS (PARTITION BY rec ORDER BY frame)) SELECT rec, 2 * frame AS frame, round(p1, 8) AS x FROM k UNION ALL SELECT rec, 2 * frame + 1, round({_CUBIC}, 8) FROM k",
     "resample_high": f"""{_F}, {_N}, o AS (SELECT rec, n, unnest(range(n // 2)) AS f FROM n), k AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * 0.475::DOUBLE * k) / (pi() * 0.475::DOUBLE * k) END * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * k / 65.0::DOUBLE)) AS w FROM (SELECT unnest(range(-64, 65)) AS k))
 SELECT o.rec, f AS frame, round(sum(w * x) / sum(w), 6) AS x FROM o, k, frames WHERE frames.rec = o.rec AND frame = least(greatest(2 * f + k, 0), n - 1) GROUP BY ALL""",
     "resample_channels": f"{_F}, y AS (SELECT rec, frame, channel, CAST(CAST(x * CASE channel WHEN 0 THEN 1 ELSE -0.5::DOUBLE END AS FLOAT) AS DOUBLE) AS x FROM frames, (SELECT unnest([0, 1]) AS channel)) SELECT 'r' || rec AS rec, channel, 2 * frame AS frame, round(x, 6) AS x FROM y UNION ALL SELECT 'r' || rec, channel, 2 * frame + 1, round((x + coalesce(lead(x) OVER (PARTITION BY rec, channel ORDER BY frame), x)) / 2, 6) FROM y",
@@ -197,6 +239,10 @@ SELECT 'r' || rec AS rec, channel, CASE WHEN rec % 2 = 0 THEN 2 * frame ELSE fra
     "segments_back": f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames",
     "trimmed_silence": f"{_F}, {TRIM} SELECT rec, frame - lo AS frame, round(x, 6) AS x FROM frames JOIN cuts USING (rec) WHERE frame >= lo AND frame < hi",
     "apply_model": f"{_F} SELECT rec, frame, round(2 * x, 6) AS x FROM frames",
+    "apply_model_barrier": f"{_F} SELECT rec, frame, round(2 * x, 6) AS x FROM frames",
+    "separate_sql": f"""{_F}, {_PLAN}, k AS (SELECT p.rec, start_frame // 15 AS chunk_idx, total, start_frame, sum(x) AS t, max(x) AS most FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20 GROUP BY ALL),
+m AS (SELECT *, max(CASE WHEN total > 20 AND start_frame + 20 > total THEN greatest(most, 0) ELSE most END) OVER (PARTITION BY rec ORDER BY chunk_idx) AS met FROM k)
+SELECT rec, CAST(chunk_idx AS INTEGER) AS chunk_idx, CAST(o AS INTEGER) AS output_idx, round(CASE o WHEN 0 THEN t ELSE t - greatest(met, 0) * CASE WHEN total <= 20 THEN total ELSE 20 END END, 6) AS total FROM m, (SELECT unnest([0, 1]) AS o)""",
     "separate": f"{_F}, {_PLAN} SELECT p.rec, o AS output_idx, count(DISTINCT start_frame) AS n, round(sum(CASE o WHEN 0 THEN x ELSE -3 * x END), 6) AS total FROM plan p JOIN frames f ON p.rec = f.rec AND frame >= start_frame AND frame < start_frame + 20, (SELECT unnest([0, 1]) AS o) GROUP BY ALL",
     "analyze": f"{_F} SELECT rec, frame // 16 AS block_idx, CAST(arg_min(frame, (-x, frame)) % 16 AS INTEGER) AS at, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY ALL",
     "embed_segments": f"{_F} SELECT rec, frame // 16 AS block_idx, round(sum(x), 6) AS a, round(max(x), 6) AS b FROM frames GROUP BY ALL",

@@ -11,10 +11,10 @@ from ..sources import views as v
 CONFIG = c.ChunkConfig(1.0, 0.25, "triangular", 20)
 
 
-def flat(signals):
+def flat(signals, digits=6):
     """A row for each frame."""
     own = g.keys(signals)
-    return signals.select(*own, F.posexplode("samples").alias("i", "x"), "start_frame").select(*own, (F.col("start_frame") + F.col("i")).alias("frame"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return signals.select(*own, F.posexplode("samples").alias("i", "x"), "start_frame").select(*own, (F.col("start_frame") + F.col("i")).alias("frame"), F.round(F.col("x").cast("double"), digits).alias("x"))
 
 
 def _half(s, d):
@@ -63,10 +63,12 @@ _SAME = f"{_F} SELECT rec, frame, round(x, 6) AS x FROM frames"
 #: Under the usual plan only a single chunk leaves its tail silent; under the other one, the last chunk does.
 DISCARD = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN n <= 20 AND frame >= 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
 DISCARD_TAIL = f"{_F}, n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec) SELECT rec, frame, CASE WHEN frame >= CASE WHEN n <= 20 THEN 0 ELSE (n - 5) // 15 * 15 END + 18 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM frames JOIN n USING (rec)"
-TRIM = """n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec), h AS (SELECT rec, n, 4 * unnest(range((n + 3) // 4)) AS hop FROM n),
+#: Frames of 8 around every 4th sample over mirrored ends; from the first loud one to the end of the last one's 8 samples.
+TRIM = """n AS (SELECT rec, count(*) AS n FROM frames GROUP BY rec), h AS (SELECT rec, n, 4 * unnest(range(n // 4 + 1)) AS hop FROM n WHERE n > 4),
 q AS (SELECT rec, n, hop, CASE WHEN p < 0 THEN -p WHEN p >= n THEN 2 * (n - 1) - p ELSE p END AS p FROM (SELECT rec, n, hop, hop + unnest(range(-4, 4)) AS p FROM h)),
-e AS (SELECT q.rec, n, hop, avg(x * x) AS e FROM q JOIN frames f ON q.rec = f.rec AND q.p = f.frame GROUP BY ALL),
-cuts AS (SELECT rec, min(hop) AS lo, least(max(hop) + 4, max(n)) AS hi FROM (SELECT *, max(e) OVER (PARTITION BY rec) AS top FROM e) WHERE 10 * log10(greatest(e, 1e-10)) > 10 * log10(greatest(top, 1e-10)) - 20 GROUP BY rec)"""
+e AS (SELECT q.rec, n, hop, 20 * log10(greatest(sqrt(avg(x * x)), 1e-10)) AS db FROM q JOIN frames f ON q.rec = f.rec AND q.p = f.frame GROUP BY ALL),
+loud AS (SELECT rec, min(hop) AS lo, least(max(hop) + 8, max(n)) AS hi FROM (SELECT *, max(db) OVER (PARTITION BY rec) AS top FROM e) WHERE db > top - 20 GROUP BY rec),
+cuts AS (SELECT n.rec, CASE WHEN lo < hi THEN lo ELSE 0 END AS lo, CASE WHEN lo < hi THEN hi ELSE n END AS hi FROM n LEFT JOIN loud ON n.rec = loud.rec)"""
 SQL = {
     "signal_levels": f"{_F} SELECT rec, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS peak, round(avg(x), 6) AS dc, count(*)::DOUBLE AS dur FROM frames GROUP BY rec",
     "slice_signal": f"{_F}, r AS (SELECT rec, CAST(trunc((max(frame) / 10 - 1.3::DOUBLE) * 10) AS BIGINT) AS hi FROM frames GROUP BY rec) SELECT rec, frame - 7 AS frame, round(x, 6) AS x FROM frames JOIN r USING (rec) WHERE frame >= 7 AND frame < hi",

@@ -5,13 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
+
 MIB = 1 << 20
 _NAN = float("nan")
 
 
-def timing_stats(runs: DataFrame) -> DataFrame:
-    """By case_id: minimum, exact median, mean, sample deviation (0 for one run), real-time factors at median and minimum."""
-    x = runs.groupBy("case_id").agg(F.min("seconds").alias("min_s"), F.median("seconds").alias("median_s"), F.avg("seconds").alias("mean_s"), F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("sd_s"), F.max("audio_seconds").alias("audio"))
+#: Runs of a case whose values a task may hold at once.
+MOST_VALUES = 1_000_000
+#: Parts that a range of values is counted in at a time.
+PARTS = 4096
+
+
+def exact_median(df: DataFrame, key: str, value: str, hold: int = MOST_VALUES, parts: int = PARTS) -> DataFrame:
+    """key, median: the mean of the middle two values, exact, of groups of any size. Nulls don't count, NaN is the largest value.
+
+    Selection by rounds of counts: a group's range of finite values is cut into `parts`, which are counted before any shuffle;
+    the part that holds a middle value is the next round's range. Rounds end when a range holds at most `hold` values, or one.
+    """
+    x = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    infinity, finite = float("inf"), ~F.isnan("v") & (F.abs("v") < float("inf"))
+    n = x.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("v") == -infinity).alias("low"), F.count_if(finite).alias("fit"), F.count_if(F.col("v") == infinity).alias("high"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"))
+    rank = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)))
+    state = settle(n.withColumn("rank", rank).distinct())
+    inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("fit"))
+    outer = state.where(~inside).select(key, F.col("rank"), F.when(F.col("rank") < F.col("low"), -infinity).when(F.col("rank") < F.col("low") + F.col("fit") + F.col("high"), infinity).otherwise(_NAN).alias("v"))
+    found = [outer]
+    state = settle(state.where(inside).select(key, "rank", (F.col("rank") - F.col("low")).alias("nth"), "lo", "hi", F.col("fit").alias("size")))
+    while True:
+        found.append(state.where("lo = hi").select(key, "rank", F.col("lo").alias("v")))
+        here = x.where(finite).join(state.where("lo < hi"), key).where("v BETWEEN lo AND hi")
+        place = Window.partitionBy(key, "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        few = here.where(F.col("size") <= hold).groupBy(key, "rank", "nth", "v").agg(F.count("*").alias("c")).withColumn("until", F.sum("c").over(place))
+        found.append(few.where((F.col("until") > F.col("nth")) & (F.col("until") - F.col("c") <= F.col("nth"))).select(key, "rank", "v"))
+        if state.where((F.col("lo") < F.col("hi")) & (F.col("size") > hold)).isEmpty():
+            break
+        # Larger values lie in the same part or a later one, so a part is a range.
+        part = F.least(F.lit(parts - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * parts)).cast("int")
+        counted = here.where(F.col("size") > hold).groupBy(key, "rank", "nth", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = counted.withColumn("until", F.sum("c").over(Window.partitionBy(key, "rank").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+        own = (F.col("until") > F.col("nth")) & (F.col("until") - F.col("c") <= F.col("nth"))
+        state = settle(counted.where(own).select(key, "rank", (F.col("nth") - F.col("until") + F.col("c")).alias("nth"), "lo", "hi", F.col("c").alias("size")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    # Two infinities of one sign are no mean of theirs; two different middles are.
+    return out.groupBy(key).agg(F.min("v").alias("a"), F.max("v").alias("b")).select(key, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") / 2 + F.col("b") / 2).alias("median"))
+
+
+def timing_stats(runs: DataFrame, hold: int = MOST_VALUES) -> DataFrame:
+    """By case_id: minimum, exact median, mean, sample deviation (0 for one run), real-time factors at median and minimum.
+
+    A median is one buffer of a case's values; where a case has more than `hold`, medians are selected by counting.
+    """
+    most = runs.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+    median = [F.median("seconds").alias("median_s")] if most <= hold else []
+    x = runs.groupBy("case_id").agg(F.min("seconds").alias("min_s"), *median, F.avg("seconds").alias("mean_s"), F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("sd_s"), F.max("audio_seconds").alias("audio"))
+    if not median:
+        x = x.join(exact_median(runs, "case_id", "seconds", hold).withColumnRenamed("median", "median_s"), "case_id", "left")
     over = lambda c: F.when((F.col(c) > 0) & (F.col("audio") > 0), F.col("audio") / F.col(c)).otherwise(_NAN)
     return x.select("case_id", "min_s", "median_s", "mean_s", "sd_s", over("median_s").alias("rtf"), over("min_s").alias("best_rtf"))
 
@@ -64,13 +115,33 @@ def headroom(need: Column, memory: Column) -> Column:
 
 def latest_runs(cases: DataFrame) -> DataFrame:
     """The newest row of each case (ties: the largest run_id)."""
-    nth = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("finished_at"), F.desc("run_id")))
-    return cases.withColumn("nth", nth).where("nth = 1").drop("nth")
+    newest = F.max_by(F.struct(*cases.columns), F.struct("finished_at", "run_id"))
+    return cases.groupBy("case_id").agg(newest.alias("__row")).select("__row.*")
+
+
+_OF_LISTED = lambda: (F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min_by("variant_id", "position").alias("default_id"), F.min(F.struct("size", "position", "variant_id"))["variant_id"].alias("smallest_id"))
 
 
 def catalog_summary(variants: DataFrame) -> DataFrame:
-    """By category: number of variants, all bytes, the first and the smallest variant."""
-    return variants.groupBy("category").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("variant_id").alias("default_id"), F.min(F.struct("size", "variant_id"))["variant_id"].alias("smallest_id"))
+    """By category: number of variants, all bytes, the first listed and the smallest variant (ties: the first listed)."""
+    return variants.groupBy("category").agg(*_OF_LISTED())
+
+
+def catalog_models(definitions: DataFrame, variants: DataFrame) -> DataFrame:
+    """By model (model_id, position, category): its variants' number and bytes, the first listed and the smallest; a model without variants has none. A model listed twice is the first listed."""
+    known = definitions.groupBy("model_id").agg(F.min_by("category", "position").alias("category"))
+    return known.join(variants.groupBy("model_id").agg(*_OF_LISTED()), "model_id", "left").select("model_id", "category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "default_id", "smallest_id")
+
+
+def find_variants(variants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """variant_id, category, size of each wanted variant_id: the first listed of that id; null where there is none."""
+    first = variants.groupBy("variant_id").agg(F.min_by(F.struct("category", "size"), "position").alias("x"))
+    return wanted.select("variant_id").join(first, "variant_id", "left").select("variant_id", "x.category", "x.size")
+
+
+def catalog_counts(definitions: DataFrame, variants: DataFrame, packages: DataFrame) -> DataFrame:
+    """One row: models, variants, packages, and the bytes of all variants."""
+    return definitions.agg(F.count("*").alias("models")).join(variants.agg(F.count("*").alias("variants"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))).join(packages.agg(F.count("*").alias("packages")))
 
 
 def package_sizes(members: DataFrame, variants: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,12 @@ def _built(make: Callable[[], Callable], name: str) -> Callable:
     return _BUILT[name]
 
 
-def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[], Callable] | None = None, batch: int = 16) -> DataFrame:
-    """chunks with samples put through fn."""
+def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[], Callable] | None = None, batch: int = 16, barrier: bool = False, profile: ResourceProfile | None = None) -> DataFrame:
+    """chunks with samples put through fn.
+
+    profile: what each of its tasks needs (GPUs, memory), where the cluster manager grants it. barrier: all tasks of the stage
+    start together or not at all, for models whose workers talk to each other; there must be as many slots as partitions.
+    """
     name = uuid.uuid4().hex  # of this factory, in every worker
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +40,40 @@ def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[]
                 part = pdf.iloc[k : k + batch]
                 yield part.assign(samples=[np.asarray(x, float) for x in f([np.asarray(s) for s in part["samples"]])])
 
-    return chunks.mapInPandas(run, chunks.schema)
+    return chunks.mapInPandas(run, chunks.schema, barrier, profile)
+
+
+def register_separator(chunks: DataFrame, name: str, fn: Callable, k: int, batch: int = 16) -> None:
+    """A table function for SQL: name(TABLE(...) PARTITION BY ... ORDER BY ...) gives k rows for each row like those of chunks.
+
+    fn sees the rows of a partition in its order, `batch` at a time, and may keep what it learns of them: each partition has a
+    function of its own where fn is a class, which is made anew for it.
+    """
+    columns, at = chunks.columns, chunks.columns.index("samples")
+
+    class Separator:
+        def __init__(self):
+            self.fn, self.rows = fn() if isinstance(fn, type) else fn, []
+
+        def eval(self, row: Row):
+            self.rows.append(tuple(row))
+            if len(self.rows) == batch:
+                yield from self.flush()
+
+        def terminate(self):
+            yield from self.flush()
+
+        def flush(self):
+            rows, self.rows = self.rows, []
+            made = self.fn([np.asarray(r[at], float) for r in rows]) if rows else []
+            if any(len(m) != k for m in made):
+                raise ValueError(f"a separator of {k} outputs returned another number")
+            for r, m in zip(rows, made, strict=True):
+                for j in range(k):
+                    yield (*r[:at], np.asarray(m[j], float).tolist(), *r[at + 1 :], j)
+
+    schema = T.StructType([*(T.StructField(c, T.ArrayType(T.DoubleType())) if c == "samples" else chunks.schema[c] for c in columns), T.StructField("output_idx", T.IntegerType())])
+    chunks.sparkSession.udtf.register(name, F.udtf(Separator, returnType=schema))
 
 
 def separate(chunks: DataFrame, fn: Callable, k: int, batch: int = 16) -> DataFrame:
@@ -99,22 +137,15 @@ def fan_out(signals: DataFrame, targets: DataFrame, fn: Callable, most: int = 10
     return signals.mapInPandas(run, T.StructType([*signals.schema.fields, T.StructField("target", T.StringType())]))
 
 
-def adapt(signals: DataFrame, requirements: DataFrame, mode: str = "auto", most: int = 100) -> DataFrame:
+def adapt(signals: DataFrame, requirements: DataFrame, mode: str = "auto") -> DataFrame:
     """signals (rec, channel, sample_rate, blocks) at the rate and number of channels that requirements (rec, rate, channels) ask for.
 
-    Each signal is converted once, and only where it differs. Pairs of rates are few (`most` at the most): each is one resample.
+    Rates and channels are values of a recording's rows: all are converted in one pass, whatever pairs of rates there are, and
+    what already fits is left as it is. Recordings without a requirement are left out.
     """
-    from .signals import BLOCK, convert_channels, resample
-
-    x = signals.join(requirements.select("rec", "rate", "channels"), "rec")
-    changes = [tuple(r) for r in x.select("sample_rate", "rate").distinct().limit(most + 1).collect()]
-    counts = [r[0] for r in x.select("channels").distinct().limit(most + 1).collect()]
-    if max(len(changes), len(counts)) > most:
-        raise ValueError(f"over {most} pairs of rates or numbers of channels")
-    out = None
-    for a, b in changes:
-        for n in counts:
-            own = x.where((F.col("sample_rate") == a) & (F.col("rate") == b) & (F.col("channels") == n)).select("rec", "channel", *BLOCK)
-            y = resample(convert_channels(own, n), a, b, mode).select("rec", "channel", *BLOCK).withColumn("sample_rate", F.lit(b).cast("int"))
-            out = y if out is None else out.unionByName(y)
-    return out if out is not None else signals.select("rec", "channel", *BLOCK, "sample_rate").limit(0)
+    from .signals import BLOCK, convert_channels, resample_each
+
+    own = signals.groupBy("rec").agg(F.max("sample_rate").alias("sample_rate"))
+    needs = requirements.select("rec", F.col("rate").cast("int").alias("to"), "channels").join(own, "rec").select("rec", F.col("sample_rate").cast("int").alias("rate"), "to", "channels")
+    y = resample_each(convert_channels(signals.select("rec", "channel", *BLOCK), needs), needs, mode)
+    return y.join(needs.select("rec", F.col("to").alias("sample_rate")), "rec").select("rec", "channel", *BLOCK, "sample_rate")

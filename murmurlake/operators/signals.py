@@ -7,7 +7,9 @@ signal need no equal length. Sums are made block by block, so a recording of any
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -162,14 +164,17 @@ def duplicate_channels(signals: DataFrame, n: int) -> DataFrame:
     return signals.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def convert_channels(signals: DataFrame, n: int) -> DataFrame:
-    """Signals with n channels each: those that have n stay; one is the mean; more are copies of the mean."""
+def convert_channels(signals: DataFrame, n: int | DataFrame) -> DataFrame:
+    """Signals with n channels each, or as many as n (rec, channels) asks for: those that have n stay; one is the mean; more are copies of the mean."""
     own = [k for k in keys(signals) if k != "channel"]
     have = signals.groupBy(*own).agg(F.count_distinct("channel").alias("have"))
     x = signals.join(have, own)
-    same = x.where(F.col("have") == n).select(*own, "channel", *BLOCK)
-    other = duplicate_channels(mono(x.where(F.col("have") != n).select(*own, "channel", *BLOCK)), n)
-    return same.unionByName(other.select(*same.columns))
+    want = (lambda df: df.withColumn("want", F.lit(n))) if isinstance(n, int) else (lambda df: df.join(n.select("rec", F.col("channels").alias("want")), "rec"))
+    x = want(x)
+    same = x.where(F.col("have") == F.col("want")).select(*own, "channel", *BLOCK)
+    other = want(mono(x.where(F.col("have") != F.col("want")).select(*own, "channel", *BLOCK)))
+    each = F.explode(F.sequence(F.lit(0), F.col("want").cast("int") - 1).cast(f"array<{signals.schema['channel'].dataType.simpleString()}>"))
+    return same.unionByName(other.where("want > 0").select(*own, each.alias("channel"), *BLOCK))
 
 
 def stereo_pair(signals: DataFrame) -> DataFrame:
@@ -307,42 +312,77 @@ def with_halo(signals: DataFrame, before: int, after: int, size: int) -> DataFra
 HALO = 64
 
 
+@lru_cache(maxsize=64)
+def bank(rate: int, to: int) -> tuple[int, int, np.ndarray]:
+    """Step and phases of a rational ratio, and the taps of each phase: a windowed sinc that cuts at 0.95 of the lower rate's half, of sum 1."""
+    phases, step = to // math.gcd(rate, to), rate // math.gcd(rate, to)
+    cut = min(1.0, to / rate) * 0.95
+    d = np.arange(-HALO, HALO + 1)[None] - (np.arange(phases) / phases)[:, None]
+    w = np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / (HALO + 1), -1, 1)))
+    return step, phases, w / w.sum(axis=1, keepdims=True)
+
+
+def filtered(x: np.ndarray, first: int, a: int, b: int, rate: int, to: int) -> np.ndarray:
+    """Outputs a to b by a polyphase bank. x begins with frame `first`, and is held at its ends. Outputs of a phase lie `step` inputs apart: a view of x times one row of taps."""
+    step, phases, taps = bank(rate, to)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, HALO, "edge"), 2 * HALO + 1)
+    out = np.empty(b - a)
+    for p in range(min(phases, b - a)):
+        at, phase = divmod((a + p) * step, phases)
+        made = out[p::phases]
+        made[:] = windows[at - first :: step][: len(made)] @ taps[phase]
+    return out
+
+
 def resampled(x: np.ndarray, lead: int, start: int, n: int, total: int, rate: int, to: int, mode: str) -> tuple[int, np.ndarray]:
     """Output samples whose position lies in input frames start .. start + n; x holds them with what is around."""
     out_total = int(total * to / rate)
     a, b = -(-start * to // rate), min(out_total, -(-(start + n) * to // rate))
-    t = np.arange(a, b) * rate / to - (start - lead)
-    if not len(t):
+    if a >= b:
         return a, np.zeros(0)
+    if mode == "high" or (mode == "auto" and to < rate):
+        return a, filtered(x, start - lead, a, b, rate, to)
+    t = np.arange(a, b) * rate / to - (start - lead)
     i = np.floor(t).astype(int)
     f = t - i
     at = lambda k: x[np.clip(k, 0, len(x) - 1)]
     if mode == "fast":
         return a, at(i) * (1 - f) + at(i + 1) * f
-    if mode == "balanced" or to >= rate:
-        p0, p1, p2, p3 = at(i - 1), at(i), at(i + 1), at(i + 2)
-        return a, p1 + 0.5 * f * (p2 - p0 + f * (2 * p0 - 5 * p1 + 4 * p2 - p3 + f * (3 * (p1 - p2) + p3 - p0)))
-    cut, half = to / rate * 0.95, HALO
-    k = np.arange(-half, half + 1)
-    d = k[None] - f[:, None]
-    w = np.sinc(cut * d) * cut * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / (half + 1), -1, 1)))
-    return a, (at(i[:, None] + k[None]) * w).sum(axis=1) / w.sum(axis=1)
+    p0, p1, p2, p3 = at(i - 1), at(i), at(i + 1), at(i + 2)
+    return a, p1 + 0.5 * f * (p2 - p0 + f * (2 * p0 - 5 * p1 + 4 * p2 - p3 + f * (3 * (p1 - p2) + p3 - p0)))
 
 
 def resample(signals: DataFrame, rate: int, to: int, mode: str = "balanced", size: int = 48_000) -> DataFrame:
-    """Each signal at another rate. fast: linear; balanced: cubic; high, auto: cubic up, windowed sinc down."""
+    """Each signal at another rate. fast: linear; balanced: cubic; high: a band-limited polyphase bank; auto: cubic up, the bank down."""
     if rate == to:
         return signals
-    own = keys(signals)
-    # The end of a signal is seen when it lies in the halo; beyond, it is at least one output sample away.
-    reach = max(HALO + 2, 2 * -(-rate // to))
+    return _resampled(with_halo(signals, _reach(rate, to), _reach(rate, to), size).withColumns({"rate": F.lit(rate), "to": F.lit(to)}), keys(signals), mode, signals)
+
+
+def _reach(rate: int, to: int) -> int:
+    """The end of a signal is seen when it lies in the halo; beyond, it is at least one output sample away."""
+    return max(HALO + 2, 2 * -(-rate // to))
+
+
+def _resampled(blocks: DataFrame, own: list[str], mode: str, like: DataFrame) -> DataFrame:
+    """Blocks with their halo from `rate` to `to`, which are columns."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            made = [resampled(np.asarray(r.samples, float), r.lead, r.start_frame, r.n, r.start_frame + r.n + r.trail, rate, to, mode) for r in pdf.itertuples()]
+            made = []
+            for r in pdf.itertuples():
+                x = np.asarray(r.samples, float)
+                made.append((r.start_frame, x[r.lead : r.lead + r.n]) if r.rate == r.to else resampled(x, r.lead, r.start_frame, r.n, r.start_frame + r.n + r.trail, int(r.rate), int(r.to), mode))
             yield pdf[[*own, "block_idx"]].assign(start_frame=[m[0] for m in made], samples=[m[1] for m in made])
 
-    return with_halo(signals, reach, reach, size).mapInPandas(run, schema_of(signals, own, "block_idx long, start_frame long, samples array<double>"))
+    return blocks.mapInPandas(run, schema_of(like, own, "block_idx long, start_frame long, samples array<double>"))
+
+
+def resample_each(signals: DataFrame, rates: DataFrame, mode: str = "balanced", size: int = 48_000) -> DataFrame:
+    """resample() with rates (rec, rate, to) of each recording: one pass, however many pairs of rates there are."""
+    farthest = rates.agg(F.max(F.ceil(F.col("rate") / F.col("to")))).first()[0] or 1
+    reach = _reach(int(farthest), 1)
+    return _resampled(with_halo(signals, reach, reach, size).join(rates.select("rec", "rate", "to"), "rec"), keys(signals), mode, signals)
 
 
 def best_lag(a: DataFrame, b: DataFrame, max_lag: int = 64, size: int = 48_000) -> DataFrame:
@@ -366,28 +406,39 @@ def best_lag(a: DataFrame, b: DataFrame, max_lag: int = 64, size: int = 48_000)
 
 
 def trim_silence(signals: DataFrame, top_db: float = 60, frame: int = 2048, hop: int = 512, size: int = 49_152) -> DataFrame:
-    """By signal, lo, hi: frames between the first and last hop whose energy is within top_db of the loudest. Two passes."""
+    """By signal, lo, hi: from the first loud frame's hop to the end of the last one's `frame` samples. Two passes.
+
+    Frames are centred at each hop, the signal's end among them, over mirrored ends; loud is what is less than top_db under the
+    loudest. A signal of no more than half a frame stays, and so does one of which nothing would be left.
+    """
     own_keys = keys(signals)
     half = frame // 2
+    size = -(-size // hop) * hop
 
     def energy(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples():
-                x = np.asarray(r.samples, float)
-                left = half - r.lead if r.start_frame == 0 else 0
-                x = np.concatenate([x[1 : left + 1][::-1] if left else x[:0], x])
+                x, until = np.asarray(r.samples, float), r.start_frame + r.n
+                if until + r.trail <= max(1, half):
+                    yield pd.DataFrame({**{k: [getattr(r, k)] for k in own_keys}, "at": [r.start_frame], "e": [1.0], "until": [until]})
+                    continue
+                left = half - r.lead  # where the signal begins nearer than that
+                x = np.concatenate([x[1 : left + 1][::-1], x])
                 lead = r.lead + left
-                own = -(-r.n // hop)
+                own = r.n // hop + 1 if not r.trail else -(-r.n // hop)
                 need = lead + (own - 1) * hop + half
                 if need > len(x):
                     x = np.concatenate([x, x[-2 : -2 - (need - len(x)) : -1]])
-                mean = [float((x[max(0, lead + i * hop - half) : lead + i * hop + half] ** 2).mean()) for i in range(own)]
-                yield pd.DataFrame({**{k: getattr(r, k) for k in own_keys}, "at": r.start_frame + np.arange(own) * hop, "e": mean, "until": r.start_frame + r.n})
+                mean = [float((x[lead + i * hop - half : lead + i * hop + half] ** 2).mean()) for i in range(own)]
+                yield pd.DataFrame({**{k: getattr(r, k) for k in own_keys}, "at": r.start_frame + np.arange(own) * hop, "e": mean, "until": until})
 
     e = with_halo(signals, half, half, size).mapInPandas(energy, schema_of(signals, own_keys, "at long, e double, until long"))
     top = e.groupBy(*own_keys).agg(F.max("e").alias("top"), F.max("until").alias("total"))
-    loud = e.join(top, own_keys).where(10 * F.log10(F.greatest("e", F.lit(1e-10))) > 10 * F.log10(F.greatest("top", F.lit(1e-10))) - top_db)
-    return loud.groupBy(*own_keys).agg(F.min("at").alias("lo"), F.least(F.max(F.col("at") + hop), F.max("total")).alias("hi"))
+    db = lambda c: 20 * F.log10(F.greatest(F.sqrt(c), F.lit(1e-10)))
+    cut = e.join(top, own_keys).groupBy(*own_keys, "total").agg(*(f(F.when(db("e") > db("top") - top_db, F.col("at"))).alias(k) for f, k in ((F.min, "first"), (F.max, "last"))))
+    hi = F.least(F.col("last") + frame, "total")
+    left = F.col("first") < hi
+    return cut.select(*own_keys, F.when(left, F.col("first")).otherwise(F.lit(0)).alias("lo"), F.when(left, hi).otherwise(F.col("total")).alias("hi"))
 
 
 def trimmed(signals: DataFrame, top_db: float = 60, **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,15 @@ from .signals import keys, schema_of, with_halo
 WINDOWS = {"hann": lambda n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n), "hamming": np.hamming, "blackman": np.blackman, "bartlett": np.bartlett, "povey": lambda n: np.hanning(n) ** 0.85}
 
 
-def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: float | None = None, scale: str = "slaney") -> np.ndarray:
-    """n_mels x bins triangles; slaney: linear under 1 kHz and of equal area; htk: logarithmic, of height 1."""
+def window_of(window: str | Sequence[float], size: int) -> np.ndarray:
+    """A window by name or as it is, with zeros behind it where it is shorter."""
+    w = WINDOWS[window](size) if isinstance(window, str) else np.asarray(window, float)
+    return np.pad(w, (0, max(0, size - len(w))))[:size]
+
+
+def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: float | None = None, scale: str = "slaney", norm: str | None = "scale") -> np.ndarray:
+    """n_mels x bins triangles. scale: slaney, which is linear under 1 kHz, or htk, logarithmic. norm: slaney, of equal area; None, of height 1; or the one that goes with the scale."""
+    norm = ("slaney" if scale == "slaney" else None) if norm == "scale" else norm
     high = high or rate / 2
     if scale == "htk":
         to, back = lambda f: 2595 * np.log10(1 + np.asarray(f) / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
@@ -24,67 +31,79 @@ def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: floa
         to = lambda f: np.where(np.asarray(f) < 1000, np.asarray(f) * 3 / 200, 15 + np.log(np.maximum(np.asarray(f), 1e-9) / 1000) / step)
         back = lambda m: np.where(m < 15, m * 200 / 3, 1000 * np.exp(step * (m - 15)))
     hz = back(np.linspace(to(low), to(high), n_mels + 2))
-    f = np.linspace(0, rate / 2, n_fft // 2 + 1)
+    f = np.linspace(0, rate // 2, n_fft // 2 + 1)
     up, down = (f - hz[:-2, None]) / np.diff(hz)[:-1, None], (hz[2:, None] - f) / np.diff(hz)[1:, None]
     w = np.maximum(0, np.minimum(up, down))
-    return w if scale == "htk" else w * (2 / (hz[2:] - hz[:-2]))[:, None]
+    return w if norm is None else w * (2 / (hz[2:] - hz[:-2]))[:, None]
 
 
-def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect", size: int = 48_000) -> DataFrame:
-    """By signal, frame, bins: fn (frames x n_fft -> frames x bins) at every hop, centred, with the ends reflected or zero."""
+def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect", size: int = 48_000, center: bool = True) -> DataFrame:
+    """By signal, frame, bins: fn (frames x n_fft -> frames x bins) at every hop, centred, with the ends reflected or zero; or, not centred, of whole frames that start there."""
     size = -(-size // hop) * hop
-    half, own = n_fft // 2, keys(signals)
+    half, own = n_fft // 2 if center else 0, keys(signals)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples():
                 x, lead = np.asarray(r.samples, float), r.lead
-                # A signal of no more than half a window has nothing to be reflected.
-                mirrored = pad == "reflect" and len(x) > half
-                if r.start_frame == 0:
-                    x = np.concatenate([x[1 : half + 1][::-1] if mirrored else np.zeros(half), x])
-                    lead = half
-                at_end = not r.trail
-                n = r.n // hop + 1 if at_end else -(-r.n // hop)
-                need = lead + (n - 1) * hop + half + n_fft % 2
-                if need > len(x):
-                    more = need - len(x)
-                    x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
-                first = lead - half
-                frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
+                if not center:
+                    x = x[lead:]
+                    n = min(-(-r.n // hop), (len(x) - n_fft) // hop + 1)
+                    if n < 1:
+                        continue
+                    frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop][:n]
+                else:
+                    # A signal of no more than half a window has nothing to be reflected.
+                    mirrored = pad == "reflect" and len(x) > half
+                    if r.start_frame == 0:
+                        x = np.concatenate([x[1 : half + 1][::-1] if mirrored else np.zeros(half), x])
+                        lead = half
+                    at_end = not r.trail
+                    n = r.n // hop + 1 if at_end else -(-r.n // hop)
+                    need = lead + (n - 1) * hop + half + n_fft % 2
+                    if need > len(x):
+                        more = need - len(x)
+                        x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
+                    first = lead - half
+                    frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
                 yield pd.DataFrame({**{k: getattr(r, k) for k in own}, "frame": r.start_frame // hop + np.arange(len(frames)), "bins": list(fn(frames))})
 
-    return with_halo(signals, half, half + n_fft % 2, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
+    return with_halo(signals, half, half + n_fft % 2 if center else n_fft, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
 
 
-def stft(signals: DataFrame, n_fft: int = 400, hop: int = 160, window: str = "hann", pad: str = "reflect", size: int = 48_000) -> DataFrame:
-    """By signal, frame, bins: real parts, then imaginary ones."""
-    w = WINDOWS[window](n_fft)
+def stft(signals: DataFrame, n_fft: int = 400, hop: int = 160, window: str | Sequence[float] = "hann", pad: str = "reflect", size: int = 48_000, center: bool = True, win_length: int | None = None) -> DataFrame:
+    """By signal, frame, bins: real parts, then imaginary ones. A window of win_length samples has zeros behind it."""
+    w = np.pad(window_of(window, min(win_length or n_fft, n_fft)), (0, n_fft - min(win_length or n_fft, n_fft)))
 
     def fn(frames):
         z = np.fft.rfft(frames * w)
         return np.concatenate([z.real, z.imag], axis=1)
 
-    return framewise(signals, n_fft, hop, fn, pad, size)
+    return framewise(signals, n_fft, hop, fn, pad, size, center)
 
 
-def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160, window: str = "hann", block: int = 64) -> DataFrame:
-    """Signals of stft's rows, divided by the windows' summed squares. total: rec, n (lengths() of the signals)."""
-    w, own_keys = WINDOWS[window](n_fft), keys(spectra, total)
-    reach = -(-n_fft // (2 * hop * block)) + 1
+def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160, window: str | Sequence[float] = "hann", block: int = 64, norm: str = "squares", center: bool = True) -> DataFrame:
+    """Signals of stft's rows. total: rec, n (lengths() of the signals), or n_frames(spectra) for what the frames alone reach.
+
+    norm: squares divides by the windows' summed squares, which undoes stft. sum divides by the summed windows, a fixed rule of
+    other tools: their named window is one sample longer and loses its last. Where the sum is 0 samples stay as they are.
+    """
+    w = window_of(window, n_fft) if norm == "squares" or not isinstance(window, str) else window_of(window, n_fft + 1)[:n_fft]
+    own_keys, early = keys(spectra, total), n_fft // 2 if center else 0
+    reach = -(-n_fft // (hop * block)) + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b, n = int(pdf["to"].iloc[0]), int(pdf["n"].iloc[0])
         lo, hi = b * block * hop, min((b + 1) * block * hop, n)
-        out, norm = np.zeros(max(0, hi - lo) + 2 * n_fft), np.zeros(max(0, hi - lo) + 2 * n_fft)
+        out, by = np.zeros(max(0, hi - lo) + 2 * n_fft), np.zeros(max(0, hi - lo) + 2 * n_fft)
         for f, bins in zip(pdf["frame"], pdf["bins"], strict=True):
             z = np.asarray(bins)
-            at = f * hop - n_fft // 2 - lo + n_fft
+            at = f * hop - early - lo + n_fft
             if at < 0 or at + n_fft > len(out):
                 continue
             out[at : at + n_fft] += np.fft.irfft(z[: len(z) // 2] + 1j * z[len(z) // 2 :], n_fft) * w
-            norm[at : at + n_fft] += w**2
-        x = np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-10)[n_fft : n_fft + max(0, hi - lo)]
+            by[at : at + n_fft] += w**2 if norm == "squares" else w
+        x = np.divide(out, by, out=np.zeros_like(out) if norm == "squares" else out.copy(), where=by > 1e-10 if norm == "squares" else by != 0)[n_fft : n_fft + max(0, hi - lo)]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in own_keys}, "block_idx": [b], "start_frame": [lo], "samples": [x]})
 
     own = F.floor(F.col("frame") / block)
@@ -92,8 +111,13 @@ def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160
     return x.groupBy(*own_keys, "to").applyInPandas(run, schema_of(spectra, own_keys, "block_idx long, start_frame long, samples array<double>"))
 
 
-def mel(signals: DataFrame, rate: int, n_fft: int = 400, hop: int = 160, n_mels: int = 80, scale: str = "slaney", power: float = 2.0) -> DataFrame:
-    w, m = WINDOWS["hann"](n_fft), mel_filters(rate, n_fft, n_mels, scale=scale)
+def n_frames(spectra: DataFrame, n_fft: int = 400, hop: int = 160, center: bool = True) -> DataFrame:
+    """By signal, n: the samples that frames reach, less half a frame at either end where they are centred."""
+    return spectra.groupBy(*keys(spectra)).agg((F.max("frame") * hop + n_fft - (n_fft // 2 * 2 if center else 0)).alias("n"))
+
+
+def mel(signals: DataFrame, rate: int, n_fft: int = 400, hop: int = 160, n_mels: int = 80, scale: str = "slaney", power: float = 2.0, norm: str | None = "scale") -> DataFrame:
+    w, m = WINDOWS["hann"](n_fft), mel_filters(rate, n_fft, n_mels, scale=scale, norm=norm)
     return framewise(signals, n_fft, hop, lambda f: np.abs(np.fft.rfft(f * w)) ** power @ m.T)
 
 
@@ -105,17 +129,37 @@ def log_mel(signals: DataFrame, rate: int = 16000, n_mels: int = 128) -> DataFra
     return x.join(top, own).select(*own, "frame", F.transform("bins", lambda v: (F.greatest(v, F.col("top") - 8) + 4) / 4).alias("bins"))
 
 
-def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_ms: int = 25, hop_ms: int = 10, preemphasis: float = 0.97) -> DataFrame:
-    """Log mel energies of frames without their mean, pre-emphasised, under a povey window; whole frames only."""
+def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_ms: int = 25, hop_ms: int = 10, preemphasis: float = 0.97, snip_edges: bool = True) -> DataFrame:
+    """Log mel energies of frames without their mean, pre-emphasised, under a povey window.
+
+    With snip_edges whole frames only; else as many as there are hops (rounded), whose frames lie centred over mirrored ends, or
+    over silence where a signal is no longer than what would be mirrored; frames must then be as long as hops at least.
+    """
     n, hop = rate * frame_ms // 1000, rate * hop_ms // 1000
     n_fft = 1 << (n - 1).bit_length()
     w, m, own = WINDOWS["povey"](n), mel_filters(rate, n_fft, n_mels, 20.0, scale="htk"), keys(signals)
+    early = 0 if snip_edges else n // 2 - hop // 2
+    if early < 0:
+        raise ValueError("frames are shorter than hops")
+    size = 300 * hop
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples():
-                x = np.asarray(r.samples, float)[r.lead :]
-                k = min(-(-r.n // hop), (len(x) - n) // hop + 1)
+                x = np.asarray(r.samples, float)
+                if snip_edges:
+                    x = x[r.lead :]
+                    k = min(-(-r.n // hop), (len(x) - n) // hop + 1)
+                else:
+                    total = r.start_frame + r.n + r.trail  # the signal's end, where it is near
+                    mirrored = total > early
+                    if r.start_frame == 0:
+                        x = np.concatenate([x[1 : early + 1][::-1] if mirrored else np.zeros(early), x])
+                    lead = early if r.start_frame == 0 else r.lead
+                    x = x[lead - early :]
+                    k = (r.n + hop // 2) // hop if not r.trail else -(-r.n // hop)
+                    if (more := (k - 1) * hop + n - len(x)) > 0:
+                        x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
                 if k < 1:
                     continue
                 f = np.lib.stride_tricks.sliding_window_view(x, n)[::hop][:k]
@@ -124,8 +168,7 @@ def kaldi_fbank(signals: DataFrame, rate: int = 16000, n_mels: int = 80, frame_m
                 e = np.abs(np.fft.rfft(f, n_fft)) ** 2 @ m.T
                 yield pd.DataFrame({**{c: getattr(r, c) for c in own}, "frame": r.start_frame // hop + np.arange(k), "bins": list(np.log(np.maximum(e, np.finfo(np.float32).eps)))})
 
-    size = 300 * hop
-    return with_halo(signals, 0, n, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
+    return with_halo(signals, early, n, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
 
 
 def with_deltas(features: DataFrame, reach: int = 2, shard: int = 10_000) -> DataFrame:

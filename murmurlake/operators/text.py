@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import pandas as pd
@@ -139,25 +140,95 @@ def bpe(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
         parts = [m.rstrip("\0") for m in merged]
 
 
-def wordpiece(word: str, vocab: dict[str, int], unknown: str = "[UNK]", longest: int = 100) -> list[str]:
-    """Longest pieces from the left, ## before all but the first; a character that starts no piece is unknown by itself, as is a word that is too long."""
-    if len(word) > longest:
-        return [unknown]
-    out, at = [], 0
-    while at < len(word):
-        mark = "##" if at else ""
-        size = next((n for n in range(len(word) - at, 0, -1) if mark + word[at : at + n] in vocab), 0)
-        out.append(mark + word[at : at + size] if size else unknown)
-        at += size or 1
-    return out
+class WordPieces:
+    """Longest pieces from the left, ## before all but the first; a character that starts no piece is unknown by itself, as is a word that is too long.
+
+    Pieces are a tree of letters for a word's beginning and one for what follows. A node that a word can't leave by its next
+    letter says which pieces its letters are cut into as far as that is sure, and at which node the rest of them stands; so no
+    letter is read twice, and a word costs its length.
+    """
+
+    def __init__(self, vocab: Iterable[str], unknown: str = "[UNK]", longest: int = 100):
+        self.unknown, self.longest = unknown, longest
+        self.next: list[dict[str, int]] = [{}, {}]  # a word's beginning, what follows
+        piece: dict[int, str] = {}
+
+        def add(root: int, letters: str, name: str) -> None:
+            at = root
+            for c in letters:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                at = self.next[at][c]
+            piece.setdefault(at, name)
+
+        for p in vocab:
+            if p:
+                add(0, p, p)
+            if p.startswith("##") and len(p) > 2:
+                add(1, p[2:], p)
+        # A letter that begins pieces but is none is unknown by itself.
+        for root in (0, 1):
+            for at in self.next[root].values():
+                piece.setdefault(at, unknown)
+        self.cut: list[tuple[str, ...]] = [()] * len(self.next)
+        self.rest = [1] * len(self.next)
+        level = [(at, c, root) for root in (0, 1) for c, at in self.next[root].items()]
+        while level:
+            following = []
+            for at, c, above in level:
+                if at in piece:
+                    self.cut[at], self.rest[at] = (piece[at],), 1
+                else:
+                    done, stand = list(self.cut[above]), self.rest[above]
+                    while c not in self.next[stand] and stand != 1:
+                        done += self.cut[stand]
+                        stand = self.rest[stand]
+                    if c in self.next[stand]:
+                        stand = self.next[stand][c]
+                    else:
+                        done.append(unknown)
+                    self.cut[at], self.rest[at] = tuple(done), stand
+                following += [(to, d, at) for d, to in self.next[at].items()]
+            level = following
+
+    def __call__(self, word: str) -> list[str]:
+        if len(word) > self.longest:
+            return [self.unknown]
+        out, at = [], 0
+        for c in word:
+            while c not in self.next[at]:
+                if at < 2:
+                    out.append(self.unknown)
+                    at = 1
+                    break
+                out += self.cut[at]
+                at = self.rest[at]
+            else:
+                at = self.next[at][c]
+        while at > 1:
+            out += self.cut[at]
+            at = self.rest[at]
+        return out
+
+
+#: Pieces of a vocabulary at most: it goes to every worker.
+MOST_PIECES = 2_000_000
+_CUTTERS: dict[str, Callable[[str], list[str]]] = {}
 
 
-def _cut_once(words: DataFrame, pieces_of, vocab: dict[str, int], unknown: str) -> DataFrame:
-    """word, ids: each different word is cut once, in Python, from a vocabulary that goes to every worker once."""
-    shared = words.sparkSession.sparkContext.broadcast((pieces_of, vocab))
+def _cut_once(words: DataFrame, make: Callable[[], Callable[[str], list[str]]], vocab: dict[str, int], unknown: str) -> DataFrame:
+    """word, ids: each different word is cut once, in Python, by what `make` makes once in a worker; the vocabulary goes to every worker once."""
+    if len(vocab) > MOST_PIECES:
+        raise ValueError(f"over {MOST_PIECES} pieces")
+    shared, name = words.sparkSession.sparkContext.broadcast((make, vocab)), uuid.uuid4().hex
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, known = shared.value
+        build, known = shared.value
+        if name not in _CUTTERS:
+            _CUTTERS.clear()
+            _CUTTERS[name] = build()
+        f = _CUTTERS[name]
         for pdf in it:
             yield pd.DataFrame({"word": pdf["word"], "ids": [[known.get(p, known.get(unknown, 0)) for p in f(w)] for w in pdf["word"]]})
 
@@ -177,7 +248,7 @@ def tokenize_bpe(texts: DataFrame, vocab: dict[str, int], ranks: dict[tuple[str,
     names = "|".join("".join(c if c.isalnum() else "\\" + c for c in t) for t in sorted(special, key=len, reverse=True))
     pieces = F.filter(F.split("text", f"(?={names})|(?<={names})") if special else F.array("text"), lambda p: p != "")
     words = x.select("id", F.posexplode(pieces).alias("idx", "word"))
-    ids = _cut_once(words.where(~F.col("word").isin(special)), partial(bpe, ranks=ranks), vocab, unknown)
+    ids = _cut_once(words.where(~F.col("word").isin(special)), partial(partial, bpe, ranks=ranks), vocab, unknown)
     own = F.create_map(*[F.lit(y) for t in special for y in (t, vocab.get(t, vocab.get(unknown, 0)))]) if special else None
     cut = words.join(ids, "word", "left").withColumn("ids", F.coalesce("ids", F.array(own[F.col("word")])) if special else F.col("ids"))
     y = cut.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda s: s["ids"])).alias("ids"))
@@ -190,7 +261,7 @@ def _pieces(texts: DataFrame, column: str, vocab: dict[str, int], unknown: str)
     x = texts.select("id", F.posexplode(F.split(F.coalesce(column, F.lit("")), " ")).alias("idx", "own"))
     # Where a word starts follows from the lengths before it.
     x = x.withColumn("start", (F.coalesce(F.sum(F.length("own") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).where("own <> ''").withColumn("word", F.lower("own"))
-    known = _cut_once(x, partial(wordpiece, vocab=vocab, unknown=unknown), vocab, unknown)
+    known = _cut_once(x, partial(WordPieces, tuple(vocab), unknown), vocab, unknown)
     end = (F.col("start") + F.length("own")).cast("int")
     offsets = F.transform("ids", lambda _, i: F.struct(F.col("start").alias("start"), end.alias("end"), (i > 0).alias("is_subword")))
     y = x.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", offsets.alias("offsets")))).alias("all"))
