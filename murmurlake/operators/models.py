@@ -114,6 +114,16 @@ def embed(segments: DataFrame, fn: Callable) -> DataFrame:
     return segments.withColumn("embedding", run("samples"))
 
 
+def voice_table(calibrations: DataFrame, rate: int, fn: Callable, to: int = 16000, mode: str = "auto", most: int = 60 * 48_000) -> DataFrame:
+    """voice_id, embedding of recordings of one calibration text, one for each voice (rec), at the rate that fn takes. A calibration is short: a recording of over `most` frames is an error."""
+    from .signals import lengths, reblock, resample
+
+    x = resample(calibrations, rate, to, mode)
+    if lengths(x).where(F.col("n") > most).limit(1).count():
+        raise ValueError(f"a calibration of over {most} frames")
+    return embed(reblock(x, most), fn).select(F.col("rec").cast("string").alias("voice_id"), "embedding")
+
+
 def map_text(texts: DataFrame, fn: Callable) -> DataFrame:
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
@@ -82,6 +83,40 @@ def restore_accents(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return x.select("id", "idx", F.when(F.col("accented").isNull() | F.contains(F.col("word"), F.lit("+")), F.col("word")).when(same, kept).otherwise(F.col("accented")).alias("word"))
 
 
+def like_capitals(word: Column, target: Column) -> Column:
+    """target with each letter's case as word has it, where both are as long; else target as it is."""
+    at = lambda i: F.substr(word, i + 1, F.lit(1))
+    letters = F.transform(F.split(target, ""), lambda c, i: F.when(at(i) != F.lower(at(i)), F.upper(c)).otherwise(F.lower(c)))
+    return F.when(F.length(word) == F.length(target), F.array_join(letters, "")).otherwise(target)
+
+
+def restore_tagged(words: DataFrame, dictionary: DataFrame, doubtful: DataFrame, tags: DataFrame, tag: str = "YO") -> DataFrame:
+    """words (id, idx, word) restored in two steps: by dictionary (plain, restored); then, where tags (id, idx, tag) say `tag`, by what doubtful (plain, restored) has instead, or as the word was. Case is the word's."""
+    known = lambda d, name: d.groupBy("plain").agg(F.min("restored").alias(name))
+    told = tags.where(F.col("tag") == tag).select("id", "idx").distinct().withColumn("told", F.lit(True))
+    x = words.withColumn("plain", F.lower("word")).join(known(dictionary, "sure"), "plain", "left").join(known(doubtful, "other"), "plain", "left").join(told, ["id", "idx"], "left")
+    word = F.col("word")
+    return x.select("id", "idx", like_capitals(word, F.when(F.col("told"), F.coalesce("other", word)).otherwise(F.coalesce("sure", word))).alias("word"))
+
+
+def char_ids(text: Column, vocab: dict[str, int]) -> Column:
+    """Ids of a text's characters between [bos] and [eos]; those that the vocabulary lacks are [unk]. A character is what is seen as one, its marks included."""
+    if len(vocab) > MOST_PIECES:
+        raise ValueError(f"over {MOST_PIECES} characters")
+    special = {t: vocab.get(t, i) for i, t in enumerate(("[pad]", "[unk]", "[bos]", "[eos]"))}
+    ids = F.create_map(*[F.lit(v) for p in vocab.items() for v in p]) if vocab else F.lit(None).cast("map<string,int>")
+    each = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\X"), F.lit(0)), lambda c: F.coalesce(ids[c], F.lit(special["[unk]"])).cast("int"))
+    return F.concat(F.array(F.lit(special["[bos]"]).cast("int")), F.coalesce(each, F.array().cast("array<int>")), F.array(F.lit(special["[eos]"]).cast("int")))
+
+
+def carry_groups(groups: DataFrame, targets: DataFrame) -> DataFrame:
+    """id, grp, words: the groups of group_words over other words (id, idx from 0, word) of the same places; a group beyond the last of these has none."""
+    place = groups.where(F.size("words") > 0).select("id", "grp", F.explode(F.sequence(F.col("grp"), F.col("grp") + F.size("words") - 1)).alias("idx"))
+    x = place.join(targets.select("id", "idx", "word"), ["id", "idx"], "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("idx", "word"))))
+    return x.groupBy("id", "grp").agg(F.transform(found, lambda s: s["word"]).alias("words"))
+
+
 def homograph_candidates(words: DataFrame, homographs: DataFrame, around: int = 50) -> DataFrame:
     """id, idx, variant, context: one row for each variant of a known word, the word marked among `around` words on either side.
 
@@ -292,14 +327,28 @@ def tokenize_wordpiece(texts: DataFrame, vocab: dict[str, int], longest: int, un
     return x.select("id", F.concat(kept, F.array_repeat(F.lit(pad), fill)).alias("ids"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)).alias("mask"), F.concat(types, F.array_repeat(F.lit(0), fill)).alias("type_ids"), "offsets")
 
 
-def translate_batch(texts: DataFrame, source: str, target: str, fn, pairs: set[tuple[str, str]]) -> DataFrame:
-    """id, text, translated, supported: each different text is translated once; unsupported pairs are flagged."""
-    if (source, target) not in pairs:
-        return texts.select("id", "text", F.lit(None).cast("string").alias("translated"), F.lit(False).alias("supported"))
+def prompt_of(text: str, source: str, target: str, template: str, names: dict[str, str]) -> str:
+    """A template's {text}, {source}, {target}, {source_name} and {target_name} filled in; a language without a name is its code. What a text holds in braces stays."""
+    parts = {"{source}": source, "{target}": target, "{source_name}": names.get(source, source), "{target_name}": names.get(target, target), "{text}": text}
+    return re.sub("|".join(map(re.escape, parts)), lambda m: parts[m[0]], template)
+
+
+def translate_batch(texts: DataFrame, source: str | None, target: str | None, fn: Callable[[list[str], str, str], list[str]], pairs: set[tuple[str, str]], template: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """id, text, translated, supported: each different text of a pair is translated once; unsupported pairs are flagged, null texts stay null.
+
+    Without source or target they are columns of texts, and each row has a pair of its own. With a template fn gets prompts.
+    """
+    codes = {"source": F.col("source") if source is None else F.lit(source), "target": F.col("target") if target is None else F.lit(target)}
+    known = F.array(*[F.concat_ws("\0", F.lit(a), F.lit(b)) for a, b in sorted(pairs)]) if pairs else F.array().cast("array<string>")
+    x = texts.select("id", "text", *(c.alias(f"__{k}") for k, c in codes.items()))
+    x = x.withColumn("supported", F.coalesce(F.array_contains(known, F.concat(F.col("__source"), F.lit("\0"), F.col("__target"))), F.lit(False)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"text": pdf["text"], "translated": fn(pdf["text"].tolist(), source, target)})
+            for (a, b), part in pdf.groupby(["__source", "__target"]):
+                given = part["text"].tolist()
+                yield part.assign(translated=fn([prompt_of(t, a, b, template, names or {}) for t in given] if template else given, a, b))
 
-    done = texts.where("text IS NOT NULL").select("text").distinct().mapInPandas(run, "text string, translated string")
-    return texts.join(done, "text", "left").select("id", "text", "translated", F.lit(True).alias("supported"))
+    keys = ["text", "__source", "__target"]
+    done = x.where("supported AND text IS NOT NULL").select(*keys).distinct().mapInPandas(run, "text string, __source string, __target string, translated string")
+    return x.join(done, keys, "left").select("id", "text", "translated", "supported")

@@ -39,21 +39,22 @@ def read_bench_reports(spark: SparkSession, path: str, a_line_each: bool = False
     return bench_cases(spark.read.schema(REPORT).option("multiLine", not a_line_each).json(path))
 
 
-def read_voices(spark: SparkSession, path: str, a_line_each: bool = False) -> DataFrame:
-    """voice_id, embedding of a table's voices; a table whose counts or dimensions don't agree gives an error row."""
+def read_voices(spark: SparkSession, path: str, a_line_each: bool = False, calibration: bool = False) -> DataFrame:
+    """voice_id, embedding of a table's voices, and its calibration text if asked for; a table whose counts or dimensions don't agree gives an error row."""
     x = spark.read.schema("voiceIds array<string>, embeddings array<array<double>>, calibrationText string").option("multiLine", not a_line_each).json(path)
     dims = F.array_distinct(F.transform("embeddings", lambda e: F.size(e)))
     bad = F.when(F.size("voiceIds") != F.size("embeddings"), "counts differ").when(F.size(dims) > 1, "dimensions differ")
     x = x.withColumn("error", bad)
-    good = x.where("error IS NULL").select(F.explode(F.arrays_zip("voiceIds", "embeddings")).alias("z")).select(F.col("z.voiceIds").alias("voice_id"), F.col("z.embeddings").alias("embedding"), F.lit(None).cast("string").alias("error"))
-    return good.unionByName(x.where("error IS NOT NULL").select(F.lit(None).cast("string").alias("voice_id"), F.lit(None).cast("array<double>").alias("embedding"), "error"))
+    more = [F.col("calibrationText").alias("calibration")] if calibration else []
+    good = x.where("error IS NULL").select(F.explode(F.arrays_zip("voiceIds", "embeddings")).alias("z"), "calibrationText").select(F.col("z.voiceIds").alias("voice_id"), F.col("z.embeddings").alias("embedding"), F.lit(None).cast("string").alias("error"), *more)
+    return good.unionByName(x.where("error IS NOT NULL").select(F.lit(None).cast("string").alias("voice_id"), F.lit(None).cast("array<double>").alias("embedding"), "error", *more))
 
 
-def write_voices(voices: DataFrame, path: str, table: str = "voice_table") -> None:
-    """Tables (voiceIds, embeddings) that read_voices reads: one for each value of `table`, all voices in one where there is no such column."""
+def write_voices(voices: DataFrame, path: str, table: str = "voice_table", calibration: str = "") -> None:
+    """Tables (voiceIds, embeddings, calibrationText) that read_voices reads: one for each value of `table`, all voices in one where there is no such column."""
     x = voices if table in voices.columns else voices.withColumn(table, F.lit(0))
     g = x.groupBy(table).agg(F.array_sort(F.collect_list(F.struct("voice_id", "embedding"))).alias("v"))
-    g.select(F.transform("v", lambda s: s["voice_id"].cast("string")).alias("voiceIds"), F.transform("v", lambda s: s["embedding"]).alias("embeddings")).write.mode("overwrite").json(path)
+    g.select(F.transform("v", lambda s: s["voice_id"].cast("string")).alias("voiceIds"), F.transform("v", lambda s: s["embedding"]).alias("embeddings"), F.lit(calibration).alias("calibrationText")).write.mode("overwrite").json(path)
 
 
 def turns_csv(turns: DataFrame) -> DataFrame:

@@ -207,3 +207,51 @@ def test_table_function_keeps_partitions_apart(spark):
     got = spark.sql("SELECT * FROM counted(TABLE({d}) PARTITION BY rec ORDER BY i)", d=d).collect()
     assert sorted((r["rec"], r["i"], r["samples"][0]) for r in got if r["output_idx"] == 1) == [(r, i, n) for r in (1, 2) for i, n in enumerate([2.0, 2.0, 4.0, 4.0, 5.0])]
     assert sorted((r["rec"], r["i"], r["samples"]) for r in got if r["output_idx"] == 0) == [(r, i, [float(i)]) for r in (1, 2) for i in range(5)]
+
+
+def test_restoration_by_tags(spark):
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate(["Елка", "все", "ВСЕ", "Небо", "слезы", "нет"])], "id long, idx int, word string")
+    sure = spark.createDataFrame([("елка", "ёлка"), ("слезы", "слёзы"), ("слезы", "слёзыы")], "plain string, restored string")
+    doubtful = spark.createDataFrame([("все", "всё"), ("небо", "нёбо")], "plain string, restored string")
+    tags = spark.createDataFrame([(1, 2, "YO"), (1, 3, "O"), (1, 4, "YO"), (1, 4, "YO"), (2, 1, "YO")], "id long, idx int, tag string")
+    got = [r["word"] for r in text.restore_tagged(words, sure, doubtful, tags).orderBy("idx").collect()]
+    assert got == ["Ёлка", "все", "ВСЁ", "Небо", "слезы", "нет"]  # a tagged word that isn't doubtful stays as it was
+
+
+def test_character_ids(spark):
+    d = spark.createDataFrame([(1, "aé\nz"), (2, ""), (3, None)], "id int, t string")
+    got = [r[0] for r in d.orderBy("id").select(text.char_ids(F.col("t"), {"a": 7, "é": 8, "[bos]": 5, "\n": 9})).collect()]
+    assert got == [[5, 7, 8, 9, 1, 3], [5, 3], [5, 3]] and d.limit(1).select(text.char_ids(F.col("t"), {})).first()[0] == [2, 1, 1, 1, 1, 3]
+
+
+def test_groups_over_other_words(spark):
+    g = spark.createDataFrame([(1, 0, ["a", "a"]), (1, 2, ["b"]), (1, 3, ["c", "c", "c"])], "id int, grp int, words array<string>")
+    t = spark.createDataFrame([(1, 0, "p"), (1, 1, "q"), (1, 2, "r"), (1, 3, "s")], "id int, idx int, word string")
+    assert sorted((r["grp"], r["words"]) for r in text.carry_groups(g, t).collect()) == [(0, ["p", "q"]), (2, ["r"]), (3, ["s"])]
+
+
+def test_prompts_and_pairs(spark):
+    assert text.prompt_of("{target} {x}", "en", "fr", "{source_name}>{target_name} {target}: {text}", {"en": "English"}) == "English>fr fr: {target} {x}"
+    d = spark.createDataFrame([(1, "a", "en", "fr"), (2, "a", "en", "fr"), (3, "a", "fr", "en"), (4, "b", "en", "xx"), (5, None, "en", "fr"), (6, "c", None, "fr")], "id int, text string, source string, target string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(texts, a, b):
+        seen.add(len(texts))
+        return [f"{a}{b}{t}" for t in texts]
+
+    got = {r["id"]: (r["translated"], r["supported"]) for r in text.translate_batch(d, None, None, fn, {("en", "fr"), ("fr", "en")}).collect()}
+    assert got == {1: ("enfra", True), 2: ("enfra", True), 3: ("frena", True), 4: (None, False), 5: (None, True), 6: (None, False)} and seen.value == 2
+
+
+def test_voice_table_with_its_calibration(spark, tmp_path):
+    from murmurlake.sources import reports
+
+    rows = [(f"v{v}", k, k * 40, [float(v)] * 40) for v in (1, 2) for k in range(3)]
+    d = spark.createDataFrame(rows, "rec string, block_idx long, start_frame long, samples array<double>")
+    table = models.voice_table(d, 24000, lambda xs: [[x.mean(), len(x)] for x in xs])
+    assert {r["voice_id"]: [round(v, 6) for v in r["embedding"]] for r in table.collect()} == {"v1": [1, 80], "v2": [2, 80]}
+    reports.write_voices(table, str(tmp_path / "t"), calibration="Say this.")
+    back = reports.read_voices(spark, str(tmp_path / "t"), True, True).collect()
+    assert {(r["voice_id"], r["calibration"], r["error"]) for r in back} == {("v1", "Say this.", None), ("v2", "Say this.", None)}
+    with pytest.raises(ValueError, match="calibration"):
+        models.voice_table(d, 16000, lambda xs: [[0.0] for _ in xs], most=100)
