@@ -4,8 +4,10 @@ Every document draws an exponential key -ln(u) / quality, where u comes from the
 Within a source, smaller keys come first. A source takes whole epochs of all its documents, then documents in key order
 until its word budget is met; the document at the edge gives the words that are left.
 
-The prefix sums never gather a source in one task: the key's exponential distribution cuts each source into slices, one
-for IN_SLICE rows of the whole table, the sums of the slices are added up, and only a slice is sorted.
+The prefix sums never gather a source in one task: each source is cut into slices of the key, one for IN_SLICE rows of the whole
+table, the sums of the slices are added up, and only a slice is sorted. Slices follow the distribution of a key of LEAST
+quality: at quality q a slice's share of the rows is q / LEAST of the mean at most, so none holds over 1 / LEAST times as many,
+however many slices there are.
 The one table that is sorted in a single task has a row for each source.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; without words all targets
@@ -22,8 +24,10 @@ from .common import cut, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Rows of the whole table to a slice of the keys' distribution.
-IN_SLICE = 10_000
+#: Rows of the whole table to a slice of the keys, and slices of a source at least.
+IN_SLICE, SLICES = 10_000, 64
+#: The least quality of a document.
+LEAST = 0.25
 
 
 def size_of(text: Column) -> Column:
@@ -32,7 +36,7 @@ def size_of(text: Column) -> Column:
 
 def quality_of(text: Column, size: Column) -> Column:
     """0.25 to 1: how near the characters a word, white space included, are to 6.5."""
-    return F.greatest(F.lit(0.25), F.lit(1.0) - F.abs(F.coalesce(F.length(text), F.lit(0)) / F.greatest(size, F.lit(1)) - F.lit(6.5)) / F.lit(13.0))
+    return F.greatest(F.lit(LEAST), F.lit(1.0) - F.abs(F.coalesce(F.length(text), F.lit(0)) / F.greatest(size, F.lit(1)) - F.lit(6.5)) / F.lit(13.0))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -65,8 +69,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
         .withColumn("key", -F.log(u) / F.col("quality"))
         .select("doc_id", "source", "size", "quality", "key", "kept", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"))
     )
-    slices = max(16, -(-rows.count() // IN_SLICE))
-    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * slices)).cast("int"))
+    slices = max(SLICES, -(-rows.count() // IN_SLICE))
+    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor((F.lit(1.0) - F.exp(F.lit(-LEAST) * F.col("key"))) * slices)).cast("int"))
     sums = cut(rows.groupBy("skey", "slice").agg(F.sum("size").alias("words"), F.first("source").alias("source")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **options)
     goal = goal.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source", "weight")
