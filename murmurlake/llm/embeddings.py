@@ -2,13 +2,14 @@
 
 Vectors are scaled to unit length; at cosine c they are sqrt(2 - 2c) apart. Coarse centroids and the codebooks of the
 residuals' subspaces are fitted on a sample of at most SAMPLE vectors (a documented bound: the smallest hashes of
-vec_id); every vector is indexed. Lists grow with the table: there are about as many as the square root of its vectors.
-Up to COARSE they are centroids; beyond, each coarse list is parted by the nearest of a second set of centroids, which is
-fitted on the residuals of the sample, so that the sample needn't grow. A vector is stored in its nearest list as the codes
-of its residual together with the residual's quantisation error. It searches its nearest lists, PROBES of them and more
-where lists are parted: table-lookup distances, less the stored error, are a lower bound of the true distance, so whatever
-they leave out is no link; what they leave in is computed exactly, in double precision. Tests measure the recall of links
-against all pairs at 1,024 lists and at parted ones.
+vec_id); every vector is indexed. Lists grow with the table: there are about as many as the square root of its vectors, and so
+many at least that a list holds SLICE on average. Up to COARSE they are centroids; beyond, each coarse list is parted by the nearest of a second set of centroids, which is
+fitted on the residuals of the sample, so that the sample needn't grow. A vector is encoded once and stored in its nearest list
+as the codes of its residual and their error, a byte for each subspace and four. It searches its nearest lists, PROBES of
+them and more where lists are parted, with its own components in single precision: table-lookup distances, less the stored
+error, are a lower bound of the true distance, so whatever they leave out is no link. Only vectors that are left on either
+side of a search are fetched, and compared exactly, in double precision. Tests measure the recall of links against all pairs
+at 1,024 lists, at parted ones, and through the whole operator.
 
 Copies (equal vectors of one label) are one class with a count. Lists are cut into slices of at most SLICE vectors and
 searches into slices too, so a task holds two slices, however large a list is; it returns, for each vector, its number of
@@ -73,7 +74,7 @@ class Quantiser:
         self.parts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [kmeans(r[:, p], CODES) for p in self.parts]
 
-    def centre(self, at: int) -> np.ndarray:
+    def centre(self, at: int | np.ndarray) -> np.ndarray:
         return self.coarse[at // len(self.second)] + self.second[at % len(self.second)]
 
     def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
@@ -124,7 +125,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
     classes = cut(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")).withColumn("dim", F.size("x")))
 
     drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("x").toPandas()["x"]
-    lists = max(1, round(math.sqrt(classes.count())))
+    n = classes.count()
+    lists = max(1, round(math.sqrt(n)), -(-n // slice_))
     byd: dict[int, list] = {}
     for x in drawn:
         byd.setdefault(len(x), []).append(x)
@@ -136,35 +138,54 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
         return model.value[d] if d in model.value else Quantiser(np.zeros((1, d)), 1)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector's lists, nearest first; the first is where it is stored."""
+        """Each vector's lists, nearest first; the first is where it is stored, as codes."""
         for batch in batches:
             for d in set(batch.column("dim").to_pylist()):
-                rows = pa.Table.from_batches([batch]).filter(pa.compute.equal(batch.column("dim"), d)).combine_chunks()
-                near = known_for(d).lists(units(rows["x"].combine_chunks() if rows["x"].num_chunks != 1 else rows["x"].chunk(0)), probes)
-                yield from rows.append_column("lists", pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))).to_batches()
+                rows, known = pa.Table.from_batches([batch]).filter(pa.compute.equal(batch.column("dim"), d)), known_for(d)
+                x = units(rows["x"])
+                near = known.lists(x, probes)
+                codes, off = known.encode(x - known.centre(near[:, 0]))
+                more = {"u": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "lists": pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "off": pa.array(off.astype(np.float32))}
+                for name, column in more.items():
+                    rows = rows.append_column(name, column)
+                yield from rows.combine_chunks().to_batches()
 
     label = classes.schema["label"].dataType.simpleString()
-    place = cut(classes.select("rep", "copies", "label", "dim", "x").mapInArrow(placed, f"rep long, copies long, label {label}, dim int, x array<double>, lists array<int>"))
+    place = cut(classes.select("rep", "copies", "label", "dim", "x").mapInArrow(placed, f"rep long, copies long, label {label}, dim int, x array<double>, u array<float>, lists array<int>, codes binary, off float"))
     spot = ["label", "dim", "list"]
-    stored = place.withColumn("list", F.element_at("lists", 1))
-    asking = place.select("*", F.explode("lists").alias("list"))
+    stored = place.select("label", "dim", F.element_at("lists", 1).alias("list"), "rep", "codes", "off")
+    asking = place.select("label", "dim", F.explode("lists").alias("list"), "rep", "u")
     many = lambda df, name: df.groupBy(*spot).agg(F.ceil(F.count("*") / slice_).cast("int").alias(name))
     cuts = many(stored, "stored_n").join(many(asking, "asking_n"), spot)
     key = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    stored = stored.join(cuts, spot).select(*spot, "rep", "copies", "x", "lists", key("stored_n").alias("s"), F.explode(F.sequence(F.lit(0), F.col("asking_n") - 1)).alias("q"))
-    asking = asking.join(cuts, spot).select(*spot, "rep", "copies", "x", "lists", key("asking_n").alias("q"), F.explode(F.sequence(F.lit(0), F.col("stored_n") - 1)).alias("s"))
+    stored = stored.join(cuts, spot).select(*spot, "rep", "codes", "off", key("stored_n").alias("s"), F.explode(F.sequence(F.lit(0), F.col("asking_n") - 1)).alias("q"))
+    asking = asking.join(cuts, spot).select(*spot, "rep", "u", key("asking_n").alias("q"), F.explode(F.sequence(F.lit(0), F.col("stored_n") - 1)).alias("s"))
     apart = math.sqrt(2 - 2 * cosine)
+    unit_of_work = [*spot, "s", "q"]
+
+    def possible(rows: pa.Table) -> pa.Table:
+        """Of a search, the vectors on either side that the bound leaves a partner."""
+        q, s = rows.filter(rows["asks"]), rows.filter(pa.compute.invert(rows["asks"]))
+        out = {"asks": [], "rep": []}
+        if len(q) and len(s):
+            known = known_for(q["dim"][0].as_py())
+            u, own = np.array(q["u"].to_pylist()), (q["rep"].to_numpy(), s["rep"].to_numpy())
+            codes = np.frombuffer(b"".join(s["codes"].to_pylist()), np.uint8).reshape(len(s), -1)
+            near = known.distances(u - known.centre(q["list"][0].as_py()), codes) <= apart + s["off"].to_numpy() + 1e-3
+            near &= own[0][:, None] != own[1]
+            left = [x[near.any(axis=1 - k)] for k, x in enumerate(own)]
+            out = {"asks": [True] * len(left[0]) + [False] * len(left[1]), "rep": np.concatenate(left)}
+        at = {k: pa.array([rows[k][0].as_py()] * len(out["rep"]), rows.schema.field(k).type) for k in unit_of_work}
+        return pa.table({**at, "asks": pa.array(out["asks"], pa.bool_()), "rep": pa.array(out["rep"], pa.int64())})
 
     def search(unit_rows: pa.Table) -> pa.Table:
         q, s = unit_rows.filter(unit_rows["asks"]), unit_rows.filter(pa.compute.invert(unit_rows["asks"]))
         none = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
         if not len(q) or not len(s):
             return none
-        known, at = known_for(q["dim"][0].as_py()), q["list"][0].as_py()
-        xq, xs = units(q["x"].combine_chunks()), units(s["x"].combine_chunks())
-        rq, rs = xq - known.centre(at), xs - known.centre(at)
-        codes, off = known.encode(rs)
-        a, b = np.nonzero(known.distances(rq, codes) <= apart + off + 1e-3)
+        known = known_for(q["dim"][0].as_py())
+        xq, xs = units(q["x"]), units(s["x"])
+        a, b = np.nonzero(xq @ xs.T >= cosine - 1e-9)
         q_id, s_id = q["rep"].to_numpy(), s["rep"].to_numpy()
         keep = q_id[a] != s_id[b]
         a, b = a[keep], b[keep]
@@ -194,8 +215,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
         used = np.unique(np.concatenate([wa, wb]))
         return pa.table({"rep": pa.array(ids[used]), "links": pa.array(links[used].astype(np.int64)), "to": pa.array(ids[low[used]])})
 
-    unit_of_work = [*spot, "s", "q"]
-    both = asking.withColumn("asks", F.lit(True)).unionByName(stored.withColumn("asks", F.lit(False)))
+    met = asking.withColumn("asks", F.lit(True)).unionByName(stored.withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    left = met.groupBy(*unit_of_work).applyInArrow(possible, f"label {label}, dim int, list int, s int, q int, asks boolean, rep long")
+    both = left.join(place.select("rep", "copies", "lists", "x"), "rep")
     found = cut(both.groupBy(*unit_of_work).applyInArrow(search, "rep long, links long, to long"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct())

@@ -599,3 +599,27 @@ def test_toxicity_without_rows_for_the_curve(spark):
     assert np.allclose(got["score"], 1 / (1 + np.exp(-got["llr"])))
     for labels in (d.where("toxic = 1"), d.limit(0), d.withColumn("toxic", F.lit(None).cast("int"))):
         assert {(r["score"], r["llr"]) for r in toxicity.score(d, labels).collect()} == {(0.0, 0.0)}
+
+
+@pytest.mark.parametrize("coarse", [1024, 8])
+def test_links_found_through_the_whole_operator(spark, coarse):
+    """3,000 vectors near 120 middles, of which about half are within reach of each other: links against all pairs, with lists of one level and parted ones."""
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=(120, 32))
+    x = middle[rng.integers(0, 120, 3000)] + rng.normal(size=(3000, 32)) * rng.choice([0.1, 0.26], 3000)[:, None]
+    x = x.astype(np.float32)
+    d = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    got = embeddings.near_vectors(d, slice_=100, coarse=coarse).toPandas().sort_values("vec_id")
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    link = (u @ u.T >= 0.93) & (np.arange(3000)[:, None] % 2 == np.arange(3000) % 2)
+    np.fill_diagonal(link, False)
+    assert (got["n_links"].to_numpy() <= link.sum(axis=1)).all() and got["n_links"].sum() >= 0.95 * link.sum() > 10_000
+
+
+def test_slices_hold_about_as_much(spark):
+    """Keys of any quality, cut by the least: no slice holds over four times the mean."""
+    rng = np.random.default_rng(0)
+    for quality in (0.25, 0.4, 1.0):
+        key = -np.log(rng.random(400_000)) / quality
+        share = np.bincount(np.minimum(999, ((1 - np.exp(-mixing.LEAST * key)) * 1000).astype(int)), minlength=1000)
+        assert share.max() < 4.5 * 400
