@@ -68,6 +68,48 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
         )
 
 
+#: Different lines of a leaf from which on they are looked up by parts, and parts at most.
+MANY, MOST_PARTS = 200, 64
+
+
+def first_alike(lines: np.ndarray) -> np.ndarray:
+    """For each row the template that takes it: the first row that no earlier template has taken, and that it agrees with in SIMILAR of the places.
+
+    Rows that differ in d places at most agree wholly in one of d + 1 parts of their places at least. So where there are many,
+    a template is compared with the rows that share a part with it, not with all that are left.
+    """
+    n, width = lines.shape
+    of = np.arange(n)
+    parts = np.array_split(np.arange(width), 1 + width - next(k for k in range(width + 1) if k >= SIMILAR * width))
+    if n <= MANY or not width or len(parts) > MOST_PARTS:
+        left, rest = of.copy(), lines
+        while len(left):
+            alike = (rest == rest[0]).sum(axis=1) >= SIMILAR * width
+            of[left[alike]] = left[0]
+            left, rest = left[~alike], rest[~alike]
+        return of
+    shared: list[tuple[np.ndarray, dict[int, np.ndarray]]] = []
+    for p in parts:
+        with np.errstate(over="ignore"):
+            key = mix(((lines[:, p].astype(np.uint64) + np.uint64(1)) * factors(len(p), SEED)).sum(axis=1, dtype=np.uint64))
+        _, key = np.unique(key, return_inverse=True)
+        order = np.argsort(key, kind="stable")
+        shared.append((key, dict(enumerate(np.split(order, np.flatnonzero(np.diff(key[order])) + 1)))))
+    free = np.ones(n, bool)
+    for i in range(n):
+        if not free[i]:
+            continue
+        near = []
+        for key, rows in shared:
+            own = rows[key[i]]
+            rows[key[i]] = own = own[free[own]]  # what has been taken isn't looked at again
+            near.append(own)
+        near = np.unique(np.concatenate(near))
+        near = near[(lines[near] == lines[i]).sum(axis=1) >= SIMILAR * width]
+        of[near], free[near] = i, False
+    return of
+
+
 def templates(group: pa.Table) -> pa.Table:
     """The template of each different line of a bucket of leaves."""
     leaf, whole, n, doc, line = (group[c].to_numpy() for c in ("leaf", "whole", "n", "doc_id", "line"))
@@ -79,12 +121,7 @@ def templates(group: pa.Table) -> pa.Table:
     first = np.flatnonzero((np.diff(leaf, prepend=leaf[0] - 1) != 0) | (np.diff(size, prepend=-1) != 0))
     ends = np.append(first[1:], len(order))
     for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
-        rest = np.frombuffer(b"".join(sign[a:b]), "<u2").reshape(b - a, -1)
-        left = np.arange(b - a)
-        while len(left):
-            alike = (rest == rest[0]).sum(axis=1) >= SIMILAR * rest.shape[1]
-            of[a + left[alike]] = a + left[0]
-            left, rest = left[~alike], rest[~alike]
+        of[a:b] = a + first_alike(np.frombuffer(b"".join(sign[a:b]), "<u2").reshape(b - a, -1))
     with np.errstate(over="ignore"):
         template = mix(leaf.astype(np.uint64) + mix(whole.astype(np.uint64)[of])).astype(np.int64)
     return pa.table({"leaf": pa.array(leaf), "whole": pa.array(whole), "template": pa.array(template)})

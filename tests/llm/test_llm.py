@@ -623,3 +623,24 @@ def test_slices_hold_about_as_much(spark):
         key = -np.log(rng.random(400_000)) / quality
         share = np.bincount(np.minimum(999, ((1 - np.exp(-mixing.LEAST * key)) * 1000).astype(int)), minlength=1000)
         assert share.max() < 4.5 * 400
+
+
+@pytest.mark.parametrize("width", [0, 1, 2, 3, 4, 7, 10, 23])
+def test_templates_by_parts_are_those_by_all_comparisons(monkeypatch, width):
+    """Leaves of 600 lines of few words, some with long runs alike: looking lines up by parts gives the templates of comparing all."""
+    rng = np.random.default_rng(width)
+    base = rng.integers(0, 4, (12, width))
+    x = np.where(rng.random((600, width)) < 0.25, rng.integers(0, 4, (600, width)), base[rng.integers(0, 12, 600)]).astype("<u2")
+    by_parts = lines.first_alike(x)
+    monkeypatch.setattr(lines, "MANY", 10**9)
+    assert (by_parts == lines.first_alike(x)).all()
+
+
+def test_a_leaf_of_many_templates():
+    """20,000 different lines of one leaf take seconds, not the square of their number."""
+    import time
+
+    x = np.random.default_rng(1).integers(0, 60_000, (20_000, 10)).astype("<u2")
+    began = time.process_time()
+    assert len(np.unique(lines.first_alike(x))) > 19_000
+    assert time.process_time() - began < 10
