@@ -108,10 +108,14 @@ def process_gated(signals: DataFrame, vad: DataFrame, rate: int, fn: Callable[[D
     old = reblock(signals, size).select(*own, "block_idx", "start_frame", "samples")
     new = reblock(put.withColumn("block_idx", F.lit(0)), size).select(*own, "block_idx", F.col("start_frame").alias("at"), F.col("samples").alias("new"))
     mask = _covered(put, size, own)
-    g = old.join(new, [*own, "block_idx"], "left").join(mask, [*own, "block_idx"], "left")
-    place = lambda i: F.col("start_frame") + i
-    inside = lambda i: F.exists("spans", lambda s: (s["a"] <= place(i)) & (place(i) < s["b"]))
-    merged = F.transform("samples", lambda x, i: F.when(inside(i), F.get("new", (place(i) - F.col("at")).cast("int"))).otherwise(x))
+    g = old.join(new, [*own, "block_idx"], "left").join(mask, [*own, "block_idx"], "left").withColumn("spans", F.array_sort("spans"))
+    # Spans don't overlap: what lies before one and after the last is the block's, the rest is new, piece by piece.
+    start, end = F.col("start_frame"), F.col("start_frame") + F.size("samples")
+    within = lambda t: F.least(F.greatest(t, start), end)
+    piece = lambda of, begin, lo, hi: cutout(of, (lo - begin + 1).cast("int"), (hi - lo).cast("int"))
+    before = lambda i: F.when(i == 0, start).otherwise(within(F.get("spans", i - 1)["b"]))
+    parts = F.transform("spans", lambda s, i: F.concat(piece("samples", start, before(i), within(s["a"])), piece("new", F.col("at"), within(s["a"]), within(s["b"]))))
+    merged = F.concat(F.flatten(parts), piece("samples", start, within(F.element_at("spans", -1)["b"]), end))
     return g.select(*own, "block_idx", "start_frame", F.when(F.col("spans").isNull(), F.col("samples")).otherwise(merged).alias("samples"))
 
 
