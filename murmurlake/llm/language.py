@@ -35,8 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 RESCALE = 8
 #: Words up to this length are grouped by it; longer ones with those that are longer by a quarter at most.
 EXACT = 32
-#: Bytes of words that are worked out at a time, for each language.
-CELLS = 2_000_000
+#: Bytes of words, and words times languages, that are worked out at a time.
+CELLS, SUMS = 2_000_000, 100_000
 PRIOR = 0.01
 #: So many words' evidence at most makes the score: longer texts aren't surer than that.
 EVIDENCE = 20.0
@@ -192,7 +192,7 @@ def by_length(words: Words, first: np.ndarray, columns: int = 1) -> Iterator[tup
         least = lengths[order[at]]
         most = least if least <= EXACT else least * 5 // 4
         end = int(np.searchsorted(lengths[order], most, side="right"))
-        end = min(end, at + max(1, CELLS // columns // int(most)))
+        end = min(end, at + max(1, min(CELLS // int(most), SUMS // columns)))
         part = order[at:end]
         n = int(lengths[part].max())
         place = np.minimum(words.starts[first[part]][:, None] + np.arange(n), len(words.buffer) - 1)
