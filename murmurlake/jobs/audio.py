@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import scratch
 from ..operators import signals as g
 from ..operators import timeline as t
 from ..sources import audio as a
@@ -45,7 +43,7 @@ def _broken(s, d):
 
 
 def _staged_json(s, df):
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     df.write.json(path)
     return path
 
@@ -70,7 +68,7 @@ def _reports(s, d):
 def _voice_tables(s, d):
     e = v.table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     short = F.when((F.col("label") % 3 == 0) & (F.col("vec_id") % 2 == 0), F.slice("embedding", 1, 60)).otherwise(F.col("embedding"))
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     r.write_voices(e.select("label", F.format_string("v%09d", "vec_id").alias("voice_id"), short.alias("embedding")), path, "label")
     return r.read_voices(s, path, True).select("voice_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda q, x: q + x), 6).alias("total"), "error").groupBy("voice_id", "total", "error").agg(F.count("*").alias("n"))
 
@@ -96,7 +94,7 @@ def _spec(s, d):
 
 def _wav_files(s, d):
     """Files written and read again, by ranges that cut most of them."""
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     w.write_wav(stereo(s, d), path)
     return flat(g.blocks_of(w.read_wav(s, path, 24, 500).withColumn("rec", F.regexp_extract("rec", r"([^/]+)\.wav$", 1))))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import scratch
 from ..operators import chunks as c
 from ..sources import views as v
 from ..streaming import live
@@ -16,7 +14,7 @@ from .signals import CONFIG, DISCARD, DISCARD_TAIL, flat
 
 def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read as a stream."""
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     df.write.parquet(path)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
@@ -37,7 +35,7 @@ def _chunks(s, d, discard=False):
 
 def _replayed(s, d):
     """All chunks, then the first and the last of each recording once more."""
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     x = _chunks(s, d)
     x.write.parquet(path)
     x.where("is_first OR is_last").write.mode("append").parquet(path)
@@ -50,7 +48,7 @@ def _cut_short(s, d):
     """Every third chunk is lost, the last ones of some recordings with it; the watermark ends them, by a row that comes last and much later."""
     lost = _chunks(s, d).where("chunk_idx % 3 <> 2")
     end = lost.limit(1).select(*(F.lit(-1).cast("long").alias("rec") if k == "rec" else F.timestamp_seconds(F.lit(10**9)).alias("at") if k == "at" else k for k in lost.columns))
-    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    path = scratch(s)
     lost.write.parquet(path)
     end.write.mode("append").parquet(path)
     chunks = s.readStream.schema(lost.schema).option("maxFilesPerTrigger", 64).parquet(path).withWatermark("at", "1 day")

@@ -15,7 +15,6 @@ by a second timer in event time. A stream that is drained once takes no `idle`,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import scratch
 from ..operators.chunks import ChunkConfig
 from ..operators.signals import schema_of
 
@@ -450,7 +449,7 @@ def progress(events: DataFrame) -> DataFrame:
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, write its result to the shared folder and read that. complete: the last trigger's rows; update: those of all triggers."""
     spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", path).start()

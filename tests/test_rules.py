@@ -255,3 +255,24 @@ def test_voice_table_with_its_calibration(spark, tmp_path):
     assert {(r["voice_id"], r["calibration"], r["error"]) for r in back} == {("v1", "Say this.", None), ("v2", "Say this.", None)}
     with pytest.raises(ValueError, match="calibration"):
         models.voice_table(d, 16000, lambda xs: [[0.0] for _ in xs], most=100)
+
+
+def test_tables_are_swept_away(spark):
+    """What was written to the shared folder goes when asked, and nothing else there."""
+    import os
+
+    from murmurlake.functions import lineage
+
+    lineage.sweep(spark)
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    kept = lineage.settle(spark.range(5))
+    assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert lineage.sweep(spark) == 1 and set(os.listdir(folder)) == before
+
+
+def test_globs_meet_their_folders(spark):
+    variants = spark.createDataFrame([(1, "r", ["w/1/*.bin", "**.json"], 30), (2, "r", ["w/*/x.bin"], 7), (3, "r", ["w/1/a.bin"], 10), (4, "r", ["*"], 1), (5, "q", ["*"], 1), (6, "r", ["w/**"], 17)], "variant_id int, repo string, globs array<string>, size long")
+    files = spark.createDataFrame([("r", "w/1/a.bin", 10), ("r", "w/2/x.bin", 7), ("r", "top.json", 15), ("r", "a/b/c.json", 5), ("r", "one", 1)], "repo string, path string, bytes long")
+    got = {r["variant_id"]: (r["actual"], r["status"]) for r in bench.check_sizes(variants, files).collect()}
+    assert got == {1: (30, "ok"), 2: (7, "ok"), 3: (10, "ok"), 4: (16, "mismatch"), 5: (0, "unreachable"), 6: (17, "ok")}
