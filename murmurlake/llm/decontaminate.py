@@ -1,10 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
 The windows of a benchmark's items (ten consecutive words; a shorter item is one window) are the phrases. The index holds a
-posting (term, document, position) for each place where the corpus has a phrase's rarest term (that occurs at all; ties:
-the first in the phrase); it is written once. Each of its postings, less the term's offset in the phrase, is where the
-phrase would start. There the other terms are intersected: a start that all terms confirm at their own offsets is an exact
-match; one where at least NEAR of the phrase's different words lie within SLOP places of it is a proximity match.
+posting (term, document, position) for each place where the corpus has one of a phrase's RAREST rarest terms (of those that
+occur at all; ties: the first in the phrase); it is written once. Each posting, less the term's offset in the phrase, is where
+the phrase would start. These offset-adjusted lists are intersected by document, phrase and start: where all of a phrase's
+lists meet, the text's words confirm the terms between them, and the start is an exact match. A start of any of the lists where
+at least NEAR of the phrase's different words lie within SLOP places is a proximity match, so one whose rarest word was replaced
+is found by the next.
 
 The corpus is cut into words three times: to count the benchmark's terms, for the postings, and to confirm their starts;
 only postings of rarest terms are shuffled. What is broadcast comes from the benchmark and is counted first; a benchmark of
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, cut, documents, table
 
 WINDOW = 10
+RAREST = 2
 SLOP = 3
 NEAR = 0.8
 BOUND = 500_000
@@ -55,11 +58,12 @@ def term_counts(docs: DataFrame, terms: DataFrame, bound: int = BOUND) -> DataFr
     return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def anchors(docs: DataFrame, phrase: DataFrame) -> DataFrame:
-    """term, phrase, offset: for each phrase its rarest term of those that occur (ties: the first place)."""
-    terms = phrase.select("phrase", F.posexplode("words").alias("offset", "term"))
+def anchors(docs: DataFrame, phrase: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """term, phrase, offset, nth, lists: for each phrase its rarest terms of those that occur (ties: the first place), each at its first place, numbered, and how many these are."""
+    terms = phrase.select("phrase", F.posexplode("words").alias("offset", "term")).groupBy("phrase", "term").agg(F.min("offset").alias("offset"))
     counted = terms.join(term_counts(docs, terms.select("term").distinct()), "term").where("df > 0")
-    return counted.groupBy("phrase").agg(F.min(F.struct("df", "offset", "term")).alias("x")).select("phrase", F.col("x.offset").alias("offset"), F.col("x.term").alias("term"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, rarest)
+    return counted.groupBy("phrase").agg(first.alias("x")).select("phrase", F.size("x").alias("lists"), F.posexplode("x").alias("nth", "x")).select("phrase", "lists", "nth", "x.offset", "x.term")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -71,15 +75,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     phrase = cut(phrases(benchmark))
     anchor = cut(anchors(docs, phrase))
     index = cut(postings(docs, anchor.select("term").distinct()))
-    starts = index.join(bounded_broadcast(anchor, BOUND), "term").select("doc_id", "th", "phrase", (F.col("position") - F.col("offset")).alias("start"))
-    starts = starts.join(bounded_broadcast(phrase.select("phrase", "words", "items"), BOUND), "phrase").where(F.col("start") > -F.size("words"))
-    candidate = starts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "words", "items")).alias("candidates"))
+    starts = index.join(bounded_broadcast(anchor, BOUND), "term").select("doc_id", "th", "phrase", (F.col("position") - F.col("offset")).alias("start"), "nth", "lists")
+    # Dealt by document once, as numbers; the phrases' words come to what the lists of a start have left.
+    met = starts.repartition("doc_id", "th").groupBy("doc_id", "th", "phrase", "start").agg((F.bit_or(F.expr("shiftleft(1, nth)")) == F.max(F.expr("shiftleft(1, lists) - 1"))).alias("all"))
+    met = met.join(bounded_broadcast(phrase.select("phrase", "words", "items"), BOUND), "phrase").where(F.col("start") > -F.size("words"))
+    candidate = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "words", "items", "all")).alias("candidates"))
     x = docs.join(candidate, ["doc_id", "th"], "left").select("doc_id", "th", "candidates", words_of(F.col("text")).alias("w"))
     # Words from `slop` before the start to `slop` after the end, as far as the text has them.
     first = lambda c, slop: F.greatest(F.lit(1), c["start"] + 1 - slop)
     here = lambda c, slop: F.slice(F.col("w"), first(c, slop), F.greatest(F.lit(0), c["start"] + F.size(c["words"]) + slop + 1 - first(c, slop)))
     short = lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("n"), c["items"].alias("items"))
-    exact = lambda c: (c["start"] >= 0) & (here(c, 0) == c["words"])
+    exact = lambda c: c["all"] & (c["start"] >= 0) & (here(c, 0) == c["words"])
     near = lambda c: ~exact(c) & (F.size(F.array_intersect(here(c, SLOP), c["words"])) >= F.lit(NEAR) * F.size(F.array_distinct(c["words"])))
     return x.select("doc_id", "th", "w", F.size("w").alias("n_words"), *(F.array_sort(F.transform(F.filter(F.coalesce("candidates", F.array().cast(x.schema["candidates"].dataType)), f), short)).alias(k) for k, f in (("exact", exact), ("near", near))))
 
@@ -114,7 +120,7 @@ g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, l WHERE
 m AS (SELECT doc_id, i, g.n, item_id FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM g) g JOIN q ON g.n = q.n AND g.s = q.s),
 f AS (SELECT x, count(*) AS df FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
 u AS (SELECT DISTINCT n, s, string_split(s, ' ') AS ws FROM q), v AS (SELECT s, n, ws, x, j FROM (SELECT s, n, ws, unnest(ws) AS x, unnest(range(n)) AS j FROM u)),
-y AS (SELECT s, n, any_value(ws) AS ws, arg_min(x, (df, j)) AS x, arg_min(j, (df, j)) AS j FROM v JOIN f USING (x) GROUP BY s, n),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY df, j) AS k FROM (SELECT s, n, x, any_value(ws) AS ws, min(j) AS j, any_value(df) AS df FROM v JOIN f USING (x) GROUP BY s, n, x)) WHERE k <= 2),
 z AS (SELECT DISTINCT doc_id, i - 1 - j AS a, s, n, ws, dw FROM (SELECT doc_id, w AS dw, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) t JOIN y ON t.x = y.x),
 e AS (SELECT doc_id, count(*) AS n_near FROM z WHERE a > -n AND NOT (a >= 0 AND list_slice(dw, a + 1, a + n) = ws) AND len(list_intersect(list_distinct(list_slice(dw, greatest(1, a - 2), a + n + 3)), list_distinct(ws))) >= 0.8::DOUBLE * len(list_distinct(ws)) GROUP BY doc_id),
 h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM m) GROUP BY doc_id),

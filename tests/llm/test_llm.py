@@ -644,3 +644,14 @@ def test_a_leaf_of_many_templates():
     began = time.process_time()
     assert len(np.unique(lines.first_alike(x))) > 19_000
     assert time.process_time() - began < 10
+
+
+def test_a_phrase_whose_rarest_word_was_replaced(spark):
+    """The next rarest word's list finds it; lists of one start meet whatever rows repeat."""
+    words = [f"w{i}" for i in range(10)]
+    other = [w if w != "w4" else "zz" for w in words]
+    rows = [(1, " ".join(words)), (2, "a b " + " ".join(other) + " c"), (2, "a b " + " ".join(other) + " c"), (3, " ".join(words[5:]) + " q " + " ".join(words)), (3, " ".join(words[5:]) + " q " + " ".join(words))]
+    d = spark.createDataFrame([*rows, (4, "w4 w4 w5 alone"), (5, None)], "doc_id long, text string")
+    b = spark.createDataFrame([("i", " ".join(words))], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["n_near"]) for r in decontaminate.contamination(d, b).collect()}
+    assert got[1] == (10, 1, 0) and got[2] == (0, 0, 1) and got[3][:2] == (10, 1) and got[4] == (0, 0, 0) and got[5] == (0, 0, 0)
