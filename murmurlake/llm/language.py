@@ -37,6 +37,8 @@ RESCALE = 8
 EXACT = 32
 #: Bytes of words, and words times languages, that are worked out at a time.
 CELLS, SUMS = 2_000_000, 100_000
+#: Bytes of text that a task cuts into words at a time; what it holds of them is about 60 times as much.
+CHUNK = 3_000_000
 PRIOR = 0.01
 #: So many words' evidence at most makes the score: longer texts aren't surer than that.
 EVIDENCE = 20.0
@@ -205,7 +207,7 @@ def learn(docs: DataFrame, pieces) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         known, sums = lattice(pieces), {}
-        for rows, texts in chunks(batches, 6_000_000):
+        for rows, texts in chunks(batches, CHUNK):
             langs = np.array(rows["lang"].to_pylist(), object)
             for lang in set(langs):
                 words = Words([letter_words(t) for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -239,7 +241,7 @@ def identify(docs: DataFrame, keep: list[str], train: DataFrame, vocabulary: str
 
     def score(batches):
         known, (langs, theta) = lattice(pieces), model.value
-        for rows, texts in chunks(batches, 6_000_000):
+        for rows, texts in chunks(batches, CHUNK):
             split = [letter_words(t) for t in texts]
             words = Words(split)
             total = np.zeros((len(texts), len(langs)))
