@@ -71,7 +71,7 @@ class _Recording(StatefulProcessor):
     def now(self, timers, frames: Iterable[pd.DataFrame]) -> int:
         if not self.event_time:
             return timers.getCurrentProcessingTimeInMs() if self.idle else 0
-        return max((int(x[self.event_time].max().timestamp() * 1000) for x in frames if len(x)), default=0)
+        return max((int(t.timestamp() * 1000) for x in frames if len(x) and not pd.isna(t := x[self.event_time].max())), default=timers.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         came = list(rows)
