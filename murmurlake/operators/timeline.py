@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import interval_join, route_model, shared, slot_of
+from ..functions.intervals import interval_join, interval_totals, route_model, slot_of
 from ..functions.windows import islands, running, shard_of
 
 HOUR = 3_600_000
@@ -96,9 +96,9 @@ def attribute_words(words: DataFrame, turns: DataFrame, cell: int | None = None)
     Time shared with several turns of one speaker adds up. With one active speaker the confidence is that speaker's best
     turn's; with several it is weighted by the share of the time; words nobody speaks stay, with confidence 0.
     """
-    met = interval_join(words.select("rec", "word_id", "start_ms", "end_ms"), _as_right(turns, "speaker", "conf"), ["rec"], cell)
-    # Dealt by word once: what follows, the join with words too, needs no other shuffle of the pairs.
-    each = met.repartition("rec", "word_id").groupBy("rec", "word_id", "speaker").agg(F.sum(shared(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end"))).alias("ms"), F.max("conf").alias("conf")).where("ms > 0")
+    met = interval_totals(words.select("rec", "word_id", "start_ms", "end_ms"), _as_right(turns, "speaker", "conf"), ["rec"], "speaker", "conf", cell)
+    # Dealt by word once: what follows, the join with words too, needs no other shuffle.
+    each = met.repartition("rec", "word_id").groupBy("rec", "word_id", "speaker").agg(F.sum("ms").alias("ms"), F.max("best").cast(turns.schema["conf"].dataType).alias("conf")).where("ms > 0")
     best = each.groupBy("rec", "word_id").agg(F.min(F.struct((-F.col("ms")).alias("less"), "speaker", "conf")).alias("best"), F.sum("ms").alias("all_ms"), F.array_sort(F.collect_list("speaker")).alias("active"))
     share = F.when(F.size("active") == 1, 1.0).otherwise(-F.col("best.less") / F.greatest(F.col("all_ms"), F.lit(1)))
     x = words.join(best, ["rec", "word_id"], "left")
@@ -138,7 +138,7 @@ def order_tracks(tracks: DataFrame) -> DataFrame:
 
 def map_slots(tracks: DataFrame, turns: DataFrame) -> DataFrame:
     """The speaker of each track's slot, null unless that speaker is active within the track's range."""
-    active = interval_join(tracks.select("rec", "track", "start_ms", "end_ms"), _as_right(turns, "speaker"), ["rec"]).select("rec", "track", "speaker").distinct().withColumn("slot", slot_of(F.col("speaker")))
+    active = interval_totals(tracks.select("rec", "track", "start_ms", "end_ms"), _as_right(turns, "speaker"), ["rec"], "speaker").select("rec", "track", "speaker").distinct().withColumn("slot", slot_of(F.col("speaker")))
     return tracks.join(active, ["rec", "track", "slot"], "left").select(*tracks.columns, "speaker")
 
 
