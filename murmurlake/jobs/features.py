@@ -99,7 +99,7 @@ QUERIES = {
     "segments_back": lambda s, d: flat(c.reassemble(c.segment(v.blocks(s, d), 2.0, 8))),
     "trimmed_silence": lambda s, d: flat(g.trimmed(v.blocks(s, d), 20, frame=8, hop=4, size=32)),
     "apply_model": lambda s, d: flat(c.stitch(m.apply_model(_chunks(s, d), make=lambda: _double), CONFIG)),
-    "apply_model_barrier": lambda s, d: flat(c.stitch(m.apply_model(_chunks(s, d).coalesce(2), _double, barrier=True), CONFIG)),
+    "apply_model_barrier": lambda s, d: flat(c.stitch(m.apply_model(_chunks(s, d), _double, barrier=True), CONFIG)),
     "separate_sql": lambda s, d: _separate_sql(s, d),
     "separate": lambda s, d: m.separate(_chunks(s, d), _split, 2).groupBy("rec", "output_idx").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), 6).alias("total")),
     "analyze": lambda s, d: m.analyze(v.blocks(s, d).select("rec", "block_idx", "samples"), _peaks, "at int, n int", ("rec", "block_idx")),

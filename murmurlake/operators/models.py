@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.resource import ResourceProfile
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +25,12 @@ def _built(make: Callable[[], Callable], name: str) -> Callable:
     return _BUILT[name]
 
 
-def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[], Callable] | None = None, batch: int = 16, barrier: bool = False, profile: ResourceProfile | None = None) -> DataFrame:
+def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[], Callable] | None = None, batch: int = 16, barrier: bool = False, profile: ResourceProfile | None = None, tasks: int | None = None) -> DataFrame:
     """chunks with samples put through fn.
 
     profile: what each of its tasks needs (GPUs, memory), where the cluster manager grants it. barrier: all tasks of the stage
-    start together or not at all, for models whose workers talk to each other; there must be as many slots as partitions.
+    start together or not at all, for models whose workers talk to each other; chunks are dealt to as many as there are slots,
+    or `tasks`, as the slots of a profile aren't known before.
     """
     name = uuid.uuid4().hex  # of this factory, in every worker
 
@@ -40,9 +41,17 @@ def apply_model(chunks: DataFrame, fn: Callable | None = None, make: Callable[[]
                 part = pdf.iloc[k : k + batch]
                 yield part.assign(samples=[np.asarray(x, float) for x in f([np.asarray(s) for s in part["samples"]])])
 
+    if barrier:  # by a shuffle of its own: a barrier's stage must have one number of partitions from its start to its end
+        chunks = chunks.repartition(tasks or _slots(chunks.sparkSession))
     return chunks.mapInPandas(run, chunks.schema, barrier, profile)
 
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run at the same time."""
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
 def register_separator(chunks: DataFrame, name: str, fn: Callable, k: int, batch: int = 16) -> None:
     """A table function for SQL: name(TABLE(...) PARTITION BY ... ORDER BY ...) gives k rows for each row like those of chunks.
 

@@ -296,3 +296,13 @@ def test_model_surface(spark):
     assert {r["target"]: r["samples"][0] for r in models.fan_out(s, t, lambda x, w: x * w[0]).collect()} == {"a": 2.0, "b": 3.0}
     assert models.embed(s, lambda xs: [[x.sum()] for x in xs]).first()["embedding"] == [6.0]
     assert models.map_text(spark.createDataFrame([("x",)], "text string"), lambda ts: [t * 2 for t in ts]).first()["text"] == "xx"
+
+
+def test_barrier_takes_chunks_of_any_number_of_partitions(spark):
+    """More partitions than slots, and fewer by coalesce: a barrier's stage allows neither."""
+    from murmurlake.operators import models as m
+
+    x = spark.range(40).selectExpr("id AS rec", "array(CAST(id AS DOUBLE)) AS samples")
+    for chunks in (x.repartition(23), x.repartition(23).coalesce(2)):
+        got = m.apply_model(chunks, lambda xs: [v * 2 for v in xs], barrier=True)
+        assert sorted(r.samples[0] for r in got.collect()) == [2.0 * i for i in range(40)]
