@@ -306,3 +306,29 @@ def test_barrier_takes_chunks_of_any_number_of_partitions(spark):
     for chunks in (x.repartition(23), x.repartition(23).coalesce(2)):
         got = m.apply_model(chunks, lambda xs: [v * 2 for v in xs], barrier=True)
         assert sorted(r.samples[0] for r in got.collect()) == [2.0 * i for i in range(40)]
+
+
+def test_variants_of_the_same_globs_are_matched_once(spark):
+    """2,000 variants of two sets of globs over 400 files: pairs of sets and files, not of variants and files."""
+    from murmurlake.operators import bench as b
+
+    variants = spark.range(2000).selectExpr("id AS variant_id", "concat('r', id % 2) AS repo", "IF(id % 3 = 0, array('a/*.x', 'a/**'), array('a/**', 'a/*.x')) AS globs", "CAST(200 AS BIGINT) AS size")
+    files = spark.range(400).selectExpr("concat('r', id % 2) AS repo", "concat('a/', id, '.x') AS path", "CAST(1 AS BIGINT) AS bytes")
+    got = b.check_sizes(variants, files)
+    assert {(r.actual, r.status) for r in got.collect()} == {(200, "ok")} and got.count() == 2000
+    joined = [n for n in _rows_out(got) if n >= 2000 * 200]
+    assert not joined
+
+
+def _rows_out(df):
+    """Rows that each node of the plan, run, has put out."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        m = p.metrics().get("numOutputRows")
+        out += [m.get().value()] if m.isDefined() else []
+    return out
