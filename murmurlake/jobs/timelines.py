@@ -20,7 +20,7 @@ QUERIES = {
     "speech_share": lambda s, d: t.speech_share(v.turns(s, d), v.recordings(s, d)).withColumn("pct", F.round("pct", 6)),
     "uncertain_words": lambda s, d: t.uncertain(t.attribute_words(v.words(s, d), v.turns(s, d))).groupBy("rec").agg(F.count("*").alias("n_words"), F.count_distinct("speaker").alias("n_speakers")),
     "dominant_speaker": lambda s, d: t.dominant_speaker(v.turns(s, d).withColumn("track", F.col("rec") * 100 + F.col("user_id") % 7)).withColumn("conf", F.round("conf", 6)),
-    "identify_slot": lambda s, d: t.identify_slot(v.events(s, d).select(F.col("user_id").alias("track"), F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i == F.col("event_id") % 4, F.col("value") / 500).otherwise(0.1)).alias("probs"))).select("track", "slot", F.round("conf", 6).alias("conf"), F.concat_ws(",", F.transform("probs", lambda p: F.format_number(p, 6))).alias("probs")),
+    "identify_slot": lambda s, d: t.identify_slot(v.events(s, d).select(F.col("user_id").alias("track"), F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i == F.col("event_id") % 4, F.col("value") / 500).otherwise(0.1)).alias("probs")), 6).select("track", "slot", F.round("conf", 6).alias("conf"), F.concat_ws(",", F.transform("probs", lambda p: F.format_number(p, 6))).alias("probs")),
     "order_tracks": lambda s, d: t.order_tracks(v.turns(s, d).select("rec", F.col("turn_id").alias("track"), F.when(F.col("user_id") % 3 > 0, slot_of(F.col("speaker"))).alias("slot"))),
     "map_slots": lambda s, d: t.map_slots(v.words(s, d).select("rec", F.col("word_id").alias("track"), (F.col("word_id") % 4).cast("int").alias("slot"), "start_ms", "end_ms"), v.turns(s, d)),
     "compare_diarizers": lambda s, d: t.compare_diarizers(v.turns(s, d), v.turns(s, d).withColumn("speaker", F.concat(F.lit("speaker_"), (F.col("user_id") % 9).cast("string"))).withColumn("start_ms", F.col("start_ms") + F.when(F.col("turn_id") % 3 == 0, 60_000).otherwise(0))),
