@@ -40,7 +40,7 @@ QUERIES = {
     "process_gated": lambda s, d: flat(vad.process_gated(v.blocks(s, d), _VAD(s, d), RATE, lambda x: g.scale(x, -2.0), 32)),
     "merge_tokens": lambda s, d: words.merge_tokens_into_words(v.tokens(s, d)).withColumn("confidence", F.round("confidence", 6)).drop("word_no"),
     "words_with_fallback": lambda s, d: words.with_fallback(words.merge_tokens_into_words(v.tokens(s, d).withColumn("token", F.when(F.col("rec") % 3 == 0, F.col("token")).otherwise(F.lit(" ")))), v.table(s, d, "benchmark").select(F.col("item_id").alias("rec"), "text", (F.length("text") * 160).alias("n_samples"))).groupBy("rec").agg(F.count("*").alias("n"), F.max("end_ms").alias("end_ms")),
-    "merge_token_windows": lambda s, d: words.merge_token_windows(v.events(s, d).groupBy(F.col("user_id").alias("rec"), F.floor(F.col("event_id") / 500).alias("window_idx")).agg(F.sort_array(F.collect_list("event_id")).alias("ids")), 4, 1).select("rec", F.size("ids").alias("n"), F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids")),
+    "merge_token_windows": lambda s, d: words.merge_token_windows(v.events(s, d).groupBy(F.col("user_id").alias("rec"), F.floor(F.col("event_id") / 500).alias("window_idx")).agg(F.sort_array(F.collect_list("event_id")).alias("ids")), 4, 1).select("rec", F.size("ids").alias("n"), F.when(F.size("ids") > 0, F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))).alias("ids")),
     "word_times": lambda s, d: words.word_times(*_phones(s, d)).select("utt", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
     "word_labels": lambda s, d: words.word_labels(v.tokens(s, d).select("rec", "idx", (~F.col("token").rlike("^[ \n\t]")).alias("is_subword"), F.array(F.col("confidence"), 1.1 - F.col("confidence"), F.lit(0.5)).alias("scores")), ["up", "down", "flat"]),
 }

@@ -339,3 +339,13 @@ def test_slots_tie_after_rounding(spark):
     x = spark.createDataFrame([(1, [0.2, 0.20000001]), (2, [0.1, 0.3]), (2, [0.100545, 0.3])], "track int, probs array<double>")
     got = {r.track: (r.slot, r.conf, r.probs[0]) for r in timeline.identify_slot(x, 6).collect()}
     assert got == {1: (0, 0.2, 0.2), 2: (1, 0.3, 0.100273)}
+
+
+def test_windows_that_keep_no_tokens_are_null(spark, tmp_path):
+    """As in the SQL: no text, and not an empty one."""
+    from murmurlake.jobs import registry
+
+    e = spark.range(9).selectExpr("IF(id < 2, id * 500, id) AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "IF(id < 2, 1L, 2L) AS user_id", "'view' AS event_type", "1D AS value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.rec: (r.n, r.ids) for r in registry.QUERIES["merge_token_windows"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, None), 2: (7, "2,3,4,5,6,7,8")}
