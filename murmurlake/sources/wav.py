@@ -12,6 +12,7 @@ says why, as in audio.decode_files.
 
 from __future__ import annotations
 
+import io
 import struct
 import urllib.parse
 import uuid
@@ -28,6 +29,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes of files that a task reads at least, if there are so many.
 SPLIT = 64 << 20
+#: Tasks that a smaller split makes at most, as long as none has over SPLIT bytes.
+TASKS = 1000
+#: Blocks and samples that are handed to Spark, or to a file, at a time, if there are so many.
+ROWS, SAMPLES = 1000, 1 << 16
 BLOCK_FRAMES = 48_000
 SIGNALS = "rec string, channel int, sample_rate int, block_idx long, start_frame long, n_frames int, samples array<float>, status string"
 _ARROW = pa.schema([("rec", pa.string()), ("channel", pa.int32()), ("sample_rate", pa.int32()), ("block_idx", pa.int64()), ("start_frame", pa.int64()), ("n_frames", pa.int32()), ("samples", pa.list_(pa.float32())), ("status", pa.string())])
@@ -105,18 +110,22 @@ class Ranges(InputPartition):
     parts: list[tuple[str, int, int, int]]
 
 
-def ranges(files: list[tuple[str, int]], split: int) -> list[Ranges]:
-    """Files cut into ranges of `split` bytes; ranges of small files share a task until it has as many."""
+def ranges(files: list[tuple[str, int]], split: int, tasks: int = TASKS) -> list[Ranges]:
+    """Files cut into ranges of `split` bytes; a task has as many of them as fit into `split`, or into more where there would be over `tasks`, up to SPLIT."""
+    most = max(split, min(SPLIT, -(-sum(max(n, 1) for _, n in files) // tasks)))
     out: list[Ranges] = []
     held, total = [], 0
     for path, size in files:
         for a in range(0, max(size, 1), split):
-            part = (path, size, a, min(size, a + split))
-            if total and total + part[3] - a > split:
+            b = min(size, a + split)
+            if total and total + b - a > most:
                 out.append(Ranges(held))
                 held, total = [], 0
-            held.append(part)
-            total += part[3] - a
+            if held and a and held[-1][0] == path:
+                held[-1] = (path, size, held[-1][2], b)
+            else:
+                held.append((path, size, a, b))
+            total += b - a
     return [*out, Ranges(held)] if held else out
 
 
@@ -133,22 +142,33 @@ class WavReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.path)
+        rows, samples = [], 0
         for path, size, a, b in partition.parts:
             with fs.open_input_file(path) as f:
-                try:
-                    form = read_format(lambda at, n: f.read_at(n, at), size)  # noqa: B023
-                except ValueError as why:
-                    if a == 0:
-                        yield pa.RecordBatch.from_pylist([{"rec": path, "status": str(why)}], schema=_ARROW)
-                    continue
-                step = self.block_frames * form.frame_bytes
-                # A block is the range's that its first byte lies in; the first one is the first range's.
-                k = max(1, -(-(a - form.at) // step)) if a else 0
-                while k * self.block_frames < form.frames and (k == 0 or form.at + k * step < b):
-                    start = k * self.block_frames
-                    x = form.decode(f.read_at(min(step, (form.frames - start) * form.frame_bytes), form.at + k * step))
-                    yield pa.RecordBatch.from_pylist([{"rec": path, "channel": c, "sample_rate": form.rate, "block_idx": k, "start_frame": start, "n_frames": len(x), "samples": x[:, c], "status": "ok"} for c in range(form.channels)], schema=_ARROW)
-                    k += 1
+                for row in self.rows(f, path, size, a, b):
+                    rows.append(row)
+                    samples += row.get("n_frames", 0)
+                    if len(rows) >= ROWS or samples >= SAMPLES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, samples = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    def rows(self, f: pa.NativeFile, path: str, size: int, a: int, b: int) -> Iterator[dict]:
+        try:
+            form = read_format(lambda at, n: f.read_at(n, at), size)
+        except ValueError as why:
+            if a == 0:
+                yield {"rec": path, "status": str(why)}
+            return
+        step = self.block_frames * form.frame_bytes
+        # A block is the range's that its first byte lies in; the first one is the first range's.
+        k = max(1, -(-(a - form.at) // step)) if a else 0
+        while k * self.block_frames < form.frames and (k == 0 or form.at + k * step < b):
+            start = k * self.block_frames
+            x = form.decode(f.read_at(min(step, (form.frames - start) * form.frame_bytes), form.at + k * step))
+            yield from ({"rec": path, "channel": c, "sample_rate": form.rate, "block_idx": k, "start_frame": start, "n_frames": len(x), "samples": x[:, c], "status": "ok"} for c in range(form.channels))
+            k += 1
 
 
 @dataclass
@@ -202,7 +222,7 @@ class _File:
     def __init__(self, fs: pyarrow.fs.FileSystem, path: str, rec: str, rate: int, channels: int):
         self.fs, self.path, self.rec, self.rate, self.channels = fs, path, rec, rate, channels
         self.at, self.held = 0, np.zeros((0, channels), "<f4")
-        self.body = fs.open_output_stream(f"{path}.body")
+        self.few, self.body = io.BytesIO(), None
 
     def add(self, channel: int, start: int, x: np.ndarray) -> None:
         # Blocks come by start_frame, so what lies before this one is complete.
@@ -214,21 +234,31 @@ class _File:
         self.held[begin : begin + len(x), channel] = x
 
     def _out(self, n: int) -> None:
-        self.body.write(np.ascontiguousarray(self.held[:n]).tobytes())
+        self._write(np.ascontiguousarray(self.held[:n]).tobytes())
         silent = n - len(self.held[:n])
         while silent > 0:
-            self.body.write(bytes(4 * self.channels * min(silent, BLOCK_FRAMES)))
+            self._write(bytes(4 * self.channels * min(silent, BLOCK_FRAMES)))
             silent -= BLOCK_FRAMES
         self.held, self.at = self.held[n:], self.at + n
 
+    def _write(self, data: bytes) -> None:
+        if self.body is None and self.few.tell() + len(data) > 4 * SAMPLES:
+            self.body = self.fs.open_output_stream(f"{self.path}.body")
+            self.body.write(self.few.getvalue())
+        (self.few if self.body is None else self.body).write(data)
+
     def close(self) -> tuple[str, str]:
-        """Stores can't write into what they have, so the header goes before a copy of the body."""
+        """Stores can't write into what they have, so the header goes before a copy of the body, which is in memory where it is short."""
         self._out(len(self.held))
-        self.body.close()
-        with self.fs.open_output_stream(self.path) as f, self.fs.open_input_stream(f"{self.path}.body") as body:
+        with self.fs.open_output_stream(self.path) as f:
             f.write(header(self.rate, self.channels, self.at * self.channels * 4))
-            while data := body.read(8 << 20):
-                f.write(data)
+            if self.body is None:
+                f.write(self.few.getvalue())
+                return self.path, self.rec
+            self.body.close()
+            with self.fs.open_input_stream(f"{self.path}.body") as body:
+                while data := body.read(8 << 20):
+                    f.write(data)
         self.fs.delete_file(f"{self.path}.body")
         return self.path, self.rec
 

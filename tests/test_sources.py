@@ -122,3 +122,24 @@ def test_what_a_failed_write_leaves(tmp_path):
     w.write(iter([batch]))  # a second attempt of the same task
     w.abort([])
     assert os.listdir(tmp_path) == []
+
+
+def test_small_ranges_share_tasks():
+    """5,000 files of two ranges: at most about 1,000 tasks, which hold every byte once; large ranges stay tasks of their own."""
+    from murmurlake.sources.wav import SPLIT, TASKS, ranges
+
+    got = ranges([(f"f{i}", 900) for i in range(5000)], 500)
+    assert len(got) <= TASKS * 1.2
+    assert sum(b - a for r in got for _, _, a, b in r.parts) == 5000 * 900
+    assert len(ranges([("f", 5 * SPLIT)], SPLIT)) == 5
+
+
+def test_many_files_are_few_batches(tmp_path):
+    from murmurlake.sources import wav as w
+
+    for i in range(300):
+        (tmp_path / f"{i}.wav").write_bytes(w.header(8000, 1, 400) + np.arange(100, dtype="<f4").tobytes())
+    batches = [b for p in w.WavReader(str(tmp_path), 10, 500).partitions() for b in [*w.WavReader(str(tmp_path), 10, 500).read(p)]]
+    assert sum(len(b) for b in batches) == 3000 and len(batches) <= 302
+    one = [*w.WavReader(str(tmp_path), 10, w.SPLIT).read(w.WavReader(str(tmp_path), 10, w.SPLIT).partitions()[0])]
+    assert [len(b) for b in one] == [1000, 1000, 1000]
