@@ -21,8 +21,8 @@ _CLASSES = lambda s, d: v.events(s, d).groupBy(F.col("user_id").alias("rec")).ag
 
 QUERIES = {
     "pair_cosine": lambda s, d: v.vectors(s, d).alias("a").join(v.vectors(s, d).alias("b"), F.expr("a.vec_id + 1 = b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(e.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("sim")),
-    "top_k_voices": lambda s, d: e.top_k_voices(_refs(s, d), _voices(s, d)).withColumn("sim", F.round("sim", 6)),
-    "identify_speakers": lambda s, d: e.identify(_refs(s, d), _voices(s, d), 0.2).withColumn("sim", F.round("sim", 6)),
+    "top_k_voices": lambda s, d: e.top_k_voices(_refs(s, d), _voices(s, d), digits=6).withColumn("sim", F.round("sim", 6)),
+    "identify_speakers": lambda s, d: e.identify(_refs(s, d), _voices(s, d), 0.2, 6).withColumn("sim", F.round("sim", 6)),
     "top_k_voices_pruned": lambda s, d: e.top_k_pruned(_refs(s, d), _voices(s, d), 5, 100)[0].withColumn("sim", F.round("sim", 6)),
     "blend_voices": lambda s, d: e.blend_voices(_refs(s, d), _voices(s, d)).select("ref_id", F.round("sim", 4).alias("sim"), F.explode(F.arrays_zip("voice_ids", "weights")).alias("x")).select("ref_id", "sim", F.col("x.voice_ids").alias("voice_id"), F.round("x.weights", 4).alias("weight")),
     "mix_voices": lambda s, d: e.mix_voices(v.table(s, d, "events").select((F.col("user_id") % 50).alias("mix_id"), (F.col("event_id") % 19 + 1 + F.col("event_id") % 7 * 20 + F.when(F.col("user_id") % 50 == 7, 10**9).otherwise(0)).alias("voice_id"), F.col("value").alias("weight")).groupBy("mix_id", "voice_id").agg(F.sum("weight").alias("weight")), _voices(s, d)).select("mix_id", F.posexplode_outer("embedding").alias("dim", "value"), "error").withColumn("value", F.round("value", 6)),
