@@ -176,22 +176,43 @@ def with_deltas(features: DataFrame, reach: int = 2, shard: int = 10_000) -> Dat
 
     Frames are dealt to shards with the 2 * reach frames before and after, so no recording is sorted in one task.
     """
-    own = keys(features)
+    own, shard = keys(features), max(shard, 2 * reach)
     x = features.withColumn("shard", F.explode(F.array_distinct(F.array(*[F.floor((F.col("frame") + d) / shard) for d in (-2 * reach, 0, 2 * reach)]))))
     scale = 2 * sum(k * k for k in range(1, reach + 1))
 
-    def slopes(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, ((reach, reach), (0, 0)), "edge")
-        return sum(k * (p[reach + k : reach + k + len(m)] - p[reach - k : reach - k + len(m)]) for k in range(1, reach + 1)) / scale
+    def slopes(m: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        i = np.arange(len(m))
+        return sum(k * (m[np.minimum(i + k, last)] - m[np.maximum(i - k, first)]) for k in range(1, reach + 1)) / scale
+
+    def shards(pdf: pd.DataFrame) -> np.ndarray:
+        """The place of each shard's first row."""
+        codes = np.stack([pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in [*own, "shard"]])
+        return np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
+
+    def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in pdf.groupby(pdf["bins"].map(len), sort=False):
+            m, begin = np.array(part["bins"].tolist(), float), shards(part)
+            size = np.diff(np.r_[begin, len(part)])
+            first, last = np.repeat(begin, size), np.repeat(begin + size - 1, size)
+            # Edges of a shard that are no ends of the signal come out wrong within 2 * reach, and aren't its own.
+            d1 = slopes(m, first, last)
+            mine = (part["frame"] // shard == part["shard"]).to_numpy()
+            if mine.any():
+                yield part.loc[mine, [*own, "frame"]].assign(bins=list(np.concatenate([m, d1, slopes(d1, first, last)], axis=1)[mine]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        m, frame, shard_ = np.array(pdf["bins"].tolist(), float), pdf["frame"].to_numpy(), int(pdf["shard"].iloc[0])
-        # Edges of a shard that are no ends of the signal come out wrong within 2 * reach, and aren't its own.
-        d1 = slopes(m)
-        mine = frame // shard == shard_
-        if not mine.any():
-            return pd.DataFrame({k: pd.Series([], dtype=object) for k in [*own, "frame", "bins"]})
-        return pdf.loc[mine, own].assign(frame=frame[mine], bins=list(np.concatenate([m, d1, slopes(d1)], axis=1)[mine]))
-
-    return x.select(*own, "shard", "frame", "bins").groupBy(*own, "shard").applyInPandas(run, schema_of(features, own, "frame long, bins array<double>"))
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Many shards at a time; the last one of a batch waits for its rest."""
+        held = []
+        for pdf in it:
+            if not len(pdf):
+                continue
+            both = pd.concat([*held, pdf], ignore_index=True)
+            cut = shards(both)[-1]
+            held = [both.iloc[cut:]]
+            if cut:
+                yield from whole(both.iloc[:cut])
+        if held:
+            yield from whole(held[0].reset_index(drop=True))
+
+    dealt = x.select(*own, "shard", "frame", "bins").repartition(*own, "shard").sortWithinPartitions(*own, "shard", "frame")
+    return dealt.mapInPandas(run, schema_of(features, own, "frame long, bins array<double>"))

@@ -349,3 +349,13 @@ def test_windows_that_keep_no_tokens_are_null(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/events.parquet")
     got = {r.rec: (r.n, r.ids) for r in registry.QUERIES["merge_token_windows"](spark, str(tmp_path)).collect()}
     assert got == {1: (0, None), 2: (7, "2,3,4,5,6,7,8")}
+
+
+def test_deltas_of_many_short_recordings_cross_python_together(spark):
+    """2,000 recordings of three frames, of two widths: each row as of its recording alone, in a frame for many recordings."""
+    x = spark.range(6000).selectExpr("id DIV 3 AS rec", "id % 3 AS frame", "IF(id DIV 3 % 2 = 0, array(CAST(id % 3 AS DOUBLE)), array(CAST(id % 3 AS DOUBLE), 1D)) AS bins")
+    got = spectral.with_deltas(x, 2, 2)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    rows = {(r.rec % 2, r.frame, tuple(round(v, 6) for v in r.bins)) for r in got.collect()}
+    assert got.count() == 6000 and len(rows) == 6
+    assert (0, 1, (1.0, 0.6, 0.0)) in rows
