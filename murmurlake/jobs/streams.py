@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.lineage import scratch
 from ..operators import chunks as c
@@ -12,11 +13,26 @@ from ..streaming import live
 from .signals import CONFIG, DISCARD, DISCARD_TAIL, flat
 
 
+#: Triggers that staged files make at most, however many they are: each of them visits every partition of the state.
+TRIGGERS = 3
+
+
+def _read(s: SparkSession, schema: StructType, path: str, least: int = 4) -> DataFrame:
+    """Staged files as a stream, `least` of them a trigger or as many as TRIGGERS need."""
+    files = len(s.read.schema(schema).parquet(path).inputFiles())
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", max(least, -(-files // TRIGGERS))).parquet(path)
+
+
 def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read as a stream."""
     path = scratch(s)
     df.write.parquet(path)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return _read(s, df.schema, path)
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Dealt so that a recording's rows, in any order, are in one file: a visit to a recording costs the same for a row as for a hundred."""
+    return df.repartition("rec")
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
@@ -37,9 +53,9 @@ def _replayed(s, d):
     """All chunks, then the first and the last of each recording once more."""
     path = scratch(s)
     x = _chunks(s, d)
-    x.write.parquet(path)
-    x.where("is_first OR is_last").write.mode("append").parquet(path)
-    found = live.drain(live.stitch_stream(s.readStream.schema(x.schema).option("maxFilesPerTrigger", 8).parquet(path), CONFIG))
+    _whole(x).write.parquet(path)
+    s.read.schema(x.schema).parquet(path).where("is_first OR is_last").write.mode("append").parquet(path)
+    found = live.drain(live.stitch_stream(_read(s, x.schema, path, 8), CONFIG))
     total = F.sum(F.aggregate("samples", F.lit(0.0), lambda a, y: a + y))
     return found.groupBy("rec").agg(F.sum(F.size("samples")).alias("n"), F.round(total, 5).alias("total"), F.sum("late").alias("late"))
 
@@ -47,11 +63,11 @@ def _replayed(s, d):
 def _cut_short(s, d):
     """Every third chunk is lost, the last ones of some recordings with it; the watermark ends them, by a row that comes last and much later."""
     lost = _chunks(s, d).where("chunk_idx % 3 <> 2")
-    end = lost.limit(1).select(*(F.lit(-1).cast("long").alias("rec") if k == "rec" else F.timestamp_seconds(F.lit(10**9)).alias("at") if k == "at" else k for k in lost.columns))
     path = scratch(s)
-    lost.write.parquet(path)
+    _whole(lost).write.parquet(path)
+    end = s.read.schema(lost.schema).parquet(path).limit(1).select(*(F.lit(-1).cast("long").alias("rec") if k == "rec" else F.timestamp_seconds(F.lit(10**9)).alias("at") if k == "at" else k for k in lost.columns))
     end.write.mode("append").parquet(path)
-    chunks = s.readStream.schema(lost.schema).option("maxFilesPerTrigger", 64).parquet(path).withWatermark("at", "1 day")
+    chunks = _read(s, lost.schema, path, 64).withWatermark("at", "1 day")
     return flat(live.drain(live.stitch_stream(chunks, CONFIG, idle=60_000, event_time="at")).where("rec >= 0"))
 
 
@@ -68,10 +84,10 @@ QUERIES = {
     "stream_stitch_replayed": _replayed,
     "stream_stitch_cut_short": _cut_short,
     "stream_live_turns": _live_turns,
-    "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(12)))),
-    "stream_stitch": lambda s, d: flat(live.drain(live.stitch_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
-    "stream_stitch_discard": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG)), CONFIG))),
-    "stream_stitch_tail": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, c.make_chunks(v.blocks(s, d), CONFIG, True).repartition(6)), CONFIG))),
+    "stream_speech_events": lambda s, d: live.drain(live.speech_events(_staged(s, v.frames(s, d).select("rec", "frame", "prob").repartition(12, "rec")))),
+    "stream_stitch": lambda s, d: flat(live.drain(live.stitch_stream(_staged(s, _whole(c.make_chunks(v.blocks(s, d), CONFIG))), CONFIG))),
+    "stream_stitch_discard": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, _whole(c.make_chunks(v.blocks(s, d), CONFIG))), CONFIG))),
+    "stream_stitch_tail": lambda s, d: flat(live.drain(live.stitch_discard_stream(_staged(s, _whole(c.make_chunks(v.blocks(s, d), CONFIG, True))), CONFIG))),
     "stream_timeline": lambda s, d: live.drain(live.live_timeline(_turns(s, d)), "complete"),
     "stream_event_counts": lambda s, d: live.drain(live.event_counts(_stream(s, d).withColumnRenamed("event_type", "kind")), "complete"),
     "stream_progress": lambda s, d: live.drain(live.progress(_stream(s, d).select(F.col("event_type").alias("stage"), (F.col("value") / 4).alias("pct"))), "complete"),
