@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.noise import noise
-from .wav import SIGNALS, read_format
+from .wav import ARROW, ROWS, SAMPLES, SIGNALS, read_format
 
 MAX_SECONDS = 3600
 
@@ -36,21 +39,32 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
 
 def decode_files(files: DataFrame, block_frames: int = 48_000) -> DataFrame:
     """Planar blocks of the channels of files (path, content); a file that can't be read is one row whose status says why."""
-    names = [c.split()[0] for c in SIGNALS.split(", ")]
 
-    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rate, x = decode_wav(data)
-                except ValueError as why:
-                    yield pd.DataFrame([(name, None, None, None, None, None, None, str(why))], columns=names)
-                    continue
-                for k in range(0, len(x), block_frames):
-                    part = x[k : k + block_frames]
-                    yield pd.DataFrame({"rec": name, "channel": np.arange(x.shape[1], dtype=np.int32), "sample_rate": rate, "block_idx": k // block_frames, "start_frame": k, "n_frames": len(part), "samples": [part[:, c] for c in range(x.shape[1])], "status": "ok"})
-
-    return files.select("path", "content").mapInPandas(blocks, SIGNALS)
+    def rows(name: str, data: bytes) -> Iterator[dict]:
+        try:
+            rate, x = decode_wav(data)
+        except ValueError as why:
+            yield {"rec": name, "status": str(why)}
+            return
+        for k in range(0, len(x), block_frames):
+            part = x[k : k + block_frames]
+            yield from ({"rec": name, "channel": c, "sample_rate": rate, "block_idx": k // block_frames, "start_frame": k, "n_frames": len(part), "samples": part[:, c], "status": "ok"} for c in range(x.shape[1]))
+
+    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files one by one, and blocks handed on many at a time: what a file costs is its bytes, however short it is."""
+        held, samples = [], 0
+        for batch in it:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                for row in rows(name.as_py(), data.as_py()):
+                    held.append(row)
+                    samples += row.get("n_frames", 0)
+                    if len(held) >= ROWS or samples >= SAMPLES:
+                        yield pa.RecordBatch.from_pylist(held, schema=ARROW)
+                        held, samples = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=ARROW)
+
+    return files.select(F.col("path").cast("string"), "content").mapInArrow(blocks, SIGNALS)
 
 
 def read_wav(spark: SparkSession, path: str, block_frames: int = 48_000) -> DataFrame:
@@ -69,13 +83,42 @@ def split_ingest(signals: DataFrame, max_sec: float = MAX_SECONDS) -> tuple[Data
 def to_wav(signals: DataFrame) -> DataFrame:
     """rec, content: one file for each recording (a file is one row by nature); channels that end earlier are silent from there on."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = [np.concatenate(g.sort_values("start_frame")["samples"].tolist()) for _, g in pdf.groupby("channel")]
-        longest = max(map(len, by))
-        planes = np.stack([np.pad(x, (0, longest - len(x))) for x in by], axis=1)
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "content": [encode_wav(planes, int(pdf["sample_rate"].iloc[0]))]})
-
-    return signals.where("status = 'ok' AND n_frames > 0").groupBy("rec").applyInPandas(make, f"rec {signals.schema['rec'].dataType.simpleString()}, content binary")
+    schema = f"rec {signals.schema['rec'].dataType.simpleString()}, content binary"
+    form = to_arrow_schema(StructType.fromDDL(schema))
+
+    def content(channels: list[int], samples: list[np.ndarray], rate: int) -> bytes:
+        by = {c: np.concatenate([x for k, x in zip(channels, samples, strict=True) if k == c]) for c in dict.fromkeys(channels)}
+        planes = np.zeros((max(map(len, by.values())), len(by)), "<f4")
+        for i, x in enumerate(by.values()):
+            planes[: len(x), i] = x
+        return encode_wav(planes, rate)
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by recording, channel and start_frame. A recording is written when the next one begins, and files are handed on many at a time."""
+        rec, parts, done, size = None, ([], []), [], 0
+        rate = None
+        for batch in it:
+            flat, ends = batch["samples"].flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(batch["samples"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            for i, (name, first, channel, hz) in enumerate(zip(batch["rec"].to_pylist(), batch["first"].to_pylist(), batch["channel"].to_pylist(), batch["sample_rate"].to_pylist(), strict=True)):
+                if first and parts[0]:
+                    done.append({"rec": rec, "content": content(*parts, rate)})
+                    size += len(done[-1]["content"])
+                    parts = ([], [])
+                    if len(done) >= ROWS or size >= 4 * SAMPLES:
+                        yield pa.RecordBatch.from_pylist(done, schema=form)
+                        done, size = [], 0
+                if not parts[0]:
+                    rec, rate = name, hz
+                parts[0].append(channel)
+                parts[1].append(flat[ends[i] : ends[i + 1]].astype("<f4"))
+        if parts[0]:
+            done.append({"rec": rec, "content": content(*parts, rate)})
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=form)
+
+    order = Window.partitionBy("rec").orderBy("channel", "start_frame")
+    x = signals.where("status = 'ok' AND n_frames > 0 AND channel IS NOT NULL").select("rec", "channel", "sample_rate", "start_frame", "samples", (F.row_number().over(order) == 1).alias("first"))
+    return x.select("rec", "channel", F.col("sample_rate").cast("int"), "samples", "first").mapInArrow(make, schema)
 
 
 def write_wav(signals: DataFrame, path: str) -> None:

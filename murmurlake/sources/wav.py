@@ -35,7 +35,7 @@ TASKS = 1000
 ROWS, SAMPLES = 1000, 1 << 16
 BLOCK_FRAMES = 48_000
 SIGNALS = "rec string, channel int, sample_rate int, block_idx long, start_frame long, n_frames int, samples array<float>, status string"
-_ARROW = pa.schema([("rec", pa.string()), ("channel", pa.int32()), ("sample_rate", pa.int32()), ("block_idx", pa.int64()), ("start_frame", pa.int64()), ("n_frames", pa.int32()), ("samples", pa.list_(pa.float32())), ("status", pa.string())])
+ARROW = pa.schema([("rec", pa.string()), ("channel", pa.int32()), ("sample_rate", pa.int32()), ("block_idx", pa.int64()), ("start_frame", pa.int64()), ("n_frames", pa.int32()), ("samples", pa.list_(pa.float32())), ("status", pa.string())])
 #: (format tag, bits of a sample) -> numpy type and what a sample is divided by.
 ENCODINGS = {(1, 16): ("<i2", 32768.0), (3, 32): ("<f4", 1.0)}
 _EXTENSIBLE = 0xFFFE
@@ -149,10 +149,10 @@ class WavReader(DataSourceReader):
                     rows.append(row)
                     samples += row.get("n_frames", 0)
                     if len(rows) >= ROWS or samples >= SAMPLES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                         rows, samples = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     def rows(self, f: pa.NativeFile, path: str, size: int, a: int, b: int) -> Iterator[dict]:
         try:
