@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .signals import keys, schema_of, with_halo
 
+#: Samples that istft adds up at once.
+AT_ONCE = 1 << 18
 WINDOWS = {"hann": lambda n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n), "hamming": np.hamming, "blackman": np.blackman, "bartlett": np.bartlett, "povey": lambda n: np.hanning(n) ** 0.85}
 
 
@@ -43,30 +45,47 @@ def framewise(signals: DataFrame, n_fft: int, hop: int, fn, pad: str = "reflect"
     half, own = n_fft // 2 if center else 0, keys(signals)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples():
-                x, lead = np.asarray(r.samples, float), r.lead
-                if not center:
-                    x = x[lead:]
-                    n = min(-(-r.n // hop), (len(x) - n_fft) // hop + 1)
-                    if n < 1:
-                        continue
-                    frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop][:n]
-                else:
-                    # A signal of no more than half a window has nothing to be reflected.
-                    mirrored = pad == "reflect" and len(x) > half
-                    if r.start_frame == 0:
-                        x = np.concatenate([x[1 : half + 1][::-1] if mirrored else np.zeros(half), x])
-                        lead = half
-                    at_end = not r.trail
-                    n = r.n // hop + 1 if at_end else -(-r.n // hop)
-                    need = lead + (n - 1) * hop + half + n_fft % 2
-                    if need > len(x):
-                        more = need - len(x)
-                        x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
-                    first = lead - half
-                    frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
-                yield pd.DataFrame({**{k: getattr(r, k) for k in own}, "frame": r.start_frame // hop + np.arange(len(frames)), "bins": list(fn(frames))})
+        """Frames of many short signals are handed on together."""
+        held, many = [], 0
+        for part in (p for pdf in it for p in each(pdf)):
+            held.append(part)
+            many += part[1].size
+            if many >= AT_ONCE or len(held) >= 1000:
+                yield together(held)
+                held, many = [], 0
+        if held:
+            yield together(held)
+
+    def together(held: list) -> pd.DataFrame:
+        n = [len(bins) for _, bins in held]
+        frame = np.concatenate([r.start_frame // hop + np.arange(k) for (r, _), k in zip(held, n, strict=True)])
+        named = {k: pd.Series([getattr(r, k) for r, _ in held]).repeat(n).reset_index(drop=True) for k in own}
+        return pd.DataFrame({**named, "frame": frame, "bins": [b for _, bins in held for b in bins]})
+
+    def each(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for r in pdf.itertuples():
+            x, lead = np.asarray(r.samples, float), r.lead
+            if not center:
+                x = x[lead:]
+                n = min(-(-r.n // hop), (len(x) - n_fft) // hop + 1)
+                if n < 1:
+                    continue
+                frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop][:n]
+            else:
+                # A signal of no more than half a window has nothing to be reflected.
+                mirrored = pad == "reflect" and len(x) > half
+                if r.start_frame == 0:
+                    x = np.concatenate([x[1 : half + 1][::-1] if mirrored else np.zeros(half), x])
+                    lead = half
+                at_end = not r.trail
+                n = r.n // hop + 1 if at_end else -(-r.n // hop)
+                need = lead + (n - 1) * hop + half + n_fft % 2
+                if need > len(x):
+                    more = need - len(x)
+                    x = np.concatenate([x, x[-2 : -2 - more : -1] if mirrored else np.zeros(more)])
+                first = lead - half
+                frames = np.lib.stride_tricks.sliding_window_view(x[max(0, first) :], n_fft)[::hop][:n]
+            yield r, fn(frames)
 
     return with_halo(signals, half, half + n_fft % 2 if center else n_fft, size).mapInPandas(run, schema_of(signals, own, "frame long, bins array<double>"))
 
@@ -92,23 +111,37 @@ def istft(spectra: DataFrame, total: DataFrame, n_fft: int = 400, hop: int = 160
     own_keys, early = keys(spectra, total), n_fft // 2 if center else 0
     reach = -(-n_fft // (hop * block)) + 1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, n = int(pdf["to"].iloc[0]), int(pdf["n"].iloc[0])
-        lo, hi = b * block * hop, min((b + 1) * block * hop, n)
-        out, by = np.zeros(max(0, hi - lo) + 2 * n_fft), np.zeros(max(0, hi - lo) + 2 * n_fft)
-        for f, bins in zip(pdf["frame"], pdf["bins"], strict=True):
-            z = np.asarray(bins)
-            at = f * hop - early - lo + n_fft
-            if at < 0 or at + n_fft > len(out):
-                continue
-            out[at : at + n_fft] += np.fft.irfft(z[: len(z) // 2] + 1j * z[len(z) // 2 :], n_fft) * w
-            by[at : at + n_fft] += w**2 if norm == "squares" else w
-        x = np.divide(out, by, out=np.zeros_like(out) if norm == "squares" else out.copy(), where=by > 1e-10 if norm == "squares" else by != 0)[n_fft : n_fft + max(0, hi - lo)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in own_keys}, "block_idx": [b], "start_frame": [lo], "samples": [x]})
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Many blocks at once: their frames are one array, and so are the samples they add up to."""
+        at, bins = (np.concatenate([np.asarray(x, kind) for x in pdf[c]]) for c, kind in (("frames", np.int64), ("bins", float)))
+        lo = pdf["to"].to_numpy() * block * hop
+        size = np.minimum(lo + block * hop, pdf["n"].to_numpy()) - lo
+        ends = np.cumsum(size + 2 * n_fft)
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["frames"]])
+        # A block's samples stand between n_fft others on either side, which frames reach that it shares.
+        place = (at * hop - early - lo[row] + n_fft + (ends - size - 2 * n_fft)[row])[:, None] + np.arange(n_fft)
+        z = bins.reshape(len(at), -1) if len(at) else np.zeros((0, n_fft // 2 * 2 + 2))
+        z = z[:, : z.shape[1] // 2] + 1j * z[:, z.shape[1] // 2 :]
+        out = np.bincount(place.ravel(), (np.fft.irfft(z, n_fft) * w).ravel(), ends[-1])
+        by = np.bincount(place.ravel(), np.tile(w**2 if norm == "squares" else w, len(at)), ends[-1])
+        x = np.divide(out, by, out=np.zeros_like(out) if norm == "squares" else out.copy(), where=by > 1e-10 if norm == "squares" else by != 0)
+        samples = [x[e - n_fft - k : e - n_fft] for e, k in zip(ends, size, strict=True)]
+        return pd.DataFrame({**{k: pdf[k] for k in own_keys}, "block_idx": pdf["to"], "start_frame": lo, "samples": samples})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = max(1, AT_ONCE // (block * hop + 2 * n_fft))
+        for pdf in it:
+            for k in range(0, len(pdf), many):
+                yield blocks(pdf.iloc[k : k + many].reset_index(drop=True))
 
     own = F.floor(F.col("frame") / block)
     x = spectra.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), own - reach), own + reach))).join(total, own_keys).where(F.col("to") * block * hop < F.col("n"))
-    return x.groupBy(*own_keys, "to").applyInPandas(run, schema_of(spectra, own_keys, "block_idx long, start_frame long, samples array<double>"))
+    # A frame goes to the blocks it has samples in; to its other neighbours only the word that they are there.
+    first = F.col("frame") * hop - early - F.col("to") * block * hop
+    there = (first > -n_fft) & (first < F.least(F.lit(block * hop), F.col("n") - F.col("to") * block * hop))
+    x = x.groupBy(*own_keys, "to").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(there, F.struct("frame", "bins")))).alias("all"))
+    x = x.select(*own_keys, "to", F.col("n").cast("long"), F.transform("all", lambda f: f["frame"]).alias("frames"), F.flatten(F.transform("all", lambda f: f["bins"])).alias("bins"))
+    return x.mapInPandas(run, schema_of(spectra, own_keys, "block_idx long, start_frame long, samples array<double>"))
 
 
 def n_frames(spectra: DataFrame, n_fft: int = 400, hop: int = 160, center: bool = True) -> DataFrame:
