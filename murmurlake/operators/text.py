@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..functions.windows import running, shard_of
 
 #: What an empty text becomes, replacements in order, and signs that end a sentence.
@@ -73,28 +74,41 @@ def clean_text(text: Column) -> Column:
     return close_up(supported(text))
 
 
+#: Entries of a dictionary, and characters of their words, that go to every task; a larger one is joined by a shuffle.
+MOST_ENTRIES, MOST_LETTERS = 500_000, 16_000_000
+
+
+def _at_hand(dictionary: DataFrame) -> DataFrame:
+    """A dictionary (plain, ...), written once, for a join that leaves the words where they are if it is of a bounded size."""
+    d = settle(dictionary)
+    n, letters = d.agg(F.count("*"), F.coalesce(F.sum(F.length("plain")), F.lit(0))).first()
+    return F.broadcast(d) if n <= MOST_ENTRIES and letters <= MOST_LETTERS else d
+
+
 def restore_accents(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """words (id, idx, word) with accented spelling from dictionary (plain, accented); capitals stay, marked words are left."""
-    x = words.join(dictionary, F.lower("word") == F.col("plain"), "left")
+    x = words.join(_at_hand(dictionary), F.lower("word") == F.col("plain"), "left")
     letters = F.split("accented", "")
     at = lambda i: F.size(F.filter(F.slice(letters, 1, i), lambda c: c != "+"))
     kept = F.array_join(F.transform(letters, lambda c, i: F.when((c != "+") & (F.substr(F.col("word"), at(i) + 1, F.lit(1)) != F.lower(F.substr(F.col("word"), at(i) + 1, F.lit(1)))), F.upper(c)).otherwise(c)), "")
     same = F.length(F.replace(F.col("accented"), F.lit("+"), F.lit(""))) == F.length("word")
-    return x.select("id", "idx", F.when(F.col("accented").isNull() | F.contains(F.col("word"), F.lit("+")), F.col("word")).when(same, kept).otherwise(F.col("accented")).alias("word"))
+    return x.select("id", "idx", F.when(F.col("accented").isNull() | F.contains(F.col("word"), F.lit("+")), F.col("word")).when(~same | (F.col("word") == F.lower("word")), F.col("accented")).when(same, kept).otherwise(F.col("accented")).alias("word"))
 
 
 def like_capitals(word: Column, target: Column) -> Column:
     """target with each letter's case as word has it, where both are as long; else target as it is."""
     at = lambda i: F.substr(word, i + 1, F.lit(1))
     letters = F.transform(F.split(target, ""), lambda c, i: F.when(at(i) != F.lower(at(i)), F.upper(c)).otherwise(F.lower(c)))
-    return F.when(F.length(word) == F.length(target), F.array_join(letters, "")).otherwise(target)
+    small = (word == F.lower(word)) & (target == F.lower(target))
+    return F.when(F.coalesce(small | (F.length(word) != F.length(target)), F.lit(True)), target).otherwise(F.array_join(letters, ""))
 
 
 def restore_tagged(words: DataFrame, dictionary: DataFrame, doubtful: DataFrame, tags: DataFrame, tag: str = "YO") -> DataFrame:
     """words (id, idx, word) restored in two steps: by dictionary (plain, restored); then, where tags (id, idx, tag) say `tag`, by what doubtful (plain, restored) has instead, or as the word was. Case is the word's."""
-    known = lambda d, name: d.groupBy("plain").agg(F.min("restored").alias(name))
+    known = lambda d, name: _at_hand(d.groupBy("plain").agg(F.min("restored").alias(name)))
     told = tags.where(F.col("tag") == tag).select("id", "idx").distinct().withColumn("told", F.lit(True))
-    x = words.withColumn("plain", F.lower("word")).join(known(dictionary, "sure"), "plain", "left").join(known(doubtful, "other"), "plain", "left").join(told, ["id", "idx"], "left")
+    # Words are dealt by place before they get what dictionaries say of them, so that is never shuffled.
+    x = words.join(told, ["id", "idx"], "left").withColumn("plain", F.lower("word")).join(known(dictionary, "sure"), "plain", "left").join(known(doubtful, "other"), "plain", "left")
     word = F.col("word")
     return x.select("id", "idx", like_capitals(word, F.when(F.col("told"), F.coalesce("other", word)).otherwise(F.coalesce("sure", word))).alias("word"))
 
@@ -122,7 +136,7 @@ def homograph_candidates(words: DataFrame, homographs: DataFrame, around: int =
 
     A hit reaches the words around it by its place, so what a long text costs grows with its hits.
     """
-    hit = words.join(homographs, F.lower("word") == F.col("plain")).select("id", "idx", "variants")
+    hit = words.join(_at_hand(homographs), F.lower("word") == F.col("plain")).select("id", "idx", "variants")
     block = F.floor(F.col("idx") / around)
     near = hit.select("id", F.col("idx").alias("at"), "variants", F.explode(F.sequence(block - 1, block + 1)).alias("block"))
     x = near.join(words.select("id", block.alias("block"), "idx", "word"), ["id", "block"]).where(F.abs(F.col("idx") - F.col("at")) <= around)

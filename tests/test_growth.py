@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions.lineage import shared_folder
 from murmurlake.jobs import streams
-from murmurlake.operators import spectral
+from murmurlake.operators import spectral, text
 from murmurlake.operators.signals import lengths
 from murmurlake.sources import audio
 from murmurlake.streaming import live
@@ -83,3 +83,27 @@ def test_short_signals_are_inverted_together(spark, block):
     for r in y.collect():
         got.setdefault(r.rec, {}).update({r.start_frame + i: v for i, v in enumerate(r.samples)})
     assert all(np.allclose([got[i][k] for k in range(len(s))], s) and len(got[i]) == len(s) for i, _, _, s in rows)
+
+
+def test_words_stay_where_they_are_for_a_small_dictionary(spark):
+    """Joins by a dictionary broadcast it up to a bound; beyond that a shuffle gives the same."""
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate(["Abc", "abc", "ABC", "de", "De", "+abc", "x", None])], "id int, idx int, word string").repartition(3)
+    sure = spark.createDataFrame([("abc", "a+bc"), ("de", "dee")], "plain string, accented string")
+    want = ["A+bc", "a+bc", "A+BC", "dee", "dee", "+abc", "x", None]
+
+    def run():
+        x = text.restore_accents(words, sure)
+        return x, [r["word"] for r in x.orderBy("idx").collect()]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    most = text.MOST_ENTRIES
+    try:
+        x, got = run()
+        assert "BroadcastHashJoin" in plan(x) and got == want
+        text.MOST_ENTRIES = 1
+        x, got = run()
+        assert "BroadcastHashJoin" not in plan(x) and got == want
+    finally:
+        text.MOST_ENTRIES = most
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
