@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle
@@ -264,28 +267,69 @@ class WordPieces:
 #: Pieces of a vocabulary at most: it goes to every worker.
 MOST_PIECES = 2_000_000
 _CUTTERS: dict[str, Callable[[str], list[str]]] = {}
+#: Bytes of words that a worker cuts at once, in whole texts, and how many words of at most how many letters it keeps the ids of.
+CUT_BYTES, KEPT_WORDS, KEPT_LETTERS = 1 << 20, 1 << 16, 64
 
 
-def _cut_once(words: DataFrame, make: Callable[[], Callable[[str], list[str]]], vocab: dict[str, int], unknown: str) -> DataFrame:
-    """word, ids: each different word is cut once, in Python, by what `make` makes once in a worker; the vocabulary goes to every worker once."""
+def _cut(texts: DataFrame, make: Callable[[], Callable[[str], list[str]]], vocab: dict[str, int], unknown: str, offsets: bool = False) -> DataFrame:
+    """texts (words, and others, which stay) with the ids of each text's words instead of them. Texts stay where they are: nothing is shuffled or sorted, and a worker holds few texts at a time.
+
+    `make` makes once in a worker what cuts a word; the vocabulary goes to every worker once. Different words of CUT_BYTES are
+    cut once, frequent ones once in a task. With offsets: start, end, is_subword of each piece; words have their `sizes`, and a place between them.
+    """
     if len(vocab) > MOST_PIECES:
         raise ValueError(f"over {MOST_PIECES} pieces")
-    shared, name = words.sparkSession.sparkContext.broadcast((make, vocab)), uuid.uuid4().hex
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shared, name = texts.sparkSession.sparkContext.broadcast((make, vocab)), uuid.uuid4().hex
+    kept = [c for c in texts.columns if c not in ("words", "sizes")]
+    form = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("is_subword", pa.bool_())])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole texts of CUT_BYTES or somewhat more."""
+        ends = np.append(0, np.cumsum(batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        size, at = np.append(0, np.cumsum(pc.binary_length(batch["words"].flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 4))[ends], 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(size, size[at] + CUT_BYTES)))
+            yield batch.slice(at, end - at)
+            at = end
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build, known = shared.value
         if name not in _CUTTERS:
             _CUTTERS.clear()
             _CUTTERS[name] = build()
-        f = _CUTTERS[name]
-        for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [[known.get(p, known.get(unknown, 0)) for p in f(w)] for w in pdf["word"]]})
-
-    return words.select("word").distinct().mapInPandas(cut, "word string, ids array<int>")
+        f, none = _CUTTERS[name], known.get(unknown, 0)
+        once = lambda w: np.array([known.get(p, none) for p in f(w)], np.int32)
+        often = lru_cache(KEPT_WORDS)(once)
+        for batch in (p for b in it for p in parts(b)):
+            words = batch["words"].flatten()
+            ends = np.append(0, np.cumsum(batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            coded = words.dictionary_encode()
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            pieces = [often(w) if len(w) <= KEPT_LETTERS else once(w) for w in coded.dictionary.to_pylist()]
+            n = np.array([len(x) for x in pieces], np.int64)[which] if len(which) else np.zeros(0, np.int64)
+            borders = pa.array(np.append(0, np.cumsum(n))[ends].astype(np.int32))
+            ids = np.concatenate([pieces[k] for k in which]) if len(which) else np.zeros(0, np.int32)
+            out = {**{c: batch[c] for c in kept}, "ids": pa.ListArray.from_arrays(borders, pa.array(ids, pa.int32()))}
+            if offsets:
+                size = batch["sizes"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                run = np.append(0, np.cumsum(size + 1))
+                start = run[:-1] - np.repeat(run[ends[:-1]], np.diff(ends))
+                later = np.ones(len(ids), bool)
+                later[(np.cumsum(n) - n)[n > 0]] = False
+                spans = [pa.array(np.repeat(x, n).astype(np.int32)) for x in (start, start + size)]
+                out["offsets"] = pa.ListArray.from_arrays(borders, pa.StructArray.from_arrays([*spans, pa.array(later)], fields=list(form)))
+            yield pa.RecordBatch.from_pydict(out)
+
+    own = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.mapInArrow(cut, f"{own}, ids array<int>" + ", offsets array<struct<start:int,end:int,is_subword:boolean>>" * offsets)
+
+
+def bpe_or_whole(ranks: dict[tuple[str, str], int], special: frozenset[str]) -> Callable[[str], list[str]]:
+    return lambda word: [word] if word in special else bpe(word, ranks)
 
 
 def tokenize_bpe(texts: DataFrame, vocab: dict[str, int], ranks: dict[tuple[str, str], int], special: list[str], unknown: str = "[UNK]", lang: str | None = None, lower: bool = True, nfkd: bool = True) -> DataFrame:
-    """id, ids, n: lower case, NFKD, [lang] before and [SPACE] for each space; special tokens stay whole, what is between them is merged by rank."""
+    """id, ids, n of each row: lower case, NFKD, [lang] before and [SPACE] for each space; special tokens stay whole, what is between them is merged by rank."""
 
     @F.pandas_udf("string")
     def plain(text: pd.Series) -> pd.Series:
@@ -296,25 +340,14 @@ def tokenize_bpe(texts: DataFrame, vocab: dict[str, int], ranks: dict[tuple[str,
     x = texts.select("id", F.concat(prefix, F.replace(plain(F.coalesce("text", F.lit(""))), F.lit(" "), F.lit("[SPACE]"))).alias("text"))
     names = "|".join("".join(c if c.isalnum() else "\\" + c for c in t) for t in sorted(special, key=len, reverse=True))
     pieces = F.filter(F.split("text", f"(?={names})|(?<={names})") if special else F.array("text"), lambda p: p != "")
-    words = x.select("id", F.posexplode(pieces).alias("idx", "word"))
-    ids = _cut_once(words.where(~F.col("word").isin(special)), partial(partial, bpe, ranks=ranks), vocab, unknown)
-    own = F.create_map(*[F.lit(y) for t in special for y in (t, vocab.get(t, vocab.get(unknown, 0)))]) if special else None
-    cut = words.join(ids, "word", "left").withColumn("ids", F.coalesce("ids", F.array(own[F.col("word")])) if special else F.col("ids"))
-    y = cut.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return texts.select("id").join(y, "id", "left").select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).withColumn("n", F.size("ids"))
-
-
-def _pieces(texts: DataFrame, column: str, vocab: dict[str, int], unknown: str) -> DataFrame:
-    """id, ids, offsets (start, end, is_subword) of the words of a column; spaces part words."""
-    w = Window.partitionBy("id").orderBy("idx")
-    x = texts.select("id", F.posexplode(F.split(F.coalesce(column, F.lit("")), " ")).alias("idx", "own"))
-    # Where a word starts follows from the lengths before it.
-    x = x.withColumn("start", (F.coalesce(F.sum(F.length("own") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).where("own <> ''").withColumn("word", F.lower("own"))
-    known = _cut_once(x, partial(WordPieces, tuple(vocab), unknown), vocab, unknown)
-    end = (F.col("start") + F.length("own")).cast("int")
-    offsets = F.transform("ids", lambda _, i: F.struct(F.col("start").alias("start"), end.alias("end"), (i > 0).alias("is_subword")))
-    y = x.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "ids", offsets.alias("offsets")))).alias("all"))
-    return y.select("id", F.flatten(F.transform("all", lambda s: s["ids"])).alias("ids"), F.flatten(F.transform("all", lambda s: s["offsets"])).alias("offsets"))
+    return _cut(x.select("id", pieces.alias("words")), partial(bpe_or_whole, ranks, frozenset(special)), vocab, unknown).withColumn("n", F.size("ids"))
+
+
+def _pieces(texts: DataFrame, column: str, vocab: dict[str, int], unknown: str, offsets: bool = False) -> DataFrame:
+    """texts with ids, and offsets (start, end, is_subword), of a column's words instead of it; spaces part words. Where a word starts follows from the lengths before it."""
+    own = F.split(F.coalesce(column, F.lit("")), " ")
+    x = texts.withColumns({"words": F.transform(own, F.lower)} | ({"sizes": F.transform(own, F.length)} if offsets else {})).drop(column)
+    return _cut(x, partial(WordPieces, tuple(vocab), unknown), vocab, unknown, offsets)
 
 
 def tokenize_wordpiece(texts: DataFrame, vocab: dict[str, int], longest: int, unknown: str = "[UNK]") -> DataFrame:
@@ -325,14 +358,13 @@ def tokenize_wordpiece(texts: DataFrame, vocab: dict[str, int], longest: int, un
     """
     cls, sep, pad = vocab.get("[CLS]", 101), vocab.get("[SEP]", 102), vocab.get("[PAD]", 0)
     none = F.array().cast("array<int>")
-    x = texts.select("id").join(_pieces(texts, "text", vocab, unknown), "id", "left")
-    first = F.concat(F.array(F.lit(cls)), F.coalesce("ids", none), F.array(F.lit(sep)))
     second = none
+    x = texts.select("id", "text", *(["pair"] if "pair" in texts.columns else []))
+    x = _pieces(x, "text", vocab, unknown, True).withColumnRenamed("ids", "own")
     if "pair" in texts.columns:
-        pair = texts.select("id", "pair").join(_pieces(texts, "pair", vocab, unknown).select("id", F.col("ids").alias("more")), "id", "left").where("pair IS NOT NULL")
-        x = x.join(pair.select("id", F.concat(F.coalesce("more", none), F.array(F.lit(sep))).alias("second")), "id", "left")
-        second = F.coalesce("second", none)
-    x = x.select("id", first.alias("first"), second.alias("second"), F.coalesce("offsets", F.array().cast("array<struct<start:int,end:int,is_subword:boolean>>")).alias("offsets"))
+        x = _pieces(x.withColumn("paired", F.col("pair").isNotNull()), "pair", vocab, unknown)
+        second = F.when(F.col("paired"), F.concat("ids", F.array(F.lit(sep)))).otherwise(none)
+    x = x.select("id", F.concat(F.array(F.lit(cls)), "own", F.array(F.lit(sep))).alias("first"), second.alias("second"), "offsets")
     whole = F.concat("first", "second")
     n = F.least(F.size(whole), F.lit(longest))
     kept = F.when(F.size(whole) > longest, F.concat(F.slice(whole, 1, longest - 1), F.array(F.lit(sep)))).otherwise(whole)

@@ -107,3 +107,25 @@ def test_words_stay_where_they_are_for_a_small_dictionary(spark):
     finally:
         text.MOST_ENTRIES = most
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_cut_where_they_are(spark):
+    """No shuffle, sort or gathering of words, few texts in a worker at a time; rows that share an id, or have none, are texts of their own."""
+    texts = [(1, "the  çà the", "the x"), (1, "x", None), (None, "thé the", ""), (2, None, "x"), (3, "", None), (4, "a" * 50 + " the", "q")]
+    d = spark.createDataFrame(texts, "id long, text string, pair string").coalesce(1)
+    pieces = ["[UNK]", "[SPACE]", "[CLS]", "[SEP]", "the", "x", "a", "##a", "ç", "##à"]
+    vocab, ranks = {p: i for i, p in enumerate(pieces)}, {("t", "h"): 0, ("th", "e"): 1}
+    whole = lambda t: [v for i, w in enumerate((t or "").split(" ")) for v in [1] * (i > 0) + [pieces.index(p) if p in pieces else 0 for p in text.bpe(w, ranks)]]
+    first = lambda t: [p for w in (t or "").split(" ") for p in text.WordPieces(pieces)(w)]
+    held = text.CUT_BYTES
+    try:
+        for text.CUT_BYTES in (1, 40, held):
+            b, w = text.tokenize_bpe(d, vocab, ranks, ["[SPACE]"], nfkd=False), text.tokenize_wordpiece(d, vocab, 300)
+            assert not any(k in plan(y) for y in (b, w) for k in ("Exchange", "Sort", "Aggregate", "Generate", "Join"))
+            assert [(r["id"], r["ids"], r["n"]) for r in b.collect()] == [(i, whole(t), len(whole(t))) for i, t, _ in texts]
+            for r, (i, t, pair) in zip(w.collect(), texts, strict=True):
+                ids = [pieces.index(p) for p in ["[CLS]", *first(t), "[SEP]", *([*first(pair), "[SEP]"] if pair is not None else [])]]
+                assert r["id"] == i and r["ids"] == ids + [0] * (300 - len(ids)) and len(r["offsets"]) == len(first(t))
+            assert [tuple(o) for o in w.first()["offsets"]] == [(0, 3, False), (5, 7, False), (5, 7, True), (8, 11, False)]
+    finally:
+        text.CUT_BYTES = held
