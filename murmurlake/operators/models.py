@@ -162,9 +162,10 @@ def adapt(signals: DataFrame, requirements: DataFrame, mode: str = "auto") -> Da
     Rates and channels are values of a recording's rows: all are converted in one pass, whatever pairs of rates there are, and
     what already fits is left as it is. Recordings without a requirement are left out.
     """
-    from .signals import BLOCK, convert_channels, resample_each
+    from ..functions.lineage import settle
+    from .signals import BLOCK, converted, resample_own
 
-    own = signals.groupBy("rec").agg(F.max("sample_rate").alias("sample_rate"))
-    needs = requirements.select("rec", F.col("rate").cast("int").alias("to"), "channels").join(own, "rec").select("rec", F.col("sample_rate").cast("int").alias("rate"), "to", "channels")
-    y = resample_each(convert_channels(signals.select("rec", "channel", *BLOCK), needs), needs, mode)
-    return y.join(needs.select("rec", F.col("to").alias("sample_rate")), "rec").select("rec", "channel", *BLOCK, "sample_rate")
+    own = signals.groupBy("rec").agg(F.max("sample_rate").alias("sample_rate"), F.count_distinct("channel").alias("have"))
+    needs = settle(requirements.select("rec", F.col("rate").cast("int").alias("to"), F.col("channels").alias("want")).join(own, "rec").select("rec", F.col("sample_rate").cast("int").alias("rate"), "to", "have", "want"))
+    x = converted(signals.select("rec", "channel", *BLOCK).join(needs, "rec"), ("rate", "to"))
+    return resample_own(x, needs, mode).select("rec", "channel", *BLOCK, F.col("to").alias("sample_rate"))

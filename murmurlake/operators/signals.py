@@ -49,9 +49,9 @@ def joined(parts: Column) -> Column:
     return F.struct(parts[0]["at"].alias("at"), whole["s"].alias("s"))
 
 
-def reblock(signals: DataFrame, size: int) -> DataFrame:
-    """Blocks of `size` frames cut at its multiples; frames without samples between others are 0."""
-    own = keys(signals)
+def reblock(signals: DataFrame, size: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of `size` frames cut at its multiples; frames without samples between others are 0. Columns `more`, of one value in a signal, come along."""
+    own = [*keys(signals), *more]
     end = F.col("start_frame") + F.size("samples")
     x = signals.where(F.size("samples") > 0).withColumn("b", F.explode(F.sequence(F.floor(F.col("start_frame") / size), F.floor((end - 1) / size))))
     lo, hi = F.greatest(F.col("start_frame"), F.col("b") * size), F.least(end, (F.col("b") + 1) * size)
@@ -168,13 +168,21 @@ def convert_channels(signals: DataFrame, n: int | DataFrame) -> DataFrame:
     """Signals with n channels each, or as many as n (rec, channels) asks for: those that have n stay; one is the mean; more are copies of the mean."""
     own = [k for k in keys(signals) if k != "channel"]
     have = signals.groupBy(*own).agg(F.count_distinct("channel").alias("have"))
-    x = signals.join(have, own)
-    want = (lambda df: df.withColumn("want", F.lit(n))) if isinstance(n, int) else (lambda df: df.join(n.select("rec", F.col("channels").alias("want")), "rec"))
-    x = want(x)
-    same = x.where(F.col("have") == F.col("want")).select(*own, "channel", *BLOCK)
-    other = want(mono(x.where(F.col("have") != F.col("want")).select(*own, "channel", *BLOCK)))
-    each = F.explode(F.sequence(F.lit(0), F.col("want").cast("int") - 1).cast(f"array<{signals.schema['channel'].dataType.simpleString()}>"))
-    return same.unionByName(other.where("want > 0").select(*own, each.alias("channel"), *BLOCK))
+    have = have.withColumn("want", F.lit(n)) if isinstance(n, int) else have.join(n.select("rec", F.col("channels").alias("want")), "rec")
+    return converted(signals.select(*own, "channel", *BLOCK).join(have, own))
+
+
+def converted(signals: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """convert_channels() of signals with what they `have` and `want`: one pass over groups of a block's channels, whether they stay or not."""
+    own = [k for k in keys(signals) if k != "channel"]
+    each = F.struct("channel", F.col("samples").cast("array<double>").alias("samples"))
+    x = signals.groupBy(*own, *more, "have", "want", "block_idx", "start_frame").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    total = F.aggregate(F.transform("all", lambda c: c["samples"]), F.array().cast("array<double>"), lambda a, s: F.zip_with(a, s, lambda p, q: _zero(p) + _zero(q)))
+    x = x.withColumn("mean", F.when(F.col("have") != F.col("want"), F.transform(total, lambda v: v / F.size("all"))))
+    channels = F.sequence(F.lit(0), F.greatest(F.col("want").cast("int"), F.lit(1)) - 1)
+    copies = F.transform(channels, lambda c: F.struct(c.cast(signals.schema["channel"].dataType).alias("channel"), F.col("mean").alias("samples")))
+    made = F.when(F.col("have") == F.col("want"), F.col("all")).when((F.col("have") != F.col("want")) & (F.col("want") > 0), copies)
+    return x.select(*own, *more, "block_idx", "start_frame", F.explode(made).alias("c")).select(*own, F.col("c.channel").alias("channel"), *more, "block_idx", "start_frame", F.col("c.samples").alias("samples"))
 
 
 def stereo_pair(signals: DataFrame) -> DataFrame:
@@ -284,14 +292,14 @@ def fit_length(samples: Column, n: int, mode: str = "zero") -> Column:
 # ---------------------------------------------------------------- with a halo: numpy by block
 
 
-def with_halo(signals: DataFrame, before: int, after: int, size: int) -> DataFrame:
+def with_halo(signals: DataFrame, before: int, after: int, size: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of `size` frames with the samples around them: KEYS, block_idx, start_frame, lead and trail (how many come before and after), samples, n (own samples).
 
     Only edges are sent to the neighbours; a block itself stays where reblock dealt it. Nothing more is needed to see where
     a signal ends: a last block has no trail.
     """
-    own = keys(signals)
-    x = reblock(signals, size)
+    own = [*keys(signals), *more]
+    x = reblock(signals, size, more)
     end = F.col("start_frame") + F.size("samples")
     parts = []
     for k in range(1, -(-max(before, after, 1) // size) + 1):
@@ -380,9 +388,16 @@ def _resampled(blocks: DataFrame, own: list[str], mode: str, like: DataFrame) ->
 
 def resample_each(signals: DataFrame, rates: DataFrame, mode: str = "balanced", size: int = 48_000) -> DataFrame:
     """resample() with rates (rec, rate, to) of each recording: one pass, however many pairs of rates there are."""
+    rates = rates.select("rec", "rate", "to")
+    return resample_own(signals.select(*keys(signals), *BLOCK).join(rates, "rec"), rates, mode, size).drop("to")
+
+
+def resample_own(signals: DataFrame, rates: DataFrame, mode: str = "balanced", size: int = 48_000) -> DataFrame:
+    """resample_each() of signals that hold their `rate` and `to` of rates, and keep `to`."""
     farthest = rates.agg(F.max(F.ceil(F.col("rate") / F.col("to")))).first()[0] or 1
     reach = _reach(int(farthest), 1)
-    return _resampled(with_halo(signals, reach, reach, size).join(rates.select("rec", "rate", "to"), "rec"), keys(signals), mode, signals)
+    blocks = with_halo(signals, reach, reach, size, ("rate", "to"))
+    return _resampled(blocks, [*keys(signals), "to"], mode, blocks)
 
 
 def best_lag(a: DataFrame, b: DataFrame, max_lag: int = 64, size: int = 48_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions.lineage import shared_folder
 from murmurlake.jobs import streams
-from murmurlake.operators import spectral, text
+from murmurlake.operators import models, signals, spectral, text
 from murmurlake.operators.signals import lengths
 from murmurlake.sources import audio
 from murmurlake.streaming import live
@@ -129,3 +129,26 @@ def test_texts_are_cut_where_they_are(spark):
             assert [tuple(o) for o in w.first()["offsets"]] == [(0, 3, False), (5, 7, False), (5, 7, True), (8, 11, False)]
     finally:
         text.CUT_BYTES = held
+
+
+def logical(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_channels_are_converted_in_one_pass(spark):
+    """A signal is read once and joined once, whatever it has and wants, and rates come along: each join or union more is a sort that the same task holds."""
+    have = {1: 1, 2: 2, 3: 3, 4: 2, 5: 1, 6: 3}
+    rows = [(r, c, k, 3 * k, [float(r * 100 + c * 10 + 3 * k + i) for i in range(3)]) for r, n in have.items() for c in range(n) for k in range(2)]
+    x = spark.createDataFrame(rows, "rec long, channel short, block_idx long, start_frame long, samples array<float>")
+    want = {1: 2, 2: 2, 3: 1, 4: 0, 5: None}
+    needs = spark.createDataFrame([*want.items()], "rec long, channels int")
+    y = signals.convert_channels(x, needs)
+    assert "Union" not in logical(y) and logical(y).count("Join ") == 2 and logical(signals.convert_channels(x, 2)).count("Join ") == 1
+    assert y.schema["channel"].dataType == x.schema["channel"].dataType and y.columns == x.columns
+    got = {(r.rec, r.channel, r.start_frame): r.samples for r in y.collect()}
+    mean = {(r, k): np.mean([s for i, _, _, at, s in rows if (i, at) == (r, k)], axis=0).tolist() for r in have for k in (0, 3)}
+    same = {(r, c, at): s for r, c, _, at, s in rows if r == 2}
+    assert got == same | {(1, c, k): mean[1, k] for c in (0, 1) for k in (0, 3)} | {(3, 0, k): mean[3, k] for k in (0, 3)}
+    z = models.adapt(x.withColumn("sample_rate", F.lit(8)), needs.where("rec <= 3").withColumn("rate", F.when(F.col("rec") == 1, 16).otherwise(8)), "fast")
+    assert logical(z).count("Join ") <= 4
+    assert {(r.rec, r.channel): (r.sample_rate, len(r.samples)) for r in z.collect()} == {(1, 0): (16, 12), (1, 1): (16, 12), (2, 0): (8, 6), (2, 1): (8, 6), (3, 0): (8, 6)}
