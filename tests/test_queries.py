@@ -17,6 +17,12 @@ def test_query(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+def test_sizes_within_tolerance(spark):
+    """The tolerance of the SQL is the query's too; the smallest tables hold no size that only it lets pass."""
+    got, sf = registry.QUERIES["check_sizes"](spark, "/root/testdata/sf0.1").toPandas(), "/root/testdata/sf0.1"
+    assert rows(got) == rows(answer(registry.SQL["check_sizes"], sf)) and (got["status"] == "within tolerance").sum() == 5
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
