@@ -46,7 +46,8 @@ def _accented(s, d):
 def _tagged(s, d):
     """Every third word by dictionary, every second by its reverse where it is tagged."""
     known, p = settle(_dictionary(s, d)), F.col("plain")
-    return x.restore_tagged(_spoken(s, d), known.where("n % 3 = 1").select("plain", F.concat(F.lit("y"), F.substr(p, F.lit(2))).alias("restored")), known.where("size % 2 = 0").select("plain", F.reverse("plain").alias("restored")), _spoken(s, d).select("id", "idx", F.when((F.col("id") + F.col("idx")) % 4 == 0, "YO").otherwise("O").alias("tag")))
+    words = _spoken(s, d).withColumn("tag", F.when((F.col("id") + F.col("idx")) % 4 == 0, "YO").otherwise("O"))
+    return x.restore_tagged(words, known.where("n % 3 = 1").select("plain", F.concat(F.lit("y"), F.substr(p, F.lit(2))).alias("restored")), known.where("size % 2 = 0").select("plain", F.reverse("plain").alias("restored")))
 
 
 def _carried(s, d):

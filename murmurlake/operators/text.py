@@ -79,18 +79,44 @@ def clean_text(text: Column) -> Column:
 
 #: Entries of a dictionary, and characters of their words, that go to every task; a larger one is joined by a shuffle.
 MOST_ENTRIES, MOST_LETTERS = 500_000, 16_000_000
+#: Letters of a frequent word at most.
+FREQUENT_LETTERS = 32
 
 
-def _at_hand(dictionary: DataFrame) -> DataFrame:
-    """A dictionary (plain, ...), written once, for a join that leaves the words where they are if it is of a bounded size."""
-    d = settle(dictionary)
+def _frequent(words: DataFrame) -> DataFrame | None:
+    """plain: the most frequent words, at most half of MOST_ENTRIES; none if as many words as that are equally frequent."""
+    seen = settle(words.where(F.length("plain") <= FREQUENT_LETTERS).groupBy("plain").agg(F.count("*").alias("n")).where("n > 1"))
+    total, least = 0, None
+    # A row for each different count, and most counts are small.
+    for n, c in seen.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += c
+        if total > MOST_ENTRIES // 2:
+            break
+        least = n
+    return None if least is None else seen.where(F.col("n") >= least).select("plain")
+
+
+def _explained(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """words (word, ...) with plain, their lower case, and what a dictionary (plain, and others) says of them, or null.
+
+    A dictionary of a bounded size goes to every task. Of a larger one, what it says, or doesn't, of the most frequent words does; only other words,
+    a small part of a text, are shuffled.
+    """
+    d, x = settle(dictionary), words.withColumn("plain", F.lower("word"))
     n, letters = d.agg(F.count("*"), F.coalesce(F.sum(F.length("plain")), F.lit(0))).first()
-    return F.broadcast(d) if n <= MOST_ENTRIES and letters <= MOST_LETTERS else d
+    if n <= MOST_ENTRIES and letters <= MOST_LETTERS:
+        return x.join(F.broadcast(d), "plain", "left")
+    often = _frequent(x)
+    if often is None:
+        return x.join(d, "plain", "left")
+    y = x.join(F.broadcast(often.join(d, "plain", "left").withColumn("__often", F.lit(True))), "plain", "left")
+    near = F.col("__often").isNotNull() | F.col("plain").isNull()
+    return y.where(near).drop("__often").unionByName(y.where(~near).select(*x.columns).join(d, "plain", "left"))
 
 
 def restore_accents(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """words (id, idx, word) with accented spelling from dictionary (plain, accented); capitals stay, marked words are left."""
-    x = words.join(_at_hand(dictionary), F.lower("word") == F.col("plain"), "left")
+    x = _explained(words, dictionary)
     letters = F.split("accented", "")
     at = lambda i: F.size(F.filter(F.slice(letters, 1, i), lambda c: c != "+"))
     kept = F.array_join(F.transform(letters, lambda c, i: F.when((c != "+") & (F.substr(F.col("word"), at(i) + 1, F.lit(1)) != F.lower(F.substr(F.col("word"), at(i) + 1, F.lit(1)))), F.upper(c)).otherwise(c)), "")
@@ -106,13 +132,20 @@ def like_capitals(word: Column, target: Column) -> Column:
     return F.when(F.coalesce(small | (F.length(word) != F.length(target)), F.lit(True)), target).otherwise(F.array_join(letters, ""))
 
 
-def restore_tagged(words: DataFrame, dictionary: DataFrame, doubtful: DataFrame, tags: DataFrame, tag: str = "YO") -> DataFrame:
-    """words (id, idx, word) restored in two steps: by dictionary (plain, restored); then, where tags (id, idx, tag) say `tag`, by what doubtful (plain, restored) has instead, or as the word was. Case is the word's."""
-    known = lambda d, name: _at_hand(d.groupBy("plain").agg(F.min("restored").alias(name)))
-    told = tags.where(F.col("tag") == tag).select("id", "idx").distinct().withColumn("told", F.lit(True))
+def restore_tagged(words: DataFrame, dictionary: DataFrame, doubtful: DataFrame, tags: DataFrame | None = None, tag: str = "YO") -> DataFrame:
+    """words (id, idx, word) restored in two steps: by dictionary (plain, restored); then, where tags (id, idx, tag) say `tag`, by what doubtful (plain, restored) has instead, or as the word was. Case is the word's.
+
+    Words that come with their tag, as a column, need no tags, and no join by place.
+    """
+    none = F.lit(None).cast("string")
+    both = dictionary.select("plain", F.col("restored").alias("sure"), none.alias("other")).unionByName(doubtful.select("plain", none.alias("sure"), F.col("restored").alias("other")))
+    entries = both.groupBy("plain").agg(F.min("sure").alias("sure"), F.min("other").alias("other"))
+    if tags is None:
+        told = words.select("id", "idx", "word", (F.col("tag") == tag).alias("told"))
+    else:
+        told = words.join(tags.where(F.col("tag") == tag).select("id", "idx").distinct().withColumn("told", F.lit(True)), ["id", "idx"], "left")
     # Words are dealt by place before they get what dictionaries say of them, so that is never shuffled.
-    x = words.join(told, ["id", "idx"], "left").withColumn("plain", F.lower("word")).join(known(dictionary, "sure"), "plain", "left").join(known(doubtful, "other"), "plain", "left")
-    word = F.col("word")
+    x, word = _explained(told, entries), F.col("word")
     return x.select("id", "idx", like_capitals(word, F.when(F.col("told"), F.coalesce("other", word)).otherwise(F.coalesce("sure", word))).alias("word"))
 
 
@@ -139,7 +172,7 @@ def homograph_candidates(words: DataFrame, homographs: DataFrame, around: int =
 
     A hit reaches the words around it by its place, so what a long text costs grows with its hits.
     """
-    hit = words.join(_at_hand(homographs), F.lower("word") == F.col("plain")).select("id", "idx", "variants")
+    hit = _explained(words, homographs).where("variants IS NOT NULL").select("id", "idx", "variants")
     block = F.floor(F.col("idx") / around)
     near = hit.select("id", F.col("idx").alias("at"), "variants", F.explode(F.sequence(block - 1, block + 1)).alias("block"))
     x = near.join(words.select("id", block.alias("block"), "idx", "word"), ["id", "block"]).where(F.abs(F.col("idx") - F.col("at")) <= around)

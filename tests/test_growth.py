@@ -152,3 +152,44 @@ def test_channels_are_converted_in_one_pass(spark):
     z = models.adapt(x.withColumn("sample_rate", F.lit(8)), needs.where("rec <= 3").withColumn("rate", F.when(F.col("rec") == 1, 16).otherwise(8)), "fast")
     assert logical(z).count("Join ") <= 4
     assert {(r.rec, r.channel): (r.sample_rate, len(r.samples)) for r in z.collect()} == {(1, 0): (16, 12), (1, 1): (16, 12), (2, 0): (8, 6), (2, 1): (8, 6), (3, 0): (8, 6)}
+
+
+def shuffled(df):
+    """Rows that each shuffle of the plan, run, has written."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        m = p.metrics().get("shuffleRecordsWritten")
+        out += [m.get().value()] if m.isDefined() else []
+    return out
+
+
+def test_only_rare_words_are_shuffled_for_a_large_dictionary(spark):
+    """Frequent words stay where they are, whether the dictionary has them or not, and tags that come with words need no join by place."""
+    rare = [f"w{chr(97 + i)}x" for i in range(20)]
+    line = ["Abc", "abc", "ABC", "de", "of", "Of"] * 200 + rare + [w.upper() for w in rare[:5]] + [None] * 50
+    words = spark.createDataFrame([(1, i, w, "YO" if i % 4 == 0 else "O" if i % 4 < 3 else None) for i, w in enumerate(line)], "id int, idx int, word string, tag string")
+    sure = spark.createDataFrame([("abc", "xbc"), ("abc", "ybc"), *((w, "y" + w[1:]) for w in rare[:15])], "plain string, restored string")
+    doubtful = spark.createDataFrame([("de", "ed"), *((w, w[::-1]) for w in rare[5:])], "plain string, restored string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = words.select("id", "idx", "word")
+        for accents in (False, True):
+            got = []
+            for text.MOST_ENTRIES in (500_000, 8, 1):
+                run = lambda: text.restore_accents(plain, sure.where("restored <> 'ybc'").withColumnRenamed("restored", "accented")) if accents else text.restore_tagged(words, sure, doubtful)
+                x = run()
+                got.append([r["word"] for r in sorted(x.collect(), key=lambda r: r["idx"])])
+                if text.MOST_ENTRIES == 8:
+                    assert max(shuffled(x)) <= 40 and "BroadcastHashJoin" in plan(x)
+            assert got[0] == got[1] == got[2] and len(got[0]) == len(line)
+        tags = words.select("id", "idx", "tag")
+        assert [r["word"] for r in sorted(text.restore_tagged(plain, sure, doubtful, tags).collect(), key=lambda r: r["idx"])] == [r["word"] for r in sorted(text.restore_tagged(words, sure, doubtful).collect(), key=lambda r: r["idx"])]
+    finally:
+        text.MOST_ENTRIES = 500_000
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
